@@ -25,6 +25,7 @@ from dqspark.functions import cells
 from dqspark.session import prepare
 
 CHUNK = 50  # columns per aggregate, to keep generated code small
+ID_PREFIX = 100_000  # leading rows searched for a repeat before a full count
 
 FILLED, PRESENT = "filled", "present"  # non-blank values / non-null values
 
@@ -294,12 +295,12 @@ def _is_id_name(name: str) -> bool:
     return re.search(fixed.ID_NAME, name, re.IGNORECASE) is not None
 
 
-def assign_roles(df: DataFrame, facts: list[ColumnFacts], *, id_by_content: bool = True) -> None:
+def assign_roles(df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix | None,
+                 *, id_by_content: bool = True) -> None:
     """Role per column: email, date, phone, id by name, then id by content.
 
-    Id by content needs every value to be unique.  A repeat in the sample, a low
-    numeric share or a low distinct estimate (ten standard errors below the
-    count) rule a column out; only what is left is counted exactly.
+    Id by content needs every value to be unique.  A repeat among the leading rows
+    rules a column out; only what is left is counted over the whole table.
     """
     open_cols = []
     for i, fact in enumerate(facts):
@@ -316,7 +317,7 @@ def assign_roles(df: DataFrame, facts: list[ColumnFacts], *, id_by_content: bool
         ):
             open_cols.append(i)
     if id_by_content and open_cols:
-        for i in _unique_numeric(df, facts, open_cols):
+        for i in _unique_numeric(df, facts, prefix, open_cols):
             facts[i].own_role = "id"
     for fact in facts:
         fact.role = fact.own_role
@@ -326,40 +327,42 @@ def assign_roles(df: DataFrame, facts: list[ColumnFacts], *, id_by_content: bool
             fact.role = "date"
 
 
-def _unique_numeric(df: DataFrame, facts: list[ColumnFacts], cols: list[int]) -> list[int]:
-    values = {i: _comparable(facts[i]) for i in cols}
-    aggs = []
-    for i in cols:
-        numeric = (
-            F.count_if(cells.to_number(values[i]).isNotNull())
-            if cells.is_text(facts[i].dtype) else F.lit(0)
-        )
-        aggs.append(numeric.alias(f"n{i}"))
-        aggs.append(F.approx_count_distinct(values[i], 0.01).alias(f"d{i}"))
-    row = df.agg(*aggs).first()
-    left = []
+def _repeats(df: DataFrame, facts: list[ColumnFacts], cols: list[int]) -> dict[int, Row]:
+    """Per column: how often its most frequent value occurs, and the value count."""
+    entries = []
     for i in cols:
-        fact = facts[i]
-        if cells.is_text(fact.dtype):
-            numeric = row[f"n{i}"]
-        else:
-            numeric = fact.filled if cells.is_number(fact.dtype) else 0
-        if numeric / fact.filled > fixed.ID_NUMERIC_SHARE and row[f"d{i}"] >= 0.9 * fact.filled:
-            left.append(i)
-    if not left:
-        return []
-    entries = [
-        F.when(values[i].isNotNull(),
-               F.struct(F.lit(i).alias("col_no"), values[i].cast("string").alias("value")))
-        for i in left
-    ]
-    repeats = (
+        value = _comparable(facts[i])
+        entries.append(F.when(value.isNotNull(), F.struct(
+            F.lit(i).alias("col_no"), value.cast("string").alias("value"))))
+    rows = (
         df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
         .groupBy("e.col_no", "e.value").count()
-        .groupBy("col_no").agg(F.max("count").alias("most"))
-        .where(F.col("most") == 1)
+        .groupBy("col_no").agg(F.max("count").alias("most"), F.sum("count").alias("n"))
     )
-    return sorted(r["col_no"] for r in repeats.collect())
+    return {r["col_no"]: r for r in rows.collect()}
+
+
+def _unique_numeric(
+    df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix, cols: list[int]
+) -> list[int]:
+    texts = [i for i in cols if cells.is_text(facts[i].dtype)]
+    left = [i for i in cols if cells.is_number(facts[i].dtype)]
+    if texts:
+        row = df.agg(*[
+            F.count_if(cells.to_number(_comparable(facts[i])).isNotNull()).alias(f"n{i}")
+            for i in texts
+        ]).first()
+        left += [i for i in texts if row[f"n{i}"] / facts[i].filled > fixed.ID_NUMERIC_SHARE]
+    if not left:
+        return []
+    bound = _guess(prefix, prefix.last_id, 1, 1, ID_PREFIX)
+    early = _repeats(df.where(F.col(fixed.ROW_ID) <= F.lit(bound)), facts, left)
+    done = [i for i in left if i in early and early[i]["most"] == 1
+            and early[i]["n"] == facts[i].filled]
+    rest = [i for i in left if i not in done and (i not in early or early[i]["most"] == 1)]
+    if rest:
+        done += [i for i, r in _repeats(df, facts, rest).items() if r["most"] == 1]
+    return sorted(done)
 
 
 def _comparable(fact: ColumnFacts):
@@ -400,7 +403,7 @@ def column_facts(
     prepare(df.sparkSession)
     facts, prefix = count_cells(df)
     take_samples(df, facts, prefix, currency=currency)
-    assign_roles(df, facts, id_by_content=id_by_content)
+    assign_roles(df, facts, prefix, id_by_content=id_by_content)
     return facts
 
 
