@@ -10,8 +10,6 @@ selects candidates, it never decides.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,67 +46,81 @@ def key_fields(df: DataFrame, subset: list[str] | None) -> list[T.StructField]:
     return known or fields
 
 
-@dataclass
-class Repeats:
-    """Rows of a table that might be repeated, with their keys as columns."""
-
-    rows: DataFrame  # _row_id, _k0.._kn
-    keys: list[str]
-    hashes: DataFrame | None  # the repeated hashes, when few enough to broadcast
+class Duplicates:
+    """Duplicate rows of one table, matched on all columns or on a subset.
 
+    Looks for repeated hashes once, when created; counting, keeping and listing
+    then work on what that left over.
+    """
 
-def _repeats(df: DataFrame, fields: list[T.StructField]) -> Repeats:
-    keys = [f"_k{i}" for i in range(len(fields))]
-    named = [_key(f).alias(k) for f, k in zip(fields, keys)]
-    has_id = fixed.ROW_ID in df.columns
-    rows = df.select(*([fixed.ROW_ID] if has_id else []), *named)
-    hashes = settle(
-        rows.groupBy(F.xxhash64(*keys).alias("_h")).agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("_h"),
-        "repeated-hashes",
-    )
-    if hashes.count() > BROADCAST_HASHES:
-        return Repeats(rows, keys, None)
-    near = rows.join(F.broadcast(hashes), F.xxhash64(*keys) == F.col("_h"), "left_semi")
-    return Repeats(near, keys, hashes)
+    def __init__(self, df: DataFrame, subset: list[str] | None = None):
+        self.df = df
+        self._fields = key_fields(df, subset)
+        self._keys = [f"_k{i}" for i in range(len(self._fields))]
+        self._hash = F.xxhash64(*[_key(f) for f in self._fields])
+        self._repeated = settle(
+            df.groupBy(self._hash.alias("_h")).agg(F.count(F.lit(1)).alias("n"))
+            .where("n > 1").select("_h"),
+            "repeated-hashes",
+        )
+        self._n_repeated = self._repeated.count()
+
+    @property
+    def _narrow(self) -> bool:
+        return self._n_repeated <= BROADCAST_HASHES
+
+    def _near(self, how: str) -> DataFrame:
+        hashes = F.broadcast(self._repeated)  # at most BROADCAST_HASHES numbers
+        return self.df.join(hashes, self._hash == F.col("_h"), how)
+
+    def _candidates(self) -> DataFrame:
+        rows = self._near("left_semi") if self._narrow else self.df
+        row_id = [fixed.ROW_ID] if fixed.ROW_ID in rows.columns else []
+        return rows.select(*row_id, *[_key(f).alias(k) for f, k in zip(self._fields, self._keys)])
+
+    def _first_ids(self) -> DataFrame:
+        return (
+            self._candidates().groupBy(*self._keys)
+            .agg(F.min(fixed.ROW_ID).alias(fixed.ROW_ID)).select(fixed.ROW_ID)
+        )
+
+    def count(self) -> int:
+        """Rows beyond the first copy; nulls are equal."""
+        if not self._n_repeated:
+            return 0
+        sizes = self._candidates().groupBy(*self._keys).agg(F.count(F.lit(1)).alias("n"))
+        return int(sizes.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
+
+    def kept(self) -> DataFrame:
+        """The table with the first copy, by row id, of each key."""
+        if not self._n_repeated:
+            return self.df
+        if not self._narrow:
+            return self.df.join(self._first_ids(), fixed.ROW_ID, "left_semi")
+        first = self._near("left_semi").join(self._first_ids(), fixed.ROW_ID, "left_semi")
+        return self._near("left_anti").unionByName(first)
+
+    def extra(self) -> DataFrame:
+        """Later copies: exactly the rows `kept` leaves out."""
+        if not self._n_repeated:
+            return self.df.limit(0)
+        rows = self._near("left_semi") if self._narrow else self.df
+        return rows.join(self._first_ids(), fixed.ROW_ID, "left_anti").select(*self.df.columns)
 
 
 def duplicate_count(df: DataFrame, subset: list[str] | None = None) -> int:
-    """Rows beyond the first copy; nulls are equal."""
-    found = _repeats(df, key_fields(df, subset))
-    sizes = found.rows.groupBy(*found.keys).agg(F.count(F.lit(1)).alias("n"))
-    return int(sizes.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
-
-
-def _first_ids(found: Repeats) -> DataFrame:
-    return found.rows.groupBy(*found.keys).agg(F.min(fixed.ROW_ID).alias(fixed.ROW_ID))
+    return Duplicates(df, subset).count()
 
 
 def drop_duplicates(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    """Keep the first copy, by row id, of each row or of each subset key."""
-    fields = key_fields(df, subset)
-    found = _repeats(df, fields)
-    keep = _first_ids(found).select(fixed.ROW_ID)
-    if found.hashes is None:
-        return df.join(keep, fixed.ROW_ID, "left_semi")
-    match = F.xxhash64(*[_key(f) for f in fields]) == F.col("_h")
-    single = df.join(F.broadcast(found.hashes), match, "left_anti")
-    several = df.join(F.broadcast(found.hashes), match, "left_semi")
-    return single.unionByName(several.join(keep, fixed.ROW_ID, "left_semi"))
+    return Duplicates(df, subset).kept().select(*df.columns)
 
 
 def duplicate_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    """Later copies: exactly the rows `drop_duplicates` would remove.
+    """Rows `drop_duplicates` would remove.
 
     A subset none of whose columns exist has no duplicates to show.
     """
     if subset and not any(f.name in subset for f in cells.data_fields(df)):
         return df.limit(0)
-    fields = key_fields(df, subset)
-    found = _repeats(df, fields)
-    keep = _first_ids(found).select(fixed.ROW_ID)
-    rows = df
-    if found.hashes is not None:
-        match = F.xxhash64(*[_key(f) for f in fields]) == F.col("_h")
-        rows = df.join(F.broadcast(found.hashes), match, "left_semi")
-    return rows.join(keep, fixed.ROW_ID, "left_anti")
+    return Duplicates(df, subset).extra()
