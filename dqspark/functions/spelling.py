@@ -79,13 +79,15 @@ def cluster_numbers(positions: list[int], pairs: pd.DataFrame) -> dict[int, int]
     return {p: top(p) for p in positions}
 
 
-def similarity(norms: list[str]) -> float:
-    """Lowest ratio between any two distinct forms, in order of appearance."""
+def lowest_ratio(pdf: pd.DataFrame) -> float:
+    """Lowest ratio between two tiles' forms, the earlier form always first."""
+    early = pdf[pdf["tile"] == pdf["lo"]].sort_values("pos")
+    late = pdf[pdf["tile"] == pdf["hi"]].sort_values("pos")
     lowest = 1.0
     matcher = SequenceMatcher(None)
-    for j, b in enumerate(norms):
+    for later, b in zip(late["pos"], late["norm"]):
         matcher.set_seq2(b)
-        for a in norms[:j]:
+        for a in early.loc[early["pos"] < later, "norm"]:
             matcher.set_seq1(a)
             lowest = min(lowest, matcher.ratio())
     return lowest
@@ -121,7 +123,7 @@ def describe(pdf: pd.DataFrame) -> pd.DataFrame:
     values = pdf["value"].tolist()
     rows = dict(zip(values, pdf["rows"].tolist()))
     norms = list(dict.fromkeys(pdf["norm"]))
-    lowest = similarity(norms)
+    lowest = float(pdf["similarity"].iloc[0])
     column = pdf["column"].iloc[0]
     return pd.DataFrame([{
         "column": column,

@@ -138,19 +138,8 @@ def similar_pairs(forms: DataFrame, threshold: float, *, every: bool = True) ->
 
     With ``every=False`` only enough pairs to connect each cluster are returned.
     """
-    blocks = Window.partitionBy("column", "block")
-    norms = (
-        forms.where("compared").groupBy("column", "block", "norm", "pos").agg(F.count(F.lit(1)))
-        .select("column", "block", "norm", "pos", (F.col("pos") / TILE).cast("int").alias("tile"))
-        .withColumn("last_tile", F.max("tile").over(blocks))
-        .withColumn("members", F.count(F.lit(1)).over(blocks))
-        .where("members > 1")
-    )
-    tiled = norms.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last_tile")))).select(
-        "column", "block", "norm", "pos", "tile",
-        F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"),
-    )
-
+    norms = forms.where("compared").select("column", "block", "norm", "pos").distinct()
+    keys = ["column", "block"]
     matches, length_ratio = spelling.matches, fixed.LENGTH_RATIO
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -168,12 +157,41 @@ def similar_pairs(forms: DataFrame, threshold: float, *, every: bool = True) ->
         return pd.DataFrame(found, columns=[
             "column", "block", "pos_a", "pos_b", "norm_a", "norm_b", "ratio"])
 
-    keys = ["column", "block", "lo", "hi"]
-    return (
-        tiled.repartition(_spread(forms), *keys).groupBy(*keys)
-        .applyInPandas(compare, "column STRING, block STRING, pos_a INT, pos_b INT, "
-                                "norm_a STRING, norm_b STRING, ratio DOUBLE")
+    return _by_tile(norms, keys, compare, (
+        "column STRING, block STRING, pos_a INT, pos_b INT, norm_a STRING, norm_b STRING, ratio DOUBLE"))
+
+
+def _by_tile(norms: DataFrame, keys: list[str], compare, schema: str) -> DataFrame:
+    """Compare the forms of each group in pairs of tiles, one task group per pair.
+
+    ``compare`` gets the rows of two tiles (``lo`` and ``hi``, maybe the same).
+    """
+    group = Window.partitionBy(*keys)
+    tiled = (
+        norms.withColumn("tile", F.floor((F.row_number().over(group.orderBy("pos")) - 1) / TILE).cast("int"))
+        .withColumn("members", F.count(F.lit(1)).over(group))
+        .withColumn("last_tile", F.max("tile").over(group))
+        .where("members > 1")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last_tile"))))
+        .select(*keys, "norm", "pos", "tile", F.least("tile", "other").alias("lo"),
+                F.greatest("tile", "other").alias("hi"))
     )
+    pair = [*keys, "lo", "hi"]
+    return tiled.repartition(_spread(norms), *pair).groupBy(*pair).applyInPandas(compare, schema)
+
+
+def lowest_ratios(clustered: DataFrame) -> DataFrame:
+    """(column, block, cluster, similarity): lowest ratio between a cluster's forms."""
+    keys = ["column", "block", "cluster"]
+    norms = clustered.select(*keys, "norm", "pos").distinct()
+    lowest_ratio = spelling.lowest_ratio
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1][keys].assign(similarity=lowest_ratio(pdf))
+
+    parts = _by_tile(norms, keys, compare, (
+        "column STRING, block STRING, cluster INT, similarity DOUBLE"))
+    return parts.groupBy(*keys).agg(F.min("similarity").alias("similarity"))
 
 
 def _spread(df: DataFrame) -> int:
@@ -210,9 +228,11 @@ def describe_groups(clustered: DataFrame) -> DataFrame:
     keys = ["column", "block", "cluster"]
     sized = clustered.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     fields = GROUP_SCHEMA.replace(", group_no BIGINT", ", norm_rank BIGINT, norm_first BIGINT")
+    lowest = lowest_ratios(clustered)
     order = Window.partitionBy("column").orderBy("norm_rank", "norm_first", "group_id")
     return (
         sized.where("size > 1").drop("size")
+        .join(lowest, keys, "left").fillna(1.0, ["similarity"])
         .repartition(_spread(clustered), *keys).groupBy(*keys)
         .applyInPandas(spelling.describe, fields)
         .withColumn("group_no", F.row_number().over(order).cast("bigint"))
@@ -261,7 +281,8 @@ def scan(
         .agg(F.sum("truncated").alias("truncated")).collect()
     }
     pairs = similar_pairs(forms, threshold, every=False)
-    groups = settle(describe_groups(clusters(forms, pairs)), "spelling-groups")
+    clustered = settle(clusters(forms, pairs), "spelling-clusters")
+    groups = settle(describe_groups(clustered), "spelling-groups")
     return FuzzyScan(groups, status_frame(spark, texts, uniques, set(forced), max_unique, cut))
 
 

@@ -85,6 +85,11 @@ def _chunks(items: list, size: int = CHUNK) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
+def _words(words: tuple[str, ...]) -> str:
+    """SQL list of words that hold no quotes."""
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
 def count_cells(df: DataFrame) -> tuple[list[ColumnFacts], _Prefix | None]:
     """Scan 1: cell counts per column, and where its first values must lie.
 
@@ -97,37 +102,39 @@ def count_cells(df: DataFrame) -> tuple[list[ColumnFacts], _Prefix | None]:
     row_id = F.col(fixed.ROW_ID) if ordered else F.lit(0).cast("bigint")
     prefix: _Prefix | None = None
     for chunk in _chunks(list(enumerate(facts))) or [[]]:
-        base = [row_id.alias("id"), F.spark_partition_id().alias("task")]
-        inner = [
-            F.count(F.lit(1)).alias("n"),
-            F.min("id").alias("lo"),
-            F.max("id").alias("hi"),
+        flags, keys = [], []
+        bounds = []
+        for i, fact in chunk:
+            col, text = cells.ref(fact.name), cells.is_text(fact.dtype)
+            flags.append(cells.missing(col, fact.dtype).alias(f"m{i}"))
+            keys.append(f"m{i}")
+            if text:
+                flags += [col.alias(f"c{i}"), cells.strip(col).alias(f"s{i}")]
+                keys += [f"p{i}", f"w{i}", f"b{i}"]
+            elif isinstance(fact.dtype, (T.TimestampType, T.TimestampNTZType)):
+                flags.append((col != F.date_trunc("day", col)).alias(f"t{i}"))
+                keys.append(f"t{i}")
+            filled = f"b{i}" if text else f"n - m{i}"
+            bounds += [
+                f"min(CASE WHEN {filled} >= {fixed.DATE_SAMPLE} THEN hi END) AS fb{i}",
+                f"min(CASE WHEN n - m{i} >= {fixed.CURRENCY_SAMPLE} THEN hi END) AS pb{i}",
+            ]
+        conditions = {
+            "p": f"s{{i}} IN {_words(fixed.PLACEHOLDERS)}",
+            "w": "s{i} <> c{i}",
+            "b": f"lower(s{{i}}) NOT IN {_words(fixed.BLANK_WORDS)}",
+        }
+        inner = ["count(1) AS n", "min(id) AS lo", "max(id) AS hi"] + [
+            f"count_if({conditions.get(k[0], k).format(i=k[1:])}) AS {k}" for k in keys
         ]
-        outer = [
-            F.sum("n").alias("n"),
-            F.min(F.struct("hi", "lo", "n")).alias("first"),
+        outer = ["sum(n) AS n", "min(struct(hi, lo, n)) AS first"] + [
+            f"sum({k}) AS {k}" for k in keys
         ]
-        for i, fact in chunk:
-            col, dtype = cells.ref(fact.name), fact.dtype
-            base.append(col.alias(f"c{i}"))
-            cell = F.col(f"c{i}")
-            counters = {"m": cells.missing(cell, dtype)}
-            if cells.is_text(dtype):
-                base.append(cells.strip(col).alias(f"s{i}"))
-                text = F.col(f"s{i}")
-                counters["p"] = text.isin(*fixed.PLACEHOLDERS)
-                counters["w"] = text != cell
-                counters["b"] = ~F.lower(text).isin(*fixed.BLANK_WORDS)
-            elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-                counters["t"] = cell != F.date_trunc("day", cell)
-            for key, cond in counters.items():
-                inner.append(F.count_if(cond).alias(f"{key}{i}"))
-                outer.append(F.sum(f"{key}{i}").alias(f"{key}{i}"))
-            present = F.col("n") - F.col(f"m{i}")
-            filled = F.col(f"b{i}") if cells.is_text(dtype) else present
-            outer.append(F.min(F.when(filled >= fixed.DATE_SAMPLE, F.col("hi"))).alias(f"fb{i}"))
-            outer.append(F.min(F.when(present >= fixed.CURRENCY_SAMPLE, F.col("hi"))).alias(f"pb{i}"))
-        row = df.select(*base).groupBy("task").agg(*inner).agg(*outer).first()
+        row = (
+            df.select(row_id.alias("id"), F.spark_partition_id().alias("task"), *flags)
+            .groupBy("task").agg(*map(F.expr, inner))
+            .agg(*map(F.expr, outer + bounds)).first()
+        )
         if row["n"] and prefix is None:
             first = row["first"]
             prefix = _Prefix(first["lo"], first["hi"], first["n"], {}, {})
@@ -172,24 +179,22 @@ def leading_values(
     non-null values, as they are).
     """
     row_id = F.col(fixed.ROW_ID)
-    entries = []
-    for (i, kind), bound in bounds.items():
-        text = facts[i].text()
-        value = cells.non_blank(text) if kind == FILLED else text
-        keep = value.isNotNull()
-        if bound is not None:
-            keep = (row_id <= F.lit(bound)) & keep
-        entries.append(
-            F.when(keep, F.struct(F.lit(i).alias("col_no"), F.lit(kind).alias("kind"),
-                                  value.alias("value")))
-        )
+    used = sorted({i for i, _ in bounds})
     rows = df
     if all(b is not None for b in bounds.values()):
         rows = rows.where(row_id <= F.lit(max(bounds.values())))
+    entries = ", ".join(
+        f"IF(c{i} IS NOT NULL" + (f" AND {fixed.ROW_ID} <= {bound}L" if bound is not None else "")
+        + f", struct({i} AS col_no, '{kind}' AS kind, c{i} AS value), NULL)"
+        for (i, kind), bound in bounds.items()
+    )
+    value = F.col("value")
     order = Window.partitionBy("col_no", "kind").orderBy(fixed.ROW_ID)
     return (
-        rows.select(fixed.ROW_ID, F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .select("e.col_no", "e.kind", fixed.ROW_ID, "e.value")
+        rows.select(fixed.ROW_ID, *[facts[i].text().alias(f"c{i}") for i in used])
+        .selectExpr(fixed.ROW_ID, f"inline(array_compact(array({entries})))")
+        .withColumn("value", F.when(F.col("kind") == FILLED, cells.non_blank(value)).otherwise(value))
+        .where("value IS NOT NULL")
         .withColumn("rn", F.row_number().over(order))
         .where(F.col("rn") <= fixed.DATE_SAMPLE)
         .where((F.col("kind") == FILLED) | (F.col("rn") <= fixed.CURRENCY_SAMPLE))
@@ -198,35 +203,37 @@ def leading_values(
 
 def _sample_metrics(sample: DataFrame) -> list[Row]:
     """One row per column: shares and date-format counts of its first values."""
-    value, rn = F.col("value"), F.col("rn")
+    value = F.col("value")
     filled, present = F.col("kind") == FILLED, F.col("kind") == PRESENT
-    role = filled & (rn <= fixed.ROLE_SAMPLE)
-    early = present & (rn <= fixed.TEXT_SAMPLE)
-    label = F.col("label")
+    flagged = sample.select(
+        "col_no", "rn", filled.alias("filled"), present.alias("present"),
+        F.when(filled, cells.date_label_no(value)).alias("label"),
+        F.when(filled, F.md5(value)).alias("digest"),
+        (filled & cells.is_email(value)).alias("email"),
+        (filled & value.rlike(fixed.PHONE)).alias("phone"),
+        (present & value.rlike(fixed.CURRENCY_FINDING)).alias("money"),
+        (present & value.rlike(fixed.CURRENCY_SYMBOL)).alias("symbol"),
+        (present & value.rlike(fixed.CURRENCY_CLEANER)).alias("comma"),
+        (present & cells.to_number(F.regexp_replace(value, r"[,\s]", "")).isNotNull()).alias("number"),
+    )
+    role, early = f"filled AND rn <= {fixed.ROLE_SAMPLE}", f"present AND rn <= {fixed.TEXT_SAMPLE}"
     aggs = [
-        F.count_if(filled).alias("filled"),
-        F.count_if(present).alias("present"),
-        F.count_if(role).alias("role_n"),
-        F.count_if(role & cells.is_email(value)).alias("emails"),
-        F.count_if(role & label.isNotNull()).alias("dates"),
-        F.count_if(role & label.isNull() & value.rlike(fixed.PHONE)).alias("phones"),
-        F.size(F.collect_set(F.when(filled, F.md5(value)))).alias("distinct_values"),
-        F.count_if(present & value.rlike(fixed.CURRENCY_FINDING)).alias("currency"),
-        F.count_if(present & value.rlike(fixed.CURRENCY_SYMBOL)).alias("symbols"),
-        F.count_if(present & value.rlike(fixed.CURRENCY_CLEANER)).alias("currency_clean"),
-        F.count_if(early).alias("early"),
-        F.count_if(
-            early & cells.to_number(F.regexp_replace(value, r"[,\s]", "")).isNotNull()
-        ).alias("numeric"),
+        "count_if(filled) AS filled",
+        "count_if(present) AS present",
+        f"count_if({role}) AS role_n",
+        f"count_if({role} AND email) AS emails",
+        f"count_if({role} AND label IS NOT NULL) AS dates",
+        f"count_if({role} AND label IS NULL AND phone) AS phones",
+        "size(collect_set(digest)) AS distinct_values",
+        "count_if(money) AS currency",
+        "count_if(symbol) AS symbols",
+        "count_if(comma) AS currency_clean",
+        f"count_if({early}) AS early",
+        f"count_if({early} AND number) AS numeric",
     ]
     for k in range(len(fixed.DATE_FORMATS)):
-        hit = filled & (label == k)
-        aggs.append(F.count_if(hit).alias(f"l{k}"))
-        aggs.append(F.min(F.when(hit, rn)).alias(f"f{k}"))
-    labelled = sample.withColumn(
-        "label", F.when(filled, cells.date_label_no(value))
-    )
-    return labelled.groupBy("col_no").agg(*aggs).collect()
+        aggs += [f"count_if(label = {k}) AS l{k}", f"min(CASE WHEN label = {k} THEN rn END) AS f{k}"]
+    return flagged.groupBy("col_no").agg(*map(F.expr, aggs)).collect()
 
 
 def take_samples(df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix | None,
