@@ -271,7 +271,7 @@ def take_samples(df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix | None
             have = row[kind] if row else 0
             if have < min(total, limit):
                 short[(i, kind)] = safe[(i, kind)]
-            elif row:
+            elif have:
                 _store(fact, row, kind)
         if short == wanted:
             raise RuntimeError("row ids are not unique; samples cannot be taken")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 import math
+import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -97,7 +99,7 @@ def load_csv(spark: SparkSession, paths: str | list[str], *, typed: bool = True)
         raise TableReadError("The CSV file is empty.")
     for f in files:
         check_suffix(f["path"])
-    labels = unique_labels([f["path"].rsplit("/", 1)[-1] for f in files])
+    labels = unique_labels([unquote(f["path"].rsplit("/", 1)[-1]) for f in files])
     alike: dict[tuple, list[int]] = {}
     for no, f in enumerate(files):
         encoding = "UTF-8" if f["valid_utf8"] else "ISO-8859-1"
@@ -111,7 +113,7 @@ def load_csv(spark: SparkSession, paths: str | list[str], *, typed: bool = True)
     index = F.broadcast(index) if len(files) <= FILE_BROADCAST else index
     raw = None
     for (encoding, names, spanning), members in alike.items():
-        part = _read(spark, [files[no]["path"] for no in members], names, encoding, spanning)
+        part = _read(spark, [unquote(files[no]["path"]) for no in members], names, encoding, spanning)
         raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
     raw = raw.join(index, "path", "left")
     stored = settle(_with_csv_ids(raw, len(files), max(f["size"] for f in files)), "csv")
@@ -179,14 +181,16 @@ def load_parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     prepare(spark)
     df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
-    names = sorted(df.inputFiles())
+    # Listings spell local paths file:///x, file metadata spells them file:/x.
+    names = sorted(re.sub(r"^file:/+", "file:/", n) for n in df.inputFiles())
     if len(names) == 1:
         return df.select(F.col("_metadata.row_index").alias(fixed.ROW_ID), "*")
     index = spark.createDataFrame(list(enumerate(names)), "file_no BIGINT, path STRING")
     index = F.broadcast(index) if len(names) <= FILE_BROADCAST else index
-    row_id = F.shiftleft("file_no", 40) + F.col("row_index")
+    listed = F.coalesce("file_no", F.raise_error(F.lit("a file was added while reading")).cast("bigint"))
+    row_id = F.shiftleft(listed, 40) + F.col("row_index")
     return (
-        df.select("*", F.col("_metadata.file_path").alias("path"),
+        df.select("*", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path"),
                   F.col("_metadata.row_index").alias("row_index"))
         .join(index, "path", "left")
         .select(row_id.alias(fixed.ROW_ID), *[cells.ref(c) for c in df.columns])
