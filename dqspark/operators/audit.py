@@ -5,7 +5,7 @@ Rows are matched by ``_row_id``, a unique key, so the joins have no hot keys.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -24,20 +24,23 @@ def dropped_rows(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def changed_cells(before: DataFrame, after: DataFrame,
-                  renames: Mapping[str, str] | None = None) -> DataFrame:
+                  renames: Mapping[str, str] | None = None,
+                  touched: Iterable[str] | None = None) -> DataFrame:
     """(_row_id, column, before, after, column_no) of every cell whose text differs.
 
     Covers rows and columns present in both; ``renames`` lines up new names with
-    old ones.  Null and empty text are the same.  Deviation: texts are compared
+    old ones; ``touched`` (see ChangeLog) names the columns that can differ, so
+    that no others are read and shuffled.  Null and empty text are the same.  Deviation: texts are compared
     whole and only cut for display, and a number stays unchanged when only its
     type widened.
     """
     renames = dict(renames or {})
+    touched = None if touched is None else set(touched)
     new_fields = {f.name: f for f in cells.data_fields(after)}
     pairs = []
     for no, f in enumerate(cells.data_fields(before)):
         target = new_fields.get(renames.get(f.name, f.name))
-        if target is not None:
+        if target is not None and (touched is None or f.name in touched):
             pairs.append((no, f, target))
     if not pairs:
         return before.sparkSession.createDataFrame(
@@ -114,7 +117,7 @@ def audit(before: DataFrame, after: DataFrame, log: ChangeLog, old: QualityRepor
     """Audit tables of a run; the summary is one row."""
     spark = before.sparkSession
     dropped = dropped_rows(before, after)
-    changed = changed_cells(before, after, log.columns_renamed)
+    changed = changed_cells(before, after, log.columns_renamed, log.touched)
     # Dropped rows follow from the counts of the log: cleaning only filters.
     facts = (source, log.rows_before, log.rows_after, log.cols_before, log.cols_after, log.steps,
              log.rows_before - log.rows_after, changed.count(), remaining_findings)

@@ -83,6 +83,7 @@ class ChangeLog:
     dates_lost: dict[str, int] = field(default_factory=dict)
     currency_lost: dict[str, int] = field(default_factory=dict)
     fill_skipped: list[str] = field(default_factory=list)
+    touched: list[str] = field(default_factory=list)  # columns whose values may have changed
 
     def say(self, step: str, **words) -> None:
         self.steps.append(fixed.STEP_TEXT[step].format(**words))
@@ -103,6 +104,7 @@ class ChangeLog:
 
     def followed_by(self, later: ChangeLog) -> ChangeLog:
         """One log for two runs in a row: counts summed, renames chained."""
+        before = {new: old for old, new in self.columns_renamed.items()}
         return ChangeLog(
             rows_before=self.rows_before, rows_after=later.rows_after,
             cols_before=self.cols_before, cols_after=later.cols_after,
@@ -118,6 +120,7 @@ class ChangeLog:
             dates_lost={**self.dates_lost, **later.dates_lost},
             currency_lost={**self.currency_lost, **later.currency_lost},
             fill_skipped=self.fill_skipped + later.fill_skipped,
+            touched=self.touched + [before.get(c, c) for c in later.touched],
         )
 
 
@@ -251,6 +254,7 @@ def convert(df: DataFrame, facts: list[ColumnFacts], options: CleaningOptions,
             log.dates_lost[f.name] = have - parsed
     if log.dates_parsed:
         log.say("dates_dayfirst" if options.dayfirst else "dates")
+    log.touched += new
     return _replace(df, new)
 
 
@@ -318,6 +322,7 @@ def _fill(df, fields, row, options, log) -> DataFrame:
             new[f.name] = F.coalesce(F.when(~cells.missing(col, f.dataType), col), fill)
     if log.missing_filled:
         log.say("filled", n=log.missing_filled)
+    log.touched += new
     return _replace(df, new)
 
 
@@ -376,6 +381,7 @@ def clean(df: DataFrame, options: CleaningOptions) -> tuple[DataFrame, ChangeLog
     log = ChangeLog(cols_before=len(cells.data_fields(df)))
     out = df
     if options.trim_whitespace:
+        log.touched += _texts(out)
         out = trim(out)
         log.say("trim")
         log.standardized.append("whitespace")
@@ -425,6 +431,7 @@ def _merge(out: DataFrame, options: CleaningOptions, log: ChangeLog) -> DataFram
             groups = groups.where(~F.col("column").isin(*roles))
     merged, changed, used = merge_spellings(out, groups)
     log.fuzzy_collapsed = changed
+    log.touched += _texts(out)
     if changed:
         log.say("fuzzy", n=changed, groups=used)
     elif groups.isEmpty():
@@ -434,18 +441,21 @@ def _merge(out: DataFrame, options: CleaningOptions, log: ChangeLog) -> DataFram
 
 def _standardize(out, facts, options, log) -> DataFrame:
     if options.casing != "none":
+        log.touched += _texts(out)
         out = change_case(out, options.casing, facts)
         log.say("casing", style=options.casing)
         log.standardized.append(f"casing:{options.casing}")
     if options.fix_emails:
         names = email_columns(facts)
         texts = set(_texts(out))
+        log.touched += names
         out = _replace(out, {c: cells.clean_email(cells.ref(c)) for c in names if c in texts})
         log.standardized += [f"email:{c}" for c in names]
         log.say("emails")
     if options.normalize_phones:
         names = phone_columns(facts)
         types = {f.name: f.dataType for f in cells.data_fields(out)}
+        log.touched += names
         out = _replace(out, {
             c: cells.clean_phone(cells.ref(c), types[c], options.phone_format) for c in names})
         log.standardized += [f"phone:{c}" for c in names]

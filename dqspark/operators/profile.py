@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row
@@ -29,6 +30,9 @@ ID_PREFIX = 100_000  # leading rows searched for a repeat before a full count
 
 FILLED, PRESENT = "filled", "present"  # non-blank values / non-null values
 
+# Gives the rows up to a row id; see `sources.files.leading_parquet`.
+Leading = Callable[[int], DataFrame]
+
 
 @dataclass
 class ColumnFacts:
@@ -52,6 +56,7 @@ class ColumnFacts:
     currency_hits: int = 0
     currency_clean_share: float = 0.0
     numeric_share: float | None = None
+    present_bound: int | None = None  # row id by which the first non-null values have come
     own_role: str | None = None
     role: str | None = None
     date_formats: list[str] = field(default_factory=list)
@@ -151,7 +156,7 @@ def count_cells(df: DataFrame) -> tuple[list[ColumnFacts], _Prefix | None]:
                 fact.date_only = timed and fact.present > 0 and not row[f"t{i}"]
             if prefix is not None:
                 prefix.filled_bound[i] = row[f"fb{i}"]
-                prefix.present_bound[i] = row[f"pb{i}"]
+                prefix.present_bound[i] = fact.present_bound = row[f"pb{i}"]
     return facts, prefix
 
 
@@ -167,10 +172,16 @@ def _guess(prefix: _Prefix, bound: int | None, have: int, total: int, need: int)
     return guess if bound is None else min(guess, bound)
 
 
+def _up_to(df: DataFrame, bound: int, leading: Leading | None) -> DataFrame:
+    rows = df if leading is None else leading(bound)
+    return rows.where(F.col(fixed.ROW_ID) <= F.lit(bound))
+
+
 def leading_values(
     df: DataFrame,
     facts: list[ColumnFacts],
     bounds: dict[tuple[int, str], int | None],
+    leading: Leading | None = None,
 ) -> DataFrame:
     """First values of the wanted columns in row order.
 
@@ -178,11 +189,10 @@ def leading_values(
     first 2,000 non-blank values, stripped) or ``present`` (the first 80
     non-null values, as they are).
     """
-    row_id = F.col(fixed.ROW_ID)
     used = sorted({i for i, _ in bounds})
     rows = df
     if all(b is not None for b in bounds.values()):
-        rows = rows.where(row_id <= F.lit(max(bounds.values())))
+        rows = _up_to(df, max(bounds.values()), leading)
     entries = ", ".join(
         f"IF(c{i} IS NOT NULL" + (f" AND {fixed.ROW_ID} <= {bound}L" if bound is not None else "")
         + f", struct({i} AS col_no, '{kind}' AS kind, c{i} AS value), NULL)"
@@ -237,7 +247,7 @@ def _sample_metrics(sample: DataFrame) -> list[Row]:
 
 
 def take_samples(df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix | None,
-                 *, currency: bool = True) -> None:
+                 *, currency: bool = True, leading: Leading | None = None) -> None:
     """Scan 2: fill in what the first values of each column tell.
 
     The first try reads only as many leading rows as the column densities call
@@ -259,7 +269,7 @@ def take_samples(df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix | None
             safe[key] = prefix.present_bound.get(i)
             wanted[key] = _guess(prefix, safe[key], fact.present, fact.n_rows, fixed.CURRENCY_SAMPLE)
     while wanted:
-        got = {r["col_no"]: r for r in _sample_metrics(leading_values(df, facts, wanted))}
+        got = {r["col_no"]: r for r in _sample_metrics(leading_values(df, facts, wanted, leading))}
         short: dict[tuple[int, str], int | None] = {}
         for i, kind in wanted:
             row = got.get(i)
@@ -303,7 +313,7 @@ def _is_id_name(name: str) -> bool:
 
 
 def assign_roles(df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix | None,
-                 *, id_by_content: bool = True) -> None:
+                 *, id_by_content: bool = True, leading: Leading | None = None) -> None:
     """Role per column: email, date, phone, id by name, then id by content.
 
     Id by content needs every value to be unique.  A repeat among the leading rows
@@ -324,7 +334,7 @@ def assign_roles(df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix | None
         ):
             open_cols.append(i)
     if id_by_content and open_cols:
-        for i in _unique_numeric(df, facts, prefix, open_cols):
+        for i in _unique_numeric(df, facts, prefix, open_cols, leading):
             facts[i].own_role = "id"
     for fact in facts:
         fact.role = fact.own_role
@@ -350,7 +360,8 @@ def _repeats(df: DataFrame, facts: list[ColumnFacts], cols: list[int]) -> dict[i
 
 
 def _unique_numeric(
-    df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix, cols: list[int]
+    df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix, cols: list[int],
+    leading: Leading | None,
 ) -> list[int]:
     texts = [i for i in cols if cells.is_text(facts[i].dtype)]
     left = [i for i in cols if cells.is_number(facts[i].dtype)]
@@ -363,7 +374,7 @@ def _unique_numeric(
     if not left:
         return []
     bound = _guess(prefix, prefix.last_id, 1, 1, ID_PREFIX)
-    early = _repeats(df.where(F.col(fixed.ROW_ID) <= F.lit(bound)), facts, left)
+    early = _repeats(_up_to(df, bound, leading), facts, left)
     done = [i for i in left if i in early and early[i]["most"] == 1
             and early[i]["n"] == facts[i].filled]
     rest = [i for i in left if i not in done and (i not in early or early[i]["most"] == 1)]
@@ -401,16 +412,19 @@ def count_invalid(df: DataFrame, facts: list[ColumnFacts]) -> None:
 
 
 def column_facts(
-    df: DataFrame, *, id_by_content: bool = True, currency: bool = True
+    df: DataFrame, *, id_by_content: bool = True, currency: bool = True,
+    leading: Leading | None = None,
 ) -> list[ColumnFacts]:
     """Counts, samples and roles of every column, without invalid counts.
 
-    ``df`` needs a ``_row_id`` column with unique, increasing numbers.
+    ``df`` needs a ``_row_id`` column with unique, increasing numbers.  ``leading``
+    may give its first rows without reading the rest; where ``_row_id`` is a stored
+    column, file statistics do that already.
     """
     prepare(df.sparkSession)
     facts, prefix = count_cells(df)
-    take_samples(df, facts, prefix, currency=currency)
-    assign_roles(df, facts, prefix, id_by_content=id_by_content)
+    take_samples(df, facts, prefix, currency=currency, leading=leading)
+    assign_roles(df, facts, prefix, id_by_content=id_by_content, leading=leading)
     return facts
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqspark import fixed
-from dqspark.operators.dedupe import duplicate_count
-from dqspark.operators.profile import ColumnFacts, column_facts, count_invalid
+from dqspark.functions import cells
+from dqspark.operators.dedupe import Duplicates
+from dqspark.operators.profile import ColumnFacts, Leading, column_facts, count_invalid
+from dqspark.session import prepare
 
 COLUMNS_SCHEMA = (
     "name STRING, missing_count BIGINT, missing_pct DOUBLE, empty_string_count BIGINT, "
@@ -35,6 +38,7 @@ class QualityReport:
     missing_pct: float
     pillars: tuple[float, float, float]
     score: int
+    copies: Duplicates | None = None  # handle on the duplicate rows, for examples
 
     def summary(self, spark) -> DataFrame:
         done, unique, steady = (round(p, 1) for p in self.pillars)
@@ -92,13 +96,29 @@ def consistency(facts: list[ColumnFacts], n_rows: int) -> float:
     return max(0.0, 100.0 - sum(penalties) / len(penalties))
 
 
-def build_report(df: DataFrame) -> QualityReport:
-    """Profile and score a table that has a ``_row_id``."""
-    facts = column_facts(df)
-    count_invalid(df, facts)
-    n_rows = facts[0].n_rows if facts else df.count()
-    duplicates = duplicate_count(df) if n_rows and facts else 0
-    return score_facts(facts, n_rows, duplicates)
+def build_report(df: DataFrame, leading: Leading | None = None) -> QualityReport:
+    """Profile and score a table that has a ``_row_id``.
+
+    Duplicates are looked for while the columns are profiled: the two need no
+    results of each other, so their jobs share the cluster.  ``leading`` is
+    explained at `column_facts`.
+    """
+    prepare(df.sparkSession)
+    if not cells.data_fields(df):
+        return score_facts([], df.count(), 0)
+    with ThreadPoolExecutor(1) as pool:
+        search = pool.submit(_find_copies, df)
+        facts = column_facts(df, leading=leading)
+        count_invalid(df, facts)
+        copies, duplicates = search.result()
+    report = score_facts(facts, facts[0].n_rows, duplicates)
+    report.copies = copies
+    return report
+
+
+def _find_copies(df: DataFrame) -> tuple[Duplicates, int]:
+    copies = Duplicates(df)
+    return copies, copies.count()
 
 
 def score_facts(facts: list[ColumnFacts], n_rows: int, duplicates: int) -> QualityReport:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -181,14 +181,41 @@ def load_parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     prepare(spark)
     df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
-    # Listings spell local paths file:///x, file metadata spells them file:/x.
-    names = sorted(re.sub(r"^file:/+", "file:/", n) for n in df.inputFiles())
+    return _with_file_ids(df, _listing(df))
+
+
+def leading_parquet(spark: SparkSession, paths: str | list[str]) -> Callable[[int], DataFrame]:
+    """Function giving the rows of `load_parquet` up to a row id.
+
+    It opens only the files that can hold them, where a filter on the row id would
+    read every file: the id is not a stored column.
+    """
+    df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+    names = _listing(df)
+
+    def leading(bound: int) -> DataFrame:
+        first = names[: max(bound, 0) // (1 << _ROW_BITS) + 1]
+        return _with_file_ids(spark.read.schema(df.schema).parquet(*map(unquote, first)), first)
+
+    return leading
+
+
+_ROW_BITS = 40  # rows per file
+
+
+def _listing(df: DataFrame) -> list[str]:
+    """Files of a table in order.  Listings spell local paths file:///x, file
+    metadata spells them file:/x."""
+    return sorted(re.sub(r"^file:/+", "file:/", n) for n in df.inputFiles())
+
+
+def _with_file_ids(df: DataFrame, names: list[str]) -> DataFrame:
     if len(names) == 1:
         return df.select(F.col("_metadata.row_index").alias(fixed.ROW_ID), "*")
-    index = spark.createDataFrame(list(enumerate(names)), "file_no BIGINT, path STRING")
+    index = df.sparkSession.createDataFrame(list(enumerate(names)), "file_no BIGINT, path STRING")
     index = F.broadcast(index) if len(names) <= FILE_BROADCAST else index
     listed = F.coalesce("file_no", F.raise_error(F.lit("a file was added while reading")).cast("bigint"))
-    row_id = F.shiftleft(listed, 40) + F.col("row_index")
+    row_id = F.shiftleft(listed, _ROW_BITS) + F.col("row_index")
     return (
         df.select("*", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path"),
                   F.col("_metadata.row_index").alias("row_index"))

@@ -350,8 +350,9 @@ def quality_summary_orders(spark, d):
 
 @query
 def quality_summary_lineitem(spark, d):
-    table = files.load_parquet(spark, f"{d}/lineitem.parquet")
-    return report.build_report(table).summary(spark)
+    path = f"{d}/lineitem.parquet"
+    table, leading = files.load_parquet(spark, path), files.leading_parquet(spark, path)
+    return report.build_report(table, leading).summary(spark)
 
 
 @query
@@ -766,7 +767,7 @@ def dropped_rows(spark, d):
 def changed_cells(spark, d):
     before = contacts(spark, d)
     after, log = clean(before, recipe.options_from_profile("transactions"))
-    return audit.changed_cells(before, after, log.columns_renamed).drop("column_no")
+    return audit.changed_cells(before, after, log.columns_renamed, log.touched).drop("column_no")
 
 
 @query
@@ -786,6 +787,6 @@ def audit_chain(spark, d):
     second, log2 = clean(first, CleaningOptions(casing="upper", rename_style="lower",
                                                 drop_exact_duplicates=True))
     log = log1.followed_by(log2)
-    changes = audit.changed_cells(before, second, log.columns_renamed)
+    changes = audit.changed_cells(before, second, log.columns_renamed, log.touched)
     return changes.groupBy("column").agg(F.count(F.lit(1)).alias("changed")).withColumn(
         "rows_removed", F.lit(log.duplicates_dropped))
