@@ -196,7 +196,7 @@ def lowest_ratios(clustered: DataFrame) -> DataFrame:
 
 def _spread(df: DataFrame) -> int:
     """Partitions for little data that costs much CPU (adaptive merging would undo it)."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    return max(8, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 512))
 
 
 def clusters(forms: DataFrame, pairs: DataFrame) -> DataFrame:

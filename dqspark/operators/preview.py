@@ -9,7 +9,11 @@ from dqspark import fixed
 from dqspark.functions import cells
 from dqspark.operators.dedupe import duplicate_rows
 
-__all__ = ["duplicate_rows", "effects", "head"]
+
+def duplicates(df: DataFrame, subset: list[str] | None = None,
+               n: int = fixed.PREVIEW_DUPLICATES) -> DataFrame:
+    """First of the rows that dropping duplicates would remove."""
+    return head(duplicate_rows(df, subset), n)
 
 
 def effects(df: DataFrame) -> DataFrame:

@@ -735,7 +735,7 @@ def plan_many_tables(spark, d):
 
 @query
 def preview_duplicates(spark, d):
-    return preview.duplicate_rows(contacts(spark, d))
+    return dedupe.duplicate_rows(contacts(spark, d))
 
 
 @query

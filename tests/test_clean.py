@@ -188,6 +188,8 @@ def test_preview(table):
     df = table("a STRING, b STRING", [(None, None), ("x", None)])
     row = preview.effects(df).first()
     assert (row["empty_columns"], row["empty_rows"], row["rows_with_gaps"]) == (["b"], 1, 2)
+    many = table("a STRING", [("x",)] * 60)
+    assert rows(preview.duplicates(many), "_row_id") == [(i,) for i in range(1, 51)]
 
 
 def test_saved_plans():
