@@ -301,6 +301,8 @@ SELECT col AS "column", CASE WHEN count(v) = 0 THEN 'double'
 SELECT 'customer.parquet' AS _source_file, c_custkey AS id, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation,
   c_acctbal AS balance, c_mktsegment AS segment, false AS headers_equal FROM customer
 UNION ALL SELECT 'supplier.parquet', s_suppkey, s_name, 'N' || s_nationkey, s_acctbal, NULL, false FROM supplier"""
+    o["source_labels"] = """SELECT 'part' || CASE WHEN rn = 1 THEN '' ELSE ' (' || rn || ')' END || '.csv' AS label, rows
+FROM (SELECT count(*) AS rows, row_number() OVER (ORDER BY c_mktsegment) AS rn FROM customer GROUP BY c_mktsegment)"""
     o["neutralize_formulas"] = with_contacts(f"SELECT _row_id, {pick(**NEUTRAL)} FROM c")
     o["export_csv"] = with_contacts(f"SELECT {pick(**NEUTRAL)} FROM c")
 
@@ -346,6 +348,22 @@ UNION ALL SELECT 'documents.text', CAST({duplicates_of('documents', ['text'])} A
     # score and findings
     o["quality_summary"] = CONTACT_REPORT + summary_select(duplicates_of(CONTACTS, COLS))
     o["quality_summary_orders"] = "WITH" + report_ctes(ORDER_LONG) + summary_select(duplicates_of("orders", ORDER_COLS))
+    numbered = "(SELECT *, row_number() OVER () AS rid FROM lineitem)"
+    line_cols = {c: f"CAST({c} AS VARCHAR)" for c in line}
+    line_cols["l_shipdate"] = "CAST(CAST(l_shipdate AS DATE) AS VARCHAR)"
+    o["quality_summary_lineitem"] = "WITH" + report_ctes(long_of(numbered, line_cols, "rid")) + summary_select(
+        duplicates_of("lineitem", line))
+    doc_cols = {"doc_id": "CAST(doc_id AS VARCHAR)", "text": "text", "lang": "lang", "source": "source",
+                "n_chars": "CAST(n_chars AS VARCHAR)"}
+    o["quality_summary_documents"] = "WITH" + report_ctes(
+        long_of("documents", doc_cols, "doc_id")) + summary_select(duplicates_of("documents", doc_cols))
+    o["quality_notes"] = CONTACT_REPORT + f"""
+SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS note_no, note FROM (
+SELECT 1 AS k, 'Mixed date formats in: ' || string_agg(col, ', ' ORDER BY col_no) AS note FROM report WHERE n_formats > 1
+UNION ALL SELECT 2, string_agg(col || ' looks like a ' || role, '; ' ORDER BY col_no) || '.' FROM report WHERE role IS NOT NULL
+UNION ALL SELECT 3, 'Completely empty columns: ' || string_agg(col, ', ' ORDER BY col_no) || '.' FROM report WHERE missing = n
+UNION ALL SELECT 4, CASE WHEN k > 0 THEN format('{{:,}} exact duplicate row(s) found.', k) END
+  FROM (SELECT CAST({duplicates_of(CONTACTS, COLS)} AS BIGINT) AS k)) WHERE note IS NOT NULL"""
     bands = " ".join(f"WHEN score >= {f} THEN {text(t)}" if f else f"ELSE {text(t)}" for f, t in fixed.VERDICTS)
     o["score_band"] = f"SELECT score, CASE {bands} END AS verdict FROM (SELECT DISTINCT CAST(floor(c_acctbal / 100) AS INTEGER) AS score FROM customer)"
     o["findings"] = CONTACT_REPORT + FINDINGS + ' SELECT id, severity, pillar, title, "column", CAST("count" AS BIGINT) AS "count", fix_key FROM found'
@@ -377,7 +395,7 @@ FROM uniques u LEFT JOIN (SELECT col, sum(greatest(norms - 400, 0)) AS cut FROM
     o["fuzzy_blocks"] = f"""WITH {VALUES} SELECT col AS "column", block, norms, least(norms, 400) AS compared,
   greatest(norms - 400, 0) AS truncated FROM blocks"""
     o["case_space_groups"] = f"""WITH {VALUES} SELECT col AS "column", norm, count(*) AS variants,
-  string_agg(v, '|' ORDER BY k DESC, v) AS spellings, CAST(sum(k) AS BIGINT) AS rows FROM vals GROUP BY col, norm HAVING count(*) > 1"""
+  min(v) AS first_spelling, max(v) AS last_spelling, CAST(sum(k) AS BIGINT) AS rows FROM vals GROUP BY col, norm HAVING count(*) > 1"""
     o["fuzzy_keeper"] = f"""WITH {VALUES} SELECT col AS "column", norm, v AS keeper FROM (
   SELECT col, norm, v, count(*) OVER w2 AS n, row_number() OVER (PARTITION BY col, norm ORDER BY k DESC,
     CASE WHEN regexp_matches(substring({strip('v')}, 1, 1), '[A-Z]') AND regexp_matches({strip('v')}, '[a-z]') THEN 1 ELSE 0 END DESC,
@@ -462,4 +480,12 @@ SELECT x.score AS score_before, y.score AS score_after, x.completeness AS comple
         parts.append(f"SELECT c._row_id, '{c}' AS \"column\", coalesce(c.{c}, '') AS before, coalesce(CAST(k.{c} AS VARCHAR), '') AS after "
                      f"FROM c JOIN k USING (_row_id) WHERE coalesce(c.{c}, '') <> coalesce(CAST(k.{c} AS VARCHAR), '')")
     o["changed_cells"] = f"WITH c AS {CONTACTS}, k AS {first_copies(CLEAN_MONEY)} " + " UNION ALL ".join(parts)
+    shouted = {c: f"upper({strip(c)})" for c in COLS if c != "email"}
+    upper = f"(SELECT _row_id, {pick(**shouted, email=strip('email'))} FROM {CONTACTS} t)"
+    parts = [
+        f"SELECT {text('note → remark' if c == 'note' else c)} AS \"column\" FROM c JOIN k USING (_row_id) "
+        f"WHERE coalesce(c.{c}, '') <> coalesce(k.{c}, '')" for c in COLS]
+    o["audit_chain"] = f"""WITH c AS {CONTACTS}, k AS {first_copies(upper)}
+SELECT "column", count(*) AS changed, (SELECT count(*) FROM c) - (SELECT count(*) FROM k) AS rows_removed
+FROM ({' UNION ALL '.join(parts)}) GROUP BY "column\""""
     return o

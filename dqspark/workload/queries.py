@@ -452,13 +452,11 @@ def fuzzy_pairs(spark, d):
 
 @query
 def case_space_groups(spark, d):
-    order = F.array_sort(F.collect_list(F.struct((-F.col("rows")).alias("k"), "value")))
     values = fuzzy.value_counts(contacts(spark, d), TEXTS)
     return (
         values.groupBy("column", cells.normal_form(F.col("value")).alias("norm"))
-        .agg(F.count(F.lit(1)).alias("variants"),
-             F.array_join(F.transform(order, lambda s: s["value"]), "|").alias("spellings"),
-             F.sum("rows").alias("rows"))
+        .agg(F.count(F.lit(1)).alias("variants"), F.min("value").alias("first_spelling"),
+             F.max("value").alias("last_spelling"), F.sum("rows").alias("rows"))
         .where("variants > 1")
     )
 

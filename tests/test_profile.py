@@ -152,3 +152,10 @@ def test_severity_columns_equal_scalars(spark):
     for kind in ("duplicates", "missing", "invalid"):
         got = df.select("c", "n", findings.severity_column(F.col("c"), F.col("n"), kind)).collect()
         assert [r[2] for r in got] == [findings.severity(r[0], r[1], kind) for r in got]
+
+
+def test_nested_columns_pass_through(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").withColumnRenamed("vec_id", "_row_id")
+    rep = report.build_report(df)
+    assert [(f.name, f.role, f.missing) for f in rep.facts] == [("embedding", None, 0), ("label", None, 0)]
+    assert rep.duplicates == 0 and findings.findings(df, rep).count() == 0
