@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,22 +140,10 @@ def similar_pairs(forms: DataFrame, threshold: float, *, every: bool = True) ->
     """
     norms = forms.where("compared").select("column", "block", "norm", "pos").distinct()
     keys = ["column", "block"]
-    matches, length_ratio = spelling.matches, fixed.LENGTH_RATIO
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        members = list(zip(pdf["pos"].tolist(), pdf["norm"].tolist()))
-        tile = dict(zip(pdf["pos"].tolist(), pdf["tile"].tolist()))
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        early = [m for m in members if tile[m[0]] == lo]
-        late = [m for m in members if tile[m[0]] == hi]
-        names = dict(members)
-        found = [
-            (pdf["column"].iloc[0], pdf["block"].iloc[0], a, b, names[a], names[b], ratio)
-            for a, b, ratio in matches(early, late, threshold, length_ratio, every)
-        ]
-        return pd.DataFrame(found, columns=[
-            "column", "block", "pos_a", "pos_b", "norm_a", "norm_b", "ratio"])
+    similar_in, length_ratio = spelling.similar_in, fixed.LENGTH_RATIO
+
+    def compare(table: pa.Table) -> pa.Table:
+        return similar_in(table, threshold, length_ratio, every)
 
     return _by_tile(norms, keys, compare, (
         "column STRING, block STRING, pos_a INT, pos_b INT, norm_a STRING, norm_b STRING, ratio DOUBLE"))
@@ -177,19 +165,14 @@ def _by_tile(norms: DataFrame, keys: list[str], compare, schema: str) -> DataFra
                 F.greatest("tile", "other").alias("hi"))
     )
     pair = [*keys, "lo", "hi"]
-    return tiled.repartition(_spread(norms), *pair).groupBy(*pair).applyInPandas(compare, schema)
+    return tiled.repartition(_spread(norms), *pair).groupBy(*pair).applyInArrow(compare, schema)
 
 
 def lowest_ratios(clustered: DataFrame) -> DataFrame:
     """(column, block, cluster, similarity): lowest ratio between a cluster's forms."""
     keys = ["column", "block", "cluster"]
     norms = clustered.select(*keys, "norm", "pos").distinct()
-    lowest_ratio = spelling.lowest_ratio
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[:1][keys].assign(similarity=lowest_ratio(pdf))
-
-    parts = _by_tile(norms, keys, compare, (
+    parts = _by_tile(norms, keys, spelling.lowest_in, (
         "column STRING, block STRING, cluster INT, similarity DOUBLE"))
     return parts.groupBy(*keys).agg(F.min("similarity").alias("similarity"))
 
@@ -202,12 +185,6 @@ def _spread(df: DataFrame) -> int:
 def clusters(forms: DataFrame, pairs: DataFrame) -> DataFrame:
     """Values with a cluster number; no cluster crosses a block."""
 
-    cluster_numbers = spelling.cluster_numbers
-
-    def assign(values: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        numbers = cluster_numbers(values["pos"].unique().tolist(), links)
-        return values.assign(cluster=values["pos"].map(numbers))
-
     value_cols = forms.select(
         "column", "block", "value", "rows", "norm", "pos", "norm_turn", "turn"
     ).withColumns({
@@ -218,7 +195,7 @@ def clusters(forms: DataFrame, pairs: DataFrame) -> DataFrame:
     return (
         value_cols.repartition(n, "column", "block").groupBy("column", "block")
         .cogroup(pairs.repartition(n, "column", "block").groupBy("column", "block"))
-        .applyInPandas(assign, T.StructType(
+        .applyInArrow(spelling.assign_clusters, T.StructType(
             value_cols.schema.fields + [T.StructField("cluster", T.IntegerType())]))
     )
 
@@ -234,7 +211,7 @@ def describe_groups(clustered: DataFrame) -> DataFrame:
         sized.where("size > 1").drop("size")
         .join(lowest, keys, "left").fillna(1.0, ["similarity"])
         .repartition(_spread(clustered), *keys).groupBy(*keys)
-        .applyInPandas(spelling.describe, fields)
+        .applyInArrow(spelling.describe, fields)
         .withColumn("group_no", F.row_number().over(order).cast("bigint"))
         .drop("norm_rank", "norm_first")
     )
