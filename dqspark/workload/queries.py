@@ -13,7 +13,7 @@ from dqspark.functions import cells
 from dqspark.operators import audit, dedupe, findings, fuzzy, preview, profile, report
 from dqspark.operators.clean import CleaningOptions, clean
 from dqspark.plans import recipe
-from dqspark.session import prepare, scratch_path
+from dqspark.session import prepare, scratch_path, settle
 from dqspark.sinks import export
 from dqspark.sources import files, tables
 from dqspark.workload.contacts import COLUMNS, contacts
@@ -747,31 +747,34 @@ def preview_head(spark, d):
     return preview.head(contacts(spark, d))
 
 
+def _before_after(spark, d, profile_id):
+    """Contacts, their cleaned form written once, and the log."""
+    before = contacts(spark, d)
+    after, log = clean(before, recipe.options_from_profile(profile_id))
+    return before, settle(after, "cleaned"), log
+
+
 @query
 def score_delta(spark, d):
-    before = contacts(spark, d)
-    after, _ = clean(before, recipe.options_from_profile("survey"))
+    before, after, _ = _before_after(spark, d, "survey")
     return audit.score_delta(spark, report.build_report(before), report.build_report(after))
 
 
 @query
 def dropped_rows(spark, d):
-    before = contacts(spark, d)
-    after, _ = clean(before, recipe.options_from_profile("survey"))
+    before, after, _ = _before_after(spark, d, "survey")
     return audit.dropped_rows(before, after)
 
 
 @query
 def changed_cells(spark, d):
-    before = contacts(spark, d)
-    after, log = clean(before, recipe.options_from_profile("transactions"))
+    before, after, log = _before_after(spark, d, "transactions")
     return audit.changed_cells(before, after, log.columns_renamed, log.touched).drop("column_no")
 
 
 @query
 def audit_summary(spark, d):
-    before = contacts(spark, d)
-    after, log = clean(before, recipe.options_from_profile("transactions"))
+    before, after, log = _before_after(spark, d, "transactions")
     made = audit.audit(before, after, log, report.build_report(before), report.build_report(after),
                        source="contacts")
     return made.summary.withColumn("rules", F.array_join("rules", "; "))
