@@ -19,7 +19,7 @@ HEADLINE = (
     "dedupe_rows", "dedupe_subset_documents", "duplicate_count", "changed_cells", "fill_numeric_median",
     "load_csv",
 )
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 
 def main() -> None:

@@ -10,6 +10,8 @@ selects candidates, it never decides.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,23 +75,27 @@ class Duplicates:
         hashes = F.broadcast(self._repeated)  # at most BROADCAST_HASHES numbers
         return self.df.join(hashes, self._hash == F.col("_h"), how)
 
-    def _candidates(self) -> DataFrame:
+    @cached_property
+    def _groups(self) -> DataFrame:
+        """(_row_id, n): first row id and size of each key that may repeat, written once."""
         rows = self._near("left_semi") if self._narrow else self.df
-        row_id = [fixed.ROW_ID] if fixed.ROW_ID in rows.columns else []
-        return rows.select(*row_id, *[_key(f).alias(k) for f, k in zip(self._fields, self._keys)])
+        row_id = F.col(fixed.ROW_ID) if fixed.ROW_ID in rows.columns else F.lit(0).cast("bigint")
+        keys = [_key(f).alias(k) for f, k in zip(self._fields, self._keys)]
+        return settle(
+            rows.select(row_id.alias(fixed.ROW_ID), *keys).groupBy(*self._keys)
+            .agg(F.min(fixed.ROW_ID).alias(fixed.ROW_ID), F.count(F.lit(1)).alias("n"))
+            .select(fixed.ROW_ID, "n"),
+            "repeated-rows",
+        )
 
     def _first_ids(self) -> DataFrame:
-        return (
-            self._candidates().groupBy(*self._keys)
-            .agg(F.min(fixed.ROW_ID).alias(fixed.ROW_ID)).select(fixed.ROW_ID)
-        )
+        return self._groups.select(fixed.ROW_ID)
 
     def count(self) -> int:
         """Rows beyond the first copy; nulls are equal."""
         if not self._n_repeated:
             return 0
-        sizes = self._candidates().groupBy(*self._keys).agg(F.count(F.lit(1)).alias("n"))
-        return int(sizes.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
+        return int(self._groups.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
 
     def kept(self) -> DataFrame:
         """The table with the first copy, by row id, of each key."""
