@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqspark.llm import language
+from dqspark.llm import language, quality, rules, simhash, toxicity
 from dqspark.llm.text import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,30 @@ def op4_language(spark, d):
     docs = table(spark, d, "documents")
     model = language.train(docs.where(fold(5) != 0))
     return language.predict(docs, model, held_out=F.coalesce(fold(5) == 0, F.lit(False)))
+
+
+@query
+def op5_quality_rules(spark, d):
+    judged = rules.judge(table(spark, d, "documents"), table(spark, d, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "anomaly")
+
+
+@query
+def op6_quality_classifier(spark, d):
+    docs = table(spark, d, "documents")
+    weights = quality.train(docs, table(spark, d, "labels").where(fold(3) != 1))
+    return quality.score(docs, weights, held_out=F.coalesce(fold(3) == 1, F.lit(False)))
+
+
+@query
+def op7_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    crf = toxicity.train(docs, table(spark, d, "labels").where(fold(4) != 2))
+    return toxicity.score(docs, crf, held_out=F.coalesce(fold(4) == 2, F.lit(False)))
+
+
+@query
+def op2_simhash(spark, d):
+    grouped = simhash.group(table(spark, d, "documents"))
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
