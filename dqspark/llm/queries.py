@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqspark.llm import language, quality, rules, simhash, toxicity
+from dqspark.llm import bpe, language, packing, pii, quality, rules, scoring, simhash, toxicity, vectors
 from dqspark.llm.text import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +56,41 @@ def op7_toxicity(spark, d):
 def op2_simhash(spark, d):
     grouped = simhash.group(table(spark, d, "documents"))
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_bpe(spark, d):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, d, "documents"), path), path)
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_lm_score(spark, d):
+    docs = table(spark, d, "documents")
+    model, vocabulary = scoring.train(docs.where(fold(7) != 2))
+    return scoring.score(docs, model, vocabulary, held_out=F.coalesce(fold(7) == 2, F.lit(False)))
+
+
+@query
+def op1_pii(spark, d):
+    found = pii.find(table(spark, d, "documents"))
+    return found.select(
+        "doc_id", *[F.size(k.name).cast("bigint").alias(f"n_{k.name}") for k in pii.KINDS],
+        F.sha2(pii.written(*[F.col(k.name) for k in pii.BASE]), 256).alias("base_sha256"),
+        pii.written(*[F.col(k.name) for k in pii.KINDS]).alias("spans"),
+        F.coalesce(F.array_max(F.transform(F.concat(*[F.col(k.name) for k in pii.KINDS]), lambda s: s["score"])),
+                   F.lit(0.0)).alias("top_score"))
+
+
+@query
+def op10_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"))
+
+
+@query
+def op8_embedding_dedup(spark, d):
+    return vectors.group(table(spark, d, "embeddings"))
