@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.text import batch, raw, sampled
+from dqspark.llm.text import batch, keep_rows, raw, sampled
 from dqspark.session import settle
 
 BITS = 18
 SIZE = 1 << BITS
 SCALE = 10.0
+THRESHOLD = 0.5
 _SHAPE = bytes(48 if chr(i).isdigit() else 65 if 65 <= i < 91 else 97 if 97 <= i < 123 or i > 127 else i
                for i in range(256))
 _CACHE = 400_000
@@ -148,7 +149,16 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", per_label
     return w.astype(np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray | float, held_out: Column, threshold: float = 0.5) -> DataFrame:
+def probabilities(texts: list[bytes], w: np.ndarray, words: Words) -> np.ndarray:
+    """Of label 1: one sparse dot product for each text."""
+    logits = np.empty(len(texts))
+    for k, t in enumerate(texts):
+        i = indices(t, words)
+        logits[k] = float(w[0]) + SCALE * float(w[i].sum(dtype=np.float64)) / max(len(i), 1)
+    return 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
+
+
+def score(docs: DataFrame, weights: np.ndarray | float, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (probability of label 1), predicted."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), raw())
     if isinstance(weights, float):
@@ -159,14 +169,23 @@ def score(docs: DataFrame, weights: np.ndarray | float, held_out: Column, thresh
                         ("predicted", pa.int32())])
 
     def kernel(batches):
-        words, w = Words(), shared.value
+        words = Words()
         for b in batches:
-            logits = []
-            for t in b.column(2).to_pylist():
-                i = indices(t, words)
-                logits.append(float(w[0]) + SCALE * float(w[i].sum(dtype=np.float64)) / max(len(i), 1))
-            p = 1 / (1 + np.exp(-np.clip(np.array(logits, dtype=np.float64), -35, 35)))
+            p = probabilities(b.column(2).to_pylist(), shared.value, words)
             yield batch(schema, doc_id=b.column(0), held_out=b.column(1), score=p,
                         predicted=(p >= threshold).astype(np.int32))
 
     return rows.mapInArrow(kernel, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, weights: np.ndarray | float, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` predicted 1, all columns as they are, without a shuffle."""
+    if isinstance(weights, float):
+        return docs if weights >= threshold else docs.where("false")
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def judge():
+        words = Words()
+        return lambda texts: probabilities(texts, shared.value, words) >= threshold
+
+    return keep_rows(docs, judge)

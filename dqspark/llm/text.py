@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,3 +105,22 @@ def per_document(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> DataFrame:
+    """The rows whose text passes; every column goes through unchanged.
+
+    ``judge`` is called once a task and gives a function from texts (null as
+    empty) to a mask.
+    """
+    names = docs.columns
+    at = [c.lower() for c in names].index("text")
+
+    def kernel(batches):
+        passes = judge()
+        for b in batches:
+            texts = [(t or "").encode() for t in b.column(at).to_pylist()]
+            mask = passes(texts) if texts else np.zeros(0, dtype=bool)
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(kernel, docs.schema)

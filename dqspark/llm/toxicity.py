@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.text import batch, chunks, raw, sampled
+from dqspark.llm.text import batch, chunks, keep_rows, raw, sampled
 from dqspark.session import settle
 
 BITS = 18
@@ -32,6 +32,7 @@ _CACHE = 400_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BLOCK = 256
+THRESHOLD = 0.3
 
 
 def keys(word: bytes) -> list[bytes]:
@@ -275,7 +276,36 @@ def _offsets(text: bytes, flagged: np.ndarray) -> str:
     return ",".join(spans)
 
 
-def score(docs: DataFrame, crf: Crf | None, held_out: Column, threshold: float = 0.3) -> DataFrame:
+class _Reader:
+    """Scores and spans of texts under one model, with what it remembers of words."""
+
+    def __init__(self, crf: Crf) -> None:
+        self.crf, self.cache = crf, _Emissions(crf.weights)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, list[str]]:
+        scores, spans = np.zeros(len(texts)), [""] * len(texts)
+        for lo, hi in chunks(texts):
+            if len(self.cache) > _CACHE:
+                self.cache.clear()
+            look = self.cache.__getitem__
+            own = [np.array(list(map(look, t.split())), dtype=np.float64) for t in texts[lo:hi]]
+            sizes = np.array([len(x) for x in own])
+            if not sizes.sum():
+                continue
+            before, after, _, _ = forward_backward(np.concatenate(own), sizes, self.crf.chain)
+            odds = before * after
+            safe, flagged = np.log1p(odds), odds >= 1.0
+            at = 0
+            for k, n in enumerate(sizes.tolist()):
+                if n:
+                    scores[lo + k] = -np.expm1(-safe[at : at + n].sum())
+                    if flagged[at : at + n].any():
+                        spans[lo + k] = _offsets(texts[lo + k], flagged[at : at + n])
+                at += n
+        return scores, spans
+
+
+def score(docs: DataFrame, crf: Crf | None, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (offending tokens in code points, end exclusive)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), raw())
     if crf is None:
@@ -286,29 +316,23 @@ def score(docs: DataFrame, crf: Crf | None, held_out: Column, threshold: float =
                         ("predicted", pa.int32()), ("spans", pa.string())])
 
     def kernel(batches):
-        model = shared.value
-        cache = _Emissions(model.weights)
+        read = _Reader(shared.value)
         for b in batches:
-            texts = b.column(2).to_pylist()
-            scores, spans = np.zeros(len(texts)), [""] * len(texts)
-            for lo, hi in chunks(texts):
-                if len(cache) > _CACHE:
-                    cache.clear()
-                own = [np.array(list(map(cache.__getitem__, t.split())), dtype=np.float64) for t in texts[lo:hi]]
-                sizes = np.array([len(x) for x in own])
-                if not sizes.sum():
-                    continue
-                before, after, _, _ = forward_backward(np.concatenate(own), sizes, model.chain)
-                odds = before * after
-                safe, flagged = np.log1p(odds), odds >= 1.0
-                at = 0
-                for k, n in enumerate(sizes.tolist()):
-                    if n:
-                        scores[lo + k] = -np.expm1(-safe[at : at + n].sum())
-                        if flagged[at : at + n].any():
-                            spans[lo + k] = _offsets(texts[lo + k], flagged[at : at + n])
-                    at += n
+            scores, spans = read(b.column(2).to_pylist())
             yield batch(schema, doc_id=b.column(0), held_out=b.column(1), score=scores,
                         predicted=(scores >= threshold).astype(np.int32), spans=spans)
 
     return rows.mapInArrow(kernel, "doc_id bigint, held_out boolean, score double, predicted int, spans string")
+
+
+def keep_clean(docs: DataFrame, crf: Crf | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, all columns as they are, without a shuffle."""
+    if crf is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(crf)
+
+    def judge():
+        read = _Reader(shared.value)
+        return lambda texts: read(texts)[0] < threshold
+
+    return keep_rows(docs, judge)
