@@ -200,6 +200,16 @@ def clean_phone(col: Column, dtype: T.DataType, style: str = "digits") -> Column
     return F.when(only == "", as_text(col, dtype)).otherwise(shaped)
 
 
+def title(col: Column) -> Column:
+    """A letter after any character without case is a capital, other letters are small.
+
+    Deviation: a capital is the letter's one title-case character, so a leading
+    sharp s stays.
+    """
+    runs = F.regexp_extract_all(col, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda run: F.when(run.rlike(r"^[\p{Lu}\p{Ll}\p{Lt}]"), F.initcap(run)).otherwise(run)), "")
+
+
 def neutralize(col: Column) -> Column:
     """Quote text a spreadsheet would run as a formula."""
     return F.when(col.rlike(fixed.FORMULA_START), F.concat(F.lit("'"), col)).otherwise(col)

@@ -25,11 +25,6 @@ def folded(values: pd.Series) -> pd.Series:
     return values.map(lambda v: " ".join(v.split()).casefold())
 
 
-def titled(values: pd.Series) -> pd.Series:
-    """Title case as Python has it: a letter after any non-letter is a capital."""
-    return values.map(lambda v: v.title(), na_action="ignore")
-
-
 def matches(early: list[tuple[int, str]], late: list[tuple[int, str]], threshold: float,
             length_ratio: float, every: bool) -> Iterator[tuple[int, int, float]]:
     """Pairs (earlier, later) that are similar enough.

@@ -113,8 +113,11 @@ class Audit:
 
 
 def audit(before: DataFrame, after: DataFrame, log: ChangeLog, old: QualityReport,
-          new: QualityReport, *, source: str, remaining_findings: int = 0) -> Audit:
-    """Audit tables of a run; the summary is one row."""
+          new: QualityReport, *, source: str, remaining_findings: int) -> Audit:
+    """Audit tables of a run; the summary is one row.
+
+    ``remaining_findings`` is the number of findings of the cleaned table.
+    """
     spark = before.sparkSession
     dropped = dropped_rows(before, after)
     changed = changed_cells(before, after, log.columns_renamed, log.touched)

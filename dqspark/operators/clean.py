@@ -14,10 +14,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dqspark import fixed
-from dqspark.functions import cells, spelling
+from dqspark.functions import cells
 from dqspark.functions.dates import parse_date
 from dqspark.operators import fuzzy
 from dqspark.operators.dedupe import Duplicates
@@ -181,10 +180,7 @@ def merge_spellings(df: DataFrame, groups: DataFrame) -> tuple[DataFrame, int, i
 
 def change_case(df: DataFrame, style: str, facts: list[ColumnFacts]) -> DataFrame:
     """Casing of text columns other than emails and ids."""
-    functions = {
-        "lower": F.lower, "upper": F.upper,
-        "title": F.pandas_udf(spelling.titled, T.StringType()),
-    }
+    functions = {"lower": F.lower, "upper": F.upper, "title": cells.title}
     skip = {f.name for f in facts if f.own_role in ("email", "id")}
     return _replace(df, {c: functions[style](cells.ref(c)) for c in _texts(df) if c not in skip})
 
@@ -203,7 +199,7 @@ def phone_columns(facts: list[ColumnFacts]) -> list[str]:
 
 def currency_candidates(facts: list[ColumnFacts]) -> list[ColumnFacts]:
     return [f for f in facts if cells.is_text(f.dtype)
-            and f.currency_clean_share >= fixed.CURRENCY_SHARE and f.present]
+            and f.present and f.of_present(f.currency_cleanable) >= fixed.CURRENCY_SHARE]
 
 
 def date_candidates(facts: list[ColumnFacts]) -> list[ColumnFacts]:
@@ -290,6 +286,13 @@ def _all_missing(df: DataFrame):
     return every
 
 
+def _fitting(df: DataFrame, fields, value: str) -> list[bool]:
+    """Whether the text reads as a value of each column's type, asked all at once."""
+    tests = [F.lit(value).try_cast(f.dataType).isNotNull() if cells.is_scalar(f.dataType) else F.lit(False)
+             for f in fields]
+    return list(df.sparkSession.range(1).select(*[t.alias(f"t{i}") for i, t in enumerate(tests)]).first())
+
+
 def _fill(df, fields, row, options, log) -> DataFrame:
     new: dict = {}
     medians: dict[str, float] = {}
@@ -298,6 +301,7 @@ def _fill(df, fields, row, options, log) -> DataFrame:
         wanted = {f.name: row["n"] - gaps[f.name]
                   for f in fields if f.name in gaps and cells.is_number(f.dataType)}
         medians = exact_medians(df, wanted)
+    fits = _fitting(df, fields, options.fill_value)
     for i, f in enumerate(fields):
         if f.name not in gaps:
             continue
@@ -315,7 +319,7 @@ def _fill(df, fields, row, options, log) -> DataFrame:
         elif options.fill_value != "" and cells.is_scalar(f.dataType) and not cells.is_moment(f.dataType):
             # Deviation: a column has one type, so the value must fit it.
             fill = F.lit(options.fill_value).try_cast(f.dataType)
-            if df.sparkSession.range(1).select(fill.isNull()).first()[0]:
+            if not fits[i]:
                 log.fill_skipped.append(f.name)
                 continue
             log.missing_filled += count

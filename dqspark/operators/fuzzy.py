@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from dqspark import fixed
 from dqspark.functions import cells, spelling
-from dqspark.operators.profile import ColumnFacts, count_cells, take_samples
+from dqspark.operators.profile import ColumnFacts, count_cells
 from dqspark.session import prepare, settle
 
 TILE = 64  # normal forms per tile side
@@ -46,12 +46,10 @@ def text_columns(df: DataFrame, facts: list[ColumnFacts] | None = None) -> list[
         return []
     if facts is None:
         narrow = df.select(fixed.ROW_ID, *[cells.ref(c) for c in texts])
-        facts, prefix = count_cells(narrow)
-        take_samples(narrow, facts, prefix)
+        facts = count_cells(narrow)
     return [
         f.name for f in facts
-        if cells.is_text(f.dtype) and f.numeric_share is not None
-        and f.numeric_share <= fixed.TEXT_NUMERIC_SHARE
+        if cells.is_text(f.dtype) and f.present and f.of_present(f.loose_numbers) <= fixed.TEXT_NUMERIC_SHARE
     ]
 
 

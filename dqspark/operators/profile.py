@@ -1,22 +1,18 @@
-"""Per-column profile: counts, leading samples, roles, duplicates.
+"""Per-column profile: counts, roles, date formats, invalid values.
 
-Work is batched over columns, never looped per column:
-
-1. one scan counts missing, placeholder, padded and non-blank cells;
-2. a scan of the leading rows takes the first values of every column;
-3. one scan of the columns whose role asks for it counts invalid values.
-
-Only one small row per column ever reaches the driver.
+One scan counts everything a decision needs over the whole column: missing,
+placeholder, padded and non-blank cells, values that read as an email, a phone, a
+number or one of the date formats, currency marks.  A second scan, of candidate
+columns only, finds out whether every value is unique.  Work is batched over
+columns, never looped per column, and one small row per batch reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -25,13 +21,9 @@ from dqspark import fixed
 from dqspark.functions import cells
 from dqspark.session import prepare
 
-CHUNK = 50  # columns per aggregate, to keep generated code small
-ID_PREFIX = 100_000  # leading rows searched for a repeat before a full count
-
-FILLED, PRESENT = "filled", "present"  # non-blank values / non-null values
-
-# Gives the rows up to a row id; see `sources.files.leading_parquet`.
-Leading = Callable[[int], DataFrame]
+AGGREGATES = 300  # per job, to keep generated code small
+ID_PREFIX = 100_000  # rows searched for a repeat before a full count
+SALTS = 64  # first-round buckets when the first values of a column are ranked
 
 
 @dataclass
@@ -46,17 +38,15 @@ class ColumnFacts:
     padded: int = 0
     filled: int = 0
     date_only: bool = False
-    sample_size: int = 0
-    email_share: float = 0.0
-    date_share: float = 0.0
-    phone_share: float = 0.0
-    sample_repeats: bool = False
+    emails: int = 0
+    phones: int = 0
+    good_phones: int = 0  # digit counts in range, whatever the layout
+    numbers: int = 0
     labels: list[tuple[str, int]] = field(default_factory=list)
-    currency_share: float = 0.0
+    currency_found: int = 0
     currency_hits: int = 0
-    currency_clean_share: float = 0.0
-    numeric_share: float | None = None
-    present_bound: int | None = None  # row id by which the first non-null values have come
+    currency_cleanable: int = 0
+    loose_numbers: int = 0  # numbers when commas and spaces are left out
     own_role: str | None = None
     role: str | None = None
     date_formats: list[str] = field(default_factory=list)
@@ -71,270 +61,128 @@ class ColumnFacts:
     def missing_pct(self) -> float:
         return round(100.0 * self.missing / self.n_rows, 2) if self.n_rows else 0.0
 
-    def text(self):
-        return cells.as_text(cells.ref(self.name), self.dtype, date_only=self.date_only)
-
-
-@dataclass
-class _Prefix:
-    """Row-id bounds that are known to hold a column's first values."""
-
-    first_id: int
-    last_id: int
-    rows: int
-    filled_bound: dict[int, int | None]
-    present_bound: dict[int, int | None]
-
-
-def _chunks(items: list, size: int = CHUNK) -> list[list]:
-    return [items[i : i + size] for i in range(0, len(items), size)]
-
-
-def _words(words: tuple[str, ...]) -> str:
-    """SQL list of words that hold no quotes."""
-    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+    def of_filled(self, count: int) -> float:
+        return count / self.filled if self.filled else 0.0
 
+    def of_present(self, count: int) -> float:
+        return count / self.present if self.present else 0.0
 
-def count_cells(df: DataFrame) -> tuple[list[ColumnFacts], _Prefix | None]:
-    """Scan 1: cell counts per column, and where its first values must lie.
-
-    Counts are taken per input partition first (one row each after map-side
-    combining), then summed.  Any one partition holding enough values of a
-    column bounds the row ids its first values can have.
-    """
-    facts = [ColumnFacts(f.name, f.dataType) for f in cells.data_fields(df)]
-    ordered = fixed.ROW_ID in df.columns
-    row_id = F.col(fixed.ROW_ID) if ordered else F.lit(0).cast("bigint")
-    prefix: _Prefix | None = None
-    for chunk in _chunks(list(enumerate(facts))) or [[]]:
-        flags, keys = [], []
-        bounds = []
-        for i, fact in chunk:
-            col, text = cells.ref(fact.name), cells.is_text(fact.dtype)
-            flags.append(cells.missing(col, fact.dtype).alias(f"m{i}"))
-            keys.append(f"m{i}")
-            if text:
-                flags += [col.alias(f"c{i}"), cells.strip(col).alias(f"s{i}")]
-                keys += [f"p{i}", f"w{i}", f"b{i}"]
-            elif isinstance(fact.dtype, (T.TimestampType, T.TimestampNTZType)):
-                flags.append((col != F.date_trunc("day", col)).alias(f"t{i}"))
-                keys.append(f"t{i}")
-            filled = f"b{i}" if text else f"n - m{i}"
-            bounds += [
-                f"min(CASE WHEN {filled} >= {fixed.DATE_SAMPLE} THEN hi END) AS fb{i}",
-                f"min(CASE WHEN n - m{i} >= {fixed.CURRENCY_SAMPLE} THEN hi END) AS pb{i}",
-            ]
-        conditions = {
-            "p": f"s{{i}} IN {_words(fixed.PLACEHOLDERS)}",
-            "w": "s{i} <> c{i}",
-            "b": f"lower(s{{i}}) NOT IN {_words(fixed.BLANK_WORDS)}",
-        }
-        inner = ["count(1) AS n", "min(id) AS lo", "max(id) AS hi"] + [
-            f"count_if({conditions.get(k[0], k).format(i=k[1:])}) AS {k}" for k in keys
-        ]
-        outer = ["sum(n) AS n", "min(struct(hi, lo, n)) AS first"] + [
-            f"sum({k}) AS {k}" for k in keys
-        ]
-        row = (
-            df.select(row_id.alias("id"), F.spark_partition_id().alias("task"), *flags)
-            .groupBy("task").agg(*map(F.expr, inner))
-            .agg(*map(F.expr, outer + bounds)).first()
-        )
-        if row["n"] and prefix is None:
-            first = row["first"]
-            prefix = _Prefix(first["lo"], first["hi"], first["n"], {}, {})
-        for i, fact in chunk:
-            fact.n_rows = int(row["n"] or 0)
-            fact.missing = int(row[f"m{i}"] or 0)
-            if cells.is_text(fact.dtype):
-                fact.placeholders = int(row[f"p{i}"] or 0)
-                fact.padded = int(row[f"w{i}"] or 0)
-                fact.filled = int(row[f"b{i}"] or 0)
-            else:
-                fact.filled = fact.present
-                timed = isinstance(fact.dtype, (T.TimestampType, T.TimestampNTZType))
-                fact.date_only = timed and fact.present > 0 and not row[f"t{i}"]
-            if prefix is not None:
-                prefix.filled_bound[i] = row[f"fb{i}"]
-                prefix.present_bound[i] = fact.present_bound = row[f"pb{i}"]
-    return facts, prefix
-
-
-def _guess(prefix: _Prefix, bound: int | None, have: int, total: int, need: int) -> int | None:
-    """A tighter row-id bound, guessed from how dense the column is."""
-    if not have:
-        return prefix.first_id - 1
-    rows = math.ceil(1.5 * need * total / have) + 100
-    if rows >= prefix.rows:
-        return bound
-    span = prefix.last_id - prefix.first_id + 1
-    guess = prefix.first_id + math.ceil(span * rows / prefix.rows)
-    return guess if bound is None else min(guess, bound)
-
-
-def _up_to(df: DataFrame, bound: int, leading: Leading | None) -> DataFrame:
-    rows = df if leading is None else leading(bound)
-    return rows.where(F.col(fixed.ROW_ID) <= F.lit(bound))
-
-
-def leading_values(
-    df: DataFrame,
-    facts: list[ColumnFacts],
-    bounds: dict[tuple[int, str], int | None],
-    leading: Leading | None = None,
-) -> DataFrame:
-    """First values of the wanted columns in row order.
-
-    Returns (col_no, kind, _row_id, value, rn).  ``kind`` is ``filled`` (the
-    first 2,000 non-blank values, stripped) or ``present`` (the first 80
-    non-null values, as they are).
-    """
-    used = sorted({i for i, _ in bounds})
-    rows = df
-    if all(b is not None for b in bounds.values()):
-        rows = _up_to(df, max(bounds.values()), leading)
-    entries = ", ".join(
-        f"IF(c{i} IS NOT NULL" + (f" AND {fixed.ROW_ID} <= {bound}L" if bound is not None else "")
-        + f", struct({i} AS col_no, '{kind}' AS kind, c{i} AS value), NULL)"
-        for (i, kind), bound in bounds.items()
-    )
-    value = F.col("value")
-    order = Window.partitionBy("col_no", "kind").orderBy(fixed.ROW_ID)
-    return (
-        rows.select(fixed.ROW_ID, *[facts[i].text().alias(f"c{i}") for i in used])
-        .selectExpr(fixed.ROW_ID, f"inline(array_compact(array({entries})))")
-        .withColumn("value", F.when(F.col("kind") == FILLED, cells.non_blank(value)).otherwise(value))
-        .where("value IS NOT NULL")
-        .withColumn("rn", F.row_number().over(order))
-        .where(F.col("rn") <= fixed.DATE_SAMPLE)
-        .where((F.col("kind") == FILLED) | (F.col("rn") <= fixed.CURRENCY_SAMPLE))
-    )
+    def text(self):
+        return cells.as_text(cells.ref(self.name), self.dtype, date_only=self.date_only)
 
 
-def _sample_metrics(sample: DataFrame) -> list[Row]:
-    """One row per column: shares and date-format counts of its first values."""
-    value = F.col("value")
-    filled, present = F.col("kind") == FILLED, F.col("kind") == PRESENT
-    flagged = sample.select(
-        "col_no", "rn", filled.alias("filled"), present.alias("present"),
-        F.when(filled, cells.date_label_no(value)).alias("label"),
-        F.when(filled, F.md5(value)).alias("digest"),
-        (filled & cells.is_email(value)).alias("email"),
-        (filled & value.rlike(fixed.PHONE)).alias("phone"),
-        (present & value.rlike(fixed.CURRENCY_FINDING)).alias("money"),
-        (present & value.rlike(fixed.CURRENCY_SYMBOL)).alias("symbol"),
-        (present & value.rlike(fixed.CURRENCY_CLEANER)).alias("comma"),
-        (present & cells.to_number(F.regexp_replace(value, r"[,\s]", "")).isNotNull()).alias("number"),
-    )
-    role, early = f"filled AND rn <= {fixed.ROLE_SAMPLE}", f"present AND rn <= {fixed.TEXT_SAMPLE}"
-    aggs = [
-        "count_if(filled) AS filled",
-        "count_if(present) AS present",
-        f"count_if({role}) AS role_n",
-        f"count_if({role} AND email) AS emails",
-        f"count_if({role} AND label IS NOT NULL) AS dates",
-        f"count_if({role} AND label IS NULL AND phone) AS phones",
-        "size(collect_set(digest)) AS distinct_values",
-        "count_if(money) AS currency",
-        "count_if(symbol) AS symbols",
-        "count_if(comma) AS currency_clean",
-        f"count_if({early}) AS early",
-        f"count_if({early} AND number) AS numeric",
-    ]
+def _dates_of(value: Column, key: str) -> tuple[dict[str, Column], list[str]]:
+    """The date format of a value, and what is counted of it: cells and first row of each format."""
+    aggs = []
     for k in range(len(fixed.DATE_FORMATS)):
-        aggs += [f"count_if(label = {k}) AS l{k}", f"min(CASE WHEN label = {k} THEN rn END) AS f{k}"]
-    return flagged.groupBy("col_no").agg(*map(F.expr, aggs)).collect()
-
+        aggs += [f"count_if({key} = {k}) AS {key}_n{k}", f"min(CASE WHEN {key} = {k} THEN id END) AS {key}_f{k}"]
+    return {key: cells.date_label_no(value)}, aggs
+
+
+def _measures(i: int, fact: ColumnFacts) -> tuple[dict[str, Column], list[str]]:
+    """Flags of a cell of column ``i`` and the aggregates over them."""
+    col, dtype = cells.ref(fact.name), fact.dtype
+    flags = {f"m{i}": cells.missing(col, dtype)}
+    aggs = [f"count_if(m{i}) AS m{i}"]
+
+    def count(key: str, flag: Column) -> None:
+        flags[f"{key}{i}"] = flag
+        aggs.append(f"count_if({key}{i}) AS {key}{i}")
+
+    if cells.is_text(dtype):
+        text, value = cells.strip(col), cells.non_blank(col)
+        count("p", text.isin(*fixed.PLACEHOLDERS))
+        count("w", text != col)
+        count("b", value.isNotNull())
+        count("e", value.contains("@") & cells.is_email(value))
+        count("g", ~cells.is_bad_phone(value))
+        count("v", cells.to_number(value).isNotNull())
+        count("u", cells.to_number(F.regexp_replace(col, r"[,\s]", "")).isNotNull())
+        count("k", col.rlike(fixed.CURRENCY_FINDING))
+        count("y", col.rlike(fixed.CURRENCY_SYMBOL))
+        count("c", col.rlike(fixed.CURRENCY_CLEANER))
+        dates, more = _dates_of(value, f"d{i}")
+        flags.update(dates)
+        aggs += more
+        count("h", value.rlike(fixed.PHONE) & dates[f"d{i}"].isNull())
+    elif cells.is_number(dtype):
+        value = cells.as_text(col, dtype)
+        filled = ~cells.missing(col, dtype)
+        count("h", filled & value.rlike(fixed.PHONE))
+        count("g", filled & ~cells.is_bad_phone(value))
+    elif cells.is_moment(dtype):
+        forms = [cells.as_text(col, dtype)]
+        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+            count("t", col != F.date_trunc("day", col))
+            forms.append(cells.as_text(col, dtype, date_only=True))
+        for key, value in zip("dq", forms):
+            dates, more = _dates_of(value, f"{key}{i}")
+            flags.update(dates)
+            aggs += more
+    return flags, aggs
+
+
+def _store(i: int, fact: ColumnFacts, row: dict) -> None:
+    fact.n_rows, fact.missing = int(row["n"] or 0), int(row[f"m{i}"] or 0)
+    got = {k: int(row.get(f"{k}{i}") or 0) for k in "pwbegvukychts"}
+    text = cells.is_text(fact.dtype)
+    fact.filled = got["b"] if text else fact.present
+    fact.placeholders, fact.padded, fact.emails = got["p"], got["w"], got["e"]
+    fact.phones, fact.good_phones = got["h"], got["g"]
+    fact.numbers = got["v"] if text else fact.filled if cells.is_number(fact.dtype) else 0
+    fact.loose_numbers = got["u"]
+    fact.currency_found, fact.currency_hits, fact.currency_cleanable = got["k"], got["y"], got["c"]
+    fact.date_only = f"t{i}" in row and fact.present > 0 and not got["t"]
+    key = f"q{i}" if fact.date_only else f"d{i}"
+    seen = [(-row[f"{key}_n{k}"], row[f"{key}_f{k}"], name)
+            for k, (name, _) in enumerate(fixed.DATE_FORMATS) if row.get(f"{key}_n{k}")]
+    fact.labels = [(name, -count) for count, _, name in sorted(seen)]
 
-def take_samples(df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix | None,
-                 *, currency: bool = True, leading: Leading | None = None) -> None:
-    """Scan 2: fill in what the first values of each column tell.
 
-    The first try reads only as many leading rows as the column densities call
-    for.  Columns that came up short are read again with a bound that is certain
-    to hold their first values, so the sample is always the exact one.
-    """
-    if prefix is None:
-        return
-    wanted: dict[tuple[int, str], int | None] = {}
-    safe: dict[tuple[int, str], int | None] = {}
-    for i, fact in enumerate(facts):
-        if not cells.is_scalar(fact.dtype):
-            continue
-        key = (i, FILLED)
-        safe[key] = prefix.filled_bound.get(i)
-        wanted[key] = _guess(prefix, safe[key], fact.filled, fact.n_rows, fixed.DATE_SAMPLE)
-        if currency and cells.is_text(fact.dtype):
-            key = (i, PRESENT)
-            safe[key] = prefix.present_bound.get(i)
-            wanted[key] = _guess(prefix, safe[key], fact.present, fact.n_rows, fixed.CURRENCY_SAMPLE)
-    while wanted:
-        got = {r["col_no"]: r for r in _sample_metrics(leading_values(df, facts, wanted, leading))}
-        short: dict[tuple[int, str], int | None] = {}
-        for i, kind in wanted:
-            row = got.get(i)
-            fact = facts[i]
-            total, limit = (
-                (fact.filled, fixed.DATE_SAMPLE) if kind == FILLED
-                else (fact.present, fixed.CURRENCY_SAMPLE)
-            )
-            have = row[kind] if row else 0
-            if have < min(total, limit):
-                short[(i, kind)] = safe[(i, kind)]
-            elif have:
-                _store(fact, row, kind)
-        if short == wanted:
-            raise RuntimeError("row ids are not unique; samples cannot be taken")
-        wanted = short
-
-
-def _store(fact: ColumnFacts, row: Row, kind: str) -> None:
-    if kind == PRESENT:
-        fact.currency_share = row["currency"] / row["present"]
-        fact.currency_hits = row["symbols"]
-        fact.currency_clean_share = row["currency_clean"] / row["present"]
-        fact.numeric_share = row["numeric"] / row["early"]
-        return
-    fact.sample_size = row["filled"]
-    fact.email_share = row["emails"] / row["role_n"]
-    fact.date_share = row["dates"] / row["role_n"]
-    fact.phone_share = row["phones"] / row["role_n"]
-    fact.sample_repeats = row["distinct_values"] < row["filled"]
-    seen = [
-        (-row[f"l{k}"], row[f"f{k}"], name)
-        for k, (name, _) in enumerate(fixed.DATE_FORMATS)
-        if row[f"l{k}"]
-    ]
-    fact.labels = [(name, -count) for count, _, name in sorted(seen)]
+def count_cells(df: DataFrame) -> list[ColumnFacts]:
+    """Scan 1: everything that is counted over whole columns."""
+    facts = [ColumnFacts(f.name, f.dataType) for f in cells.data_fields(df)]
+    row_id = F.col(fixed.ROW_ID) if fixed.ROW_ID in df.columns else F.lit(0).cast("bigint")
+    batches: list[list[int]] = [[]]
+    parts, size = [_measures(i, f) for i, f in enumerate(facts)], 0
+    for i, (_, aggs) in enumerate(parts):
+        if batches[-1] and size + len(aggs) > AGGREGATES:
+            batches.append([])
+            size = 0
+        batches[-1].append(i)
+        size += len(aggs)
+    for own in batches:
+        flags = [flag.alias(name) for i in own for name, flag in parts[i][0].items()]
+        aggs = [a for i in own for a in parts[i][1]]
+        row = df.select(row_id.alias("id"), *flags).agg(F.expr("count(1) AS n"), *map(F.expr, aggs)).first().asDict()
+        for i in own:
+            _store(i, facts[i], row)
+    return facts
 
 
 def _is_id_name(name: str) -> bool:
     return re.search(fixed.ID_NAME, name, re.IGNORECASE) is not None
 
 
-def assign_roles(df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix | None,
-                 *, id_by_content: bool = True, leading: Leading | None = None) -> None:
+def assign_roles(df: DataFrame, facts: list[ColumnFacts], *, id_by_content: bool = True) -> None:
     """Role per column: email, date, phone, id by name, then id by content.
 
-    Id by content needs every value to be unique.  A repeat among the leading rows
-    rules a column out; only what is left is counted over the whole table.
+    Id by content needs every value to be unique.  A repeat among some rows rules
+    a column out; only what is left is counted over the whole table.
     """
     open_cols = []
     for i, fact in enumerate(facts):
         if fact.filled:
-            by_share = (
-                ("email", fact.email_share), ("date", fact.date_share), ("phone", fact.phone_share)
-            )
-            fact.own_role = next((r for r, s in by_share if s >= fixed.ROLE_SHARE), None)
+            dates = sum(n for _, n in fact.labels)
+            by_share = (("email", fact.emails), ("date", dates), ("phone", fact.phones))
+            fact.own_role = next((r for r, n in by_share if fact.of_filled(n) >= fixed.ROLE_SHARE), None)
         if fact.own_role is None and _is_id_name(fact.name):
             fact.own_role = "id"
-        elif (
-            fact.own_role is None and cells.is_scalar(fact.dtype)
-            and fact.filled >= fixed.ID_MIN_VALUES and not fact.sample_repeats
-        ):
+        elif (fact.own_role is None and fact.filled >= fixed.ID_MIN_VALUES
+              and fact.of_filled(fact.numbers) > fixed.ID_NUMERIC_SHARE):
             open_cols.append(i)
     if id_by_content and open_cols:
-        for i in _unique_numeric(df, facts, prefix, open_cols, leading):
+        for i in _unique(df, facts, open_cols):
             facts[i].own_role = "id"
     for fact in facts:
         fact.role = fact.own_role
@@ -342,6 +190,8 @@ def assign_roles(df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix | None
             fact.date_formats = [name for name, _ in fact.labels]
         if len(fact.date_formats) >= 2 and fact.role is None:
             fact.role = "date"
+        fact.invalid_emails = fact.filled - fact.emails if fact.role == "email" else 0
+        fact.invalid_phones = fact.filled - fact.good_phones if fact.role == "phone" else 0
 
 
 def _repeats(df: DataFrame, facts: list[ColumnFacts], cols: list[int]) -> dict[int, Row]:
@@ -359,28 +209,15 @@ def _repeats(df: DataFrame, facts: list[ColumnFacts], cols: list[int]) -> dict[i
     return {r["col_no"]: r for r in rows.collect()}
 
 
-def _unique_numeric(
-    df: DataFrame, facts: list[ColumnFacts], prefix: _Prefix, cols: list[int],
-    leading: Leading | None,
-) -> list[int]:
-    texts = [i for i in cols if cells.is_text(facts[i].dtype)]
-    left = [i for i in cols if cells.is_number(facts[i].dtype)]
-    if texts:
-        row = df.agg(*[
-            F.count_if(cells.to_number(_comparable(facts[i])).isNotNull()).alias(f"n{i}")
-            for i in texts
-        ]).first()
-        left += [i for i in texts if row[f"n{i}"] / facts[i].filled > fixed.ID_NUMERIC_SHARE]
-    if not left:
-        return []
-    bound = _guess(prefix, prefix.last_id, 1, 1, ID_PREFIX)
-    early = _repeats(_up_to(df, bound, leading), facts, left)
-    done = [i for i in left if i in early and early[i]["most"] == 1
-            and early[i]["n"] == facts[i].filled]
-    rest = [i for i in left if i not in done and (i not in early or early[i]["most"] == 1)]
+def _unique(df: DataFrame, facts: list[ColumnFacts], cols: list[int]) -> list[int]:
+    """The columns whose values are all different."""
+    early = _repeats(df.limit(ID_PREFIX), facts, cols)
+    left = [i for i in cols if i not in early or early[i]["most"] == 1]
+    whole = [i for i in left if i in early and early[i]["n"] == facts[i].filled]
+    rest = [i for i in left if i not in whole]
     if rest:
-        done += [i for i, r in _repeats(df, facts, rest).items() if r["most"] == 1]
-    return sorted(done)
+        whole += [i for i, r in _repeats(df, facts, rest).items() if r["most"] == 1]
+    return sorted(whole)
 
 
 def _comparable(fact: ColumnFacts):
@@ -393,59 +230,35 @@ def _comparable(fact: ColumnFacts):
     return col
 
 
-def count_invalid(df: DataFrame, facts: list[ColumnFacts]) -> None:
-    """Scan 3: invalid values, read from email and phone columns only."""
-    aggs = []
-    for i, fact in enumerate(facts):
-        if fact.role in ("email", "phone") and fact.filled:
-            value = cells.non_blank(fact.text())
-            bad = ~cells.is_email(value) if fact.role == "email" else cells.is_bad_phone(value)
-            aggs.append(F.count_if(bad).alias(f"x{i}"))
-    if not aggs:
-        return
-    for name, n in df.agg(*aggs).first().asDict().items():
-        fact = facts[int(name[1:])]
-        if fact.role == "email":
-            fact.invalid_emails = n
-        else:
-            fact.invalid_phones = n
-
-
-def column_facts(
-    df: DataFrame, *, id_by_content: bool = True, currency: bool = True,
-    leading: Leading | None = None,
-) -> list[ColumnFacts]:
-    """Counts, samples and roles of every column, without invalid counts.
-
-    ``df`` needs a ``_row_id`` column with unique, increasing numbers.  ``leading``
-    may give its first rows without reading the rest; where ``_row_id`` is a stored
-    column, file statistics do that already.
-    """
+def column_facts(df: DataFrame, *, id_by_content: bool = True) -> list[ColumnFacts]:
+    """Counts and roles of every column; ``_row_id``, if there, orders date formats that come equally often."""
     prepare(df.sparkSession)
-    facts, prefix = count_cells(df)
-    take_samples(df, facts, prefix, currency=currency, leading=leading)
-    assign_roles(df, facts, prefix, id_by_content=id_by_content, leading=leading)
+    facts = count_cells(df)
+    assign_roles(df, facts, id_by_content=id_by_content)
     return facts
 
 
 def column_sample(df: DataFrame, n: int, *, non_blank: bool = True) -> DataFrame:
     """First ``n`` values of every scalar column: (column, rn, _row_id, value).
 
-    ``n`` may be up to 2,000 non-blank or 80 non-null values.
+    Ranked within buckets of row ids first, so that the final ranking of a column
+    reads at most ``SALTS * n`` rows.
     """
-    limit = fixed.DATE_SAMPLE if non_blank else fixed.CURRENCY_SAMPLE
-    if n > limit:
-        raise ValueError(f"at most {limit} values are kept per column")
     prepare(df.sparkSession)
-    facts, prefix = count_cells(df)
-    kind = FILLED if non_blank else PRESENT
-    known = prefix.filled_bound if non_blank else prefix.present_bound
-    bounds = {
-        (i, kind): known.get(i) for i, f in enumerate(facts) if cells.is_scalar(f.dtype)
-    }
-    names = F.array(*[F.lit(f.name) for f in facts])
+    entries = []
+    for f in cells.data_fields(df):
+        if cells.is_scalar(f.dataType):
+            value = cells.as_text(cells.ref(f.name), f.dataType)
+            value = cells.non_blank(value) if non_blank else value
+            entries.append(F.when(value.isNotNull(), F.struct(F.lit(f.name).alias("column"), value.alias("value"))))
+    if not entries:
+        return df.sparkSession.createDataFrame([], f"column STRING, rn INT, {fixed.ROW_ID} BIGINT, value STRING")
+    salted = Window.partitionBy("column", "salt").orderBy(fixed.ROW_ID)
+    final = Window.partitionBy("column").orderBy(fixed.ROW_ID)
     return (
-        leading_values(df, facts, bounds)
-        .where(F.col("rn") <= n)
-        .select(F.get(names, F.col("col_no")).alias("column"), "rn", fixed.ROW_ID, "value")
+        df.select(fixed.ROW_ID, F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        .select("e.column", fixed.ROW_ID, "e.value", F.pmod(F.xxhash64(fixed.ROW_ID), F.lit(SALTS)).alias("salt"))
+        .withColumn("rn", F.row_number().over(salted)).where(F.col("rn") <= n)
+        .withColumn("rn", F.row_number().over(final)).where(F.col("rn") <= n)
+        .select("column", "rn", fixed.ROW_ID, "value")
     )

@@ -1,47 +1,63 @@
-"""Column renames, decided on the driver from names alone."""
+"""Column renames, decided from names alone.
+
+A rename is a function from the names of a table to new names.  Spark looks names
+up without case, so two names that differ by case only are the same name here.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from itertools import chain, count
 
 
 def snake(name: str) -> str:
     """Punctuation dropped, spaces to underscores, lower case."""
-    return "_".join("".join(ch for ch in name if re.match(r"[\w\s]", ch)).split()).lower()
+    return "_".join(re.sub(r"[^\w\s]", "", name).split()).lower()
+
+
+STYLES: dict[str, Callable[[str], str]] = {
+    "none": lambda name: name,
+    "snake": snake,
+    "lower": lambda name: name.strip().lower(),
+}
+
+
+class _Owners:
+    """Who has which name; a wanted name that another column has is numbered."""
+
+    def __init__(self, columns: list[str]) -> None:
+        self.owner = {c.lower(): c for c in columns}
+        self.spellings: dict[str, Iterator[str]] = {}
+
+    def claim(self, column: str, wanted: str) -> str:
+        numbered = self.spellings.setdefault(wanted, chain([wanted], (f"{wanted}_{i}" for i in count(2))))
+        for name in numbered:  # goes on where the last claim of this name stopped
+            if self.owner.setdefault(name.lower(), column) == column:
+                return name
+        raise AssertionError("numbers do not end")
 
 
 def plan_renames(columns: list[str], style: str = "none",
                  manual: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Old name to new name.  Manual names win over the style.
+    """Old name to new name, for the columns whose name changes.
 
-    A name already used gets ``_2``, ``_3`` and so on.  Spark column names ignore
-    case, so names are compared in lower case.
+    A name given by hand goes before the style's.  Of columns that want the same
+    name, or one that a column of the table has, the later ones get ``_2``, ``_3``
+    and so on.
     """
-    restyle = {"snake": snake, "lower": lambda c: c.strip().lower()}.get(style)
-    wanted = {c: restyle(c) for c in columns} if restyle else {}
-    for old, new in (manual or {}).items():
-        if old in columns and new.strip():
-            if new.strip() != old:
-                wanted[old] = new.strip()
-    existing = {c.lower() for c in columns}
-    used: set[str] = set()
-    result: dict[str, str] = {}
-    for old, new in wanted.items():
-        if old == new:
-            continue
-        blocked = used | (existing - {old.lower()})
-        pick, i = new, 2
-        while pick.lower() in blocked:
-            pick, i = f"{new}_{i}", i + 1
-        used.add(pick.lower())
-        result[old] = pick
-    return result
+    by_hand = {old: new.strip() for old, new in (manual or {}).items()
+               if old in columns and new.strip() not in ("", old)}
+    styled = {} if style not in STYLES or style == "none" else {c: STYLES[style](c) for c in columns}
+    owners = _Owners(columns)
+    return {old: owners.claim(old, new) for old, new in (styled | by_hand).items() if new != old}
 
 
 def compose(earlier: Mapping[str, str], later: Mapping[str, str]) -> dict[str, str]:
-    """Chain two rename maps into one from original to final names."""
-    moved = {old: later.get(new, new) for old, new in earlier.items()}
-    untouched = {o: n for o, n in later.items()
-                 if o not in earlier and o not in earlier.values()}
-    return {o: n for o, n in {**moved, **untouched}.items() if o != n}
+    """The rename that does ``earlier`` and then ``later``, as original to final names.
+
+    A name that ``earlier`` gave away or brought in is no original name of its own.
+    """
+    originals = [*earlier, *(later.keys() - earlier.keys() - set(earlier.values()))]
+    ends = ((name, later.get(earlier.get(name, name), earlier.get(name, name))) for name in originals)
+    return {name: end for name, end in ends if name != end}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dqspark import fixed
 from dqspark.functions import cells
 from dqspark.operators.dedupe import Duplicates
-from dqspark.operators.profile import ColumnFacts, Leading, column_facts, count_invalid
+from dqspark.operators.profile import ColumnFacts, column_facts
 from dqspark.session import prepare
 
 COLUMNS_SCHEMA = (
@@ -58,18 +58,14 @@ class QualityReport:
         return spark.createDataFrame(list(enumerate(self.note_texts())), "note_no INT, note STRING")
 
     def note_texts(self) -> list[str]:
+        say, names = fixed.NOTES, ", ".join
         mixed = [f.name for f in self.facts if len(f.date_formats) > 1]
-        roles = [f"{f.name} looks like a {f.role}" for f in self.facts if f.role]
+        roles = [say["role"].format(name=f.name, role=f.role) for f in self.facts if f.role]
         empty = [f.name for f in self.facts if is_empty(f)]
-        notes = []
-        if mixed:
-            notes.append(f"Mixed date formats in: {', '.join(mixed)}")
-        if roles:
-            notes.append(f"{'; '.join(roles)}.")
-        if empty:
-            notes.append(f"Completely empty columns: {', '.join(empty)}.")
-        if self.duplicates:
-            notes.append(f"{self.duplicates:,} exact duplicate row(s) found.")
+        notes = [say["mixed_dates"].format(names=names(mixed))] if mixed else []
+        notes += [f"{'; '.join(roles)}."] if roles else []
+        notes += [say["empty"].format(names=names(empty))] if empty else []
+        notes += [say["duplicates"].format(n=self.duplicates)] if self.duplicates else []
         return notes or [fixed.NO_ISSUES]
 
 
@@ -96,20 +92,18 @@ def consistency(facts: list[ColumnFacts], n_rows: int) -> float:
     return max(0.0, 100.0 - sum(penalties) / len(penalties))
 
 
-def build_report(df: DataFrame, leading: Leading | None = None) -> QualityReport:
+def build_report(df: DataFrame) -> QualityReport:
     """Profile and score a table that has a ``_row_id``.
 
     Duplicates are looked for while the columns are profiled: the two need no
-    results of each other, so their jobs share the cluster.  ``leading`` is
-    explained at `column_facts`.
+    results of each other, so their jobs share the cluster.
     """
     prepare(df.sparkSession)
     if not cells.data_fields(df):
         return score_facts([], df.count(), 0)
     with ThreadPoolExecutor(1) as pool:
         search = pool.submit(_find_copies, df)
-        facts = column_facts(df, leading=leading)
-        count_invalid(df, facts)
+        facts = column_facts(df)
         copies, duplicates = search.result()
     report = score_facts(facts, facts[0].n_rows, duplicates)
     report.copies = copies

@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import math
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -19,25 +19,44 @@ from dqspark.sources.tables import (
     TableReadError, apply_types, check, check_suffix, infer_types, null_tokens,
 )
 
-FILE_BROADCAST = 50_000  # file names looked up by broadcast
 _EXTRA = "_extra_field"
 
 
 def unique_labels(names: Iterable[str]) -> list[str]:
     """Labels for names, a second ``data.csv`` becoming ``data (2).csv``."""
     taken: set[str] = set()
+    after: dict[str, int] = {}  # the number a name goes on with
     labels = []
     for name in names:
         dot = name.rfind(".")
         stem, suffix = (name[:dot], name[dot:]) if dot > 0 else (name, "")
-        label, i = name, 2
+        label, i = name, after.get(name, 2)
         while label in taken:
             label, i = f"{stem} ({i}){suffix}", i + 1
         taken.add(label)
+        after[name] = i
         labels.append(label)
     return labels
 
 
+def _plain(path: str) -> str:
+    """A listed path as a reader takes it: unquoted, characters that would be patterns escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
+
+
+def _file_map(spark: SparkSession, paths: list[str], labels: list[str] | None = None) -> DataFrame:
+    """Hash of a file's path to its number (and label): 16 bytes a file, always small enough to broadcast.
+
+    Two paths with one hash are an error, never a wrong number.
+    """
+    rows = list(enumerate(paths)) if labels is None else list(zip(range(len(paths)), paths, labels))
+    schema = "file_no BIGINT, path STRING" + ("" if labels is None else ", label STRING")
+    index = spark.createDataFrame(rows, schema).withColumn("_file", F.xxhash64("path")).drop("path")
+    if len(paths) > 1 and index.select("_file").distinct().count() < len(paths):
+        raise TableReadError("Two file names have the same hash.")
+    return index
+
+
 def probe(spark: SparkSession, paths: list[str]) -> list[Row]:
     """What reading needs to know about each file, from one distributed scan.
 
@@ -71,14 +90,14 @@ def probe(spark: SparkSession, paths: list[str]) -> list[Row]:
 
 
 def header_names(line: str) -> list[str]:
-    """Column names of a header line; repeats become ``a.1``, gaps ``Unnamed: 1``."""
+    """Column names of a header line; repeats (without case) become ``a.1``, gaps ``Unnamed: 1``."""
     names, seen = [], set()
     for i, raw in enumerate(next(csv.reader([line]), [])):
         base = raw or f"Unnamed: {i}"
         name, k = base, 1
-        while name in seen:
+        while name.lower() in seen:
             name, k = f"{base}.{k}", k + 1
-        seen.add(name)
+        seen.add(name.lower())
         names.append(name)
     return names
 
@@ -106,16 +125,12 @@ def load_csv(spark: SparkSession, paths: str | list[str], *, typed: bool = True)
         line = (f["header"] or b"").decode("utf-8-sig" if f["valid_utf8"] else "latin-1")
         names = tuple(header_names(line.rstrip("\r\n")))
         alike.setdefault((encoding, names, bool(f["spanning"])), []).append(no)
-    index = spark.createDataFrame(
-        [(f["path"], no, label) for no, (f, label) in enumerate(zip(files, labels))],
-        "path STRING, file_no BIGINT, label STRING",
-    )
-    index = F.broadcast(index) if len(files) <= FILE_BROADCAST else index
+    index = _file_map(spark, [f["path"] for f in files], labels)
     raw = None
     for (encoding, names, spanning), members in alike.items():
-        part = _read(spark, [unquote(files[no]["path"]) for no in members], names, encoding, spanning)
+        part = _read(spark, [_plain(files[no]["path"]) for no in members], names, encoding, spanning)
         raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
-    raw = raw.join(index, "path", "left")
+    raw = raw.withColumn("_file", F.xxhash64("path")).join(F.broadcast(index), "_file", "left").drop("_file")
     stored = settle(_with_csv_ids(raw, len(files), max(f["size"] for f in files)), "csv")
     bad = stored.where(F.col(_EXTRA).isNotNull()).select("label").limit(1).collect()
     if bad:
@@ -184,22 +199,6 @@ def load_parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _with_file_ids(df, _listing(df))
 
 
-def leading_parquet(spark: SparkSession, paths: str | list[str]) -> Callable[[int], DataFrame]:
-    """Function giving the rows of `load_parquet` up to a row id.
-
-    It opens only the files that can hold them, where a filter on the row id would
-    read every file: the id is not a stored column.
-    """
-    df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
-    names = _listing(df)
-
-    def leading(bound: int) -> DataFrame:
-        first = names[: max(bound, 0) // (1 << _ROW_BITS) + 1]
-        return _with_file_ids(spark.read.schema(df.schema).parquet(*map(unquote, first)), first)
-
-    return leading
-
-
 _ROW_BITS = 40  # rows per file
 
 
@@ -212,14 +211,13 @@ def _listing(df: DataFrame) -> list[str]:
 def _with_file_ids(df: DataFrame, names: list[str]) -> DataFrame:
     if len(names) == 1:
         return df.select(F.col("_metadata.row_index").alias(fixed.ROW_ID), "*")
-    index = df.sparkSession.createDataFrame(list(enumerate(names)), "file_no BIGINT, path STRING")
-    index = F.broadcast(index) if len(names) <= FILE_BROADCAST else index
+    index = _file_map(df.sparkSession, names)
     listed = F.coalesce("file_no", F.raise_error(F.lit("a file was added while reading")).cast("bigint"))
     row_id = F.shiftleft(listed, _ROW_BITS) + F.col("row_index")
     return (
-        df.select("*", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path"),
+        df.select("*", F.xxhash64(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")).alias("_file"),
                   F.col("_metadata.row_index").alias("row_index"))
-        .join(index, "path", "left")
+        .join(F.broadcast(index), "_file", "left")
         .select(row_id.alias(fixed.ROW_ID), *[cells.ref(c) for c in df.columns])
     )
 

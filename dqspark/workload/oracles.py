@@ -99,12 +99,12 @@ def report_ctes(long: str, name: str = "") -> str:
     avg(CASE WHEN {matches('v', fixed.EMAIL)} THEN 1.0 ELSE 0.0 END) AS e,
     avg(CASE WHEN {date} IS NOT NULL THEN 1.0 ELSE 0.0 END) AS d,
     avg(CASE WHEN {phone} AND {date} IS NULL THEN 1.0 ELSE 0.0 END) AS p
-  FROM {n}nb WHERE rn <= 200 GROUP BY col),
+  FROM {n}nb GROUP BY col),
 {n}whole AS (SELECT col, count(*) AS n, count(DISTINCT v) AS u,
     avg(CASE WHEN {number('v')} IS NOT NULL THEN 1.0 ELSE 0.0 END) AS num
   FROM {n}nb GROUP BY col),
 {n}forms AS (SELECT col, {date} AS form, count(*) AS k, min(rn) AS f
-  FROM {n}nb WHERE rn <= 2000 AND {date} IS NOT NULL GROUP BY ALL),
+  FROM {n}nb WHERE {date} IS NOT NULL GROUP BY ALL),
 {n}formats AS (SELECT col, string_agg(form, ', ' ORDER BY k DESC, f) AS list, count(*) AS k
   FROM {n}forms GROUP BY col),
 {n}counts AS (SELECT col, col_no, count(*) AS n, count(*) - count(v) AS missing,
@@ -185,8 +185,7 @@ def share(count: str, high: float, medium: float) -> str:
 
 MONEY = f"""
 money AS (SELECT col, count(*) FILTER (WHERE {matches('v', fixed.CURRENCY_SYMBOL)}) AS hits
-  FROM (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY id) AS rn FROM cells WHERE v IS NOT NULL)
-  WHERE rn <= 80 GROUP BY col
+  FROM cells WHERE v IS NOT NULL GROUP BY col
   HAVING avg(CASE WHEN {matches('v', fixed.CURRENCY_FINDING)} THEN 1.0 ELSE 0.0 END) >= 0.3)"""
 
 FINDINGS = f""",{MONEY},
@@ -381,8 +380,7 @@ SELECT col AS "column", kind, CAST(place AS INTEGER) AS place, s AS value FROM (
 
     # similar spellings
     o["fuzzy_columns"] = f"""WITH cells AS ({CONTACT_LONG})
-SELECT col AS "column" FROM (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY id) AS rn FROM cells WHERE v IS NOT NULL)
-WHERE rn <= 50 GROUP BY col
+SELECT col AS "column" FROM cells WHERE v IS NOT NULL GROUP BY col
 HAVING avg(CASE WHEN {number("regexp_replace(v, '[,[:space:]]', '', 'g')")} IS NOT NULL THEN 1.0 ELSE 0.0 END) <= 0.8"""
     o["value_counts"] = with_long(f"SELECT col AS \"column\", v AS value, count(*) AS rows, min(id) AS first_id FROM cells WHERE {strip('v')} <> '' GROUP BY col, v")
     o["value_counts_events"] = " UNION ALL ".join(
@@ -407,6 +405,10 @@ FROM uniques u LEFT JOIN (SELECT col, sum(greatest(norms - 400, 0)) AS cut FROM
     lower = {c: f"lower({c})" for c in COLS if c != "email"}
     o["clean_casing"] = with_contacts(f"SELECT _row_id, {pick(**lower)} FROM c")
     o["clean_casing_upper"] = with_contacts(f"SELECT _row_id, {pick(**{c: e.replace('lower', 'upper') for c, e in lower.items()})} FROM c")
+    titled = {c: f"""CASE WHEN {c} IS NULL THEN NULL ELSE array_to_string(list_transform(
+      regexp_extract_all({c}, '[a-zA-Z]+|[^a-zA-Z]+'), lambda r: upper(r[1]) || lower(r[2:])), '') END"""
+              for c in COLS if c != "email"}
+    o["clean_casing_title"] = with_contacts(f"SELECT _row_id, {pick(**titled)} FROM c")
     o["clean_emails"] = with_contacts(f"SELECT _row_id, {pick(email='lower(' + strip('email') + ')')} FROM c")
     o["clean_phones"] = with_contacts(f"SELECT _row_id, {pick(phone=digits('phone'))} FROM c")
     o["clean_phones_dashed"] = with_contacts(f"SELECT _row_id, {pick(phone=DASHED)} FROM c")
@@ -414,7 +416,7 @@ FROM uniques u LEFT JOIN (SELECT col, sum(greatest(norms - 400, 0)) AS cut FROM
     o["clean_dates"] = with_contacts(f"SELECT _row_id, {pick(joined=parse_dayfirst('joined'))} FROM c")
     some = [c for c in COLS if c != "fax"]
     o["drop_empty_columns"] = with_contacts(f"SELECT _row_id, {pick(some)} FROM c")
-    o["drop_empty_rows"] = with_contacts("SELECT _row_id, note, fax FROM c WHERE note IS NOT NULL OR fax IS NOT NULL")
+    o["drop_empty_rows"] = with_contacts(f"SELECT _row_id, {pick()} FROM c WHERE _row_id % 40 <> 0")
     o["drop_rows_any_null"] = with_contacts(f"SELECT _row_id, {pick(some)} FROM c WHERE {' AND '.join(c + ' IS NOT NULL' for c in some)}")
     o["drop_sparse_columns"] = with_contacts(f"SELECT _row_id, {pick([c for c in some if c != 'balance'])} FROM c")
     for kind, fn in (("mean", "avg"), ("median", "median")):
@@ -475,11 +477,16 @@ SELECT x.score AS score_before, y.score AS score_after, x.completeness AS comple
   y.completeness AS completeness_after, x.uniqueness AS uniqueness_before, y.uniqueness AS uniqueness_after,
   x.consistency AS consistency_before, y.consistency AS consistency_after, y.score - x.score AS score_delta FROM x, y"""
     o["dropped_rows"] = with_contacts(f"SELECT _row_id, {pick()} FROM c WHERE _row_id NOT IN (SELECT _row_id FROM {survey} t)")
+    short = {c: f"CASE WHEN length({c}) > 80 THEN substring({c}, 1, 79) || '…' ELSE coalesce({c}, '') END" for c in COLS}
+    o["dropped_sample"] = with_contacts(f"SELECT _row_id, {pick(**short)} FROM c WHERE _row_id NOT IN "
+                                        f"(SELECT _row_id FROM {survey} t) ORDER BY _row_id LIMIT 8")
     parts = []
     for no, c in enumerate(COLS):
-        parts.append(f"SELECT c._row_id, '{c}' AS \"column\", coalesce(c.{c}, '') AS before, coalesce(CAST(k.{c} AS VARCHAR), '') AS after "
+        parts.append(f"SELECT c._row_id, {no} AS no, '{c}' AS \"column\", coalesce(c.{c}, '') AS before, coalesce(CAST(k.{c} AS VARCHAR), '') AS after "
                      f"FROM c JOIN k USING (_row_id) WHERE coalesce(c.{c}, '') <> coalesce(CAST(k.{c} AS VARCHAR), '')")
-    o["changed_cells"] = f"WITH c AS {CONTACTS}, k AS {first_copies(CLEAN_MONEY)} " + " UNION ALL ".join(parts)
+    changes = f"WITH c AS {CONTACTS}, k AS {first_copies(CLEAN_MONEY)}, x AS ({' UNION ALL '.join(parts)}) "
+    o["changed_cells"] = changes + 'SELECT _row_id, "column", before, after FROM x'
+    o["changed_sample"] = changes + 'SELECT _row_id, "column", before, after FROM x ORDER BY _row_id, no LIMIT 12'
     shouted = {c: f"upper({strip(c)})" for c in COLS if c != "email"}
     upper = f"(SELECT _row_id, {pick(**shouted, email=strip('email'))} FROM {CONTACTS} t)"
     parts = [

@@ -125,7 +125,7 @@ def file_fingerprint(spark, d):
 def source_labels(spark, d):
     """Files of one name in several folders, as partitioned writes leave them."""
     path = scratch_path(spark, "by-segment")
-    data = _table(spark, d, "customer").coalesce(1)
+    data = _table(spark, d, "customer").repartition("c_mktsegment")
     data.write.partitionBy("c_mktsegment").options(header=True).csv(path)
     table = files.load_csv(spark, f"{path}/*/*.csv")
     name = F.regexp_replace(fixed.SOURCE_FILE, r"^part-[^ .]*(\.c000)?", "part")
@@ -237,21 +237,21 @@ def _facts_frame(spark, facts, schema, pick):
 
 @query
 def profile_missing(spark, d):
-    facts, _ = profile.count_cells(contacts(spark, d))
+    facts = profile.count_cells(contacts(spark, d))
     return _facts_frame(spark, facts, "column STRING, missing_count BIGINT, missing_pct DOUBLE",
                         lambda f: (f.name, f.missing, f.missing_pct))
 
 
 @query
 def profile_placeholders(spark, d):
-    facts, _ = profile.count_cells(contacts(spark, d))
+    facts = profile.count_cells(contacts(spark, d))
     return _facts_frame(spark, facts, "column STRING, empty_string_count BIGINT",
                         lambda f: (f.name, f.placeholders))
 
 
 @query
 def column_sample(spark, d):
-    return profile.column_sample(contacts(spark, d), fixed.ROLE_SAMPLE)
+    return profile.column_sample(contacts(spark, d), fixed.PREVIEW_ROWS)
 
 
 def _roles(spark, df):
@@ -287,7 +287,6 @@ def date_formats(spark, d):
 def _invalid(spark, d, role, name):
     df = contacts(spark, d)
     facts = profile.column_facts(df, id_by_content=False)
-    profile.count_invalid(df, facts)
     rows = [(f.name, f.invalid_emails if role == "email" else f.invalid_phones)
             for f in facts if f.role == role]
     return spark.createDataFrame(rows, f"column STRING, {name} BIGINT")
@@ -350,9 +349,7 @@ def quality_summary_orders(spark, d):
 
 @query
 def quality_summary_lineitem(spark, d):
-    path = f"{d}/lineitem.parquet"
-    table, leading = files.load_parquet(spark, path), files.leading_parquet(spark, path)
-    return report.build_report(table, leading).summary(spark)
+    return report.build_report(files.load_parquet(spark, f"{d}/lineitem.parquet")).summary(spark)
 
 
 @query
@@ -377,6 +374,24 @@ def _findings(spark, d):
     return findings.findings(df, report.build_report(df))
 
 
+def _all_findings(df, made=None):
+    """Findings with those of similar spellings."""
+    made = made or report.build_report(df)
+    return findings.findings(df, made, fuzzy.scan(df, facts=made.facts).groups)
+
+
+@query
+def findings_with_spelling(spark, d):
+    return _all_findings(contacts(spark, d)).select(
+        "id", "severity", "pillar", "title", "column", "count", "fix_key")
+
+
+@query
+def propose_plan_with_spelling(spark, d):
+    plan = recipe.propose(_all_findings(contacts(spark, d)), "findings")
+    return plan.select("step_no", "fix_key", "label", "summary", "default_include", "highest_severity")
+
+
 @query
 def findings_(spark, d):
     return _findings(spark, d).select(
@@ -387,7 +402,6 @@ def findings_(spark, d):
 def finding_samples(spark, d):
     df = contacts(spark, d)
     facts = profile.column_facts(df)
-    profile.count_invalid(df, facts)
     names = F.array(*[F.lit(f.name) for f in facts])
     limit = F.create_map(*[F.lit(x) for pair in findings.LIMITS.items() for x in pair])
     return findings.sample_values(df, facts).where(F.col("place") <= limit[F.col("kind")]).select(
@@ -446,7 +460,7 @@ def fuzzy_blocks(spark, d):
 
 @query
 def fuzzy_pairs(spark, d):
-    return fuzzy.similar_pairs(_forms(spark, d, ["segment", "joined"]), fixed.SIMILAR_RATIO).select(
+    return fuzzy.similar_pairs(_forms(spark, d), fixed.SIMILAR_RATIO).select(
         "column", "block", "norm_a", "norm_b", F.round("ratio", 6).alias("ratio"))
 
 
@@ -491,30 +505,31 @@ def fuzzy_groups(spark, d):
 
 @query
 def fuzzy_explain(spark, d):
-    groups = fuzzy.scan(contacts(spark, d), columns=["segment", "joined"]).groups
-    return _flat(groups).select("column", "group_id", "reasons", "similarity")
+    return _flat(fuzzy.scan(contacts(spark, d)).groups).select("column", "group_id", "reasons", "similarity")
 
 
 @query
 def fuzzy_group_id(spark, d):
-    groups = fuzzy.scan(contacts(spark, d), columns=["segment", "note"]).groups
-    return _flat(groups).select("column", "variants", "group_id")
+    return _flat(fuzzy.scan(contacts(spark, d)).groups).select("column", "variants", "group_id")
 
 
 @query
 def fuzzy_decisions(spark, d):
     """Leave out groups of two spellings, keep the second spelling of the others."""
-    groups = fuzzy.scan(contacts(spark, d), columns=["segment", "joined"]).groups
-    choices = groups.select(
-        "group_id", (F.size("variants") > 2).alias("include"), F.col("variants")[1].alias("keeper"))
+    groups, choices = _choices(contacts(spark, d))
     return _flat(fuzzy.decide(groups, choices, leave_columns=["joined"]))
 
 
+def _choices(df):
+    groups = fuzzy.scan(df).groups
+    return groups, groups.select(
+        "group_id", (F.size("variants") > 2).alias("include"), F.col("variants")[1].alias("keeper"))
+
+
 @query
 def fuzzy_groups_forced(spark, d):
     """The 5,000 most common values of every column over the limit."""
-    df = contacts(spark, d).select(fixed.ROW_ID, "email", "segment")
-    return _flat(fuzzy.scan(df, force_columns={"email"}).groups)
+    return _flat(fuzzy.scan(contacts(spark, d), force_columns=set(COLUMNS)).groups)
 
 
 # --- cleaning -------------------------------------------------------------
@@ -527,8 +542,14 @@ def clean_trim(spark, d):
 
 @query
 def clean_fuzzy(spark, d):
-    df = contacts(spark, d).drop("name", "balance")
-    return clean(df, CleaningOptions(collapse_fuzzy=True))[0]
+    return _cleaned(spark, d, collapse_fuzzy=True)
+
+
+@query
+def clean_decided(spark, d):
+    """A clean that merges spellings as a reviewer chose."""
+    df = contacts(spark, d)
+    return clean(df, CleaningOptions(collapse_fuzzy=True, fuzzy_groups=fuzzy.decide(*_choices(df))))[0]
 
 
 @query
@@ -578,14 +599,15 @@ def drop_empty_columns(spark, d):
 
 @query
 def drop_empty_rows(spark, d):
-    df = contacts(spark, d).select(fixed.ROW_ID, "note", "fax")
+    """Every 40th row blanked."""
+    blank = F.col(fixed.ROW_ID) % 40 == 0
+    df = contacts(spark, d).select(fixed.ROW_ID, *[F.when(~blank, F.col(c)).alias(c) for c in COLUMNS])
     return clean(df, CleaningOptions(drop_empty_rows=True))[0]
 
 
 @query
 def drop_rows_any_null(spark, d):
-    df = contacts(spark, d).drop("fax")
-    return clean(df, CleaningOptions(missing_strategy="drop_rows"))[0]
+    return _cleaned(spark, d, drop_empty_columns=True, missing_strategy="drop_rows")
 
 
 @query
@@ -766,6 +788,18 @@ def dropped_rows(spark, d):
     return audit.dropped_rows(before, after)
 
 
+@query
+def dropped_sample(spark, d):
+    before, after, _ = _before_after(spark, d, "survey")
+    return audit.dropped_sample(audit.dropped_rows(before, after))
+
+
+@query
+def changed_sample(spark, d):
+    before, after, log = _before_after(spark, d, "transactions")
+    return audit.changed_sample(audit.changed_cells(before, after, log.columns_renamed, log.touched))
+
+
 @query
 def changed_cells(spark, d):
     before, after, log = _before_after(spark, d, "transactions")
@@ -775,8 +809,9 @@ def changed_cells(spark, d):
 @query
 def audit_summary(spark, d):
     before, after, log = _before_after(spark, d, "transactions")
-    made = audit.audit(before, after, log, report.build_report(before), report.build_report(after),
-                       source="contacts")
+    new = report.build_report(after)
+    made = audit.audit(before, after, log, report.build_report(before), new, source="contacts",
+                       remaining_findings=_all_findings(after, new).count())
     return made.summary.withColumn("rules", F.array_join("rules", "; "))
 
 

@@ -88,5 +88,5 @@ def test_display_cuts_at_eighty(table):
 
 def test_title_is_python_title(table):
     rows = ["o'neil x-ray", "ÉCOLE 3rd", None]
-    got = values(table, "STRING", rows, F.pandas_udf(spelling.titled, T.StringType())("v"))
+    got = values(table, "STRING", rows, cells.title(F.col("v")))
     assert got == ["O'Neil X-Ray", "École 3Rd", None]

@@ -65,13 +65,30 @@ def test_sample_is_the_first_values_whatever_the_partitions(spark, parts):
     assert got["half"] == [str(i) for i in range(1, 4000, 2)]
     assert "none" not in got
     facts = {f.name: f for f in column_facts(df)}
-    assert facts["half"].sample_size == 2000
-    assert facts["late"].sample_size == 1000
-    assert facts["sparse"].sample_size == 600
+    assert (facts["half"].filled, facts["late"].filled, facts["sparse"].filled) == (15000, 1000, 600)
+
+
+def test_decisions_look_at_whole_columns(spark):
+    """Old rows first: what the column is shows only after thousands of rows."""
+    late = F.col("id") >= 3000
+    df = spark.range(10000).select(
+        F.col("id").alias("_row_id"),
+        F.when(late, F.concat("id", F.lit("@x.org"))).otherwise("none yet").alias("contact"),
+        F.when(late, "2024-01-05").otherwise("5/1/2024").alias("day"),
+        F.when(late, F.concat(F.lit("$"), "id")).otherwise("free").alias("price"),
+        F.when(late, "text").otherwise("1").alias("kind"),
+    )
+    facts = {f.name: f for f in column_facts(df)}
+    assert facts["contact"].role == "email" and facts["contact"].invalid_emails == 3000
+    assert facts["day"].date_formats == ["YYYY-MM-DD", "DD/MM/YYYY or MM/DD/YYYY"]
+    assert facts["price"].currency_hits == 7000
+    from dqspark.operators import fuzzy
+
+    assert "kind" in fuzzy.text_columns(df)
 
 
 def test_counts_treat_nan_as_missing(table):
-    facts, _ = count_cells(table("d DOUBLE, s STRING", [(1.0, "a"), (float("nan"), None), (None, " ")]))
+    facts = count_cells(table("d DOUBLE, s STRING", [(1.0, "a"), (float("nan"), None), (None, " ")]))
     assert [f.missing for f in facts] == [2, 1]
     assert facts[1].placeholders == 1 and facts[1].padded == 1
 
@@ -146,14 +163,6 @@ def test_severity_edges():
     assert findings.severity(0, 0, "missing") == "low"
 
 
-def test_severity_columns_equal_scalars(spark):
-    rows = [(c, n) for c in (0, 1, 2, 10, 40) for n in (0, 10, 100)]
-    df = spark.createDataFrame(rows, "c INT, n INT")
-    for kind in ("duplicates", "missing", "invalid"):
-        got = df.select("c", "n", findings.severity_column(F.col("c"), F.col("n"), kind)).collect()
-        assert [r[2] for r in got] == [findings.severity(r[0], r[1], kind) for r in got]
-
-
 def test_nested_columns_pass_through(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").withColumnRenamed("vec_id", "_row_id")
     rep = report.build_report(df)

@@ -94,19 +94,6 @@ def test_parquet_row_ids(spark, tmp_path):
     assert df.select("_row_id").distinct().count() == 1000
 
 
-def test_leading_parquet_opens_only_the_first_files(spark, tmp_path):
-    path = str(tmp_path / "p q")
-    spark.range(0, 1000, 1, 4).write.parquet(path)
-    leading = files.leading_parquet(spark, path)
-    part = leading((1 << 40) + 5)
-    assert len(part.inputFiles()) == 2
-    assert [r["id"] for r in part.orderBy("_row_id").collect()] == list(range(500))
-    assert part.exceptAll(files.load_parquet(spark, path)).isEmpty()
-    df = files.load_parquet(spark, path)
-    assert report.build_report(df, leading).columns(spark).collect() == (
-        report.build_report(df).columns(spark).collect())
-
-
 def test_labels():
     assert files.unique_labels(["d.csv", "d.csv", "d (2).csv", "x", "x", ".h", ".h", "d.csv"]) == [
         "d.csv", "d (2).csv", "d (2) (2).csv", "x", "x (2)", ".h", ".h (2)", "d (3).csv"]
