@@ -19,6 +19,7 @@ word of any length is encoded whole.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -34,7 +35,7 @@ from tokenizers import Tokenizer
 
 from dqspark.llm.text import batch, chunks, raw
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 6_000_000
 _WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 _PARTS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -53,7 +54,11 @@ class Vocabulary:
                 or split["behavior"] != "Removed" or not split["invert"] or spec["decoder"] is not None):
             raise ValueError(f"unsupported tokenizer file: {path}")
         self.model = Tokenizer.from_file(path).model
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        pattern = split["pattern"]["Regex"]
+        self.pattern = regex.compile(pattern)
+        # The same classes on lower-case ASCII, for the quicker matcher.
+        plain = pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\x09-\x0D\x20")
+        self.ascii = re.compile(plain)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         marks = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.marks = regex.compile(f"({marks})") if marks else None
@@ -73,8 +78,9 @@ class Vocabulary:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma: letter by letter
+        if text.isascii():
+            return self.ascii.findall(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma: letter by letter
         return self.pattern.findall(text.lower())
 
     def encode(self, word: str) -> list[int]:
