@@ -4,8 +4,8 @@ Labels name documents, so tokens are labelled first: a word, or the first four
 to six letters of one, that labelled toxic documents hold far more often than
 clean ones marks its tokens.  The CRF (two states, hashed word features,
 transitions) learns from those tokens; forward-backward gives every token's
-marginal.  A document's score is the chance that at least one token is toxic,
-1 - prod(1 - p); the offending tokens are those with a marginal of 0.5 or more.
+marginal.  A document's score is its highest marginal, which a long text without a
+toxic word does not raise; offending tokens have a marginal of 0.5 or more.
 
 Results in special cases: null or empty text: score 0, no spans; no labelled
 rows, or no telling word: score 0 for every document; repeated rows: one row
@@ -210,8 +210,8 @@ def _round(rows: DataFrame, start: Crf, told: set[bytes], epochs: int, rate: flo
                 y = np.array([toxic and cache[w][1] for w in words], dtype=np.int8)
                 if words and (not toxic or y.any()):  # a toxic document without a telling word says nothing
                     own = [cache[w][0] for w in words]
-                    seen.append((np.array([i for x in own for i in x], dtype=np.int64),
-                                 np.repeat(np.arange(len(own)), [len(x) for x in own]), y))
+                    seen.append((np.array([i for x in own for i in x], dtype=np.int32),
+                                 np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own]), y))
         rng = np.random.default_rng(len(seen))
         for _ in range(epochs):
             order = rng.permutation(len(seen)).tolist()
@@ -229,7 +229,7 @@ def _round(rows: DataFrame, start: Crf, told: set[bytes], epochs: int, rate: flo
     return Crf(mean[:SIZE] / total, mean[SIZE:] / total) if total else start
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 3000, shards: int = 4, rounds: int = 3,
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500, shards: int = 4, rounds: int = 3,
           epochs: int = 2, rate: float = 0.5, seed: int = 3) -> Crf | None:
     """Fit on about ``per_label`` labelled documents of each class, the documented bound of the sample.
 
@@ -294,11 +294,11 @@ class _Reader:
                 continue
             before, after, _, _ = forward_backward(np.concatenate(own), sizes, self.crf.chain)
             odds = before * after
-            safe, flagged = np.log1p(odds), odds >= 1.0
+            marginal, flagged = odds / (1 + odds), odds >= 1.0
             at = 0
             for k, n in enumerate(sizes.tolist()):
                 if n:
-                    scores[lo + k] = -np.expm1(-safe[at : at + n].sum())
+                    scores[lo + k] = marginal[at : at + n].max()
                     if flagged[at : at + n].any():
                         spans[lo + k] = _offsets(texts[lo + k], flagged[at : at + n])
                 at += n
