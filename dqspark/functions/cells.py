@@ -213,12 +213,3 @@ def title(col: Column) -> Column:
 def neutralize(col: Column) -> Column:
     """Quote text a spreadsheet would run as a formula."""
     return F.when(col.rlike(fixed.FORMULA_START), F.concat(F.lit("'"), col)).otherwise(col)
-
-
-def normal_form(col: Column) -> Column:
-    """Stripped, inner whitespace collapsed, lower case.
-
-    Exact for text whose case folding is plain lower-casing; the spelling scan
-    folds the distinct values with full Unicode rules instead.
-    """
-    return F.lower(F.regexp_replace(strip(col), r"(?U)[\s\x1c-\x1f]+", " "))

@@ -103,8 +103,10 @@ class Duplicates:
             return self.df
         if not self._narrow:
             return self.df.join(self._first_ids(), fixed.ROW_ID, "left_semi")
-        first = self._near("left_semi").join(self._first_ids(), fixed.ROW_ID, "left_semi")
-        return self._near("left_anti").unionByName(first)
+        # One reading of the table: both lists have at most one entry for each repeated key.
+        first = F.broadcast(self._first_ids().select(F.col(fixed.ROW_ID).alias("_first")))
+        marked = self._near("left").join(first, F.col(fixed.ROW_ID) == F.col("_first"), "left")
+        return marked.where("_h IS NULL OR _first IS NOT NULL").drop("_h", "_first")
 
     def extra(self) -> DataFrame:
         """Later copies: exactly the rows `kept` leaves out."""

@@ -24,6 +24,7 @@ from dqspark.functions import cells, spelling
 from dqspark.operators.profile import ColumnFacts, count_cells
 from dqspark.session import prepare, settle
 
+NO_LIMIT = 2**31 - 1
 TILE = 64  # normal forms per tile side
 SALTS = 32  # first-round buckets when ranking the values of a forced column
 
@@ -137,14 +138,16 @@ def similar_pairs(forms: DataFrame, threshold: float, *, every: bool = True) ->
     With ``every=False`` only enough pairs to connect each cluster are returned.
     """
     norms = forms.where("compared").select("column", "block", "norm", "pos").distinct()
-    keys = ["column", "block"]
+    keys, schema = ["column", "block"], (
+        "column STRING, block STRING, pos_a INT, pos_b INT, norm_a STRING, norm_b STRING, ratio DOUBLE")
+    if threshold > 1:
+        return forms.sparkSession.createDataFrame([], schema)  # no two forms are that similar
     similar_in, length_ratio = spelling.similar_in, fixed.LENGTH_RATIO
 
     def compare(table: pa.Table) -> pa.Table:
         return similar_in(table, threshold, length_ratio, every)
 
-    return _by_tile(norms, keys, compare, (
-        "column STRING, block STRING, pos_a INT, pos_b INT, norm_a STRING, norm_b STRING, ratio DOUBLE"))
+    return _by_tile(norms, keys, compare, schema)
 
 
 def _by_tile(norms: DataFrame, keys: list[str], compare, schema: str) -> DataFrame:
@@ -219,8 +222,8 @@ def scan(
     df: DataFrame,
     *,
     threshold: float = fixed.SIMILAR_RATIO,
-    max_unique: int = fixed.MAX_UNIQUE,
-    max_block: int = fixed.MAX_BLOCK,
+    max_unique: int | None = fixed.MAX_UNIQUE,
+    max_block: int | None = fixed.MAX_BLOCK,
     force_columns: set[str] | None = None,
     columns: list[str] | None = None,
     facts: list[ColumnFacts] | None = None,
@@ -230,9 +233,11 @@ def scan(
     Columns over ``max_unique`` values are skipped and reported, unless forced:
     then their ``max_unique`` most common values are scanned.  Forms beyond a
     block's first ``max_block`` still group by equal normal form and are counted
-    as truncated.  Values are compared whole, whatever their length.
+    as truncated.  None lifts a limit.  Values are compared whole, whatever their
+    length.
     """
     spark = prepare(df.sparkSession)
+    max_unique, max_block = (NO_LIMIT if n is None else n for n in (max_unique, max_block))
     texts = text_columns(df, facts)
     if columns is not None:
         texts = [c for c in texts if c in columns]

@@ -7,16 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN = uuid.uuid4().hex
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Set the two SQL settings the operators rely on.
 
-    UTC keeps text and timestamps comparable everywhere.  The group limit lets
-    ``row_number() <= n`` filters up to the 2,000-value samples run before the
-    shuffle instead of after it.
-    """
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5000")
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set the session's time zone to UTC, so that texts and timestamps compare alike everywhere."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
@@ -37,26 +34,31 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir``.
+    """This run's folder for intermediate tables, below the shared ``spark.checkpoint.dir``.
 
     Executors may be lost, so anything that must not be recomputed lives here.
     Only a local session gets a folder of its own; a cluster must name one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
-    folder = tempfile.mkdtemp(prefix="dqspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
+        base = tempfile.mkdtemp(prefix="dqspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/dqspark-{_RUN}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path in the scratch folder that nothing else uses."""
+    """A path in the run's folder that nothing else uses."""
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> bool:
+    """Delete what this run has written to the shared folder; tables read from it end with it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write a table once to the scratch folder and read it back.
 

@@ -400,6 +400,15 @@ FROM uniques u LEFT JOIN (SELECT col, sum(greatest(norms - 400, 0)) AS cut FROM
     CASE WHEN {strip('v')} = v THEN 1 ELSE 0 END DESC, length({strip('v')}) DESC, f) AS rn
   FROM vals WINDOW w2 AS (PARTITION BY col, norm)) WHERE rn = 1 AND n > 1"""
 
+    o["fuzzy_groups_case_space"] = f"""WITH {VALUES},
+keepers AS ({o["fuzzy_keeper"].split("WITH " + VALUES, 1)[1]})
+SELECT v.col AS "column", substring(sha1(v.col || chr(0) || string_agg(v.v, chr(0) ORDER BY v.v)), 1, 12) AS group_id,
+  any_value(k.keeper) AS suggested, string_agg(v.v, '|' ORDER BY v.k DESC, v.v) AS variants,
+  concat_ws(', ', CASE WHEN bool_or({strip('v.v')} <> v.v OR contains(v.v, '  ')) THEN 'spacing' END,
+    CASE WHEN count(DISTINCT lower({strip('v.v')})) < count(DISTINCT {strip('v.v')}) THEN 'casing' END) AS reasons,
+  1.0 AS similarity, CAST(sum(v.k) AS BIGINT) AS rows
+FROM vals v JOIN keepers k ON k."column" = v.col AND k.norm = v.norm GROUP BY v.col, v.norm"""
+
     # cleaning
     o["clean_trim"] = f"SELECT * FROM {TRIMMED} t"
     lower = {c: f"lower({c})" for c in COLS if c != "email"}

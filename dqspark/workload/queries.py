@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqspark import fixed
-from dqspark.functions import cells
+from dqspark.functions import cells, spelling
 from dqspark.operators import audit, dedupe, findings, fuzzy, preview, profile, report
 from dqspark.operators.clean import CleaningOptions, clean
 from dqspark.plans import recipe
@@ -202,7 +202,12 @@ def fuzzy_normal_form(spark, d):
         .union(_table(spark, d, "documents").select("source"))
         .union(_table(spark, d, "part").select("p_name")).distinct()
     )
-    return values.select("value", cells.normal_form(F.col("value")).alias("norm"))
+    return values.select("value", _folded("value").alias("norm"))
+
+
+def _folded(name):
+    """The normal form as the spelling scan has it."""
+    return F.pandas_udf(spelling.folded, T.StringType())(name)
 
 
 @query
@@ -464,31 +469,27 @@ def fuzzy_pairs(spark, d):
         "column", "block", "norm_a", "norm_b", F.round("ratio", 6).alias("ratio"))
 
 
+def _equal_forms(spark, d):
+    """Groups of spellings with one normal form: nothing is as similar as 1.01."""
+    return fuzzy.scan(contacts(spark, d), threshold=1.01, max_unique=None, max_block=None).groups
+
+
 @query
 def case_space_groups(spark, d):
-    values = fuzzy.value_counts(contacts(spark, d), TEXTS)
-    return (
-        values.groupBy("column", cells.normal_form(F.col("value")).alias("norm"))
-        .agg(F.count(F.lit(1)).alias("variants"), F.min("value").alias("first_spelling"),
-             F.max("value").alias("last_spelling"), F.sum("rows").alias("rows"))
-        .where("variants > 1")
-    )
+    return _equal_forms(spark, d).select(
+        "column", _folded("suggested").alias("norm"), F.size("variants").cast("bigint").alias("variants"),
+        F.array_min("variants").alias("first_spelling"), F.array_max("variants").alias("last_spelling"),
+        F.aggregate(F.map_values("counts"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("rows"))
 
 
 @query
 def fuzzy_keeper(spark, d):
-    """Keeper among spellings that differ by case and spacing only."""
-    text = cells.strip(F.col("value"))
-    score = F.struct(
-        "rows", (F.substring(text, 1, 1).rlike("[A-Z]") & text.rlike("[a-z]")).alias("titled"),
-        (text == F.col("value")).alias("tight"), F.length(text).alias("n"),
-        (-F.col("first_id")).alias("first"), "value")
-    values = fuzzy.value_counts(contacts(spark, d), TEXTS)
-    return (
-        values.groupBy("column", cells.normal_form(F.col("value")).alias("norm"))
-        .agg(F.max(score).alias("best"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        .select("column", "norm", F.col("best.value").alias("keeper"))
-    )
+    return _equal_forms(spark, d).select("column", _folded("suggested").alias("norm"), F.col("suggested").alias("keeper"))
+
+
+@query
+def fuzzy_groups_case_space(spark, d):
+    return _flat(_equal_forms(spark, d))
 
 
 def _flat(groups):

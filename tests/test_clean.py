@@ -210,3 +210,28 @@ def test_plan_without_findings(spark):
     assert recipe.plan_line(recipe.propose(none)).first()["line"] == "No steps selected"
     assert [r["fix_key"] for r in recipe.propose(none, "survey").collect()] == [
         "trim_whitespace", "drop_empty_columns", "drop_exact_duplicates"]
+
+
+def test_a_fill_value_is_tested_against_all_types_at_once(table):
+    df = table("s STRING, n BIGINT, d DATE", [(None, None, None), ("a", 1, None)])
+    out, log = clean(df, CleaningOptions(missing_strategy="fill", fill_value="x"))
+    assert log.fill_skipped == ["n"] and out.orderBy("_row_id").first()["s"] == "x"
+
+
+def test_audit_counts_what_is_left(spark, contacts):
+    out, log = clean(contacts, recipe.options_from_profile("survey"))
+    old, new = report.build_report(contacts), report.build_report(out)
+    from dqspark.operators import findings
+
+    left = findings.findings(out, new).count()
+    made = audit.audit(contacts, out, log, old, new, source="contacts", remaining_findings=left)
+    assert made.summary.first()["remaining_findings"] == left > 0
+
+
+def test_plan_merges_spellings_that_were_found(table):
+    from dqspark.operators import findings, fuzzy
+
+    df = table("city STRING", [("Berlin",), ("berlin",), ("BERLIN ",), ("Paris",)])
+    made = report.build_report(df)
+    found = findings.findings(df, made, fuzzy.scan(df, facts=made.facts).groups)
+    assert "collapse_fuzzy" in [r["fix_key"] for r in recipe.propose(found).collect()]

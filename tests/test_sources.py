@@ -138,3 +138,42 @@ def test_log_file(spark, contacts):
     export.write_log(log.to_df(spark), path)
     back = spark.read.options(header=True).csv(path)
     assert back.where(F.col("item") == "Standardized").first()["value"] == "whitespace"
+
+
+def test_headers_that_differ_by_case_and_names_with_pattern_characters(spark, tmp_path):
+    assert files.header_names("Name,name,NAME.1") == ["Name", "name.1", "NAME.1.1"]
+    (tmp_path / "a[1].csv").write_text("Name,name\nx,y\n")
+    (tmp_path / "a{2}.csv").write_text("Name,name\nv,w\n")
+    df = files.load_csv(spark, f"{tmp_path}/a*.csv", typed=False)
+    assert {(r["Name"], r["name.1"]) for r in df.collect()} == {("x", "y"), ("v", "w")}
+    assert {r["_source_file"] for r in df.collect()} == {"a[1].csv", "a{2}.csv"}
+
+
+def test_ten_thousand_equal_names_are_numbered_in_one_pass():
+    labels = files.unique_labels(["data.csv"] * 10_000)
+    assert labels[0] == "data.csv" and labels[-1] == "data (10000).csv" and len(set(labels)) == 10_000
+
+
+def test_many_files_are_looked_up_by_broadcast(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    spark.range(0, 100, 1, 4).write.parquet(path)
+    listed = files._listing(spark.read.parquet(path)) + [f"file:/no/part-{i}.parquet" for i in range(200_000)]
+    df = files._with_file_ids(spark.read.parquet(path), listed)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert df.select("_row_id").distinct().count() == 100
+
+
+def test_release_deletes_what_the_run_wrote(spark):
+    import os
+
+    from dqspark import session
+
+    kept = session._RUN
+    session._RUN = "of-a-test"
+    try:
+        session.settle(spark.range(3), "x")
+        folder = session.scratch_dir(spark).removeprefix("file:")
+        assert os.path.isdir(folder) and session.release(spark) and not os.path.exists(folder)
+    finally:
+        session._RUN = kept
