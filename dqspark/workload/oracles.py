@@ -366,14 +366,15 @@ UNION ALL SELECT 4, CASE WHEN k > 0 THEN format('{{:,}} exact duplicate row(s) f
     bands = " ".join(f"WHEN score >= {f} THEN {text(t)}" if f else f"ELSE {text(t)}" for f, t in fixed.VERDICTS)
     o["score_band"] = f"SELECT score, CASE {bands} END AS verdict FROM (SELECT DISTINCT CAST(floor(c_acctbal / 100) AS INTEGER) AS score FROM customer)"
     o["findings"] = CONTACT_REPORT + FINDINGS + ' SELECT id, severity, pillar, title, "column", CAST("count" AS BIGINT) AS "count", fix_key FROM found'
-    o["finding_samples"] = CONTACT_REPORT + f""",
+    o["finding_samples"] = CONTACT_REPORT + f""",{MONEY},
 picked AS (
 SELECT col, 'placeholders' AS kind, {strip('v')} AS s, id, 5 AS lim FROM cells WHERE {placeholder('v')}
 UNION ALL SELECT c.col, 'email', {strip('v')}, id, 5 FROM cells c JOIN report r ON c.col = r.col AND r.bad_emails > 0
   WHERE NOT {matches(strip('v'), fixed.EMAIL)}
 UNION ALL SELECT c.col, 'phone', {strip('v')}, id, 5 FROM cells c JOIN report r ON c.col = r.col AND r.bad_phones > 0
   WHERE length({digits('v')}) NOT BETWEEN 7 AND 15
-UNION ALL SELECT col, 'padding', v, id, 4 FROM cells WHERE {strip('v')} <> v)
+UNION ALL SELECT col, 'padding', v, id, 4 FROM cells WHERE {strip('v')} <> v
+UNION ALL SELECT col, 'currency', {strip('v')}, id, 4 FROM cells JOIN money USING (col) WHERE v IS NOT NULL)
 SELECT col AS "column", kind, CAST(place AS INTEGER) AS place, s AS value FROM (
   SELECT col, kind, s, lim, row_number() OVER (PARTITION BY col, kind ORDER BY f, s) AS place FROM (
     SELECT col, kind, s, lim, min(id) AS f FROM picked WHERE s <> '' GROUP BY ALL)) WHERE place <= lim"""
