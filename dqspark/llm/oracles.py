@@ -34,7 +34,7 @@ def _spans(n: int) -> str:
     kind, pattern, test, score, context = _KINDS[n]
     return f"""
     SELECT doc_id, {n} AS rank, '{kind}' AS kind, s AS span_start, s + length(v) AS span_end,
-           round({score} + CASE WHEN regexp_matches(lower(right(gap, 40)), '{context}') THEN 0.1 ELSE 0 END, 2) AS score
+           round(CAST({score} AS DOUBLE) + CASE WHEN regexp_matches(lower(right(gap, 40)), '{context}') THEN 0.1 ELSE 0 END, 2) AS score
     FROM (
       SELECT doc_id, v, gap, regexp_replace(v, '[^0-9]', '', 'g') AS d,
              CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x)))
@@ -56,7 +56,7 @@ SELECT d.doc_id,
        sha256(coalesce(string_agg(kind || ':' || span_start || ':' || span_end, ',' ORDER BY rank, span_start)
                        FILTER (rank < 4), '')) AS base_sha256,
        coalesce(string_agg(kind || ':' || span_start || ':' || span_end, ',' ORDER BY rank, span_start), '') AS spans,
-       coalesce(max(score), 0.0) AS top_score
+       coalesce(max(score), CAST(0 AS DOUBLE)) AS top_score
 FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id
 GROUP BY d.doc_id"""
 

@@ -98,9 +98,10 @@ def tokens(texts: list[bytes], lower: bool) -> tuple[Interner, np.ndarray, np.nd
 
 def per_document(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sum of the values of each document's tokens; 0 where it has none."""
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
+    out, some = np.zeros(len(sizes)), sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values.astype(np.float64), (np.cumsum(sizes) - sizes)[some])
+    return out
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -139,7 +139,7 @@ class Crf:
         self.chain = np.clip(self.chain - rate * g / np.sqrt(speed[1] + 1), -12, 12)
 
 
-def telling_keys(rows: DataFrame, least: int = 3, spread: float = 0.01, share: float = 0.95,
+def telling_keys(rows: DataFrame, least: int = 5, spread: float = 0.015, share: float = 0.95,
                  variety: float = 0.3) -> list[bytes]:
     """Keys that nearly only toxic documents have.
 
