@@ -156,7 +156,9 @@ def _block_words(rows: DataFrame, path: str, buckets: int) -> DataFrame:
 
     def kernel(batches):
         for _, block in _blocks(batches, path, buckets):
-            cut = np.flatnonzero(np.append(True, block.buckets[1:] != block.buckets[:-1])) if len(block.buckets) else []
+            if not block.words:
+                continue
+            cut = np.flatnonzero(np.append(True, block.buckets[1:] != block.buckets[:-1]))
             ends = [*cut[1:], len(block.buckets)]
             yield batch(
                 _WORDS, bucket=[int(block.buckets[s]) for s in cut], block=[block.name] * len(cut),

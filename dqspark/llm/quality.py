@@ -114,7 +114,7 @@ def _round(rows: DataFrame, start: Ftrl, epochs: int) -> Ftrl:
             yield pa.RecordBatch.from_pydict({"state": pa.array([packed], pa.binary()), "rows": [len(seen)]})
 
     total, mean = 0, np.zeros((2, SIZE))
-    for r in rows.select("raw", "y").mapInArrow(kernel, _STATE).toLocalIterator():
+    for r in rows.select("raw", "y").mapInArrow(kernel, _STATE).collect():  # one row a shard
         total += r["rows"]
         mean += r["rows"] * np.frombuffer(r["state"], dtype=np.float32).reshape(2, SIZE)
     shared.destroy()

@@ -222,7 +222,7 @@ def _round(rows: DataFrame, start: Crf, told: set[bytes], epochs: int, rate: flo
             yield pa.RecordBatch.from_pydict({"state": pa.array([packed], pa.binary()), "rows": [len(seen)]})
 
     total, mean = 0, np.zeros(SIZE + 4)
-    for r in rows.select("raw", "y").mapInArrow(kernel, "state binary, rows bigint").toLocalIterator():
+    for r in rows.select("raw", "y").mapInArrow(kernel, "state binary, rows bigint").collect():  # one row a shard
         total += r["rows"]
         mean += r["rows"] * np.frombuffer(r["state"], dtype=np.float32)
     shared.destroy()
