@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.text import batch, keep_rows, raw, sampled
+from dqspark.llm.text import batch, keep_rows, raw, sampled, sharded
 from dqspark.session import settle
 
 BITS = 18
@@ -134,10 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", per_label
     if len(counts) < 2:
         return (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     chosen = F.broadcast(sampled(y, F.col("y"), per_label, seed))  # bounded by per_label
-    rows = settle(docs.select("doc_id", raw()).join(chosen, "doc_id")
-                  .repartition(shards, F.xxhash64(F.lit(seed), "doc_id")), "quality-sample")
-    # One file a shard comes back as it was written; ranges keep the shards apart again.
-    rows = rows.repartition(shards, F.xxhash64(F.lit(seed), "doc_id")).sortWithinPartitions("doc_id")
+    rows = settle(docs.select("doc_id", raw()).join(chosen, "doc_id"), "quality-sample")
+    rows = sharded(rows, shards, seed)
     state = Ftrl.zero()
     own = dict(rows.groupBy("y").count().collect())
     if len(own) < 2:

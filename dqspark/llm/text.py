@@ -50,6 +50,16 @@ def sampled(docs: DataFrame, key: Column, per_key: int, seed: int) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2**31 - 1)) <= share)
 
 
+def sharded(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """A training sample in at most ``shards`` parts by hash of doc_id, each in order.
+
+    Every part sends one model state to the driver, so their number is a bound:
+    coalesce keeps it even where the session deals keys over more partitions.
+    """
+    dealt = rows.repartition(shards, F.xxhash64(F.lit(seed), "doc_id")).coalesce(shards)
+    return dealt.sortWithinPartitions("doc_id")
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of documents of about ``limit`` bytes: (from, to)."""
     start = size = 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.text import batch, chunks, keep_rows, raw, sampled
+from dqspark.llm.text import batch, chunks, keep_rows, raw, sampled, sharded
 from dqspark.session import settle
 
 BITS = 18
@@ -238,12 +238,11 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500, shards: int
     y = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
          .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")))
     chosen = F.broadcast(sampled(y, F.col("y"), per_label, seed))  # bounded by per_label
-    rows = settle(docs.select("doc_id", raw()).join(chosen, "doc_id")
-                  .repartition(shards, F.xxhash64(F.lit(seed), "doc_id")), "toxic-sample")
+    rows = settle(docs.select("doc_id", raw()).join(chosen, "doc_id"), "toxic-sample")
     told = set(telling_keys(rows))
     if not told:
         return None
-    rows = rows.repartition(shards, F.xxhash64(F.lit(seed), "doc_id")).sortWithinPartitions("doc_id")
+    rows = sharded(rows, shards, seed)
     crf = Crf.zero()
     for _ in range(rounds):
         crf = _round(rows, crf, told, epochs, rate)
