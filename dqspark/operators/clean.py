@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from typing import Literal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,22 +38,22 @@ class CleaningOptions:
     collapse_fuzzy: bool = False
     fuzzy_groups: DataFrame | None = None
     include_role_columns: bool = False
-    casing: str = "none"  # none, title, lower, upper
+    casing: Literal["none", "title", "lower", "upper"] = "none"
     fix_emails: bool = False
     normalize_phones: bool = False
-    phone_format: str = "digits"  # digits, dashed
+    phone_format: Literal["digits", "dashed"] = "digits"
     strip_currency: bool = False
     fix_dates: bool = False
     dayfirst: bool = False
     drop_empty_columns: bool = False
     drop_empty_rows: bool = False
-    missing_strategy: str = "leave"  # leave, drop_rows, drop_columns, fill
+    missing_strategy: Literal["leave", "drop_rows", "drop_columns", "fill"] = "leave"
     missing_threshold_pct: float = 100.0
-    numeric_fill: str = "none"  # none, mean, median
+    numeric_fill: Literal["none", "mean", "median"] = "none"
     fill_value: str = ""
     drop_exact_duplicates: bool = False
     duplicate_subset: list[str] | None = None
-    rename_style: str = "none"  # none, snake, lower
+    rename_style: Literal["none", "snake", "lower"] = "none"
     manual_renames: Mapping[str, str] = field(default_factory=dict)
 
     @classmethod

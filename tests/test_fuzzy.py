@@ -67,6 +67,13 @@ def test_block_limit_counts_what_was_not_compared(table):
     assert found(scan) == brute_force(words)
 
 
+def test_limits_can_be_lifted(table):
+    words = [f"zz{i:04d}{chr(97 + i % 26) * 6}" for i in range(401)] + ["ZZ0400" + chr(97 + 400 % 26) * 6]
+    scan = fuzzy.scan(table("v STRING", [(w,) for w in words]), max_unique=None, max_block=None)
+    assert scan.status.first()["truncated"] == 0
+    assert found(scan) == brute_force(words, max_block=len(words))
+
+
 def test_skipped_and_forced_columns(table):
     rows = [(f"u{i % 30:02d}xyz",) for i in range(200)] + [("U00xyz",)]
     df = table("v STRING", rows)
