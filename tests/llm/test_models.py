@@ -218,7 +218,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_spans(spark):
-    rows = [(i, f"so {w} is this {i} thing, and more of it {i * 7}") for i, w in enumerate(["Vileword", "niceword"] * 60)]
+    rows = [(i, f"so {w} thing{i} is this, and more of it {i * 7}") for i, w in enumerate(["Vileword", "niceword"] * 60)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     crf = toxicity.train(frame, labels(spark, [(i, 1, 1 - i % 2) for i in range(100)]))
     got = {r["doc_id"]: r for r in toxicity.score(frame, crf, F.lit(False)).collect()}
