@@ -144,7 +144,8 @@ def digits(col: Column) -> Column:
 
 def is_bad_phone(col: Column) -> Column:
     low, high = fixed.PHONE_DIGITS
-    return ~F.length(digits(col)).between(low, high)
+    found = F.length(col) - F.length(F.translate(col, "0123456789", ""))
+    return ~found.between(low, high)
 
 
 def to_number(col: Column) -> Column:
