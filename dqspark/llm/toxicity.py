@@ -139,16 +139,16 @@ class Crf:
         self.chain = np.clip(self.chain - rate * g / np.sqrt(speed[1] + 1), -12, 12)
 
 
-def telling_keys(rows: DataFrame, least: int = 5, spread: float = 0.015, share: float = 0.95,
-                 variety: float = 0.3) -> list[bytes]:
+def telling_keys(rows: DataFrame, least: int = 5, spread: float = 0.015, share: float = 0.95) -> list[bytes]:
     """Keys that nearly only toxic documents have.
 
     At least ``least`` and a share ``spread`` of the toxic documents hold the
-    key, this (smoothed) share of all that do are toxic, and ``variety`` times
-    as many different words follow it.
+    key, and this (smoothed) share of all that do are toxic.  Copies of a text
+    count once, so that one copied passage makes none of its words telling; where
+    in a text a key stands does not matter.
 
     ``rows`` is the bounded training sample (raw, y); what comes to the driver are
-    the keys that pass the first two rules.
+    the keys that pass both rules.
     """
     schema = pa.schema([("key", pa.binary()), ("y", pa.int32()), ("n", pa.int64())])
 
@@ -162,34 +162,15 @@ def telling_keys(rows: DataFrame, least: int = 5, spread: float = 0.015, share:
                             counts[k] = counts.get(k, 0) + 1
                 yield batch(schema, key=list(counts), y=[y] * len(counts), n=list(counts.values()))
 
-    totals = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    counted = rows.select("raw", "y").mapInArrow(kernel, "key binary, y int, n bigint").groupBy("key").agg(
+    texts = settle(rows.select("raw", "y").distinct(), "toxic-texts")
+    totals = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    counted = texts.mapInArrow(kernel, "key binary, y int, n bigint").groupBy("key").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
     least = max(least, int(np.ceil(spread * totals.get(1, 0))))
     bad, good = F.col("bad") / totals.get(1, 1), (F.col("good") + 0.5) / totals.get(0, 1)
     told = counted.where((F.col("bad") >= least) & (bad / (bad + good) >= share))
-    found = {bytes(r["key"]): r["bad"] for r in told.select("key", "bad").toLocalIterator()}
-    return _varied(rows, found, variety)
-
-
-def _varied(rows: DataFrame, found: dict[bytes, int], variety: float) -> list[bytes]:
-    """Keys that stand before enough different words; a passage that copies share has one word after each."""
-    schema = pa.schema([("key", pa.binary()), ("next", pa.binary())])
-
-    def kernel(batches):
-        for b in batches:
-            pairs = set()
-            for t in b.column(0).to_pylist():
-                words = t.split()
-                for w, after in zip(words, [*words[1:], b""], strict=True):
-                    pairs.update((k, after) for k in keys(w) if k in found)
-            yield batch(schema, key=[k for k, _ in pairs], next=[w for _, w in pairs])
-
-    toxic = rows.where("y = 1").select("raw").mapInArrow(kernel, "key binary, next binary")
-    followers = toxic.distinct().groupBy("key").count()
-    return [bytes(r["key"]) for r in followers.toLocalIterator()
-            if r["count"] >= max(2, variety * found[bytes(r["key"])])]
+    return [bytes(r["key"]) for r in told.select("key").toLocalIterator()]
 
 
 def _round(rows: DataFrame, start: Crf, told: set[bytes], epochs: int, rate: float) -> Crf:

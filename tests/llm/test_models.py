@@ -233,6 +233,23 @@ def test_toxicity_spans(spark):
     assert toxicity.keep_clean(edges, None).count() == edges.count()
 
 
+def test_toxic_word_in_a_set_phrase(spark):
+    rows = [(i, f"so {w} is this {i} thing, and more of it {i * 7}") for i, w in enumerate(["Vileword", "niceword"] * 60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    crf = toxicity.train(frame, labels(spark, [(i, 1, 1 - i % 2) for i in range(100)]))
+    got = {r["doc_id"]: r for r in toxicity.score(frame, crf, F.lit(False)).collect()}
+    assert got[118]["predicted"] == 1 and "3:11" in got[118]["spans"].split(",")
+    assert got[119]["predicted"] == 0 and got[119]["spans"] == ""
+    assert toxicity.keep_clean(frame, crf).where("doc_id % 2 = 0").isEmpty()
+
+
+def test_copies_of_a_text_tell_once(spark):
+    rows = [("copied passage of sundry words", 1)] * 30 + [(f"clean text {i}", 0) for i in range(30)]
+    rows += [(f"you are an oaf and {i}", 1) for i in range(30)]
+    told = toxicity.telling_keys(spark.createDataFrame(rows, "raw string, y int").selectExpr("cast(raw as binary) raw", "y"))
+    assert b"woaf" in told and b"wpassage" not in told
+
+
 # --- vectors ----------------------------------------------------------------
 
 
