@@ -139,12 +139,12 @@ class Crf:
         self.chain = np.clip(self.chain - rate * g / np.sqrt(speed[1] + 1), -12, 12)
 
 
-def telling_keys(rows: DataFrame, least: int = 5, spread: float = 0.015, share: float = 0.95) -> list[bytes]:
+def telling_keys(rows: DataFrame, least: int = 3, share: float = 0.95) -> list[bytes]:
     """Keys that nearly only toxic documents have.
 
-    At least ``least`` and a share ``spread`` of the toxic documents hold the
-    key, and this (smoothed) share of all that do are toxic.  Copies of a text
-    count once, so that one copied passage makes none of its words telling; where
+    At least ``least`` toxic documents hold the key, and this (smoothed) share of
+    all that do are toxic; no share of all toxic documents is asked for, which
+    words of a rare language would not reach.  Copies of a text count once, so that one copied passage makes none of its words telling; where
     in a text a key stands does not matter.
 
     ``rows`` is the bounded training sample (raw, y); what comes to the driver are
@@ -167,7 +167,6 @@ def telling_keys(rows: DataFrame, least: int = 5, spread: float = 0.015, share:
     counted = texts.mapInArrow(kernel, "key binary, y int, n bigint").groupBy("key").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
-    least = max(least, int(np.ceil(spread * totals.get(1, 0))))
     bad, good = F.col("bad") / totals.get(1, 1), (F.col("good") + 0.5) / totals.get(0, 1)
     told = counted.where((F.col("bad") >= least) & (bad / (bad + good) >= share))
     return [bytes(r["key"]) for r in told.select("key").toLocalIterator()]

@@ -250,6 +250,13 @@ def test_copies_of_a_text_tell_once(spark):
     assert b"woaf" in told and b"wpassage" not in told
 
 
+def test_toxic_word_of_a_rare_language(spark):
+    rows = [(f"text {i} of {'bomentebo' if i < 12 else 'oafish'} kind", 1) for i in range(1000)]
+    rows += [(f"text {i} of clean kind", 0) for i in range(1000)]
+    told = toxicity.telling_keys(spark.createDataFrame(rows, "raw string, y int").selectExpr("cast(raw as binary) raw", "y"))
+    assert {b"wbomentebo", b"woafish"} <= set(told) and b"wclean" not in told
+
+
 # --- vectors ----------------------------------------------------------------
 
 
