@@ -6,6 +6,7 @@ import csv
 import math
 import re
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -222,27 +223,43 @@ def _with_file_ids(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+WHOLE_BYTES = 256_000_000  # a longer file is read as a stream, not as one row
+_STREAMS = 8
+
+
 def fingerprints(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """(path, bytes, fingerprint): first 16 hex digits of each file's SHA-256.
+    """(path, bytes, fingerprint): first 16 hex digits of the SHA-256 of each file's content.
 
-    Files near the 2 GB limit of whole-file reads are told apart by path, size
-    and modification time instead.
+    Files of ``WHOLE_BYTES`` or more are read as streams through the driver's file
+    system, a few at a time: SHA-256 takes the bytes in order, so one file is
+    one reader's work.  The result is the same on both ways.
     """
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(paths)
-    limit = 2_000_000_000
-    small = files.where(F.col("length") < limit).select(
+    small = files.where(F.col("length") < WHOLE_BYTES).select(
         "path", "length", F.sha2("content", 256).alias("digest"))
-    stamp = F.concat_ws("|", "path", F.col("length").cast("string"),
-                        F.col("modificationTime").cast("string"))
-    large = files.where(F.col("length") >= limit).select(
-        "path", "length", F.sha2(stamp, 256).alias("digest"))
-    return small.unionByName(large).select(
+    large = files.where(F.col("length") >= WHOLE_BYTES).select("path", "length").collect()
+    with ThreadPoolExecutor(_STREAMS) as pool:
+        digests = list(pool.map(lambda r: _streamed_digest(spark, r["path"]), large))
+    streamed = spark.createDataFrame(
+        [(r["path"], r["length"], d) for r, d in zip(large, digests, strict=True)],
+        "path string, length bigint, digest string")
+    return small.unionByName(streamed).select(
         "path", F.col("length").alias("bytes"), F.substring("digest", 1, 16).alias("fingerprint"))
 
 
+def _streamed_digest(spark: SparkSession, name: str) -> str:
+    """SHA-256 of a file's content, of any length, in constant memory."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    stream = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(path)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
 def stack_fingerprint(found: DataFrame) -> DataFrame:
     """One row: fingerprint of several files taken together, in path order."""
     parts = F.array_sort(F.collect_list(F.struct("path", "fingerprint")))

@@ -122,6 +122,21 @@ def test_fingerprints(spark, tmp_path):
     assert files.stack_fingerprint(found).first()["fingerprint"] == whole
 
 
+def test_fingerprints_of_large_files_are_their_content(spark, tmp_path):
+    import hashlib
+    import os
+
+    paths = [write(tmp_path / n, b"") for n in ("a.bin", "b.bin")]
+    for p in paths:
+        os.truncate(p, 2_000_000_001)  # sparse: takes no room on the disk
+    digest = hashlib.sha256()
+    for _ in range(2000):
+        digest.update(bytes(1_000_000))
+    digest.update(b"\0")
+    got = files.fingerprints(spark, paths).collect()
+    assert [(r["bytes"], r["fingerprint"]) for r in got] == [(2_000_000_001, digest.hexdigest()[:16])] * 2
+
+
 def test_export_and_load_again(spark, contacts):
     path = scratch_path(spark, "round")
     export.write_csv(contacts, path)
