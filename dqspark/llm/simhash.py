@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.llm.text import batch, raw
@@ -36,6 +36,7 @@ SEED = 42
 MAX_BITS = 4
 MIN_BYTES = 8 - MAX_BITS
 SPLITS = 4
+_MARKED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64())])
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _KEYED = pa.schema([("k", pa.int64()), ("mask", pa.int64()), ("fp", pa.int64()), ("id", pa.int64())])
@@ -196,10 +197,35 @@ def group(docs: DataFrame, limit: int = 4096) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of each component's smallest doc_id; a doc_id that comes more than once is kept once."""
-    grouped = settle(group(docs), "simhash-groups")
-    first = grouped.where("doc_id <=> component_id").select("doc_id")
-    kept = docs.join(first.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
-    if grouped.groupBy("doc_id").count().where("count > 1").isEmpty():
+    """One row of each component: the smallest doc_id, of a doc_id that comes more than once the smallest fingerprint.
+
+    Classes of equal fingerprints are linked by the fingerprint, so rows without a
+    doc_id, or with one that other texts have too, are like any others: a unique
+    text stays.  Rows without a doc_id come after the others of their component.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash().alias("th"), raw())
+
+    def kernel(batches):
+        for b in batches:
+            fps = np.array([fingerprint(t) for t in b.column(2).to_pylist()], dtype=np.uint64)
+            yield batch(_MARKED, doc_id=b.column(0), th=b.column(1), fp=fps.view(np.int64))
+
+    marked = settle(rows.mapInArrow(kernel, "doc_id bigint, th bigint, fp bigint"), "simhash-rows")
+    classes = marked.select("fp").distinct().withColumn("id", F.col("fp"))
+    joined = components(links(classes), "simhash-links").withColumnRenamed("id", "fp")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "th")).alias("best")
+    firsts = marked.groupBy("fp").agg(best).join(joined, "fp", "left")
+    firsts = firsts.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("best").alias("best"))
+    firsts = settle(firsts.select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th")), "simhash-firsts")
+    kept = docs.join(firsts, _text_hash().eqNullSafe(F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    again = marked.groupBy("doc_id", "th").count().where("count > 1").select(
+        F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    match = firsts["_th"].eqNullSafe(again["_th"]) & firsts["_id"].eqNullSafe(again["_id"])
+    if firsts.join(again, match, "left_semi").isEmpty():
         return kept
-    return kept.dropDuplicates(["doc_id"])
+    return kept.withColumn("_th", _text_hash()).dropDuplicates(["doc_id", "_th"]).drop("_th")
+
+
+def _text_hash() -> Column:
+    """64 bits of the text, null as empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))

@@ -188,6 +188,15 @@ def test_simhash_edges(spark):
     assert simhash.keep_first(empty_docs(spark)).count() == 0
 
 
+def test_simhash_keeps_unique_texts_without_or_with_a_doubled_id(spark):
+    same = " ".join(f"word{i}" for i in range(300))
+    rows = [(None, "no id here"), (None, same), (7, same), (5, "a text of its own"), (5, "quite another set of words"),
+            (9, None), (9, ""), (None, "no id here")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [
+        (0, "no id here"), (5, "a text of its own"), (5, "quite another set of words"), (7, same), (9, "")]
+
+
 # --- BPE --------------------------------------------------------------------
 
 
