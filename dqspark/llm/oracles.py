@@ -123,5 +123,97 @@ LEFT JOIN failures f ON f.w = t.before
 GROUP BY t.doc_id"""
 
 
+_WARC = """
+WITH own AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+  FROM pages)
+SELECT page_id, strlen(html) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(h, CAST(5 * i // 4 + 1 AS BIGINT), 2) AS BIGINT) >> (3 - 5 * i % 4)) & 31 AS BIGINT) + 1, 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM own"""
+
+_NEGATIVES = """
+WITH own AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS alike,
+         CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM own a JOIN own c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS place
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.alike
+    AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE place <= 5"""
+
+
+def _written(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _levels(table: str, levels: int) -> list[str]:
+    """Nodes of level j (key, pos, node) as {table}{j}, their runs (key, pos, n, nodes) as {table}_runs{j}."""
+    parts = []
+    for j in range(levels):
+        parts.append(f"""
+{table}_runs{j} AS (
+  SELECT key, pos // 3 AS pos, any_value(n) AS n, list(node ORDER BY pos) AS nodes
+  FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM {table}{j}) GROUP BY key, pos // 3)""")
+        parts.append(f"""
+{table}{j + 1} AS (
+  SELECT key, pos, CASE WHEN n = 1 THEN nodes[1] ELSE sha256(array_to_string(nodes, '')) END AS node
+  FROM {table}_runs{j})""")
+    return parts
+
+
+def _folds(rows: str, table: str, levels: int) -> list[str]:
+    """Climb with (key, pos, node, proof) in {rows}0 through the runs of ``table``."""
+    return [f"""
+{rows}{j + 1} AS (
+  SELECT f.* REPLACE (f.pos // 3 AS pos,
+    CASE WHEN r.n = 1 THEN f.node ELSE sha256(array_to_string(r.nodes[1:f.pos % 3], '') || f.node
+      || array_to_string(r.nodes[f.pos % 3 + 2:], '')) END AS node,
+    CASE WHEN r.n = 1 THEN f.proof ELSE f.proof || array_to_string(r.nodes[1:f.pos % 3], '')
+      || array_to_string(r.nodes[f.pos % 3 + 2:], '') END AS proof)
+  FROM {rows}{j} f JOIN {table}_runs{j} r ON r.key = f.key AND r.pos = f.pos // 3)""" for j in range(levels)]
+
+
+#: Levels that the SQL climbs: 3**14 documents of a source, 3**7 sources.
+_DEEP, _WIDE = 14, 7
+_FIELDS = " || ".join(_written(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_MERKLE = "WITH" + ",".join([f"""
+leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS key, sha256({_FIELDS} || {_written("text")}) AS node,
+         sha256({_FIELDS} || {_written(f"CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS altered
+  FROM documents)""", """
+leaf0 AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, node) - 1 AS pos FROM leaves)""",
+    *_levels("leaf", _DEEP), f"""
+top0 AS (
+  SELECT 'all' AS key, key AS source, row_number() OVER (ORDER BY key) - 1 AS pos, node FROM leaf{_DEEP})""",
+    *_levels("top", _WIDE), """
+fold0 AS (SELECT doc_id, key, pos, node AS leaf, altered AS node, '' AS proof FROM leaf0)""",
+    *_folds("fold", "leaf", _DEEP), f"""
+up0 AS (
+  SELECT f.doc_id, f.leaf, t.node AS subroot, 'all' AS key, t.pos, f.node, f.proof
+  FROM fold{_DEEP} f JOIN top0 t ON t.source = f.key)""", *_folds("up", "top", _WIDE)]) + f"""
+SELECT f.doc_id, f.leaf, f.subroot, t.node AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root,
+       f.node = t.node AS verified
+FROM up{_WIDE} f JOIN top{_WIDE} t ON t.key = f.key"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_pii": _PII, "op8_embedding_dedup": _VECTORS, "op9_lm_score": _SCORES}
+    return {"op1_pii": _PII, "op8_embedding_dedup": _VECTORS, "op9_lm_score": _SCORES,
+            "op11_warc": _WARC, "op12_hard_negatives": _NEGATIVES, "op13_merkle": _MERKLE}

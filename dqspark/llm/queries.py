@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqspark.llm import bpe, language, packing, pii, quality, rules, scoring, simhash, toxicity, vectors
+from dqspark.llm import (
+    bpe, language, merkle, negatives, packing, pii, quality, rules, scoring, simhash, toxicity, vectors, warc,
+)
 from dqspark.llm.text import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +96,27 @@ def op10_packing(spark, d):
 @query
 def op8_embedding_dedup(spark, d):
     return vectors.group(table(spark, d, "embeddings"))
+
+
+@query
+def op11_warc(spark, d):
+    found = warc.read(warc.write(table(spark, d, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op12_hard_negatives(spark, d):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.usable(table(spark, d, "embeddings"), moved)
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+@query
+def op13_merkle(spark, d):
+    tampered = F.when(fold(2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    made = merkle.build(table(spark, d, "documents"), tampered)
+    folded, path = merkle.fold(F.col("altered"), F.col("path")), F.col("path")
+    return made.rows.select(
+        "doc_id", "leaf", "subroot", F.lit(made.root).cast("string").alias("root"),
+        F.sha2(merkle.proof(path), 256).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))

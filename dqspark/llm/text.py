@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from dqspark.session import settle
 
 #: Bytes of text that a kernel holds as token arrays at once; one longer document is taken alone.
 CHUNK_BYTES = 4_000_000
@@ -27,13 +30,6 @@ def raw(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """doc_id, raw, y of documents with a 0/1 label; a doc_id with several labels takes the highest."""
-    y = (labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))
-         .groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("y")))
-    return docs.select("doc_id", raw()).join(y, "doc_id")
-
-
 def sampled(docs: DataFrame, key: Column, per_key: int, seed: int) -> DataFrame:
     """About ``per_key`` documents of every value of ``key`` (few values), by hash of doc_id.
 
@@ -60,6 +56,25 @@ def sharded(rows: DataFrame, shards: int, seed: int) -> DataFrame:
     return dealt.sortWithinPartitions("doc_id")
 
 
+def numbered(rows: DataFrame, label: str) -> DataFrame:
+    """Rows of (key, ord, ...) with ``pos``, their number in the key from 0, and ``n``, the key's rows.
+
+    Only counts per key and partition are summed in one place for a key.
+    """
+    order = ["key", "ord", "tie"]
+    dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order)
+    placed = settle(dealt.sortWithinPartitions(*order).drop("tie").withColumn("at", F.monotonically_increasing_id())
+                    .withColumn("part", F.shiftright("at", 33)), f"{label}-sorted")
+    counts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("first"))
+    own = Window.partitionBy("key")
+    earlier = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = settle(counts.select(
+        "key", "part", (F.coalesce(F.sum("c").over(earlier), F.lit(0)) - F.col("first")).alias("shift"),
+        F.sum("c").over(own).alias("n")), f"{label}-starts")
+    return (placed.join(starts, ["key", "part"]).withColumn("pos", F.col("at") + F.col("shift"))
+            .drop("at", "part", "shift", "ord"))
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of documents of about ``limit`` bytes: (from, to)."""
     start = size = 0
