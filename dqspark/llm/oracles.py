@@ -99,27 +99,17 @@ tokens AS (
   FROM docs, unnest(range(1, len(words) + 1)) AS u(k)),
 counts AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w),
 whole AS (SELECT sum(c) AS n, count(*) AS v FROM counts),
-states AS (SELECT w, c FROM counts, whole WHERE c >= n / 65536.0 OR w = chr(10)),
-arcs AS (
-  SELECT t.before, t.w, any_value((p.n - 0.75) / s.c) AS own, any_value((e.c + 1) / (h.n + 1.0 * (h.v + 1))) AS single
-  FROM (SELECT DISTINCT before, w FROM tokens) t
-  JOIN (SELECT before, w, count(*) AS n FROM tokens WHERE NOT held_out GROUP BY before, w) p
-    ON p.before = t.before AND p.w = t.w
-  JOIN states s ON s.w = t.before JOIN states e ON e.w = t.w, whole h
-  WHERE p.n >= 2 AND p.n >= h.n / 1048576.0
-  GROUP BY t.before, t.w),
-failures AS (
-  SELECT s.w, log10(greatest(1 - coalesce(a.taken, 0), 1e-12) / greatest(1 - coalesce(a.covered, 0), 1e-12)) AS bow
-  FROM states s LEFT JOIN (SELECT before, sum(own) AS taken, sum(single) AS covered FROM arcs GROUP BY before) a
-    ON a.before = s.w)
-SELECT t.doc_id, any_value(t.held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known,
-       CAST(any_value(h.n) AS BIGINT) AS train_tokens,
-       sum(log10((coalesce(c.c, 0) + 1) / (h.n + 1.0 * (h.v + 1)))) AS base_score,
-       sum(coalesce(log10(a.own), log10((coalesce(c.c, 0) + 1) / (h.n + 1.0 * (h.v + 1))) + coalesce(f.bow, 0))) AS score
-FROM tokens t CROSS JOIN whole h
-LEFT JOIN counts c ON c.w = t.w
+arcs AS (SELECT before, w, count(*) AS n FROM tokens WHERE NOT held_out AND before IS NOT NULL GROUP BY before, w),
+placed AS (
+  SELECT t.*, c.c, h.n, (coalesce(c.c, 0) + 1) / (h.n + 1.0 * (h.v + 1)) AS single
+  FROM tokens t CROSS JOIN whole h LEFT JOIN counts c ON c.w = t.w)
+SELECT t.doc_id, any_value(t.held_out) AS held_out, count(*) AS n_tokens, count(t.c) AS n_known,
+       CAST(any_value(t.n) AS BIGINT) AS train_tokens, sum(log10(t.single)) AS base_score,
+       sum(CASE WHEN t.before IS NULL THEN log10(t.single)
+           ELSE log10((coalesce(a.n, 0) + 300 * t.single) / (coalesce(b.c, 0) + 300)) END) AS score
+FROM placed t
+LEFT JOIN counts b ON b.w = t.before
 LEFT JOIN arcs a ON a.before = t.before AND a.w = t.w
-LEFT JOIN failures f ON f.w = t.before
 GROUP BY t.doc_id"""
 
 

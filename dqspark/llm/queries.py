@@ -73,8 +73,7 @@ def op3_bpe(spark, d):
 @query
 def op9_lm_score(spark, d):
     docs = table(spark, d, "documents")
-    model, vocabulary = scoring.train(docs.where(fold(7) != 2))
-    return scoring.score(docs, model, vocabulary, held_out=F.coalesce(fold(7) == 2, F.lit(False)))
+    return scoring.score(docs, held_out=F.coalesce(fold(7) == 2, F.lit(False)), learn=fold(7) != 2)
 
 
 @query

@@ -1,232 +1,226 @@
 """Language-model scores from a weighted backoff automaton over words.
 
-Tokens are lower-cased words and one end per document.  All training tokens are
-counted.  Words with at least N / 2**16 of the N tokens (so at most 65,536),
-and the end, are states; pairs of them with at least N / 2**20 occurrences (so at most 1,048,576)
-are arcs, weighted by absolute discounting.  A state without an arc for the next
-word takes its failure arc to the root, pays the state's backoff weight and the
-word's smoothed single-word probability, which the root has for every word, seen
-or not.  One pass from left to right carries the state and adds the logarithms.
+Tokens are lower-cased words and one end per document.  Every word of the
+training documents is a state, every pair of neighbouring tokens an arc; nothing
+is left out, so the automaton grows with the corpus.  With c the count of a word,
+n the count of a pair and P(w) = (c + 1) / (N + V + 1) the root's probability, an
+arc from b to w has the probability (n + K P(w)) / (c(b) + K), smoothed by a
+Dirichlet prior of weight K.  A state without an arc for the next word takes its
+failure arc to the root, which weighs K / (c(b) + K), and pays P(w) there.  One
+pass from left to right carries the state and adds the logarithms.
+
+Documents are taken in blocks.  A block is read once and stored as numbers of its
+own words.  It asks for the counts of its words and pairs by hash bucket; a bucket
+adds up what the blocks say of an item and replies to each; then the block walks
+its documents.  Buckets are many enough for about ``BUCKET_BYTES`` of text each,
+and a block names an item once, so no word or pair is a hot one.  Words are
+compared whole.  Pairs are compared by 64 bits of hash within a bucket.
 
 Results in special cases: null or empty text: the end token alone; no training
-document: N = V = 0, every probability 1; repeated rows: counted and scored
-each; a word of any length is one token.
+document: N = V = 0, every probability 1; a null doc_id is scored like any other;
+repeated rows: counted and scored each; a word of any length is one token; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import secrets
-from dataclasses import dataclass
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.llm.text import batch, chunks, per_document, raw, tokens
 from dqspark.session import settle
 
-STATE_SHARE = 2.0**-16
-ARC_SHARE = 2.0**-20
-DISCOUNT = 0.75
-END = b"\n"  # no word can be this
+PRIOR = 300.0  # K, the best of 3 to 3000 on held-out documents
 BLOCK_BYTES = 8_000_000
-BLOCK_DOCS = 60_000  # document numbers in a block fit 16 bits
-_COUNT = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-_PAIR = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
-_ROW = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
-                  ("n_tokens", pa.int64()), ("n_rare", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
-                  ("gain", pa.float64()), ("word", pa.binary()), ("docs", pa.binary())])
-_ROW_SQL = ("block bigint, at int, doc_id bigint, held_out boolean, n_tokens bigint, n_rare bigint, known bigint, "
-            "base double, gain double, word binary, docs binary")
-_SUM = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("met", pa.int64()), ("known_rare", pa.int64()),
-                  ("base_rare", pa.float64())])
-
-
-def _runs(texts: list[bytes]):
-    for lo, hi in chunks(texts, BLOCK_BYTES):
-        for s in range(lo, hi, BLOCK_DOCS):
-            yield s, min(hi, s + BLOCK_DOCS)
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents, the end token as END."""
+BUCKET_BYTES = 8_000_000  # of all texts, per bucket
+BUCKETS = 64  # at least
+END_HASH = np.uint64(0x9E3779B97F4A7C15)
+_BLOCK_SQL = ("block bigint, doc_id array<bigint>, held_out array<boolean>, learn array<boolean>, sizes array<int>, "
+              "words binary, tokens binary, train_docs bigint, train_tokens bigint")
+_BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
+                    ("learn", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()),
+                    ("tokens", pa.binary()), ("train_docs", pa.int64()), ("train_tokens", pa.int64())])
+_ASK_SQL = "bucket bigint, block bigint, keys binary, counts binary"
+_ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_REPLY_SQL = "block bigint, bucket bigint, totals binary, known bigint"
+_REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary()), ("known", pa.int64())])
+_SCORE_SQL = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+              "base_score double, score double")
+_SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned integers, byte by byte of all, without the high bytes that none needs."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    planes = numbers.astype("<u8").view(np.uint8).reshape(len(numbers), 8)[:, :width]
+    return bytes([width]) + np.ascontiguousarray(planes.T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Block:
+    """Words, tokens and distinct pairs of a block, in the order in which buckets see them."""
+
+    def __init__(self, words: bytes, token_bytes: bytes, sizes: np.ndarray, buckets: int):
+        self.words = zlib.decompress(words).split(b"\n")[:-1]
+        self.flat = np.frombuffer(zlib.decompress(token_bytes), dtype="<u4").astype(np.int64)
+        self.sizes, n = sizes, len(self.words)
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.words], dtype=np.uint64)
+        self.word_bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        self.word_order = np.argsort(self.word_bucket, kind="stable")
+        self.last = np.cumsum(sizes)[sizes > 0] - 1  # of each document that has words
+        follower = np.append(self.flat[1:], n)
+        follower[self.last] = n
+        self.pairs, self.pair_of = np.unique(self.flat * (n + 1) + follower, return_inverse=True)
+        after = np.append(hashes, END_HASH)[self.pairs % (n + 1)]
+        before = hashes[self.pairs // (n + 1)] if n else hashes
+        self.keys = _mixed(before * np.uint64(0xD6E8FEB86659FD93) + after)
+        self.pair_bucket = (_mixed(before + after * np.uint64(0xA0761D6478BD642F)) % np.uint64(buckets)).astype(np.int64)
+        self.pair_order = np.lexsort((self.keys, self.pair_bucket))
+
+
+def _runs(bucket: np.ndarray):
+    """(bucket, from, to) of a sorted column."""
+    if not len(bucket):
+        return []
+    begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return [(int(bucket[s]), int(s), int(e)) for s, e in zip(begin, [*begin[1:], len(bucket)], strict=True)]
+
+
+def read(docs: DataFrame, held_out: Column, learn: Column) -> DataFrame:
+    """The texts as stored blocks, each with a random name that stands for one reading."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), learn.alias("learn"), raw())
 
     def kernel(batches):
         for b in batches:
-            for lo, hi in _runs(texts := b.column(0).to_pylist()):
-                seen, flat, _ = tokens(texts[lo:hi], lower=True)
-                n = np.bincount(flat, minlength=len(seen.ids)).tolist() if seen.ids else []
-                yield batch(_COUNT, word=[*seen.words(), END], n=[*n, hi - lo])
+            doc_ids, held, learns, texts = (b.column(i).to_pylist() for i in range(4))
+            for lo, hi in chunks(texts, BLOCK_BYTES):
+                seen, flat, sizes = tokens(texts[lo:hi], lower=True)
+                taught = np.array(learns[lo:hi], dtype=bool)
+                yield batch(_BLOCK, block=[secrets.randbits(62)], doc_id=[doc_ids[lo:hi]], held_out=[held[lo:hi]],
+                            learn=[learns[lo:hi]], sizes=[sizes.astype(np.int32)],
+                            words=[zlib.compress(b"".join(w + b"\n" for w in seen.ids), 1)],
+                            tokens=[zlib.compress(flat.astype("<u4").tobytes(), 1)],
+                            train_docs=[int(taught.sum())], train_tokens=[int((sizes[taught] + 1).sum())])
 
-    counted = docs.select(raw()).mapInArrow(kernel, "word binary, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+    return settle(rows.mapInArrow(kernel, _BLOCK_SQL), "lm-blocks")
 
 
-@dataclass
-class Automaton:
-    """Frequent words and their counts, arcs as sorted keys (from * states + to) with gains, backoff of each state.
-
-    A gain is what an arc or a failure adds to the root's logarithm of the word.
-    """
-
-    total: int
-    distinct: int
-    states: dict[bytes, int]
-    counts: np.ndarray
-    arcs: np.ndarray
-    gains: np.ndarray
-    backoff: np.ndarray
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of a word's smoothed probability from its count."""
-        return np.log10((counts + 1.0) / (self.total + 1.0 * (self.distinct + 1)))
-
-    def walk(self, states: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """What the arcs and failures taken add at each token; -1 stands for a word that is no state."""
-        gain = np.zeros(len(states))
-        before = np.append(-1, states[:-1])
-        before[first] = -1
-        gain[before >= 0] = self.backoff[before[before >= 0]]
-        both = np.flatnonzero((before >= 0) & (states >= 0))
-        if len(self.arcs) and len(both):
-            key = before[both] * len(self.states) + states[both]
-            place = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            hit = self.arcs[place] == key
-            gain[both[hit]] = self.gains[place[hit]]
-        return gain
-
-
-def _count_pairs(docs: DataFrame, states: dict[bytes, int]) -> DataFrame:
-    """(pair, n) of neighbouring states."""
-    shared = docs.sparkSession.sparkContext.broadcast(states)
+def _ask(blocks: DataFrame, buckets: int) -> DataFrame:
+    """What blocks say of their words (buckets from 0) and pairs (buckets after those): the items and their training counts."""
 
     def kernel(batches):
-        known = shared.value
         for b in batches:
-            for lo, hi in _runs(texts := b.column(0).to_pylist()):
-                flat, first = _states(texts[lo:hi], known)[:2]
-                before = np.append(-1, flat[:-1])
-                before[first] = -1
-                both = (before >= 0) & (flat >= 0)
-                pair, n = np.unique(before[both] * len(known) + flat[both], return_counts=True)
-                yield batch(_PAIR, pair=pair, n=n)
-
-    return docs.select(raw()).mapInArrow(kernel, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def _states(texts: list[bytes], known: dict[bytes, int]):
-    """State of every token, ends included (-1 for none); where documents begin; words, word numbers, sizes."""
-    seen, flat, sizes = tokens(texts, lower=True)
-    names = np.array([known.get(w, -1) for w in seen.ids] + [-1], dtype=np.int64)
-    ends = np.cumsum(sizes)
-    states = np.insert(names[flat], ends, known.get(END, -1))
-    first = ends - sizes + np.arange(len(sizes))
-    return states, first, seen, flat, sizes
-
-
-def train(docs: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton and the table of all word counts, from every document of ``docs``."""
-    vocabulary = settle(count_words(docs), "word-counts")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    own_state = (F.col("n") >= total * STATE_SHARE) | (F.col("word") == F.lit(END))
-    frequent = vocabulary.where(own_state).toPandas()
-    frequent = frequent.sort_values("word", key=lambda w: w.map(bytes))
-    states = {bytes(w): i for i, w in enumerate(frequent["word"])}
-    counts = frequent["n"].to_numpy(dtype=np.int64) if len(states) else np.zeros(0, dtype=np.int64)
-    pairs = _count_pairs(docs, states).where((F.col("n") >= 2) & (F.col("n") >= total * ARC_SHARE))
-    pdf = pairs.toPandas().sort_values("pair")
-    arcs, n = pdf["pair"].to_numpy(dtype=np.int64), pdf["n"].to_numpy(dtype=np.float64)
-    model = Automaton(total, distinct, states, counts, arcs, n, np.zeros(len(states)))
-    if len(states):
-        left, right = arcs // len(states), arcs % len(states)
-        single = model.root(counts)
-        own = (n - DISCOUNT) / counts[left]
-        taken = np.bincount(left, weights=own, minlength=len(states))
-        covered = np.bincount(left, weights=10 ** single[right], minlength=len(states))
-        model.backoff = np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - covered, 1e-12))
-        model.gains = np.log10(own) - single[right]
-    return model, vocabulary
-
-
-def _read(docs: DataFrame, model: Automaton, held_out: Column) -> DataFrame:
-    """One pass over the texts: a row for each document, and for each word of a block that is no state.
-
-    Blocks of documents get random names, and the rows are stored, so each name
-    stands for one reading of the block.
+            for name, learn, sizes, words, flat in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sizes = np.array(sizes, dtype=np.int64)
+                own = Block(words, flat, sizes, buckets)
+                taught = np.repeat(np.array(learn, dtype=bool), sizes)
+                times = np.bincount(own.flat[taught], minlength=len(own.words))
+                for bucket, s, e in _runs(own.word_bucket[own.word_order]):
+                    at = own.word_order[s:e]
+                    yield batch(_ASK, bucket=[bucket], block=[name], counts=[packed(times[at])],
+                                keys=[zlib.compress(b"\n".join([own.words[i] for i in at.tolist()]), 1)])
+                times = np.bincount(own.pair_of[taught], minlength=len(own.pairs))
+                for bucket, s, e in _runs(own.pair_bucket[own.pair_order]):
+                    at = own.pair_order[s:e]
+                    yield batch(_ASK, bucket=[buckets + bucket], block=[name], counts=[packed(times[at])],
+                                keys=[packed(np.diff(own.keys[at], prepend=np.uint64(0)))])
+
+    return blocks.select("block", "learn", "sizes", "words", "tokens").mapInArrow(kernel, _ASK_SQL)
+
+
+def _reply(asked: DataFrame, buckets: int) -> DataFrame:
+    """The totals of each block's items in its order; ``known``: words of a bucket with a count, said once."""
+
+    def kernel(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        keys, counts = table["keys"].to_pylist(), [unpacked(c) for c in table["counts"].to_pylist()]
+        if bucket < buckets:
+            total: dict[bytes, int] = {}
+            lists = [zlib.decompress(k).split(b"\n") for k in keys]
+            for words, times in zip(lists, counts, strict=True):
+                for w, n in zip(words, times.tolist(), strict=True):
+                    total[w] = total.get(w, 0) + n
+            replies = [np.array([total[w] for w in words], dtype=np.uint64) for words in lists]
+            known = sum(n > 0 for n in total.values())
+        else:
+            own = [np.cumsum(unpacked(k), dtype=np.uint64) for k in keys]
+            found, place = np.unique(np.concatenate(own), return_inverse=True)
+            total = np.zeros(len(found), dtype=np.uint64)
+            np.add.at(total, place, np.concatenate(counts))
+            replies, known = np.split(total[place], np.cumsum([len(k) for k in own])[:-1]), 0
+        return pa.table([table["block"], table["bucket"], pa.array([packed(r) for r in replies], pa.binary()),
+                         pa.array([known] + [0] * (len(keys) - 1), pa.int64())], schema=_REPLY)
+
+    return settle(asked.groupBy("bucket").applyInArrow(kernel, _REPLY_SQL), "lm-counts")
+
+
+def _totals(replies: list[bytes], order: np.ndarray) -> np.ndarray:
+    """Replies, in the order of their buckets, as counts by item."""
+    got = np.concatenate([unpacked(r) for r in replies]) if replies else np.zeros(0, dtype=np.uint64)
+    if len(got) != len(order):
+        raise ValueError("counts of a block are missing")
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = got.astype(np.int64)
+    return out
+
+
+def walk(own: Block, words: np.ndarray, pairs: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """log10 probability of what follows each token, by arc or failure; ``root`` has the logarithms at the root."""
+    if not len(own.pairs):
+        return np.zeros(0)
+    before, after = np.divmod(own.pairs, len(own.words) + 1)
+    step = np.log10((pairs + PRIOR * 10 ** root[after]) / (words[before] + PRIOR))
+    return step[own.pair_of]
+
+
+def score(docs: DataFrame, held_out: Column, learn: Column | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every document.
+
+    Learns from the documents of ``learn``, by default those not held out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), raw())
-
-    def kernel(batches):
-        m = shared.value
-        root = np.append(m.root(m.counts), 0.0)
-        unseen = 0.0 if END in m.states else float(m.root(np.zeros(1))[0])
-        for b in batches:
-            doc_ids, held, texts = (b.column(i).to_pylist() for i in range(3))
-            for lo, hi in _runs(texts):
-                block, count = secrets.randbits(62), hi - lo
-                states, first, seen, flat, sizes = _states(texts[lo:hi], m.states)
-                whole = sizes + 1
-                base = per_document(root[states], whole) + unseen
-                rare = np.array([w not in m.states for w in seen.ids] + [False], dtype=bool)[flat]
-                doc_of = np.repeat(np.arange(count), sizes)[rare].astype("<u2")
-                n_rare = np.bincount(doc_of, minlength=count)
-                yield batch(_ROW, block=[block] * count, at=range(count), doc_id=doc_ids[lo:hi], held_out=held[lo:hi],
-                            n_tokens=whole, n_rare=n_rare, known=per_document(states >= 0, whole).astype(np.int64),
-                            base=base, gain=per_document(m.walk(states, first), whole),
-                            word=[None] * count, docs=[None] * count)
-                order = np.argsort(flat[rare], kind="stable")
-                words, begin = np.unique(flat[rare][order], return_index=True)
-                names, packed = seen.words(), doc_of[order].tobytes()
-                ends = np.append(begin[1:], len(order))
-                n, none = len(words), [None] * len(words)
-                yield batch(_ROW, block=[block] * n, at=none, doc_id=none, held_out=none, n_tokens=none, n_rare=none,
-                            known=none, base=none, gain=none, word=[names[i] for i in words.tolist()],
-                            docs=[packed[2 * s : 2 * e] for s, e in zip(begin.tolist(), ends.tolist(), strict=True)])
-
-    return settle(rows.mapInArrow(kernel, _ROW_SQL), "lm-blocks")
-
-
-def _rare_sums(rare: DataFrame, vocabulary: DataFrame, model: Automaton) -> DataFrame:
-    """(block, at, met, known_rare, base_rare): what the words that are no states add to each document."""
-    counted = rare.join(vocabulary, "word", "left").select("block", F.coalesce("n", F.lit(0)).alias("n"), "docs")
-    total, distinct = model.total, model.distinct
-
-    def kernel(batches):
-        for b in batches:
-            block, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            lists = b.column(2)
-            at = np.frombuffer(b"".join(lists.to_pylist()), dtype="<u2")
-            times = np.array([len(x) // 2 for x in lists.to_pylist()], dtype=np.int64)
-            key = np.repeat(block, times)
-            value = np.repeat(np.log10((n + 1.0) / (total + 1.0 * (distinct + 1))), times)
-            known = np.repeat(n > 0, times)
-            order = np.lexsort((at, key))
-            key, at, value, known = key[order], at[order], value[order], known[order]
-            begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]))) if len(key) else []
-            if len(begin):
-                yield batch(_SUM, block=key[begin], at=at[begin].astype(np.int32),
-                            met=np.diff(np.append(begin, len(key))),
-                            known_rare=np.add.reduceat(known.astype(np.int64), begin),
-                            base_rare=np.add.reduceat(value, begin))
-
-    spread = counted.repartition("block").sortWithinPartitions("block")
-    parts = spread.mapInArrow(kernel, "block bigint, at int, met bigint, known_rare bigint, base_rare double")
-    return parts.groupBy("block", "at").agg(
-        F.sum("met").alias("met"), F.sum("known_rare").alias("known_rare"), F.sum("base_rare").alias("base_rare"))
-
-
-def score(docs: DataFrame, model: Automaton, vocabulary: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    rows = _read(docs, model, held_out)
-    sums = _rare_sums(rows.where("word IS NOT NULL").select("word", "block", "docs"), vocabulary, model)
-    own = rows.where("word IS NULL").drop("word", "docs").join(sums, ["block", "at"], "left")
-    met = F.coalesce("met", F.lit(0))
-    whole = F.when(met == F.col("n_rare"), F.col("base") + F.coalesce("base_rare", F.lit(0.0))).otherwise(
-        F.raise_error(F.lit("words of a document are missing")).cast("double"))
-    return own.select("doc_id", "held_out", "n_tokens",
-                      (F.col("known") + F.coalesce("known_rare", F.lit(0))).alias("n_known"),
-                      F.lit(model.total).cast("bigint").alias("train_tokens"), whole.alias("base_score"), "gain").select(
-        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
-        (F.col("base_score") + F.col("gain")).alias("score"))
+    learn = F.coalesce(~held_out if learn is None else learn, F.lit(False))
+    blocks = read(docs, held_out, learn)
+    size, train_docs, total = docs.agg(F.sum(F.octet_length("text"))).first()[0], *blocks.agg(
+        F.coalesce(F.sum("train_docs"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
+    buckets = max(BUCKETS, (size or 0) // BUCKET_BYTES)
+    replies = _reply(_ask(blocks, buckets), buckets)
+    distinct = (replies.agg(F.sum("known")).first()[0] or 0) + (train_docs > 0)
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        b = left.to_pylist()[0]
+        sizes = np.array(b["sizes"], dtype=np.int64)
+        own = Block(b["words"], b["tokens"], sizes, buckets)
+        got = sorted(zip(right["bucket"].to_pylist(), right["totals"].to_pylist(), strict=True))
+        words = _totals([r for k, r in got if k < buckets], own.word_order)
+        pairs = _totals([r for k, r in got if k >= buckets], own.pair_order)
+        root = np.log10((np.append(words, train_docs) + 1.0) / (total + 1.0 * (distinct + 1)))
+        base = per_document(root[own.flat], sizes) + root[-1]
+        first = np.full(len(sizes), root[-1])  # a document without words is its end alone
+        some = sizes > 0
+        first[some] = root[own.flat[(np.cumsum(sizes) - sizes)[some]]]
+        known = per_document(words[own.flat] > 0, sizes).astype(np.int64) + (train_docs > 0)
+        return pa.table([b["doc_id"], b["held_out"], sizes + 1, known, [total] * len(sizes), base,
+                         first + per_document(walk(own, words, pairs, root), sizes)], schema=_SCORE)
+
+    return blocks.drop("train_docs", "train_tokens", "learn").groupBy("block").cogroup(
+        replies.groupBy("block")).applyInArrow(kernel, _SCORE_SQL)

@@ -251,80 +251,101 @@ def plain_lm(train, texts):
     words = [[*plain_words(t), None] for t in train]
     count = Counter(w for ws in words for w in ws)
     total, distinct = sum(count.values()), len(count)
+    pairs = Counter(p for ws in words for p in zip(ws, ws[1:], strict=False))
 
     def root(w):
-        return math.log10((count[w] + 1) / (total + 1 * (distinct + 1)))
+        return (count[w] + 1) / (total + 1 * (distinct + 1))
 
-    states = {w for w, n in count.items() if n >= total / 2**16 or w is None}
-    pairs = Counter(p for ws in words for p in zip(ws, ws[1:], strict=False) if states.issuperset(p))
-    pairs = {p: n for p, n in pairs.items() if n >= 2 and n >= total / 2**20}
     out = []
     for t in texts:
         ws = [*plain_words(t), None]
-        score, before = 0.0, "(start)"
-        for w in ws:
+        score = math.log10(root(ws[0]))
+        for before, w in zip(ws, ws[1:], strict=False):
             if (before, w) in pairs:
-                score += math.log10((pairs[before, w] - 0.75) / count[before])
-            elif before in states:
-                arcs = {q: n for (p, q), n in pairs.items() if p == before}
-                left = 1 - sum((n - 0.75) / count[before] for n in arcs.values())
-                score += root(w) + math.log10(left / (1 - sum(10 ** root(q) for q in arcs)))
+                score += math.log10((pairs[before, w] + 300 * root(w)) / (count[before] + 300))
             else:
-                score += root(w)
-            before = w
-        out.append((len(ws), sum(count[w] > 0 for w in ws), total, sum(map(root, ws)), score))
+                score += math.log10(300 / (count[before] + 300)) + math.log10(root(w))
+        out.append((len(ws), sum(count[w] > 0 for w in ws), total, sum(math.log10(root(w)) for w in ws), score))
     return out
 
 
 def check_lm(frame):
     held = F.coalesce(fold(7) == 2, F.lit(False))
-    training = frame.where(fold(7) != 2)
-    model, vocabulary = scoring.train(training)
-    got = scoring.score(frame, model, vocabulary, held).collect()
+    got = scoring.score(frame, held, fold(7) != 2).collect()
     texts = [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()]
-    want = plain_lm([r["text"] for r in training.select("text").collect()], [t for _, t in texts])
-    assert len(got) == len(texts)
-    by_id = {r["doc_id"]: r for r in got}
-    for (i, _), (n, known, total, base, score) in zip(texts, want, strict=True):
-        r = by_id[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
-        assert r["base_score"] == pytest.approx(base, rel=1e-9, abs=1e-9)
-        assert r["score"] == pytest.approx(score, rel=1e-9, abs=1e-9)
+    want = plain_lm([r["text"] for r in frame.where(fold(7) != 2).select("text").collect()], [t for _, t in texts])
+
+    def rows(found):
+        return sorted(found, key=lambda r: (r[0] is None, r))
+
+    got = rows((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
+    want = rows((i, *w) for (i, _), w in zip(texts, want, strict=True))
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[4:] == (pytest.approx(w[4], rel=1e-9, abs=1e-9), pytest.approx(w[5], rel=1e-9, abs=1e-9))
 
 
 def test_lm_scores(spark, docs):
-    few = docs.where("doc_id < 60").select("doc_id", F.substring("text", 1, 1500).alias("text"))
-    check_lm(few)
+    check_lm(docs.where("doc_id < 60"))
+
 
+def test_lm_scores_in_small_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(scoring, "BUCKETS", 3)
+    check_lm(docs.where("doc_id < 40").repartition(5))
 
-def test_lm_words_that_are_no_states(spark):
+
+def test_lm_common_words_only(spark):
     common = " ".join(["the cat sat"] * 40_000)
     rows = [(i, common) for i in range(1, 3)] + [(5, "rare once"), (6, "rare twice the cat"), (8, None), (9, "unseen")]
     check_lm(spark.createDataFrame(rows, "doc_id bigint, text string"))
 
 
+@pytest.mark.parametrize("rows", [[(1, "a b"), (2, "")], [(1, ""), (2, None)], [(1, "a")]])
+def test_lm_blocks_without_words_or_pairs(spark, rows):
+    for parts in (1, 2):
+        check_lm(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts))
+
+
 def test_lm_edges(spark):
     frame = edge_docs(spark)
-    model, vocabulary = scoring.train(frame)
-    assert scoring.score(frame, model, vocabulary, F.lit(False)).count() == frame.count()
-    model, vocabulary = scoring.train(empty_docs(spark))
-    rows = scoring.score(frame, model, vocabulary, F.lit(True)).collect()
-    assert all(r["base_score"] == 0 and r["n_known"] == 0 for r in rows)
-    assert scoring.score(empty_docs(spark), model, vocabulary, F.lit(False)).count() == 0
-
-
-def test_lm_sums_to_one(spark, docs):
-    model, vocabulary = scoring.train(docs)
-    counts = {bytes(r["word"]): r["n"] for r in vocabulary.collect()}
-    single = {w: float(model.root(np.array([n]))[0]) for w, n in counts.items()}
-    assert sum(10**p for p in single.values()) == pytest.approx(1 - 1 / (model.total + model.distinct + 1), abs=1e-9)
-    names = list(model.states)
-    size = len(names)
-    for state in range(0, size, max(1, size // 20)):
-        arcs = {names[int(k) % size]: g for k, g in zip(model.arcs, model.gains, strict=True) if k // size == state}
-        whole = sum(10 ** (p + arcs.get(w, model.backoff[state])) for w, p in single.items())
-        unseen = 10 ** (float(model.root(np.zeros(1))[0]) + model.backoff[state])
-        assert whole + unseen == pytest.approx(1, abs=1e-6)
+    check_lm(frame)
+    rows = scoring.score(frame, F.lit(True)).collect()
+    assert len(rows) == frame.count() and all(r["score"] == r["base_score"] == 0 and r["n_known"] == 0 for r in rows)
+    assert scoring.score(empty_docs(spark), F.lit(False)).count() == 0
+
+
+def test_lm_grows_with_the_corpus(spark):
+    """Other text changes a score by N and V only: no pair is dropped for being rare in a larger corpus."""
+    own = [(i, "alpha beta gamma alpha beta") for i in range(3)] + [(50, "beta gamma delta")]
+    for size in (10, 3000):
+        rows = own + [(1000 + i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(size)]
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = {r["doc_id"]: r for r in scoring.score(frame, F.col("doc_id") == 50).collect()}
+        total, distinct = 3 * 6 + size * 41, 3 + size * 40 + 1
+
+        def root(n, whole=total + distinct + 1):
+            return (n + 1) / whole
+
+        steps = [root(6), (3 + 300 * root(3)) / 306, 300 * root(0) / 303, root(size + 3)]
+        assert got[50]["train_tokens"] == total
+        assert got[50]["score"] == pytest.approx(sum(map(math.log10, steps)), rel=1e-12)
+
+
+def test_lm_sums_to_one(spark):
+    """The probabilities of all that may follow a word, unseen words and the end included."""
+    train = ["a b a c", "b b c", "a", "c a b d"]
+    words = ["a", "b", "c", "d", "new"]
+    rows = [(0, t) for t in train] + [(1, w) for w in words] + [(1, f"{b} {w}") for b in words for w in words]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    learnt = scoring.score(frame, F.col("doc_id") == 1).where("held_out").collect()
+    log = dict(zip([t for i, t in rows if i], [r["score"] for r in learnt], strict=True))
+    base = dict(zip([t for i, t in rows if i], [r["base_score"] for r in learnt], strict=True))
+    end = base["a"] + base["b"] - base["a b"]
+    for b in words:
+        single = base[b] - end
+        follow = [log[f"{b} {w}"] - single - (log[w] - (base[w] - end)) for w in words]
+        assert sum(10**p for p in follow) + 10 ** (log[b] - single) == pytest.approx(1, abs=1e-9)
 
 
 # --- packing ----------------------------------------------------------------
