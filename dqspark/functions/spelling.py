@@ -1,20 +1,14 @@
-"""Text kernels for similar spellings, run inside Python tasks.
+"""Normal forms of spellings, run inside Python tasks.
 
-They see distinct values only, never rows.  The module travels with the job (it
-is pickled by value), so executors need nothing but the standard library, pandas
-and pyarrow; keep it free of imports from this package.  Groups come as Arrow tables,
-which cost far less per group than data frames.
+The module travels with the job (it is pickled by value); keep it free of imports
+from this package.
 """
 
 from __future__ import annotations
 
-import hashlib
 import sys
-from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
-import pyarrow as pa
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,146 +19,7 @@ def folded(values: pd.Series) -> pd.Series:
     return values.map(lambda v: " ".join(v.split()).casefold())
 
 
-def matches(early: list[tuple[int, str]], late: list[tuple[int, str]], threshold: float,
-            length_ratio: float, every: bool) -> Iterator[tuple[int, int, float]]:
-    """Pairs (earlier, later) that are similar enough.
-
-    The ratio is not symmetric, so the earlier form always comes first.  The two
-    quick ratios are upper bounds: they skip work, never matches.  Unless every
-    pair is asked for, pairs already linked through others are skipped.
-    """
-    linked: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while x in linked:
-            x = linked[x]
-        return x
-
-    matcher = SequenceMatcher(None)
-    for later, b in late:
-        matcher.set_seq2(b)
-        for earlier, a in early:
-            if earlier >= later:
-                continue
-            if min(len(a), len(b)) / max(len(a), len(b)) < length_ratio:
-                continue
-            if not every and top(earlier) == top(later):
-                continue
-            matcher.set_seq1(a)
-            if matcher.real_quick_ratio() < threshold or matcher.quick_ratio() < threshold:
-                continue
-            ratio = matcher.ratio()
-            if ratio >= threshold:
-                if top(earlier) != top(later):
-                    linked[top(later)] = top(earlier)
-                yield earlier, later, ratio
-
-
-def _tiles(table: pa.Table) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
-    """The (position, form) pairs of a table's two tiles, each in order."""
-    rows = sorted(zip(*(table[c].to_pylist() for c in ("pos", "norm", "tile"))))
-    lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-    return [(p, n) for p, n, t in rows if t == lo], [(p, n) for p, n, t in rows if t == hi]
-
-
-def similar_in(table: pa.Table, threshold: float, length_ratio: float, every: bool) -> pa.Table:
-    """Similar pairs between two tiles of a block."""
-    early, late = _tiles(table)
-    norms = dict(early + late)
-    found = list(matches(early, late, threshold, length_ratio, every))
-    n = len(found)
-    return pa.table({
-        "column": pa.array([table["column"][0].as_py()] * n, pa.string()),
-        "block": pa.array([table["block"][0].as_py()] * n, pa.string()),
-        "pos_a": pa.array([a for a, _, _ in found], pa.int32()),
-        "pos_b": pa.array([b for _, b, _ in found], pa.int32()),
-        "norm_a": pa.array([norms[a] for a, _, _ in found], pa.string()),
-        "norm_b": pa.array([norms[b] for _, b, _ in found], pa.string()),
-        "ratio": pa.array([r for _, _, r in found], pa.float64()),
-    })
-
-
-def lowest_in(table: pa.Table) -> pa.Table:
-    """Lowest ratio between two tiles of a cluster, the earlier form always first."""
-    early, late = _tiles(table)
-    lowest = 1.0
-    matcher = SequenceMatcher(None)
-    for later, b in late:
-        matcher.set_seq2(b)
-        for earlier, a in early:
-            if earlier < later:
-                matcher.set_seq1(a)
-                lowest = min(lowest, matcher.ratio())
-    keys = table.select(["column", "block", "cluster"]).slice(0, 1)
-    return keys.append_column("similarity", pa.array([lowest], pa.float64()))
-
-
-def assign_clusters(values: pa.Table, links: pa.Table) -> pa.Table:
-    """Number every value by the smallest position it is connected to."""
-    positions = values["pos"].to_pylist()
-    root = {p: p for p in positions}
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(links["pos_a"].to_pylist(), links["pos_b"].to_pylist()):
-        low, high = sorted((top(a), top(b)))
-        root[high] = low
-    return values.append_column("cluster", pa.array([top(p) for p in positions], pa.int32()))
-
-
-def reasons_for(variants: list[str], norms: list[str], lowest: float) -> list[str]:
-    """Why the values belong together: spacing, casing, share of equal text."""
-    trimmed = {v.strip() for v in variants}
-    reasons = []
-    if any(v.strip() != v or "  " in v for v in variants):
-        reasons.append("spacing")
-    if len({v.casefold() for v in trimmed}) < len(trimmed):
-        reasons.append("casing")
-    if len(norms) > 1:
-        reasons.append(f"{round(lowest * 100)}% similar")
-    return reasons or ["identical after trim"]
-
-
-def group_id(column: str, variants: list[str]) -> str:
-    """Stable name of a group: depends on its column and spellings only."""
-    joined = "\0".join([column, *sorted(variants)])
-    return hashlib.sha1(joined.encode("utf-8")).hexdigest()[:12]
-
-
-def keeper_score(value: str, rows: int) -> tuple:
-    text = value.strip()
-    titled = text[:1].isupper() and not text.isupper()
-    return rows, titled, text == value, len(text)
-
-
-GROUP = pa.schema([
-    ("column", pa.string()), ("variants", pa.list_(pa.string())),
-    ("counts", pa.map_(pa.string(), pa.int64())), ("suggested", pa.string()),
-    ("reasons", pa.list_(pa.string())), ("similarity", pa.float64()), ("group_id", pa.string()),
-    ("norm_rank", pa.int64()), ("norm_first", pa.int64()),
-])
-
-
-def describe(table: pa.Table) -> pa.Table:
-    """One row for a cluster: spellings by frequency, the one to keep, and why."""
-    members = table.to_pylist()
-    members.sort(key=lambda m: (m["norm_rank"], m["norm_first"], m["turn_rank"], m["turn_first"]))
-    values = [m["value"] for m in members]
-    rows = {m["value"]: m["rows"] for m in members}
-    norms = list(dict.fromkeys(m["norm"] for m in members))
-    first = members[0]
-    return pa.Table.from_pylist([{
-        "column": first["column"],
-        "variants": sorted(values, key=lambda v: (-rows[v], v)),
-        "counts": list(rows.items()),
-        "suggested": max(values, key=lambda v: keeper_score(v, rows[v])),
-        "reasons": reasons_for(values, norms, first["similarity"]),
-        "similarity": first["similarity"],
-        "group_id": group_id(first["column"], values),
-        "norm_rank": first["norm_rank"],
-        "norm_first": first["norm_first"],
-    }], GROUP)
+def forms(values: pd.Series) -> pd.DataFrame:
+    """Normal form, the stripped text, and the stripped text with case folded."""
+    stripped = values.map(str.strip)
+    return pd.DataFrame({"norm": folded(values), "stripped": stripped, "fold": stripped.map(str.casefold)})

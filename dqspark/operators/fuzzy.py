@@ -1,16 +1,23 @@
 """Similar spellings: values of a column that look like one value.
 
-The rows are reduced to distinct values with counts before anything else, by one
-map-side combined aggregate.  What is compared is bounded by the rules of the
-scan itself: a column with more than ``max_unique`` values is left out (or, when
-forced, its most common ones are taken), values meet only within a block of
-equal first two characters, and a block compares its first ``max_block`` forms.
-The comparison of a block is spread over small tiles so that no task gets more
-than a few thousand pairs.
+Rows become distinct values with counts, values become normal forms, and forms
+with a ratio of at least ``threshold`` are linked; a group is what links reach.
+
+The search for links is complete.  A ratio of t allows additions and removals of
+(1 - t) times the joint length, so forms meet only within classes of near lengths,
+in tiles of ``TILE`` forms; in a pair of tiles, sketches of the characters rule
+out nearly all pairs at a few nanoseconds each, and the rest is compared in full.
+Forms that are joined already are not compared: neighbours in sorted order (of
+the forms and of the reversed forms) are linked first, and a pair of tiles gives a
+spanning forest, never all its links.  No task holds more than two tiles, however
+large a column, a first letter or a group.
+
+``max_unique`` and ``max_block`` are limits that a user may set; both are off.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -20,18 +27,23 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from dqspark import fixed
-from dqspark.functions import cells, spelling
+from dqspark.functions import cells, matching, spelling
+from dqspark.operators.components import components
+from dqspark.operators.numbering import number
 from dqspark.operators.profile import ColumnFacts, count_cells
 from dqspark.session import prepare, settle
 
-NO_LIMIT = 2**31 - 1
-TILE = 64  # normal forms per tile side
+TILE = 2048  # forms per tile side
+DIRECT_LINKS = 200_000  # links up to which one task joins them
+LOWEST_TILE = 512  # forms per tile side when the lowest ratio is looked for
+SMALL_CLUSTER = 64  # forms of clusters that are compared many at a time
 SALTS = 32  # first-round buckets when ranking the values of a forced column
 
 GROUP_SCHEMA = (
     "column STRING, variants ARRAY<STRING>, counts MAP<STRING,BIGINT>, suggested STRING, "
     "reasons ARRAY<STRING>, similarity DOUBLE, group_id STRING, group_no BIGINT"
 )
+_LINK_SQL = "a bigint, b bigint"
 
 
 @dataclass
@@ -102,80 +114,182 @@ def top_values(counted: DataFrame, n: int) -> DataFrame:
     )
 
 
-def normal_forms(counted: DataFrame, forced: list[str], max_block: int) -> DataFrame:
-    """Values with their normal form, block and place within the block.
+def spellings(counted: DataFrame, forced: list[str] = ()) -> DataFrame:
+    """Values with their normal form: adds norm, stripped, fold, rank, first.
 
-    Adds (norm, block, turn, pos, compared).  ``turn`` is the order in which
-    values are taken up: first appearance, or frequency in a forced column.
+    (rank, first) is the order in which values are taken up: first appearance, or
+    frequency in a forced column.
     """
-    frequency = F.when(F.col("column").isin(*forced), -F.col("rows")) if forced else F.lit(None)
-    turn = F.struct(F.coalesce(frequency, F.lit(0).cast("bigint")).alias("rank"),
-                    F.col("first_id").alias("first"))
-    by_norm = Window.partitionBy("column", "block", "norm")
-    by_block = Window.partitionBy("column", "block").orderBy("norm_turn")
-    return (
-        counted.withColumn("norm", F.pandas_udf(spelling.folded, T.StringType())("value"))
-        .withColumn("block", F.substring("norm", 1, 2))
-        .withColumn("turn", turn)
-        .withColumn("norm_turn", F.min("turn").over(by_norm))
-        .withColumn("pos", F.dense_rank().over(by_block) - 1)
-        .withColumn("compared", F.col("pos") < max_block)
-    )
+    rank = F.when(F.col("column").isin(*forced), -F.col("rows")).otherwise(0) if forced else F.lit(0)
+    shape = T.StructType([T.StructField(c, T.StringType()) for c in ("norm", "stripped", "fold")])
+    made = F.pandas_udf(spelling.forms, shape)("value")
+    return (counted.withColumn("form", made).select("column", "value", "rows", "first_id", "form.*")
+            .withColumns({"rank": rank.cast("bigint"), "first": F.col("first_id")}))
+
+
+def normal_forms(values: DataFrame) -> DataFrame:
+    """(fid, column, norm, block, rank, first) per normal form, stored; ``fid`` is any unique number."""
+    turn = F.min(F.struct("rank", "first")).alias("turn")
+    return settle(
+        values.groupBy("column", "norm").agg(turn).select(
+            F.monotonically_increasing_id().alias("fid"), "column", "norm",
+            F.substring("norm", 1, 2).alias("block"), "turn.rank", "turn.first"),
+        "normal-forms")
 
 
 def block_sizes(forms: DataFrame, max_block: int) -> DataFrame:
-    """(column, block, norms, compared, truncated)."""
+    """(column, block, norms, compared, truncated): what a limit of forms per block leaves out."""
     return (
-        forms.groupBy("column", "block").agg((F.max("pos") + 1).cast("bigint").alias("norms"))
+        forms.groupBy("column", "block").agg(F.count(F.lit(1)).alias("norms"))
         .withColumn("compared", F.least("norms", F.lit(max_block).cast("bigint")))
         .withColumn("truncated", F.col("norms") - F.col("compared"))
     )
 
 
-def similar_pairs(forms: DataFrame, threshold: float, *, every: bool = True) -> DataFrame:
-    """(column, block, pos_a, pos_b, norm_a, norm_b, ratio) of similar forms.
+def _parts(forms: DataFrame, max_block: int | None) -> DataFrame:
+    """Forms that are compared, with ``part``: forms of different parts are not."""
+    if max_block is None:
+        return forms.withColumn("part", F.col("column"))
+    order = Window.partitionBy("column", "block").orderBy("rank", "first")
+    return (forms.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_block).drop("place")
+            .withColumn("part", F.concat("column", F.lit("\0"), "block")))
+
+
+def _neighbours(forms: DataFrame, threshold: float) -> DataFrame:
+    """Links between forms that follow each other in the order of the forms or of the reversed forms."""
+    ways = F.explode(F.array(F.struct(F.lit("a").alias("way"), F.col("norm").alias("by")),
+                             F.struct(F.lit("z").alias("way"), F.reverse("norm").alias("by"))))
+    rows = forms.withColumn("w", ways).select(
+        F.concat("w.way", "part").alias("column"), "w.by", "norm", "fid", "rank", "first")
+    find, length_ratio = matching.neighbours, fixed.LENGTH_RATIO
+
+    def kernel(batches):
+        return find(batches, threshold, length_ratio)
+
+    return (rows.repartitionByRange(_spread(forms), "column", "by").sortWithinPartitions("column", "by")
+            .select("column", "norm", "fid", "rank", "first").mapInArrow(kernel, _LINK_SQL))
+
+
+def _labelled(forms: DataFrame, joined: DataFrame, name: str) -> DataFrame:
+    known = joined.select(F.col("id").alias("fid"), F.col("component").alias(name))
+    return forms.join(known, "fid", "left").withColumn(name, F.coalesce(name, "fid"))
+
+
+def _tile_pairs(forms: DataFrame, threshold: float, blocks: bool) -> tuple[DataFrame, list[str]]:
+    """Forms once for each pair of tiles they are in, with ``side`` (0, 1; 2: a tile with itself); the pair's keys.
 
-    With ``every=False`` only enough pairs to connect each cluster are returned.
+    Lengths of similar forms differ by a factor of ``wide`` at most, so a class of
+    lengths meets itself and the next one.
     """
-    norms = forms.where("compared").select("column", "block", "norm", "pos").distinct()
-    keys, schema = ["column", "block"], (
-        "column STRING, block STRING, pos_a INT, pos_b INT, norm_a STRING, norm_b STRING, ratio DOUBLE")
-    if threshold > 1:
-        return forms.sparkSession.createDataFrame([], schema)  # no two forms are that similar
-    similar_in, length_ratio = spelling.similar_in, fixed.LENGTH_RATIO
+    if blocks:  # a block is one tile
+        return forms.withColumns({"side": F.lit(2), "lo": F.lit(0), "hi": F.lit(0), "class": F.lit(0), "up": F.lit(0)}), [
+            "part", "class", "up", "lo", "hi"]
+    wide = max(1.05, min((2 - threshold) / threshold, 1 / fixed.LENGTH_RATIO)) * 1.0001
+    classed = forms.withColumn("class", F.floor(F.log(F.length("norm").cast("double")) / F.lit(math.log(wide))).cast("int"))
+    sizes = classed.groupBy("part", "class").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    per = settle(sizes, "spelling-classes")
+    above = per.select("part", (F.col("class") - 1).alias("class"), F.col("tiles").alias("above"),
+                       F.col("low").alias("low1"), F.col("high").alias("high1"))
+    below = per.select("part", (F.col("class") + 1).alias("class"), F.col("tiles").alias("below"),
+                       F.col("low").alias("low0"), F.col("high").alias("high0"))
+    # Classes and neighbours that hold one component only are left out.
+    one, whole = F.col("low") == F.col("high"), F.lit(0)
+    counts = per.join(above, ["part", "class"], "left").join(below, ["part", "class"], "left").select(
+        "part", "class", "tiles",
+        F.when(one, whole).otherwise(F.col("tiles")).alias("inside"),
+        F.when(one & (F.col("low") == F.col("low1")) & (F.col("low") == F.col("high1")), whole).otherwise(
+            F.coalesce("above", whole)).alias("above"),
+        F.when(one & (F.col("low") == F.col("low0")) & (F.col("low") == F.col("high0")), whole).otherwise(
+            F.coalesce("below", whole)).alias("below"))
+    tile = F.pmod(F.xxhash64("norm"), F.col("tiles")).cast("int")
+    placed = classed.join(F.broadcast(counts), ["part", "class"]).withColumn("tile", tile)
+
+    def meets(n: str, up, lo, hi, side, level):
+        each = F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda o: F.struct(
+            level.alias("class"), F.lit(up).alias("up"), lo(o).alias("lo"), hi(o).alias("hi"), side(o).alias("side")))
+        return F.when(F.col(n) > 0, each).otherwise(F.array().cast(
+            "array<struct<class:int,up:int,lo:int,hi:int,side:int>>"))
+
+    own = F.col("tile")
+    pairs = F.concat(
+        meets("inside", 0, lambda o: F.least(own, o), lambda o: F.greatest(own, o),
+              lambda o: F.when(o == own, 2).when(own < o, 0).otherwise(1), F.col("class")),
+        meets("above", 1, lambda o: own, lambda o: o, lambda o: F.lit(0), F.col("class")),
+        meets("below", 1, lambda o: o, lambda o: own, lambda o: F.lit(1), F.col("class") - 1))
+    return placed.withColumn("pair", F.explode(pairs)).drop("class").select("*", "pair.*"), ["part", "class", "up", "lo", "hi"]
+
+
+def _between_tiles(forms: DataFrame, threshold: float, blocks: bool, kernel, schema: str) -> DataFrame:
+    """Run a kernel over each pair of tiles of forms with ``part`` and ``comp``."""
+    rows, keys = _tile_pairs(forms, threshold, blocks)
+    length_ratio = fixed.LENGTH_RATIO
 
     def compare(table: pa.Table) -> pa.Table:
-        return similar_in(table, threshold, length_ratio, every)
+        return kernel(table, threshold, length_ratio)
 
-    return _by_tile(norms, keys, compare, schema)
+    rows = rows.select(*keys, "side", "norm", "fid", "rank", "first", "comp")
+    return rows.repartition(_spread(forms), *keys).groupBy(*keys).applyInArrow(compare, schema)
 
 
-def _by_tile(norms: DataFrame, keys: list[str], compare, schema: str) -> DataFrame:
-    """Compare the forms of each group in pairs of tiles, one task group per pair.
+def clusters(forms: DataFrame, threshold: float, max_block: int | None = None) -> DataFrame:
+    """Forms with ``cluster``, the smallest ``fid`` that links reach."""
+    if threshold > 1:  # no two forms are that similar
+        return forms.withColumn("cluster", F.col("fid"))
+    compared = _parts(forms, max_block)
+    near = settle(_neighbours(compared, threshold), "spelling-links")
+    joined = components(near, "spelling-components", DIRECT_LINKS)
+    placed = settle(_labelled(compared, joined, "comp"), "spelling-forms")
+    far = _between_tiles(placed, threshold, max_block is not None, matching.linked, _LINK_SQL)
+    return _labelled(forms, components(near.unionByName(far), "spelling-components", DIRECT_LINKS), "cluster")
 
-    ``compare`` gets the rows of two tiles (``lo`` and ``hi``, maybe the same).
-    """
-    group = Window.partitionBy(*keys)
-    tiled = (
-        norms.withColumn("tile", F.floor((F.row_number().over(group.orderBy("pos")) - 1) / TILE).cast("int"))
-        .withColumn("members", F.count(F.lit(1)).over(group))
-        .withColumn("last_tile", F.max("tile").over(group))
-        .where("members > 1")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last_tile"))))
-        .select(*keys, "norm", "pos", "tile", F.least("tile", "other").alias("lo"),
-                F.greatest("tile", "other").alias("hi"))
-    )
-    pair = [*keys, "lo", "hi"]
-    return tiled.repartition(_spread(norms), *pair).groupBy(*pair).applyInArrow(compare, schema)
+
+def similar_counts(forms: DataFrame, threshold: float = fixed.SIMILAR_RATIO, max_block: int | None = None) -> DataFrame:
+    """(column, norm, links, best): how many other forms each is similar to, and the highest ratio."""
+    placed = _parts(forms, max_block).withColumn("comp", F.col("fid"))
+    found = _between_tiles(placed, threshold, max_block is not None, matching.counted, "fid bigint, links bigint, best double")
+    total = found.groupBy("fid").agg(F.sum("links").alias("links"), F.max("best").alias("best"))
+    return forms.join(total, "fid").select("column", "norm", "links", "best")
 
 
 def lowest_ratios(clustered: DataFrame) -> DataFrame:
-    """(column, block, cluster, similarity): lowest ratio between a cluster's forms."""
-    keys = ["column", "block", "cluster"]
-    norms = clustered.select(*keys, "norm", "pos").distinct()
-    parts = _by_tile(norms, keys, spelling.lowest_in, (
-        "column STRING, block STRING, cluster INT, similarity DOUBLE"))
-    return parts.groupBy(*keys).agg(F.min("similarity").alias("similarity"))
+    """(cluster, similarity, compared): lowest ratio between the forms of each cluster of two or more.
+
+    Clusters of a few forms are compared whole, many in one task.  Larger ones go
+    by tiles: far pairs give a first low ratio, and the search of a pair of tiles
+    stops when what all its forms share rules out a lower one.
+    """
+    sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = settle(clustered.join(sizes, "cluster").select("cluster", "n", "norm", "fid", "rank", "first"), "cluster-forms")
+    n = _spread(rows)
+    small = rows.where(F.col("n") <= SMALL_CLUSTER).repartition(n, "cluster").sortWithinPartitions("cluster")
+    schema = "cluster bigint, similarity double, compared bigint"
+    found = small.select("cluster", "norm", "rank", "first").mapInArrow(matching.lowest_of_small, schema)
+    large = rows.where(F.col("n") > SMALL_CLUSTER)
+    if large.isEmpty():
+        return found
+    tiles = F.ceil(F.col("n") / F.lit(LOWEST_TILE)).cast("int")
+    tile = F.pmod(F.xxhash64("norm"), F.col("tiles")).cast("int")
+    pairs = (large.withColumn("tiles", tiles).withColumn("tile", tile)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+             .withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other"),
+                           "side": F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1)})
+             .select("cluster", "lo", "hi", "side", "norm", "fid", "rank", "first"))
+    keys, between = ["cluster", "lo", "hi"], matching.lowest_between
+
+    def far(table: pa.Table) -> pa.Table:
+        return between(table, False)
+
+    def whole(table: pa.Table) -> pa.Table:
+        return between(table, True)
+
+    def run(kernel, known: DataFrame) -> DataFrame:
+        return known.repartition(n, *keys).groupBy(*keys).applyInArrow(kernel, schema).groupBy("cluster").agg(
+            F.min("similarity").alias("similarity"), F.sum("compared").alias("compared"))
+
+    first = settle(run(far, pairs.where("lo = hi").withColumn("known", F.lit(1.0))), "cluster-ratios")
+    known = pairs.join(first.select("cluster", F.col("similarity").alias("known")), "cluster")
+    return found.unionByName(run(whole, known))
 
 
 def _spread(df: DataFrame) -> int:
@@ -183,86 +297,90 @@ def _spread(df: DataFrame) -> int:
     return max(8, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 512))
 
 
-def clusters(forms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Values with a cluster number; no cluster crosses a block."""
-
-    value_cols = forms.select(
-        "column", "block", "value", "rows", "norm", "pos", "norm_turn", "turn"
-    ).withColumns({
-        "turn_rank": F.col("turn.rank"), "turn_first": F.col("turn.first"),
-        "norm_rank": F.col("norm_turn.rank"), "norm_first": F.col("norm_turn.first"),
-    }).drop("turn", "norm_turn")
-    n = _spread(forms)
-    return (
-        value_cols.repartition(n, "column", "block").groupBy("column", "block")
-        .cogroup(pairs.repartition(n, "column", "block").groupBy("column", "block"))
-        .applyInArrow(spelling.assign_clusters, T.StructType(
-            value_cols.schema.fields + [T.StructField("cluster", T.IntegerType())]))
-    )
-
+def describe_groups(values: DataFrame, clustered: DataFrame) -> DataFrame:
+    """One row per cluster of two or more spellings (GROUP_SCHEMA).
 
-def describe_groups(clustered: DataFrame) -> DataFrame:
-    """One row per cluster of two or more spellings (GROUP_SCHEMA)."""
-    keys = ["column", "block", "cluster"]
-    sized = clustered.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    fields = GROUP_SCHEMA.replace(", group_no BIGINT", ", norm_rank BIGINT, norm_first BIGINT")
-    lowest = lowest_ratios(clustered)
-    order = Window.partitionBy("column").orderBy("norm_rank", "norm_first", "group_id")
-    return (
-        sized.where("size > 1").drop("size")
-        .join(lowest, keys, "left").fillna(1.0, ["similarity"])
-        .repartition(_spread(clustered), *keys).groupBy(*keys)
-        .applyInArrow(spelling.describe, fields)
-        .withColumn("group_no", F.row_number().over(order).cast("bigint"))
-        .drop("norm_rank", "norm_first")
-    )
+    Kept is the most common spelling; then one that begins with a capital but is
+    not all capitals; then one without padding; then the longest; then the first.
+    """
+    stripped = F.col("stripped")
+    titled = stripped.rlike(r"^\p{IsUppercase}") & stripped.rlike(r"[\p{IsLowercase}\p{Lt}]")
+    members = values.join(clustered.select("column", "norm", "cluster", F.col("rank").alias("norm_rank"),
+                                           F.col("first").alias("norm_first")), ["column", "norm"])
+    best = F.struct(-F.col("rows"), ~titled, stripped != F.col("value"), -F.length("stripped"),
+                    "norm_rank", "norm_first", "rank", "first", "value")
+    grouped = members.groupBy("column", "cluster").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.array_sort(F.collect_list(F.struct((-F.col("rows")).alias("order"), "value"))).alias("members"),
+        F.min(best)["value"].alias("suggested"),
+        F.bool_or((stripped != F.col("value")) | F.col("value").contains("  ")).alias("spaced"),
+        F.size(F.collect_set("stripped")).alias("texts"), F.size(F.collect_set("fold")).alias("folds"),
+        F.min(F.struct("norm_rank", "norm_first")).alias("turn")).where("size > 1")
+    percent = F.concat(F.bround(F.col("similarity") * 100).cast("int").cast("string"), F.lit("% similar"))
+    reasons = F.array_compact(F.array(
+        F.when(F.col("spaced"), F.lit("spacing")), F.when(F.col("folds") < F.col("texts"), F.lit("casing")),
+        F.when(F.col("similarity").isNotNull(), percent)))
+    variants = F.transform("members", lambda m: m["value"])
+    made = settle(grouped.join(lowest_ratios(clustered).drop("compared"), "cluster", "left").select(
+        "column", variants.alias("variants"),
+        F.map_from_entries(F.transform("members", lambda m: F.struct(m["value"], -m["order"]))).alias("counts"),
+        "suggested", F.when(F.size(reasons) == 0, F.array(F.lit("identical after trim"))).otherwise(reasons).alias("reasons"),
+        F.coalesce("similarity", F.lit(1.0)).alias("similarity"), group_id("column", variants).alias("group_id"),
+        "turn.norm_rank", "turn.norm_first"), "spelling-groups")
+    numbers = number(made.select("column", "norm_rank", "norm_first", "group_id"), "column",
+                     ["norm_rank", "norm_first", "group_id"], "group_no", "group-numbers")
+    return made.drop("norm_rank", "norm_first").join(numbers.select("column", "group_id", "group_no"), ["column", "group_id"]).select(
+        *[f.split()[0] for f in GROUP_SCHEMA.replace("STRING,BIGINT", "").split(", ")])
+
+
+def group_id(column: str, variants):
+    """Stable name of a group: depends on its column and spellings only."""
+    return F.substring(F.sha1(F.concat_ws("\0", column, F.array_sort(variants)).cast("binary")), 1, 12)
 
 
 def scan(
     df: DataFrame,
     *,
     threshold: float = fixed.SIMILAR_RATIO,
-    max_unique: int | None = fixed.MAX_UNIQUE,
-    max_block: int | None = fixed.MAX_BLOCK,
+    max_unique: int | None = None,
+    max_block: int | None = None,
     force_columns: set[str] | None = None,
     columns: list[str] | None = None,
     facts: list[ColumnFacts] | None = None,
 ) -> FuzzyScan:
     """Find similar spellings in the text columns of a table.
 
-    Columns over ``max_unique`` values are skipped and reported, unless forced:
-    then their ``max_unique`` most common values are scanned.  Forms beyond a
-    block's first ``max_block`` still group by equal normal form and are counted
-    as truncated.  None lifts a limit.  Values are compared whole, whatever their
-    length.
+    Every form of a column is compared.  With ``max_unique``, columns over that
+    many values are skipped and reported, unless forced: then their
+    ``max_unique`` most common values are scanned.  With ``max_block``, forms meet
+    only within a block of equal first two characters, which compares its first
+    ``max_block`` forms; others still group by equal normal form and are counted
+    as truncated.  Values are compared whole, whatever their length.
     """
     spark = prepare(df.sparkSession)
-    max_unique, max_block = (NO_LIMIT if n is None else n for n in (max_unique, max_block))
     texts = text_columns(df, facts)
     if columns is not None:
         texts = [c for c in texts if c in columns]
+    none = spark.createDataFrame([], GROUP_SCHEMA)
     if not texts:
-        return FuzzyScan(spark.createDataFrame([], GROUP_SCHEMA),
-                         status_frame(spark, [], {}, set(), max_unique, {}))
-    uniques = {r["column"]: r["unique_count"] for r in unique_counts(df, texts).collect()}
-    forced = [c for c in texts if c in (force_columns or ()) and uniques.get(c, 0) > max_unique]
-    small = [c for c in texts if uniques.get(c, 0) <= max_unique]
-    if not small and not forced:
-        return FuzzyScan(spark.createDataFrame([], GROUP_SCHEMA),
-                         status_frame(spark, texts, uniques, set(), max_unique, {}))
-    counted = value_counts(df, small + forced)
-    if forced:
-        counted = counted.where(~F.col("column").isin(*forced)).unionByName(
-            top_values(counted.where(F.col("column").isin(*forced)), max_unique))
-    forms = settle(normal_forms(counted, forced, max_block), "spellings")
-    cut = {
-        r["column"]: r["truncated"]
-        for r in block_sizes(forms, max_block).groupBy("column")
-        .agg(F.sum("truncated").alias("truncated")).collect()
-    }
-    pairs = similar_pairs(forms, threshold, every=False)
-    clustered = settle(clusters(forms, pairs), "spelling-clusters")
-    groups = settle(describe_groups(clustered), "spelling-groups")
+        return FuzzyScan(none, status_frame(spark, [], {}, set(), max_unique, {}))
+    values = settle(spellings(value_counts(df, texts)), "spellings")
+    uniques = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    over = [c for c in texts if max_unique is not None and uniques.get(c, 0) > max_unique]
+    forced = [c for c in over if c in (force_columns or ())]
+    if over:
+        left = values.where(~F.col("column").isin(*over))
+        if forced:
+            common = top_values(values.where(F.col("column").isin(*forced)), max_unique)
+            left = left.unionByName(common.withColumn("rank", -F.col("rows")))
+        values = settle(left, "spellings")
+    forms = normal_forms(values)
+    cut = {}
+    if max_block is not None:
+        cut = {r["column"]: r["truncated"] for r in block_sizes(forms, max_block).groupBy("column").agg(
+            F.sum("truncated").alias("truncated")).collect()}
+    clustered = settle(clusters(forms, threshold, max_block), "spelling-clusters")
+    groups = settle(describe_groups(values, clustered), "spelling-groups")
     return FuzzyScan(groups, status_frame(spark, texts, uniques, set(forced), max_unique, cut))
 
 
@@ -270,7 +388,8 @@ def status_frame(spark, texts, uniques, forced, max_unique, cut) -> DataFrame:
     rows = []
     for name in texts:
         n = uniques.get(name, 0)
-        state = "sampled" if name in forced else "skipped" if n > max_unique else "scanned"
+        skipped = max_unique is not None and n > max_unique
+        state = "sampled" if name in forced else "skipped" if skipped else "scanned"
         rows.append((name, n, state, int(cut.get(name, 0))))
     return spark.createDataFrame(
         rows, "column STRING, unique_count BIGINT, status STRING, truncated BIGINT"

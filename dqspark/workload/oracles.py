@@ -256,8 +256,7 @@ cells AS ({TEXT_LONG}),
 vals AS (SELECT col, v, count(*) AS k, min(id) AS f, {NORMAL} AS norm
   FROM cells WHERE {strip('v')} <> '' GROUP BY col, v),
 uniques AS (SELECT col, count(*) AS u FROM vals GROUP BY col),
-norms AS (SELECT col, norm, substring(norm, 1, 2) AS block, min(f) AS f FROM vals
-  WHERE col IN (SELECT col FROM uniques WHERE u <= 5000) GROUP BY col, norm),
+norms AS (SELECT col, norm, substring(norm, 1, 2) AS block, min(f) AS f FROM vals GROUP BY col, norm),
 blocks AS (SELECT col, block, count(*) AS norms FROM norms GROUP BY col, block)"""
 
 NULLED = {c: f"CASE WHEN {c} IN ({', '.join(text(t) for t in fixed.NULL_TOKENS)}) THEN NULL ELSE {c} END"
@@ -390,7 +389,8 @@ HAVING avg(CASE WHEN {number("regexp_replace(v, '[,[:space:]]', '', 'g')")} IS N
     o["fuzzy_status"] = f"""WITH {VALUES}
 SELECT u.col AS "column", u.u AS unique_count, CASE WHEN u.u > 5000 THEN 'skipped' ELSE 'scanned' END AS status,
   CAST(coalesce(t.cut, 0) AS BIGINT) AS truncated
-FROM uniques u LEFT JOIN (SELECT col, sum(greatest(norms - 400, 0)) AS cut FROM blocks GROUP BY col) t USING (col)"""
+FROM uniques u LEFT JOIN (SELECT col, sum(greatest(norms - 400, 0)) AS cut FROM blocks GROUP BY col) t
+  ON t.col = u.col AND u.u <= 5000"""
     o["fuzzy_blocks"] = f"""WITH {VALUES} SELECT col AS "column", block, norms, least(norms, 400) AS compared,
   greatest(norms - 400, 0) AS truncated FROM blocks"""
     o["case_space_groups"] = f"""WITH {VALUES} SELECT col AS "column", norm, count(*) AS variants,

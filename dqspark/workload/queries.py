@@ -429,12 +429,8 @@ def fuzzy_findings(spark, d):
 TEXTS = [c for c in COLUMNS if c != "fax"]
 
 
-def _forms(spark, d, columns=None):
-    df = contacts(spark, d)
-    names = columns or TEXTS
-    uniques = {r["column"]: r["unique_count"] for r in fuzzy.unique_counts(df, names).collect()}
-    small = [c for c in names if uniques.get(c, 0) <= fixed.MAX_UNIQUE]
-    return fuzzy.normal_forms(fuzzy.value_counts(df, small), [], fixed.MAX_BLOCK)
+def _forms(spark, d):
+    return fuzzy.normal_forms(fuzzy.spellings(fuzzy.value_counts(contacts(spark, d), TEXTS)))
 
 
 @query
@@ -455,23 +451,25 @@ def value_counts_events(spark, d):
 
 @query
 def fuzzy_status(spark, d):
-    return fuzzy.scan(contacts(spark, d)).status
+    """With the limits that a user may set."""
+    return fuzzy.scan(contacts(spark, d), max_unique=fixed.MAX_UNIQUE, max_block=fixed.MAX_BLOCK).status
 
 
 @query
 def fuzzy_blocks(spark, d):
+    """What a limit of forms per block would leave out."""
     return fuzzy.block_sizes(_forms(spark, d), fixed.MAX_BLOCK)
 
 
 @query
 def fuzzy_pairs(spark, d):
-    return fuzzy.similar_pairs(_forms(spark, d), fixed.SIMILAR_RATIO).select(
-        "column", "block", "norm_a", "norm_b", F.round("ratio", 6).alias("ratio"))
+    """Similar forms of every form, and the highest ratio."""
+    return fuzzy.similar_counts(_forms(spark, d)).select("column", "norm", "links", F.round("best", 6).alias("best"))
 
 
 def _equal_forms(spark, d):
     """Groups of spellings with one normal form: nothing is as similar as 1.01."""
-    return fuzzy.scan(contacts(spark, d), threshold=1.01, max_unique=None, max_block=None).groups
+    return fuzzy.scan(contacts(spark, d), threshold=1.01).groups
 
 
 @query
@@ -530,7 +528,8 @@ def _choices(df):
 @query
 def fuzzy_groups_forced(spark, d):
     """The 5,000 most common values of every column over the limit."""
-    return _flat(fuzzy.scan(contacts(spark, d), force_columns=set(COLUMNS)).groups)
+    return _flat(fuzzy.scan(contacts(spark, d), max_unique=fixed.MAX_UNIQUE, max_block=fixed.MAX_BLOCK,
+                            force_columns=set(COLUMNS)).groups)
 
 
 # --- cleaning -------------------------------------------------------------

@@ -1,16 +1,19 @@
+import hashlib
+import random
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from dqspark.functions import spelling
+from dqspark.functions import matching
 from dqspark.operators import fuzzy
 
 
-def brute_force(values, threshold=0.85, max_block=400):
+def brute_force(values, threshold=0.85, max_block=None):
     """Groups by plain definition: compare everything, close transitively."""
     norms = []
     spelled = {}
@@ -23,7 +26,7 @@ def brute_force(values, threshold=0.85, max_block=400):
             norms.append(n)
     blocks = {}
     for n in norms:
-        blocks.setdefault(n[:2], []).append(n)
+        blocks.setdefault(n[:2] if max_block else "", []).append(n)
     sets = {n: {n} for n in norms}
     for members in blocks.values():
         for a, b in combinations(members[:max_block], 2):
@@ -62,16 +65,16 @@ def test_groups_equal_brute_force_on_random_text(spark, words):
 
 def test_block_limit_counts_what_was_not_compared(table):
     words = [f"zz{i:04d}{chr(97 + i % 26) * 6}" for i in range(401)] + ["ZZ0400" + chr(97 + 400 % 26) * 6]
-    scan = fuzzy.scan(table("v STRING", [(w,) for w in words]))
+    scan = fuzzy.scan(table("v STRING", [(w,) for w in words]), max_block=400)
     assert scan.status.first()["truncated"] == 1
-    assert found(scan) == brute_force(words)
+    assert found(scan) == brute_force(words, max_block=400)
 
 
-def test_limits_can_be_lifted(table):
+def test_limits_are_off(table):
     words = [f"zz{i:04d}{chr(97 + i % 26) * 6}" for i in range(401)] + ["ZZ0400" + chr(97 + 400 % 26) * 6]
-    scan = fuzzy.scan(table("v STRING", [(w,) for w in words]), max_unique=None, max_block=None)
+    scan = fuzzy.scan(table("v STRING", [(w,) for w in words]))
     assert scan.status.first()["truncated"] == 0
-    assert found(scan) == brute_force(words, max_block=len(words))
+    assert found(scan) == brute_force(words)
 
 
 def test_skipped_and_forced_columns(table):
@@ -105,7 +108,101 @@ def test_keeper_reasons_and_id(table):
     assert acme["reasons"] == ["spacing", "casing"] and acme["similarity"] == 1.0
     assert groups["Beta x"]["reasons"] == ["casing"]
     assert groups["gamma"]["reasons"] == ["spacing"]
-    assert acme["group_id"] == spelling.group_id("v", ["ACME", "Acme", " Acme"])
+    named = "\0".join(["v", *sorted(["ACME", "Acme", " Acme"])]).encode()
+    assert acme["group_id"] == hashlib.sha1(named).hexdigest()[:12]
+
+
+def test_ratios_equal_difflib():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abc d", k=rng.randint(0, 14))) for _ in range(150)]
+    words += [f"user{i}@example.com" for i in range(40)] + ["".join(rng.choices("xyéß😀", k=rng.randint(30, 70))) for _ in range(40)]
+    words += ["".join(chr(rng.randint(33, 3000)) for _ in range(rng.randint(1, 20))) for _ in range(60)] + ["ab" * 120, "ba" * 119 + "c"]
+    texts = matching.Texts(words)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    want = np.array([SequenceMatcher(None, words[x], words[y]).ratio() for x, y in zip(a, b, strict=True)])
+    assert (texts.ratios(a, b) == want).all()
+    apart = np.bitwise_count(texts.sketch[a] ^ texts.sketch[b]).sum(axis=1)
+    assert (apart <= (1 - want) * (texts.length[a] + texts.length[b]) + 1e-9).all()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=4), st.text("abcd", max_size=7), st.lists(st.text("abce", max_size=4), min_size=2, max_size=4, unique=True))
+def test_shared_ends_bound_the_ratio(start, end, middles):
+    values = [start + m + end for m in middles]
+    least = matching.least_matched(values)
+    for x, y in combinations(values, 2):
+        for a, b in ((x, y), (y, x)):
+            assert sum(k.size for k in SequenceMatcher(None, a, b).get_matching_blocks()) >= least
+
+
+def test_search_is_complete(table):
+    """Links of 5,000 random forms in several tiles equal those of all pairs."""
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abcdefgh 12", k=rng.randint(4, 16))) for _ in range(2200)]
+    words = {w.strip() for w in base} - {""}
+    for w in list(words):
+        at = rng.randrange(len(w))
+        words |= {w[:at] + w[at + 1 :], w[:at] + rng.choice("xyz") + w[at:]}
+    words = sorted({" ".join(w.split()) for w in words} - {""})[:5000]
+    rng.shuffle(words)
+    texts, n = matching.Texts(words), len(words)
+    assert n == 5000
+    links, best = np.zeros(n, dtype=int), np.zeros(n)
+    top = list(range(n))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in range(n - 1):  # the earlier form is the first text
+        later = np.arange(i + 1, n)
+        short, long = np.minimum(texts.length[i], texts.length[later]), np.maximum(texts.length[i], texts.length[later])
+        later = later[short / long >= 0.6]
+        ratio = texts.ratios(np.full(len(later), i), later)
+        for j, r in zip(later[ratio >= 0.85].tolist(), ratio[ratio >= 0.85].tolist(), strict=True):
+            links[[i, j]] += 1
+            best[[i, j]] = np.maximum(best[[i, j]], r)
+            top[max(root(i), root(j))] = min(root(i), root(j))
+    df = table("v STRING", [(w,) for w in words])
+    forms = fuzzy.normal_forms(fuzzy.spellings(fuzzy.value_counts(df, ["v"])))
+    got = {r["norm"]: (r["links"], r["best"]) for r in fuzzy.similar_counts(forms).collect()}
+    assert got == {w: (links[i], best[i]) for i, w in enumerate(words) if links[i]}
+    sets = {}
+    for i, w in enumerate(words):
+        sets.setdefault(root(i), set()).add(w)
+    found_sets = {}
+    for r in fuzzy.clusters(forms, 0.85).collect():
+        found_sets.setdefault(r["cluster"], set()).add(r["norm"])
+    assert sorted(map(sorted, sets.values())) == sorted(map(sorted, found_sets.values()))
+
+
+def test_links_joined_in_many_tasks(table, monkeypatch):
+    """The distributed way of joining links gives the same groups, over tiles of few forms."""
+    words = [f"customer {i}" for i in range(0, 900, 3)] + ["Berlin", "Berlln", "Bergen"] + [f"x{i}" for i in range(50)]
+    df = table("v STRING", [(w,) for w in words])
+    want = found(fuzzy.scan(df))
+    assert want == brute_force(words)
+    monkeypatch.setattr(fuzzy, "DIRECT_LINKS", 0)
+    monkeypatch.setattr(fuzzy, "TILE", 32)
+    assert found(fuzzy.scan(df)) == want
+
+
+def test_lowest_ratio_of_a_large_cluster(spark, monkeypatch):
+    """Equals all pairs of 2,000 forms, and tells how many pairs it compared."""
+    rng = random.Random(2)
+    sets = {"user": [f"user{i}@example.com" for i in range(2000)],
+            "word": sorted({"".join(rng.choices("abcd", k=rng.randint(3, 9))) for _ in range(2000)}),
+            "pair": ["abcd", "abcx"], "three": ["tide", "diet", "edit"]}
+    rows = [(k, n, w, 100_000 * k + n, 0, n) for k, ws in enumerate(sets.values()) for n, w in enumerate(ws)]
+    clustered = spark.createDataFrame(rows, "cluster BIGINT, n INT, norm STRING, fid BIGINT, rank BIGINT, first BIGINT").drop("n")
+    got = {r["cluster"]: r for r in fuzzy.lowest_ratios(clustered).collect()}
+    for k, ws in enumerate(sets.values()):
+        texts = matching.Texts(ws)
+        want = min(float(texts.ratios(np.full(len(ws) - i - 1, i), np.arange(i + 1, len(ws))).min()) for i in range(len(ws) - 1))
+        assert got[k]["similarity"] == want
+        assert 0 < got[k]["compared"] <= len(ws) * (len(ws) + 3) // 2
+    assert got[0]["compared"] < 200_000  # of 2 million: what all share rules the others out
 
 
 def test_similarity_is_the_lowest_pair(table):
@@ -117,9 +214,8 @@ def test_similarity_is_the_lowest_pair(table):
 
 
 def test_ratio_is_not_symmetric():
-    ordered = list(spelling.matches([(0, "tide")], [(1, "diet")], 0.2, 0.6, True))
-    turned = list(spelling.matches([(0, "diet")], [(1, "tide")], 0.2, 0.6, True))
-    assert ordered[0][2] == 0.25 and turned[0][2] == 0.5
+    texts = matching.Texts(["tide", "diet"])
+    assert texts.ratios(np.array([0, 1]), np.array([1, 0])).tolist() == [0.25, 0.5]
 
 
 def test_long_values_are_compared_whole(table):
