@@ -1,7 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from dqspark.operators import dedupe, findings, report
+from dqspark import fixed
+from dqspark.functions import cells
+from dqspark.operators import dedupe, findings, profile, report
 from dqspark.operators.profile import column_facts, column_sample, count_cells
 
 
@@ -21,12 +25,82 @@ def test_id_by_content_needs_ten_unique_numbers(table):
     assert roles(table("s STRING", [(f" {i} ",) for i in range(19)] + [("x",)])) == {"s": "id"}
 
 
-def test_unique_in_the_leading_rows_only_is_no_id(table, monkeypatch):
-    from dqspark.operators import profile
-
-    monkeypatch.setattr(profile, "ID_PREFIX", 20)
-    rows = [(i, i) for i in range(3000)] + [(0, 3000)]
-    assert roles(table("n BIGINT, m BIGINT", rows)) == {"n": None, "m": "id"}
+def test_one_repeat_makes_no_id(table):
+    rows = [(i, i, i / 4, f" {i}") for i in range(3000)] + [(0, 3000, 0.0, "0 ")]
+    assert roles(table("n BIGINT, m BIGINT, x DOUBLE, s STRING", rows)) == {"n": None, "m": "id", "x": None, "s": None}
+
+
+def test_zeros_of_both_signs_are_written_differently(table):
+    rows = [(i / 4,) for i in range(1, 300)] + [(0.0,), (-0.0,)]
+    assert roles(table("x DOUBLE", rows)) == {"x": "id"}
+    assert roles(table("x DOUBLE", rows + [(0.25,)])) == {"x": None}
+
+
+CELLS = [
+    "2024-01-05", " 5/1/2024 ", "05-11-24", "2024/1/5", "1.2.2024", "January 5, 2024", "Sep 5 2024", "5-Jan-24",
+    "2024-01-05T10:11:12", "2024-01-05 10:11:12+02:00", "2024-01-05T10:11Z and more text of any kind, as long as it may be here",
+    "a@b.co", "a@b", "  A.b+c@x-y.co.uk", "@", "12", "-12.5", "1e5", "1E-5", ".5", "5.", "1,234", "1 234", "$1,234.50", "€5",
+    "inf", "-Infinity", "infinite", "nan", " NaN", "None", "NULL", "null ", "", "  ", "\u00a0", "\u2003x\u2003", "x\t",
+    "+1 (555) 123-4567", "(555) 123-4567", "555.123.4567", "5551234567", "123456", "12345", "1" * 15, "1" * 16, "1" * 60,
+    "123-4567 ext", "12-3456", "Customer 1234567", "a,b", ",123", "x" * 200, "1T2", "e", "T", "=1+1", "=10000", "12:30", "12/2024",
+]
+
+
+def _one_by_one(value):
+    """What a column of this one cell counts, by the patterns as they stand."""
+    text = value.strip(fixed.WHITESPACE)
+    filled = text.lower() not in fixed.BLANK_WORDS
+    own = text if filled else None
+    flat = re.sub(r"[,\s]", "", text)
+
+    def number(x):
+        return bool(re.search(fixed.NUMBER, x, re.A) or re.search(fixed.INFINITE, x, re.A))
+
+    label = next((n for n, p in fixed.DATE_FORMATS if own and re.search(p, own, re.A)), None)
+    return {
+        "filled": filled, "placeholders": text in fixed.PLACEHOLDERS, "padded": text != value,
+        "emails": bool(own and re.search(fixed.EMAIL, own)), "numbers": bool(own and number(own)),
+        "phones": bool(own and re.search(fixed.PHONE, own, re.A) and label is None),
+        "good_phones": bool(own and 7 <= len(re.findall("[0-9]", own)) <= 15), "loose_numbers": bool(own and number(flat)),
+        "currency_found": bool(re.search(fixed.CURRENCY_FINDING, value, re.A)),
+        "currency_hits": bool(re.search(fixed.CURRENCY_SYMBOL, value)),
+        "currency_cleanable": bool(re.search(fixed.CURRENCY_CLEANER, value)), "labels": [(label, 1)] if label else [],
+    }
+
+
+def test_shapes_tell_what_the_patterns_tell(table):
+    """Every cell as a column of its own: counts equal those of the patterns tried on it."""
+    schema = ", ".join(f"c{i} STRING" for i in range(len(CELLS)))
+    facts = count_cells(table(schema, [tuple(CELLS)]))
+    for value, fact in zip(CELLS, facts, strict=True):
+        want = _one_by_one(value)
+        got = {k: getattr(fact, k) if k == "labels" else bool(getattr(fact, k)) for k in want}
+        assert got == want, value
+
+
+def test_numbers_tell_what_their_texts_tell(table):
+    """Phones and digit counts of numbers by size equal those of their texts."""
+    doubles = [0.0, -0.0, 1.5, 12345.67, 1234567.0, 123456.7, 1e6, 99999.99, 1e9, 1e12, 1.0e15, 1e16, 1e-5, 0.001, 123.4567,
+               1234.5678, 555123.4567, -1234567.25, 1.2300000000000002, float("nan"), float("inf"), 4.35, 123456789.12, 100000.0]
+    whole = [0, 99999, 100000, 999999, 1000000, -1000000, 10**15 - 1, 10**15, -(2**63)] + [7] * 15
+    rows = list(zip(doubles, whole, strict=True))
+    for i, (x, n) in enumerate(rows):
+        facts = count_cells(table("x DOUBLE, n BIGINT", [(x, n)]))
+        texts = table("x DOUBLE, n BIGINT", [(x, n)]).select(
+            cells.as_text(F.col("x"), facts[0].dtype), cells.as_text(F.col("n"), facts[1].dtype)).first()
+        for fact, text in zip(facts, texts, strict=True):
+            phone = text is not None and re.search(fixed.PHONE, text, re.A) is not None
+            good = text is not None and 7 <= len(re.findall("[0-9]", text)) <= 15
+            assert (fact.phones, fact.good_phones) == (phone, good), (i, text)
+
+
+def test_a_cell_is_stripped_once(table):
+    """At most two trims a text column in the optimised plan of the counts."""
+    df = table("a STRING, b STRING", [("x", "1")])
+    facts = [profile.ColumnFacts(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields[1:])]
+    rows = df.select(F.col("_row_id").alias("id"), F.col("a").alias("c0"), F.col("b").alias("c1"))
+    plan = profile._text_counts(rows, facts, [0, 1])._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("trim(") <= 2 * 2
 
 
 def test_empty_column_gets_role_by_name_only(table):
