@@ -53,6 +53,7 @@ class ColumnFacts:
     currency_found: int = 0
     currency_hits: int = 0
     currency_cleanable: int = 0
+    room: int | None = None  # different values that fit between the lowest and the highest
     loose_numbers: int = 0  # numbers when commas and spaces are left out
     own_role: str | None = None
     role: str | None = None
@@ -85,7 +86,8 @@ def _by_type(i: int, fact: ColumnFacts) -> list[Column]:
     if isinstance(dtype, T.IntegralType) or isinstance(dtype, T.DecimalType) and dtype.scale == 0:
         low, high = fixed.PHONE_DIGITS
         aggs += [F.count_if(col.between(10**5, 10**15 - 1)).alias(f"h{i}"),  # 6 to 15 digits without a sign
-                 F.count_if(F.abs(col.cast("decimal(38,0)")).between(10 ** (low - 1), 10**high - 1)).alias(f"g{i}")]
+                 F.count_if(F.abs(col.cast("decimal(38,0)")).between(10 ** (low - 1), 10**high - 1)).alias(f"g{i}"),
+                 (F.max(col).cast("decimal(38,0)") - F.min(col).cast("decimal(38,0)")).alias(f"z{i}")]
     elif cells.is_moment(dtype):
         four = F.year(col).between(0, 9999)
         first = F.min(F.when(four, F.col("id")))
@@ -162,8 +164,10 @@ def _double_counts(df: DataFrame, facts: list[ColumnFacts], cols: list[int]) ->
     text = F.when(~plain, cells.as_text(x, T.DoubleType()))
     digits = F.when(cents % 10 == 0, size >= 1e5).otherwise(size >= 1e4)  # 7 or more; below 1e9 never over 15
     rows = _cells(df, facts, cols, lambda f: cells.ref(f.name)).where(~F.isnan("value"))
-    rows = rows.select("i", plain.alias("plain"), digits.alias("digits"), text.alias("text"))
+    rows = rows.select("i", plain.alias("plain"), digits.alias("digits"), text.alias("text"),
+                       F.when(plain, cents).alias("cents"))
     return rows.groupBy("i").agg(
+        F.when(F.bool_and("plain"), F.max("cents") - F.min("cents")).alias("z"),  # all of two decimals at most
         F.count_if(~F.col("plain") & F.col("text").rlike(fixed.PHONE)).alias("h"),
         F.count_if(F.when(F.col("plain"), F.col("digits")).otherwise(~cells.is_bad_phone(F.col("text")))).alias("g"))
 
@@ -230,6 +234,8 @@ def _store(fact: ColumnFacts, row: dict) -> None:
             fact.currency_found, fact.currency_hits, fact.currency_cleanable = got["k"], got["y"], got["c"]
             seen = [(-row[f"n{k}"], row[f"f{k}"], name) for k, (name, _) in enumerate(fixed.DATE_FORMATS) if row[f"n{k}"]]
             fact.labels = [(name, -count) for count, _, name in sorted(seen)]
+    if row.get("z") is not None:
+        fact.room = int(row["z"]) + 1
     if "h" in row:
         fact.phones, fact.good_phones = got["h"], got["g"]
 
@@ -277,10 +283,14 @@ def _entries(facts: list[ColumnFacts], cols: list[int], value) -> Column:
 def _unique(df: DataFrame, facts: list[ColumnFacts], cols: list[int]) -> list[int]:
     """The columns whose values are all different.
 
-    A sketch of the distinct values rules out most columns.  For the others,
+    More cells than values that fit between the lowest and the highest, or a sketch
+    of the distinct values, rule out most columns.  For the others,
     8-byte hashes that all differ prove that the values do; where hashes repeat,
     the values behind some of them are compared.
     """
+    cols = [i for i in cols if facts[i].room is None or facts[i].room >= facts[i].filled]
+    if not cols:
+        return []
     about = df.agg(*[F.approx_count_distinct(_quick(facts[i]), 0.02).alias(f"n{i}") for i in cols]).first()
     left = [i for i in cols if about[f"n{i}"] >= SURELY_REPEATED * facts[i].filled]
     if not left:
