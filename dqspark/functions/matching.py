@@ -43,14 +43,21 @@ class Texts:
         short = column < WORD
         self.code = np.full((len(values), min(WORD, int(self.length.max(initial=1)))), self.alphabet, dtype=np.int32)
         self.code[row[short], column[short]] = code[short]
-        self.sketch = self._sketch(row, points)
+        self._points = row, points
+        self._made: np.ndarray | None = None
         self._masks: dict = {}
 
-    def _sketch(self, row: np.ndarray, points: np.ndarray) -> np.ndarray:
+    @property
+    def sketch(self) -> np.ndarray:
         """Two words of bits, one bit flipped for each character and its how-many-eth occurrence.
 
         Two texts differ in at most as many bits as characters must be added and removed.
         """
+        if self._made is None:
+            self._made = self._sketch(*self._points)
+        return self._made
+
+    def _sketch(self, row: np.ndarray, points: np.ndarray) -> np.ndarray:
         order = np.lexsort((points, row))
         r, c = row[order].astype(np.uint64), points[order].astype(np.uint64)
         new = np.append(True, (r[1:] != r[:-1]) | (c[1:] != c[:-1])) if len(r) else np.zeros(0, bool)

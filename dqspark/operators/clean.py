@@ -429,7 +429,7 @@ def _merge(out: DataFrame, options: CleaningOptions, log: ChangeLog) -> DataFram
     if groups is None or not options.include_role_columns:
         facts = column_facts(out)
     if groups is None:
-        groups = fuzzy.scan(out, facts=facts).groups
+        groups = fuzzy.scan(out, facts=facts, explain=False).groups
     if not options.include_role_columns:
         roles = [f.name for f in facts if f.role]
         if roles:

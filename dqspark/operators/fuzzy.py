@@ -35,7 +35,7 @@ from dqspark.session import prepare, settle
 
 TILE = 2048  # forms per tile side
 DIRECT_LINKS = 200_000  # links up to which one task joins them
-LOWEST_TILE = 512  # forms per tile side when the lowest ratio is looked for
+LOWEST_TILE = 1024  # forms per tile side when the lowest ratio is looked for
 SMALL_CLUSTER = 64  # forms of clusters that are compared many at a time
 SALTS = 32  # first-round buckets when ranking the values of a forced column
 
@@ -297,9 +297,11 @@ def _spread(df: DataFrame) -> int:
     return max(8, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 512))
 
 
-def describe_groups(values: DataFrame, clustered: DataFrame) -> DataFrame:
+def describe_groups(values: DataFrame, clustered: DataFrame, explain: bool = True) -> DataFrame:
     """One row per cluster of two or more spellings (GROUP_SCHEMA).
 
+    Without ``explain``, similarity is null and the reasons do not tell it.
+
     Kept is the most common spelling; then one that begins with a capital but is
     not all capitals; then one without padding; then the longest; then the first.
     """
@@ -321,11 +323,13 @@ def describe_groups(values: DataFrame, clustered: DataFrame) -> DataFrame:
         F.when(F.col("spaced"), F.lit("spacing")), F.when(F.col("folds") < F.col("texts"), F.lit("casing")),
         F.when(F.col("similarity").isNotNull(), percent)))
     variants = F.transform("members", lambda m: m["value"])
-    made = settle(grouped.join(lowest_ratios(clustered).drop("compared"), "cluster", "left").select(
+    low = lowest_ratios(clustered).drop("compared") if explain else None
+    grouped = grouped.join(low, "cluster", "left") if explain else grouped.withColumn("similarity", F.lit(None).cast("double"))
+    made = settle(grouped.select(
         "column", variants.alias("variants"),
         F.map_from_entries(F.transform("members", lambda m: F.struct(m["value"], -m["order"]))).alias("counts"),
         "suggested", F.when(F.size(reasons) == 0, F.array(F.lit("identical after trim"))).otherwise(reasons).alias("reasons"),
-        F.coalesce("similarity", F.lit(1.0)).alias("similarity"), group_id("column", variants).alias("group_id"),
+        F.coalesce("similarity", F.lit(1.0 if explain else None)).alias("similarity"), group_id("column", variants).alias("group_id"),
         "turn.norm_rank", "turn.norm_first"), "spelling-groups")
     numbers = number(made.select("column", "norm_rank", "norm_first", "group_id"), "column",
                      ["norm_rank", "norm_first", "group_id"], "group_no", "group-numbers")
@@ -347,6 +351,7 @@ def scan(
     force_columns: set[str] | None = None,
     columns: list[str] | None = None,
     facts: list[ColumnFacts] | None = None,
+    explain: bool = True,
 ) -> FuzzyScan:
     """Find similar spellings in the text columns of a table.
 
@@ -355,7 +360,8 @@ def scan(
     ``max_unique`` most common values are scanned.  With ``max_block``, forms meet
     only within a block of equal first two characters, which compares its first
     ``max_block`` forms; others still group by equal normal form and are counted
-    as truncated.  Values are compared whole, whatever their length.
+    as truncated.  Values are compared whole, whatever their length.  ``explain``
+    looks for the lowest ratio of each group, which merging does not need.
     """
     spark = prepare(df.sparkSession)
     texts = text_columns(df, facts)
@@ -380,7 +386,7 @@ def scan(
         cut = {r["column"]: r["truncated"] for r in block_sizes(forms, max_block).groupBy("column").agg(
             F.sum("truncated").alias("truncated")).collect()}
     clustered = settle(clusters(forms, threshold, max_block), "spelling-clusters")
-    groups = settle(describe_groups(values, clustered), "spelling-groups")
+    groups = settle(describe_groups(values, clustered, explain), "spelling-groups")
     return FuzzyScan(groups, status_frame(spark, texts, uniques, set(forced), max_unique, cut))
 
 
