@@ -19,8 +19,8 @@ def ref(name: str) -> Column:
 
 
 def data_fields(df: DataFrame) -> list[T.StructField]:
-    """The table's own columns: everything but the engine's row id."""
-    return [f for f in df.schema.fields if f.name != fixed.ROW_ID]
+    """The table's own columns: everything but the engine's row id and the values carried for an audit."""
+    return [f for f in df.schema.fields if f.name not in (fixed.ROW_ID, fixed.BEFORE)]
 
 
 def is_text(dtype: T.DataType) -> bool:

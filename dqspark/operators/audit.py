@@ -1,6 +1,8 @@
 """Compare a table before and after cleaning.
 
-Rows are matched by ``_row_id``, a unique key, so the joins have no hot keys.
+A traced clean carries old values beside the new ones, so its changes come from
+one reading of the cleaned table.  Otherwise rows are matched by ``_row_id``, a
+unique key, so the joins have no hot keys.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ def changed_cells(before: DataFrame, after: DataFrame,
 
     Covers rows and columns present in both; ``renames`` lines up new names with
     old ones; ``touched`` (see ChangeLog) names the columns that can differ, so
-    that no others are read and shuffled.  Null and empty text are the same.  Deviation: texts are compared
+    that no others are read and shuffled.  If ``after`` is of a traced clean, only
+    the schema of ``before`` is used, and nothing is joined.  Null and empty text are the same.  Deviation: texts are compared
     whole and only cut for display, and a number stays unchanged when only its
     type widened.
     """
@@ -45,10 +48,13 @@ def changed_cells(before: DataFrame, after: DataFrame,
     if not pairs:
         return before.sparkSession.createDataFrame(
             [], "_row_id BIGINT, column STRING, before STRING, after STRING, column_no INT")
-    left = before.select(fixed.ROW_ID, *[
-        cells.ref(f.name).alias(f"_l{no}") for no, f, _ in pairs])
-    right = after.select(fixed.ROW_ID, *[
-        cells.ref(t.name).alias(f"_r{no}") for no, _, t in pairs])
+    if fixed.BEFORE in after.columns:
+        both = after.select(fixed.ROW_ID, *[F.col(fixed.BEFORE)[f"c{no}"].alias(f"_l{no}") for no, _, _ in pairs], *[
+            cells.ref(t.name).alias(f"_r{no}") for no, _, t in pairs])
+    else:
+        left = before.select(fixed.ROW_ID, *[cells.ref(f.name).alias(f"_l{no}") for no, f, _ in pairs])
+        right = after.select(fixed.ROW_ID, *[cells.ref(t.name).alias(f"_r{no}") for no, _, t in pairs])
+        both = left.join(right, fixed.ROW_ID)
     entries = []
     for no, f, target in pairs:
         old, old_type, new, new_type = F.col(f"_l{no}"), f.dataType, F.col(f"_r{no}"), target.dataType
@@ -62,8 +68,7 @@ def changed_cells(before: DataFrame, after: DataFrame,
             F.lit(name).alias("column"), was.alias("before"), now.alias("after"),
             F.lit(no).alias("column_no"))))
     return (
-        left.join(right, fixed.ROW_ID)
-        .select(fixed.ROW_ID, F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        both.select(fixed.ROW_ID, F.explode(F.array_compact(F.array(*entries))).alias("e"))
         .select(fixed.ROW_ID, "e.column", "e.before", "e.after", "e.column_no")
     )
 

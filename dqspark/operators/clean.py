@@ -377,14 +377,19 @@ def _handle_missing(df: DataFrame, options: CleaningOptions,
     return df, row["n"], n
 
 
-def clean(df: DataFrame, options: CleaningOptions) -> tuple[DataFrame, ChangeLog]:
+def clean(df: DataFrame, options: CleaningOptions, *, trace: bool = False) -> tuple[DataFrame, ChangeLog]:
     """Run the selected steps over a table with a ``_row_id``.
 
-    Returns the cleaned table and its log.  Rows keep their ``_row_id``.
+    Returns the cleaned table and its log.  Rows keep their ``_row_id``.  With
+    ``trace`` the cleaned table carries the old values beside the new ones, in the
+    struct ``_before``, so that changed cells follow from one reading of it.
     """
     prepare(df.sparkSession)
     log = ChangeLog(cols_before=len(cells.data_fields(df)))
     out = df
+    if trace:
+        old = [cells.ref(f.name).alias(f"c{no}") for no, f in enumerate(cells.data_fields(df))]
+        out = df.withColumn(fixed.BEFORE, F.struct(*old) if old else F.lit(None))
     if options.trim_whitespace:
         log.touched += _texts(out)
         out = trim(out)

@@ -26,7 +26,7 @@ def neutralize_formulas(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     """Neutralised CSV with a header and no row ids, one file per partition."""
-    out = neutralize_formulas(df).drop(fixed.ROW_ID)
+    out = neutralize_formulas(df).drop(fixed.ROW_ID, fixed.BEFORE)
     out.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 

@@ -770,9 +770,9 @@ def preview_head(spark, d):
 
 
 def _before_after(spark, d, profile_id):
-    """Contacts, their cleaned form written once, and the log."""
+    """Contacts, their cleaned form with old values, written once, and the log."""
     before = contacts(spark, d)
-    after, log = clean(before, recipe.options_from_profile(profile_id))
+    after, log = clean(before, recipe.options_from_profile(profile_id), trace=True)
     return before, settle(after, "cleaned"), log
 
 
@@ -802,7 +802,8 @@ def changed_sample(spark, d):
 
 @query
 def changed_cells(spark, d):
-    before, after, log = _before_after(spark, d, "transactions")
+    before = contacts(spark, d)
+    after, log = clean(before, recipe.options_from_profile("transactions"), trace=True)
     return audit.changed_cells(before, after, log.columns_renamed, log.touched).drop("column_no")
 
 

@@ -1,4 +1,5 @@
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +138,38 @@ def test_bracketed_median_is_exact(spark, kind):
     assert median.exact_medians(df, {"x": n})["x"] == want
 
 
+def test_medians_of_many_columns_take_three_jobs(spark):
+    rnd = random.Random(4)
+    data = [[rnd.choice([None, float("nan"), rnd.uniform(-9, 9), float(rnd.randint(0, 3))]) for _ in range(7)] for _ in range(3000)]
+    df = spark.createDataFrame(data, ", ".join(f"x{i} DOUBLE" for i in range(7)))
+    real = [[r[i] for r in data if r[i] is not None and r[i] == r[i]] for i in range(7)]
+    counts = {f"x{i}": len(v) for i, v in enumerate(real)} | {"none": 0}
+    spark.sparkContext.setJobGroup("medians", "medians")
+    got = median.exact_medians(df, counts, direct=100)
+    assert got == {f"x{i}": statistics.median(v) for i, v in enumerate(real)}
+    queries = len(spark.sparkContext.statusTracker().getJobIdsForGroup("medians"))
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert queries <= 7  # adaptive queries run a job a stage: two of two stages, one of three
+
+
+def test_traced_changes_equal_joined_ones(contacts):
+    for profile_id in ("transactions", "survey"):
+        options = recipe.options_from_profile(profile_id)
+        plain, log = clean(contacts, options)
+        traced, same = clean(contacts, options, trace=True)
+        assert log.items() == same.items()
+        assert plain.exceptAll(traced.drop("_before")).isEmpty()
+        want = audit.changed_cells(contacts, plain, log.columns_renamed, log.touched)
+        got = audit.changed_cells(contacts, traced, log.columns_renamed, log.touched)
+        assert want.count() == got.count() and want.exceptAll(got).isEmpty()
+
+
+def test_traced_changes_need_no_join(contacts):
+    after, log = clean(contacts, CleaningOptions(trim_whitespace=True, fix_dates=True, strip_currency=True), trace=True)
+    plan = audit.changed_cells(contacts, after, log.columns_renamed, log.touched)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_renames():
     assert snake("Total ($)") == "total"
     assert plan_renames(["x", "y"], manual={"x": "y", "zz": "q", "y": " "}) == {"x": "y_2"}
