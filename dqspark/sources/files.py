@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import math
 import re
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -223,16 +225,18 @@ def _with_file_ids(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-WHOLE_BYTES = 256_000_000  # a longer file is read as a stream, not as one row
-_STREAMS = 8
+WHOLE_BYTES = 256_000_000  # a longer file is read piece by piece, not as one row
+PIECE_BYTES = 8_000_000
+_DIGEST = "path string, length bigint, digest string"
 
 
 def fingerprints(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
     """(path, bytes, fingerprint): first 16 hex digits of the SHA-256 of each file's content.
 
-    Files of ``WHOLE_BYTES`` or more are read as streams through the driver's file
-    system, a few at a time: SHA-256 takes the bytes in order, so one file is
-    one reader's work.  The result is the same on both ways.
+    SHA-256 takes the bytes in order, so a file is one task's work.  Files of
+    ``WHOLE_BYTES`` or more are read there in pieces, from the shared file system
+    that the path names; no file passes the driver.  Empty files are not listed.  The result is the same on
+    both ways.
     """
     reader = spark.read.format("binaryFile")
     if glob:
@@ -240,24 +244,38 @@ def fingerprints(spark: SparkSession, paths: str | list[str], glob: str | None =
     files = reader.load(paths)
     small = files.where(F.col("length") < WHOLE_BYTES).select(
         "path", "length", F.sha2("content", 256).alias("digest"))
-    large = files.where(F.col("length") >= WHOLE_BYTES).select("path", "length").collect()
-    with ThreadPoolExecutor(_STREAMS) as pool:
-        digests = list(pool.map(lambda r: _streamed_digest(spark, r["path"]), large))
-    streamed = spark.createDataFrame(
-        [(r["path"], r["length"], d) for r, d in zip(large, digests, strict=True)],
-        "path string, length bigint, digest string")
+    large = settle(files.where(F.col("length") >= WHOLE_BYTES).select("path", "length"), "large-files")
+    tasks, digest = min(max(1, large.count()), _FILE_TASKS), _digest_pieces
+
+    def kernel(batches):
+        for batch in batches:
+            names, lengths = (c.to_pylist() for c in batch.columns)
+            for name, length in zip(names, lengths, strict=True):
+                row = {"path": [name], "length": [length], "digest": [digest(name, length)]}
+                yield pa.RecordBatch.from_pydict(row)
+
+    streamed = large.repartitionByRange(tasks, "path").mapInArrow(kernel, _DIGEST)
     return small.unionByName(streamed).select(
         "path", F.col("length").alias("bytes"), F.substring("digest", 1, 16).alias("fingerprint"))
 
 
-def _streamed_digest(spark: SparkSession, name: str) -> str:
-    """SHA-256 of a file's content, of any length, in constant memory."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    stream = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(path)
-    try:
-        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
-    finally:
-        stream.close()
+_FILE_TASKS = 10_000  # tasks for large files; more files share them
+
+
+def _digest_pieces(name: str, length: int) -> str:
+    """SHA-256 of a file's content, of any length, in constant memory, on the executor that runs the task."""
+    if name.startswith("file:"):
+        store, path = pyarrow.fs.LocalFileSystem(), re.sub("^file:/+", "/", name)
+    else:
+        store, path = pyarrow.fs.FileSystem.from_uri(name)
+    found, seen = hashlib.sha256(), 0
+    with store.open_input_stream(path, compression=None) as stream:
+        while piece := stream.read(PIECE_BYTES):
+            found.update(piece)
+            seen += len(piece)
+    if seen != length:
+        raise ValueError(f"{name} has changed while it was read")
+    return found.hexdigest()
 
 
 def stack_fingerprint(found: DataFrame) -> DataFrame:

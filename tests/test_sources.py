@@ -122,6 +122,16 @@ def test_fingerprints(spark, tmp_path):
     assert files.stack_fingerprint(found).first()["fingerprint"] == whole
 
 
+def test_fingerprints_piece_by_piece(spark, tmp_path, monkeypatch):
+    """Files read in pieces on executors have the fingerprints of files read whole; the driver opens none."""
+    for i, size in enumerate((1, 999, 1000, 5000, 70_001)):
+        (tmp_path / f"f {i}.bin").write_bytes(bytes(range(251)) * (size // 251) + b"x" * (size % 251))
+    whole = {tuple(r) for r in files.fingerprints(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(files, "WHOLE_BYTES", 1000)
+    monkeypatch.setattr(files, "PIECE_BYTES", 700)
+    assert {tuple(r) for r in files.fingerprints(spark, str(tmp_path)).collect()} == whole and len(whole) == 5
+
+
 def test_fingerprints_of_large_files_are_their_content(spark, tmp_path):
     import hashlib
     import os
