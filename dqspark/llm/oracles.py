@@ -6,6 +6,8 @@ SQL), BPE, packing (dynamic programming), and the trained models.
 
 from __future__ import annotations
 
+from dqspark.llm.pii import IBAN_PATTERN
+
 _PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: kind, pattern, test of a match v, score, context words
 _KINDS = (
@@ -21,7 +23,7 @@ _KINDS = (
      "card|visa|credit|pay|karte|carte|tarjeta"),
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15", 0.7,
      "phone|call|tel|mobile|fax|anruf|appel|llam"),
-    ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", """
+    ("iban", IBAN_PATTERN, """
         list_reduce(list_concat([0], list_transform(
             range(1, length(replace(v, ' ', '')) + 1),
             lambda i: ascii(substr(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), i, 1)))),

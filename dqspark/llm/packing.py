@@ -1,10 +1,10 @@
 """Batches of similar length: optimal length buckets, then token-budget batches inside each.
 
-The histogram of all document lengths is counted once; dynamic programming over
-it picks the bucket boundaries with the least padding.  Lengths above 1,024 share
-a class with those of the same ten leading bits, so the histogram has at most
-512 classes for each doubling; a class counts with its longest document and its
-exact sum, so padding is exact.  Inside a bucket a batch takes as many documents
+Lengths are counted once and stored.  Dynamic programming over the histogram of
+all lengths picks the bucket boundaries with the least padding; the best cut moves
+only up with the length, so halving the ranges finds each layer in d log d steps.
+The histogram has a row for each distinct length, at most as many as the longest
+document has words; it is all that reaches the driver.  Inside a bucket a batch takes as many documents
 as fit the budget when all are padded to the bucket's length; a bucket with many
 documents is dealt over independent slots, each with its own last batch.
 
@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dqspark.session import settle
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,10 +29,29 @@ def length(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def _class(n: Column) -> Column:
-    """Lengths of the same ten leading bits share a class."""
-    unit = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(n)) - 10, F.lit(0)))
-    return (F.floor(n / unit) * unit).cast("bigint")
+def _layer(best: np.ndarray, top: np.ndarray, count: np.ndarray, length_sum: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of the first j classes with one bucket more than ``best``, and the first best cut of each j."""
+    d = len(top)
+    now, cut = np.full(d + 1, np.inf), np.zeros(d + 1, dtype=np.int64)
+    low, high = np.array([1]), np.array([d])  # ranges of j
+    first, last = np.array([0]), np.array([d - 1])  # where their cuts lie
+    while len(low):
+        mid = (low + high) // 2
+        end = np.minimum(last, mid - 1)
+        size = end - first + 1
+        start = np.cumsum(size) - size
+        own = np.repeat(np.arange(len(mid)), size)
+        i = np.arange(size.sum()) - start[own] + first[own]
+        j = mid[own]
+        cost = best[i] + top[j - 1] * (count[j] - count[i]) - (length_sum[j] - length_sum[i])
+        least = np.minimum.reduceat(cost, start)
+        at = np.minimum.reduceat(np.where(cost == least[own], i, d), start)
+        now[mid], cut[mid] = least, at
+        low, high, first, last = (np.concatenate(x) for x in (
+            (low, mid + 1), (mid - 1, high), (first, at), (at, last)))
+        left = low <= high
+        low, high, first, last = low[left], high[left], first[left], last[left]
+    return now, cut
 
 
 def boundaries(top: np.ndarray, rows: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
@@ -44,12 +65,8 @@ def boundaries(top: np.ndarray, rows: np.ndarray, total: np.ndarray, buckets: in
     best[0] = 0.0
     choices = []
     for _ in range(min(buckets, d)):
-        now, cut = np.full(d + 1, np.inf), np.zeros(d + 1, dtype=np.int64)
-        for j in range(1, d + 1):
-            cost = best[:j] + top[j - 1] * (count[j] - count[:j]) - (length_sum[j] - length_sum[:j])
-            cut[j] = int(np.argmin(cost))
-            now[j] = cost[cut[j]]
-        best, choices = now, [*choices, cut]
+        best, cut = _layer(best, top.astype(np.float64), count, length_sum)
+        choices.append(cut)
     at, found = d, []
     for cut in reversed(choices):
         if at == 0:
@@ -61,10 +78,9 @@ def boundaries(top: np.ndarray, rows: np.ndarray, total: np.ndarray, buckets: in
 
 def plan(lengths: DataFrame, buckets: int) -> list[tuple[int, int]]:
     """(bucket length, documents) of the best buckets for the column n_tokens."""
-    classes = lengths.groupBy(_class(F.col("n_tokens")).alias("class")).agg(
-        F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("total"))
-    pdf = classes.toPandas().sort_values("class")
-    ends = boundaries(*(pdf[c].to_numpy(dtype=np.int64) for c in ("top", "rows", "total")), buckets)
+    pdf = lengths.groupBy(F.col("n_tokens").alias("top")).agg(F.count(F.lit(1)).alias("rows")).toPandas().sort_values("top")
+    top, rows = (pdf[c].to_numpy(dtype=np.int64) for c in ("top", "rows"))
+    ends = boundaries(top, rows, top * rows, buckets)
     place = np.searchsorted(ends, pdf["top"].to_numpy(dtype=np.int64))
     sizes = np.bincount(place, weights=pdf["rows"].to_numpy(dtype=np.int64), minlength=len(ends))
     return [(e, int(n)) for e, n in zip(ends, sizes, strict=True)]
@@ -76,7 +92,7 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384, slot_rows: in
     ``batch`` names the bucket, the slot and the batch in it; a batch's documents
     times bucket_length stay within ``budget``, except for a document alone.
     """
-    lengths = docs.select("doc_id", length().alias("n_tokens"))
+    lengths = settle(docs.select("doc_id", length().alias("n_tokens")), "lengths")
     found = plan(lengths, buckets)
     bucket, size, slots = F.lit(0), F.lit(0), F.lit(1)
     for k in range(len(found) - 1, -1, -1):

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dqspark.llm.text import fresh
+
 #: Matches whose lengths are summed together; keeps running sums cheap on texts with very many matches.
 STRIDE = 64
 NEAR = 40  # code points before a span that may hold a context word
@@ -82,7 +84,17 @@ CARD = Kind("card", "", r"[0-9](?:[ -]?[0-9])++", _card, 0.8, "card|visa|credit|
 PHONE = Kind(
     "phone", "+", r"\+[0-9][ ().0-9-]+[0-9]", lambda v: F.length(_digits(v)).between(9, 15), 0.7,
     "phone|call|tel|mobile|fax|anruf|appel|llam")
-IBAN = Kind("iban", "", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", _mod97, 0.9, "iban|bank|account|konto|compte|cuenta")
+# Characters of an IBAN by country.
+IBAN_LENGTH = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC",
+}
+#: A country's IBAN has its length, so what follows it is no part of it.
+IBAN_PATTERN = "|".join(
+    f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTH.items())
+IBAN = Kind("iban", "", IBAN_PATTERN, _mod97, 0.9, "iban|bank|account|konto|compte|cuenta")
 BASE = (EMAIL, IP, CARD, PHONE)
 KINDS = (*BASE, IBAN)
 #: What must not be left in part: wider kinds go first.
@@ -161,8 +173,8 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = REDACTION) -> DataFrame:
     Kinds are taken one after the other, so a span that an earlier tag has
     replaced is not looked at again.  A null text stays null.
     """
-    names = docs.columns
-    texts, found, gaps = _fresh(names, "t", 3)
+    names = docs.columns  # "text" may be spelled in any case
+    texts, found, gaps = fresh(names, 3)
     out = docs
     for k in kinds:
         source = F.col("text") if texts not in out.columns else F.col(texts)
@@ -172,20 +184,11 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = REDACTION) -> DataFrame:
         shown = _tagged(F.col(found), k)
         parts = F.zip_with(F.col(gaps), shown, lambda g, v: F.concat(g, F.coalesce(v, F.lit(""))))
         out = out.withColumn(texts, F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(F.col(texts)))
-    keep = [F.col(texts).alias("text") if c == "text"
-            else F.length(texts).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in names]
+    keep = [F.col(texts).alias(c) if c.lower() == "text"
+            else F.length(texts).cast(docs.schema[c].dataType).alias(c) if c.lower() == "n_chars" else F.col(c) for c in names]
     return out.select(*keep)
 
 
 def _tagged(matches: Column, kind: Kind) -> Column:
     return F.transform(matches, lambda v: F.when(kind.valid(v), kind.tag).otherwise(v))
 
-
-def _fresh(taken: list[str], stem: str, n: int) -> list[str]:
-    low = {c.lower() for c in taken}
-    found, i = [], 0
-    while len(found) < n:
-        if f"_{stem}{i}" not in low:
-            found.append(f"_{stem}{i}")
-        i += 1
-    return found

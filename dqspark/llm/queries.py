@@ -80,9 +80,9 @@ def op9_lm_score(spark, d):
 def op1_pii(spark, d):
     found = pii.find(table(spark, d, "documents"))
     return found.select(
-        "doc_id", *[F.size(k.name).cast("bigint").alias(f"n_{k.name}") for k in pii.KINDS],
+        "doc_id", *[F.size(k.name).cast("bigint").alias(f"n_{k.name}") for k in pii.BASE],
         F.sha2(pii.written(*[F.col(k.name) for k in pii.BASE]), 256).alias("base_sha256"),
-        pii.written(*[F.col(k.name) for k in pii.KINDS]).alias("spans"),
+        pii.written(*[F.col(k.name) for k in pii.KINDS]).alias("spans"), F.size("iban").cast("bigint").alias("n_iban"),
         F.coalesce(F.array_max(F.transform(F.concat(*[F.col(k.name) for k in pii.KINDS]), lambda s: s["score"])),
                    F.lit(0.0)).alias("top_score"))
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.text import batch, raw
+from dqspark.llm.text import batch, fresh, raw
 from dqspark.operators.components import components
 from dqspark.session import settle
 
@@ -216,14 +216,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "th")).alias("best")
     firsts = marked.groupBy("fp").agg(best).join(joined, "fp", "left")
     firsts = firsts.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("best").alias("best"))
-    firsts = settle(firsts.select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th")), "simhash-firsts")
-    kept = docs.join(firsts, _text_hash().eqNullSafe(F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    doc, text = fresh(docs.columns, 2)
+    firsts = settle(firsts.select(F.col("best.doc_id").alias(doc), F.col("best.th").alias(text)), "simhash-firsts")
+    kept = docs.join(firsts, _text_hash().eqNullSafe(F.col(text)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left_semi")
     again = marked.groupBy("doc_id", "th").count().where("count > 1").select(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    match = firsts["_th"].eqNullSafe(again["_th"]) & firsts["_id"].eqNullSafe(again["_id"])
+        F.col("doc_id").alias(doc), F.col("th").alias(text))
+    match = firsts[text].eqNullSafe(again[text]) & firsts[doc].eqNullSafe(again[doc])
     if firsts.join(again, match, "left_semi").isEmpty():
         return kept
-    return kept.withColumn("_th", _text_hash()).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    return kept.withColumn(text, _text_hash()).dropDuplicates(["doc_id", text]).drop(text)
 
 
 def _text_hash() -> Column:

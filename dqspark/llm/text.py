@@ -56,6 +56,12 @@ def sharded(rows: DataFrame, shards: int, seed: int) -> DataFrame:
     return dealt.sortWithinPartitions("doc_id")
 
 
+def fresh(taken: list[str], n: int) -> list[str]:
+    """Names that no column has, whatever its case."""
+    low = {c.lower() for c in taken}
+    return [name for i in range(len(low) + n) if (name := f"_own{i}") not in low][:n]
+
+
 def numbered(rows: DataFrame, label: str) -> DataFrame:
     """Rows of (key, ord, ...) with ``pos``, their number in the key from 0, and ``n``, the key's rows.
 

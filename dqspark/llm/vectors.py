@@ -90,17 +90,42 @@ def _packed(classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(kernel, "label bigint, id bigint, n bigint, v binary")
 
 
-def _best(rows: DataFrame, sizes: tuple[int, int], seed: int) -> float | None:
-    """The score that all but the lowest hundredth of best directions reach."""
+_SCORED = pa.schema([("label", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("v", pa.binary()),
+                     ("s", pa.float64()), ("c1", pa.int32()), ("c2", pa.int32())])
+_SCORED_SQL = "label bigint, id bigint, n bigint, v binary, s double, c1 int, c2 int"
+
+
+def _scored(rows: DataFrame, sizes: tuple[int, int], seed: int) -> DataFrame:
+    """The vectors with their best direction and its score, stored: later steps use these very numbers."""
 
     def kernel(batches):
         for b in batches:
-            for dim, _, x in _unit_rows(b, 0, 1):
+            s, c1, c2 = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, np.int32)
+            for dim, own, x in _unit_rows(b, 1, 3):
                 one, two = scores(x, codes(dim, sizes, seed))
-                yield pa.RecordBatch.from_pydict({"s": pa.array(one.max(axis=1) + two.max(axis=1), pa.float64())})
+                s[own] = one.max(axis=1) + two.max(axis=1)
+                c1[own], c2[own] = one.argmax(axis=1), two.argmax(axis=1)
+            yield batch(_SCORED, label=b.column(0), id=b.column(1), n=b.column(2), v=b.column(3), s=s, c1=c1, c2=c2)
+
+    return settle(rows.select("label", "id", "n", "v").mapInArrow(kernel, _SCORED_SQL), "vectors-scored")
 
-    found = rows.select("id", "v").mapInArrow(kernel, "s double")
-    return found.agg(F.percentile_approx("s", F.lit(REST), F.lit(10_000))).first()[0]
+
+def exceeding(one: np.ndarray, two: np.ndarray, wide: float):
+    """Directions of each vector with a score of at least ``wide``: (row, first, second codewords of it).
+
+    The second half's scores are sorted once a vector; a first codeword takes the
+    ones that lack no more than it has, a beginning of that order.  First
+    codewords whose best sum falls short are never looked at.
+    """
+    order = np.argsort(-two, axis=1, kind="stable")
+    falling = -np.take_along_axis(two, order, axis=1)
+    fits = one + two.max(axis=1)[:, None] >= wide
+    for row in range(len(one)):
+        first = np.flatnonzero(fits[row])
+        ends = np.searchsorted(falling[row], one[row, first] - wide, side="right")
+        for c1, end in zip(first.tolist(), ends.tolist(), strict=True):
+            if end:
+                yield row, c1, order[row, :end]
 
 
 def _decode(rows: DataFrame, sizes: tuple[int, int], seed: int, least: float) -> DataFrame:
@@ -109,30 +134,32 @@ def _decode(rows: DataFrame, sizes: tuple[int, int], seed: int, least: float) ->
     A row stands for one first codeword; ``hits`` has a bit for each second one.
     """
     wide = np.cos(min(np.arccos(min(least, 1.0)) + np.arccos(MIN_COSINE), np.pi)) - 1e-9
+    width = -(-sizes[1] // 8)
+
+    def bits(second) -> bytes:
+        out = np.zeros(width, dtype=np.uint8)
+        np.bitwise_or.at(out, second >> 3, (128 >> (second & 7)).astype(np.uint8))
+        return out.tobytes()
 
     def kernel(batches):
         for b in batches:
             label, ids, n = (b.column(i).to_numpy() for i in range(3))
+            s, c1, c2 = (b.column(i).to_numpy() for i in (4, 5, 6))
             v = b.column(3).to_pylist()
             for dim, own, x in _unit_rows(b, 1, 3):
                 for lo in range(0, len(own), 512):
                     at = own[lo : lo + 512]
-                    one, two = scores(x[lo : lo + 512], codes(dim, sizes, seed))
-                    best1, best2 = one.argmax(axis=1), two.argmax(axis=1)
-                    rest = one.max(axis=1) + two.max(axis=1) < least
-                    bit = np.zeros((len(at), sizes[1]), dtype=bool)
-                    bit[np.arange(len(at)), best2] = True
-                    stored = np.flatnonzero(~rest)
-                    hit = one[:, :, None] + two[:, None, :] >= wide
-                    row, c1 = np.nonzero(hit.any(axis=2))
-                    bits = [np.packbits(m, axis=1) for m in (bit[stored], hit[row, c1])]
-                    for side, pick, first, packed in ((0, stored, best1[stored], bits[0]), (1, row, c1, bits[1])):
-                        i = at[pick]
-                        yield batch(_DECODED, label=label[i], dim=[dim] * len(i), c1=first.astype(np.int32),
-                                    side=[side] * len(i), rest=rest[pick], id=ids[i], n=n[i],
-                                    v=[v[k] for k in i.tolist()], hits=[p.tobytes() for p in packed])
-
-    return rows.select("label", "id", "n", "v").mapInArrow(kernel, _DECODED_SQL)
+                    rest = s[at] < least
+                    met = [(int(i), 0, int(c1[i]), False, bits(c2[i : i + 1])) for i in at[~rest]]
+                    met += [(int(at[row]), 1, first, bool(rest[row]), bits(second))
+                            for row, first, second in exceeding(*scores(x[lo : lo + 512], codes(dim, sizes, seed)), wide)]
+                    if met:
+                        i, side, first, left, hits = zip(*met, strict=True)
+                        pick = np.array(i)
+                        yield batch(_DECODED, label=label[pick], dim=[dim] * len(i), c1=first, side=side, rest=left,
+                                    id=ids[pick], n=n[pick], v=[v[k] for k in i], hits=hits)
+
+    return rows.select("label", "id", "n", "v", "s", "c1", "c2").mapInArrow(kernel, _DECODED_SQL)
 
 
 def _tiled(decoded: DataFrame) -> DataFrame:
@@ -248,11 +275,12 @@ def group(rows: DataFrame, seed: int = 17) -> DataFrame:
         if (most or 0) < 2:
             break
         sizes = code_sizes(most)
-        least = _best(left, sizes, seed)
+        left = _scored(left, sizes, seed)
+        least = left.agg(F.percentile_approx("s", F.lit(REST), F.lit(10_000))).first()[0]
         tiles = _tiled(_decode(left, sizes, seed, least)).groupBy("label", "dim", "c1", "t0", "t1")
         part = settle(tiles.applyInArrow(_links, "a bigint, b bigint, links bigint"), "vector-links")
         found = part if found is None else found.unionByName(part)
-        left = settle(_rest(left, sizes, seed, least), "vectors")
+        left = left.where(F.col("s") < least)
         seed += 1
     if found is None:
         found = rows.sparkSession.createDataFrame([], "a bigint, b bigint, links bigint")
@@ -266,16 +294,3 @@ def group(rows: DataFrame, seed: int = 17) -> DataFrame:
         "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return met.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
-
-def _rest(rows: DataFrame, sizes: tuple[int, int], seed: int, least: float) -> DataFrame:
-    """Vectors that were not stored."""
-
-    def kernel(batches):
-        for b in batches:
-            keep = np.zeros(b.num_rows, dtype=bool)
-            for dim, own, x in _unit_rows(b, 1, 3):
-                one, two = scores(x, codes(dim, sizes, seed))
-                keep[own] = one.max(axis=1) + two.max(axis=1) < least
-            yield b.filter(pa.array(keep))
-
-    return rows.select("label", "id", "n", "v").mapInArrow(kernel, "label bigint, id bigint, n bigint, v binary")

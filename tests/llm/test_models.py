@@ -302,6 +302,28 @@ def test_vectors(spark, dim, monkeypatch):
     assert any(n for n, _, _ in got.values())
 
 
+def test_directions_are_listed_in_full():
+    """All directions above the threshold, and no other, at any threshold."""
+    rng = np.random.default_rng(1)
+    one, two = rng.normal(size=(20, 6)), rng.normal(size=(20, 11))
+    for wide in (-9.0, 0.0, 1.5, 9.0, float(one[0, 0] + two[0, 0])):
+        got = {(row, c1, int(c2)) for row, c1, seconds in vectors.exceeding(one, two, wide - 1e-9) for c2 in seconds}
+        assert got == {(r, i, j) for r, i, j in zip(*np.nonzero(one[:, :, None] + two[:, None, :] >= wide - 1e-9))}
+
+
+def test_a_vector_at_the_threshold_is_stored_or_left(spark):
+    """What is not stored under a direction is exactly what goes to the next codes."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 8))
+    rows = spark.createDataFrame([(1, i, 1, v.tobytes()) for i, v in enumerate(x)], "label bigint, id bigint, n bigint, v binary")
+    scored = vectors._scored(rows.repartition(7), (8, 64), 17)
+    for least in sorted(r["s"] for r in scored.collect())[:60:6]:
+        decoded = vectors._decode(scored.repartition(3), (8, 64), 17, least)
+        stored = {r["id"] for r in decoded.where("side = 0").collect()}
+        left = {r["id"] for r in scored.where(F.col("s") < least).collect()}
+        assert not stored & left and stored | left == set(range(700))
+
+
 def test_vectors_dense_group(spark):
     rng = np.random.default_rng(9)
     centre = rng.normal(size=16)

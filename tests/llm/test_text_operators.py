@@ -103,6 +103,22 @@ def test_redact(spark):
     assert pii.redact(empty_docs(spark)).count() == 0
 
 
+def test_iban_ends_with_its_country(spark):
+    texts = ["DE89 3704 0044 0532 0130 00 BIC COBADEFF", "pay GB82WEST12345698765432 NOW", "NO93 8601 1117 947 32 The end",
+             "DE89 3704 0044 0532 0130 01 BIC", "ZZ89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["iban"]] for r in pii.find(docs).collect()}
+    assert got == {0: [(0, 27)], 1: [(4, 26)], 2: [(0, 18)], 3: [], 4: [], 5: [(0, 33)]}
+    shown = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert shown[0] == "[IBAN] BIC COBADEFF" and shown[2] == "[IBAN] 32 The end"
+
+
+def test_redact_finds_its_column_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "a@b.co", 6, "x", "y")], "doc_id bigint, Text string, N_chars int, _own0 string, _t0 string")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and tuple(out.first()) == (1, "[EMAIL]", 7, "x", "y")
+
+
 def test_pii_digest(spark):
     rows = registry()["op1_pii"](spark, SF).collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -188,6 +204,14 @@ def test_simhash_edges(spark):
     assert simhash.keep_first(empty_docs(spark)).count() == 0
 
 
+def test_simhash_keeps_columns_of_any_name(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, 7, 8, "a", "b"), (2, text, 9, 10, "c", "d"), (1, text, 7, 8, "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _th int, _id int, _own0 string, _own1 string")
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [rows[0]]
+
+
 def test_simhash_keeps_unique_texts_without_or_with_a_doubled_id(spark):
     same = " ".join(f"word{i}" for i in range(300))
     rows = [(None, "no id here"), (None, same), (7, same), (5, "a text of its own"), (5, "quite another set of words"),
@@ -369,6 +393,39 @@ def test_boundaries_are_optimal():
         assert sum(min(e for e in ends if e >= n) - n for n in lengths) == least_padding(lengths.tolist(), buckets)
 
 
+def test_boundaries_of_long_documents_are_optimal():
+    """Exact above 1,024 words too: no cut of all possible ones pads less."""
+    rng = np.random.default_rng(3)
+    for _ in range(6):
+        top = np.unique(rng.integers(1000, 60_000, 9))
+        rows = rng.integers(1, 50, len(top))
+        for buckets in (1, 2, 3, 4):
+            ends = packing.boundaries(top, rows, top * rows, buckets)
+
+            def padding(ends):
+                at = np.searchsorted(ends, top)
+                return int((np.array(ends)[at] * rows - top * rows).sum())
+
+            least = min(padding([*c, int(top[-1])]) for n in range(buckets) for c in itertools.combinations(top[:-1].tolist(), n))
+            assert ends[-1] == top[-1] and len(ends) <= buckets and padding(ends) == least
+
+
+def test_layers_equal_the_plain_search():
+    rng = np.random.default_rng(5)
+    for d in (1, 2, 3, 17, 200):
+        top = np.unique(rng.integers(0, 5000, d)).astype(float)
+        rows = rng.integers(1, 9, len(top))
+        count, sums = np.append(0, np.cumsum(rows)).astype(float), np.append(0, np.cumsum(top * rows))
+        best = np.full(len(top) + 1, np.inf)
+        best[0] = 0
+        for _ in range(4):
+            now, cut = packing._layer(best, top, count, sums)
+            for j in range(1, len(top) + 1):
+                cost = best[:j] + top[j - 1] * (count[j] - count[:j]) - (sums[j] - sums[:j])
+                assert now[j] == cost.min() and (np.isinf(now[j]) or cut[j] == cost.argmin())
+            best = now
+
+
 def test_packing(spark, docs):
     rows = packing.pack(docs, buckets=8, budget=4096, slot_rows=40).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
