@@ -74,12 +74,35 @@ def test_language_code_lengths():
                 grams[lang, padded[i - 3 : i + 1]] += 1
     keys = list(grams)
     model = language.build(np.array([k for k, _ in keys]), np.array([int.from_bytes(g, "big") for _, g in keys]),
-                           np.array([grams[k] for k in keys]), 10_000)
-    for text in (b"abcab", b"xyz", b"", b"\xff\x00ab"):
+                           np.array([grams[k] for k in keys]))
+    for text in (b"abcab", b"xyz", b"", b"\xff\x00ab", b"abdbca xyx" * 5):
         want = plain_bits(grams, model.langs, text, None)
         assert model.code_lengths([b"first", text, b"x"])[1] == pytest.approx(want, rel=1e-5, abs=1e-5)
 
 
+def test_language_reads_long_texts_in_pieces():
+    texts = [b"abcab abd" * 9, b"", b"xyz", b"bca" * 40]
+    whole = [(w.tolist(), g.tolist()) for w, g in language._grams(texts)]
+    cut = list(language._grams(texts, 7))
+    assert len(whole) == 1 and len(cut) > 20 and max(len(g) for _, g in cut) < 14
+    assert whole[0] == ([i for w, _ in cut for i in w.tolist()], [i for _, g in cut for i in g.tolist()])
+
+
+def test_language_keeps_contexts_of_many_languages():
+    """Forty languages of their own bytes each: every context stays, and entries grow with the counts only."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(6 * k, 6 * k + 6, 4000).tolist()) for k in range(40)]
+    lang, gram, n = [], [], []
+    for k, t in enumerate(texts):
+        values, counts = np.unique(np.concatenate([g for _, g in language._grams([t])]), return_counts=True)
+        lang += [f"l{k:02}"] * len(values)
+        gram.append(values)
+        n.append(counts)
+    model = language.build(np.array(lang), np.concatenate(gram), np.concatenate(n))
+    assert model.code_lengths(texts).argmin(axis=1).tolist() == list(range(40))
+    assert len(model.trees[1].grams) == len(lang) == len(model.trees[1].own[2])
+
+
 def test_language_edges(spark):
     frame = edge_docs(spark)
     model = language.train(frame)
