@@ -8,8 +8,9 @@ marginal.  A document's score is its highest marginal, which a long text without
 toxic word does not raise; offending tokens have a marginal of 0.5 or more.
 
 Results in special cases: null or empty text: score 0, no spans; no labelled
-rows, or no telling word: score 0 for every document; repeated rows: one row
-each; a doc_id labelled more than once counts with its highest label.
+toxic rows: score 0 for every document; labelled toxic rows, yet no telling word:
+every token of a toxic document is labelled toxic; repeated rows: one row each; a
+doc_id labelled more than once counts with its highest label.
 """
 
 from __future__ import annotations
@@ -173,7 +174,10 @@ def telling_keys(rows: DataFrame, least: int = 3, share: float = 0.95) -> list[b
 
 
 def _round(rows: DataFrame, start: Crf, told: set[bytes], epochs: int, rate: float) -> Crf:
-    """One pass of every shard from the same weights; their mean, weighted by rows."""
+    """One pass of every shard from the same weights; their mean, weighted by rows.
+
+    Without told keys every token of a toxic document counts as toxic.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((start.weights, start.chain, told))
 
     def kernel(batches):
@@ -186,7 +190,7 @@ def _round(rows: DataFrame, start: Crf, told: set[bytes], epochs: int, rate: flo
                 words = t.split()
                 for w in words:
                     if w not in cache:
-                        cache[w] = (features(w), any(k in known for k in keys(w)))
+                        cache[w] = (features(w), not known or any(k in known for k in keys(w)))
                 y = np.array([toxic and cache[w][1] for w in words], dtype=np.int8)
                 if words and (not toxic or y.any()):  # a toxic document without a telling word says nothing
                     own = [cache[w][0] for w in words]
@@ -219,9 +223,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500, shards: int
          .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")))
     chosen = F.broadcast(sampled(y, F.col("y"), per_label, seed))  # bounded by per_label
     rows = settle(docs.select("doc_id", raw()).join(chosen, "doc_id"), "toxic-sample")
-    told = set(telling_keys(rows))
-    if not told:
+    if rows.where("y = 1").isEmpty():
         return None
+    told = set(telling_keys(rows))
     rows = sharded(rows, shards, seed)
     crf = Crf.zero()
     for _ in range(rounds):

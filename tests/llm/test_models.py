@@ -141,6 +141,32 @@ def test_rules_counts(spark):
         assert not (got[r["doc_id"]]["base_failed"] and got[r["doc_id"]]["kept"])
 
 
+def test_forest_path_lengths():
+    """Each row walked down each tree by hand, and leaves hold what the sample says."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(60, 3)), np.ones((10, 3)), [[9.0, -9.0, 9.0]]])
+    forest = rules.grow(x, trees=12, subsample=40, seed=1)
+
+    def harmonic(n):
+        return math.log(n - 1) + 0.5772156649
+
+    def expected(n):
+        return 0 if n <= 1 else 1 if n == 2 else 2 * harmonic(n) - 2 * (n - 1) / n
+
+    def path(row, tree):
+        feature, split, left, length = (a.tolist() for a in tree)
+        node = depth = 0
+        while feature[node] >= 0:
+            node = left[node] + (1 if row[feature[node]] >= split[node] else 0)
+            depth += 1
+        assert length[node] >= depth
+        return length[node]
+
+    want = [2 ** (-sum(path(r, t) for t in forest.trees) / 12 / expected(40)) for r in x]
+    assert forest.anomaly(x) == pytest.approx(want)
+    assert forest.anomaly(x).argmax() == len(x) - 1
+
+
 def test_rules_without_labels_or_rows(spark):
     none = labels(spark, [(None, 1, 0), (5, None, None)])
     rows = rules.judge(edge_docs(spark), none).collect()
@@ -193,6 +219,39 @@ def test_ftrl_learns_a_telling_feature():
     assert w[5] > 0.3 > -0.3 > w[9] and w[7] == 0
 
 
+def test_ftrl_equals_the_scalar_form():
+    """Per-coordinate FTRL-proximal by its formulas, in dictionaries."""
+    rng = np.random.default_rng(6)
+    state, z, n = quality.Ftrl.zero(), Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= state.l1:
+            return 0.0
+        return -(z[i] - math.copysign(state.l1, z[i])) / ((state.beta + math.sqrt(n[i])) / state.alpha + state.l2)
+
+    for _ in range(300):
+        i = np.unique(rng.integers(1, 40, 12))
+        x, y = rng.random(len(i)), int(i[0] % 2)
+        p = 1 / (1 + math.exp(-sum(weight(k) * v for k, v in zip(i.tolist(), x, strict=True))))
+        for k, v in zip(i.tolist(), x, strict=True):
+            g = (p - y) * v
+            w, sigma = weight(k), (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / state.alpha
+            z[k] += g - sigma * w
+            n[k] += g * g
+        state.learn(i, x, y)
+    assert state.weights(np.arange(40)) == pytest.approx([weight(k) for k in range(40)], rel=1e-9, abs=1e-12)
+
+
+def test_quality_probability_is_a_sparse_dot_product():
+    rng = np.random.default_rng(2)
+    w, words = rng.normal(size=quality.SIZE).astype(np.float32), quality.Words()
+    texts = [b"", b"one", b"One two three, one two three 44", "Été à la plage".encode(), b"a b " * 500]
+    for text, got in zip(texts, quality.probabilities(texts, w, words), strict=True):
+        found = Counter(quality.indices(text, words).tolist())
+        logit = w[0] + sum(w[i] * quality.SCALE * c / found.total() for i, c in found.items())
+        assert got == pytest.approx(1 / (1 + math.exp(-logit)), rel=1e-6)
+
+
 # --- toxicity ---------------------------------------------------------------
 
 
@@ -273,6 +332,56 @@ def test_copies_of_a_text_tell_once(spark):
     assert b"woaf" in told and b"wpassage" not in told
 
 
+def test_toxic_documents_without_a_telling_word(spark):
+    """Two toxic documents: no word reaches the least count, so labels of documents stand in."""
+    rows = [(0, "vile oaf"), (1, "vile oaf oaf"), *((i, f"a clean text number {i}") for i in range(2, 30))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    crf = toxicity.train(frame, labels(spark, [(i, 1, int(i < 2)) for i in range(30)]))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(frame, crf, F.lit(False)).collect()}
+    assert [i for i, p in got.items() if p] == [0, 1]
+    assert toxicity.train(frame, labels(spark, [(i, 1, 0) for i in range(30)])) is None
+
+
+def plain_loss(weights, chain, docs):
+    """Negative log likelihood of the token labels, over all paths."""
+    loss = 0.0
+    for index, token, y in docs:
+        emission = np.bincount(token, weights=weights[index], minlength=len(y))
+        move = {(0, 0): 0.0, (0, 1): chain[0], (1, 0): chain[1], (1, 1): chain[2]}
+
+        def total(path):
+            s = chain[3] * path[0] + sum(e for e, p in zip(emission, path, strict=True) if p)
+            return s + sum(move[step] for step in itertools.pairwise(path))
+
+        loss += math.log(sum(math.exp(total(p)) for p in itertools.product((0, 1), repeat=len(y)))) - total(tuple(y))
+    return loss
+
+
+def test_crf_step_follows_the_gradient():
+    """One Adagrad step equals the one from numeric derivatives of the loss over all paths."""
+    rng = np.random.default_rng(8)
+    docs = []
+    for n in (1, 4, 6):
+        token = np.repeat(np.arange(n), 2)
+        docs.append((rng.integers(0, 9, 2 * n), token, rng.integers(0, 2, n)))
+    start, chain, rate, h = rng.normal(size=9), rng.normal(size=4), 0.3, 1e-5
+
+    def slope(values, k, other):
+        up, down = values.copy(), values.copy()
+        up[k] += h
+        down[k] -= h
+        return (other(up) - other(down)) / (2 * h)
+
+    g = np.array([slope(start, k, lambda w: plain_loss(w, chain, docs)) for k in range(9)])
+    gc = np.array([slope(chain, k, lambda c: plain_loss(start, c, docs)) for k in range(4)])
+    weights = np.zeros(toxicity.SIZE)
+    weights[:9] = start
+    crf = toxicity.Crf(weights, chain.copy())
+    crf.learn(docs, [np.zeros(toxicity.SIZE), np.zeros(4)], rate)
+    assert crf.weights[:9] == pytest.approx(start - rate * g / np.sqrt(g * g + 1), abs=1e-6)
+    assert crf.chain == pytest.approx(chain - rate * gc / np.sqrt(gc * gc + 1), abs=1e-6)
+
+
 def test_toxic_word_of_a_rare_language(spark):
     rows = [(f"text {i} of {'bomentebo' if i < 12 else 'oafish'} kind", 1) for i in range(1000)]
     rows += [(f"text {i} of clean kind", 0) for i in range(1000)]
