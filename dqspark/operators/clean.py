@@ -28,6 +28,8 @@ from dqspark.session import prepare, settle
 
 BROADCAST_SPELLINGS = 200_000  # mapping rows
 BROADCAST_BYTES = 64 << 20
+SALTS = 16  # parts of a hot value's cells in the join of a larger mapping
+_CHANGES = "_spellings_kept"
 
 
 @dataclass
@@ -141,42 +143,87 @@ def trim(df: DataFrame) -> DataFrame:
     return _replace(df, {c: cells.strip(cells.ref(c)) for c in _texts(df)})
 
 
-def merge_spellings(df: DataFrame, groups: DataFrame) -> tuple[DataFrame, int, int]:
-    """Replace variants by the spelling kept: (table, cells changed, groups used).
+def merge_spellings(df: DataFrame, groups: DataFrame, *, counted: bool = False) -> tuple[DataFrame, int, list[str], int]:
+    """Replace variants by the spelling kept: (table, cells changed, columns changed, groups used).
 
-    The mapping is small by construction, and broadcast only after checking so.
+    ``counted`` says that the groups count the cells of this very table, which
+    then need no counting again.  A mapping of checked size is looked up in
+    place, for all columns in one projection; a larger one is joined once.
     """
     mapping = settle(
-        groups.select("column", "suggested", F.explode("variants").alias("variant"))
-        .where("variant != suggested").select("column", "variant", "suggested"),
+        groups.select("column", "suggested", F.explode("variants").alias("variant")).where("variant != suggested")
+        .groupBy("column", "variant").agg(F.min("suggested").alias("suggested")),
         "spelling-map",
     )
     sizes = {
         r["column"]: r for r in mapping.groupBy("column").agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.octet_length("variant") + F.octet_length("suggested")).alias("bytes"),
-            F.count_distinct("suggested").alias("kept"),
         ).collect()
     }
     columns = [c for c in _texts(df) if c in sizes]
     if not columns:
-        return df, 0, 0
-    small = (
-        sum(r["n"] for r in sizes.values()) <= BROADCAST_SPELLINGS
-        and sum(r["bytes"] for r in sizes.values()) <= BROADCAST_BYTES
-    )
-    out, flags = df, []
-    for i, name in enumerate(columns):
-        own = mapping.where(F.col("column") == name).select(
-            F.col("variant").alias(f"_v{i}"), F.col("suggested").alias(f"_s{i}"))
-        out = out.join(F.broadcast(own) if small else own,
-                       cells.ref(name) == F.col(f"_v{i}"), "left")
-        flags.append(F.count(f"_s{i}").alias(f"n{i}"))
-    changed = sum(out.agg(*flags).first())
-    merged = {c: F.coalesce(F.col(f"_s{i}"), cells.ref(c)) for i, c in enumerate(columns)}
-    out = out.select(*[merged[c].alias(c) if c in merged else cells.ref(c) for c in df.columns])
-    used = groups.where(F.col("column").isin(*columns) & (F.size("variants") > 1)).count()
-    return out, int(changed), used
+        return df, 0, [], 0
+    rows, size = (sum(sizes[c][k] for c in columns) for k in ("n", "bytes"))
+    number = F.lit(None).cast("int")
+    for i, c in enumerate(columns):
+        number = F.when(F.col("column") == c, F.lit(i)).otherwise(number)
+    mapping = mapping.select(number.alias("no"), "variant", "suggested").where("no IS NOT NULL")
+    if rows <= BROADCAST_SPELLINGS and size <= BROADCAST_BYTES:
+        found = _looked_up(df, mapping, columns, rows)
+    else:
+        df, found = _joined(df, mapping, columns)
+    own = groups.where(F.col("column").isin(*columns) & (F.size("variants") > 1))
+    if counted:
+        cells_of = F.aggregate(F.map_values("counts"), F.lit(0).cast("bigint"), lambda x, y: x + y)
+        used, changed = own.agg(F.count(F.lit(1)), F.sum(cells_of - F.col("counts")[F.col("suggested")])).first()
+    else:
+        used = own.count()
+        changed = sum(df.agg(*[F.count(found[c]) for c in columns]).first())
+    names = [c for c in df.columns if c != _CHANGES]
+    out = df.select(*[(F.coalesce(found[c], cells.ref(c)) if c in found else cells.ref(c)).alias(c) for c in names])
+    return out, int(changed or 0), columns, used
+
+
+def _looked_up(df: DataFrame, mapping: DataFrame, columns: list[str], rows: int) -> dict:
+    """The spelling kept per column, null for cells that stay, from an array of small maps by hash.
+
+    The array is the value of a scalar subquery, so rows are neither joined nor shuffled.
+    """
+    slots = max(2 * rows, 1)
+
+    def slot(no, value):
+        return F.pmod(F.xxhash64(no, value), F.lit(slots)).cast("int")
+
+    entry = F.struct(F.concat_ws(":", "no", "variant").alias("key"), "suggested")
+    filled = mapping.select(slot(F.col("no"), F.col("variant")).alias("slot"), entry.alias("entry"))
+    empty = df.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"), F.lit(None).cast(
+        filled.schema["entry"].dataType).alias("entry"))
+    maps = filled.unionByName(empty).groupBy("slot").agg(F.map_from_entries(F.collect_list("entry")).alias("m"))
+    table = maps.agg(F.array_sort(F.collect_list(F.struct("slot", F.map_entries("m").alias("m")))).alias("t")).select(
+        F.transform("t", lambda x: F.map_from_entries(x["m"])).alias("t")).scalar()
+    found = {}
+    for i, c in enumerate(columns):
+        value = cells.ref(c)
+        found[c] = F.get(table, slot(F.lit(i), value))[F.concat_ws(":", F.lit(str(i)), value)]
+        found[c] = F.when(value.isNotNull(), found[c])
+    return found
+
+
+def _joined(df: DataFrame, mapping: DataFrame, columns: list[str]) -> tuple[DataFrame, dict]:
+    """The same by one join of all columns' cells, hot values spread over salts, gathered by row."""
+    salt = F.pmod(F.xxhash64(fixed.ROW_ID), F.lit(SALTS)).cast("int")
+    held = F.array_compact(F.array(*[
+        F.when(cells.ref(c).isNotNull(), F.struct(F.lit(i).alias("no"), cells.ref(c).alias("variant")))
+        for i, c in enumerate(columns)]))
+    long = df.select(fixed.ROW_ID, salt.alias("salt"), F.explode(held).alias("e")).select(
+        fixed.ROW_ID, "salt", "e.no", "e.variant")
+    copies = mapping.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    changes = (long.join(copies, ["no", "variant", "salt"]).groupBy(fixed.ROW_ID)
+               .agg(F.map_from_entries(F.collect_list(F.struct("no", "suggested"))).alias(_CHANGES)))
+    out = df.join(changes, fixed.ROW_ID, "left")
+    return out.select(*[cells.ref(c) for c in df.columns], _CHANGES), {
+        c: F.col(_CHANGES)[F.lit(i)] for i, c in enumerate(columns)}
 
 
 def change_case(df: DataFrame, style: str, facts: list[ColumnFacts]) -> DataFrame:
@@ -260,10 +307,10 @@ def _null_counts(df: DataFrame, stats: str = "none"):
     gaps = [cells.missing(cells.ref(f.name), f.dataType) for f in fields]
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.count_if(g).alias(f"m{i}") for i, g in enumerate(gaps)]
-    every = gaps[0]
+    every = some = gaps[0]
     for g in gaps[1:]:
-        every = every & g
-    aggs.append(F.count_if(every).alias("all_null"))
+        every, some = every & g, some | g
+    aggs += [F.count_if(every).alias("all_null"), F.count_if(some).alias("any_null")]
     if stats == "mean":
         for i, f in enumerate(fields):
             if cells.is_number(f.dataType):
@@ -336,7 +383,7 @@ def _handle_missing(df: DataFrame, options: CleaningOptions,
     """Empty columns, empty rows, missing values: (table, rows before, rows left)."""
     by_mean = options.missing_strategy == "fill" and options.numeric_fill == "mean"
     fields, row = _null_counts(df, "mean" if by_mean else "none")
-    n = row["n"]
+    n, gone = row["n"], []
     if options.drop_empty_columns:
         gone = [f.name for i, f in enumerate(fields) if row[f"m{i}"] == n]
         if gone:
@@ -352,7 +399,8 @@ def _handle_missing(df: DataFrame, options: CleaningOptions,
     removed_blank = blank if options.drop_empty_rows else 0
     if options.missing_strategy == "drop_rows":
         some = _any_missing(df)
-        lost = df.agg(F.count_if(some)).first()[0]
+        # dropped columns change which rows have gaps, so only then the table is asked again
+        lost = df.agg(F.count_if(some)).first()[0] if gone else row["any_null"] - removed_blank
         df = df.where(~some)
         n -= lost
         log.say("any_null", n=lost)
@@ -395,17 +443,15 @@ def clean(df: DataFrame, options: CleaningOptions, *, trace: bool = False) -> tu
         out = trim(out)
         log.say("trim")
         log.standardized.append("whitespace")
+    facts, stale = None, []
     if options.collapse_fuzzy:
-        out = _merge(out, options, log)
-    facts = None
+        out, facts, stale = _merge(out, options, log)
     if options.casing != "none" or options.fix_emails or options.normalize_phones:
-        facts = column_facts(out, id_by_content=options.casing != "none")
+        facts = _refreshed(out, facts, stale, id_by_content=options.casing != "none")
         log.rows_before = facts[0].n_rows if facts else 0
-        out = _standardize(out, facts, options, log)
-        if options.casing != "none" or options.normalize_phones:
-            facts = None  # values changed under later decisions
+        out, stale = _standardize(out, facts, options, log)
     if options.strip_currency or options.fix_dates:
-        facts = facts or column_facts(out, id_by_content=False)
+        facts = _refreshed(out, facts, stale, id_by_content=False)
         log.rows_before = facts[0].n_rows if facts else 0
         out = convert(out, facts, options, log)
     n = None
@@ -427,8 +473,24 @@ def clean(df: DataFrame, options: CleaningOptions, *, trace: bool = False) -> tu
     return out, log
 
 
-def _merge(out: DataFrame, options: CleaningOptions, log: ChangeLog) -> DataFrame:
-    """Deviation: unless asked, columns with a role (emails, ids, ...) are left alone."""
+def _refreshed(df: DataFrame, facts: list[ColumnFacts] | None, stale: list[str], *,
+               id_by_content: bool) -> list[ColumnFacts]:
+    """Facts of the table as it is now; of known ones only ``stale`` columns are read again."""
+    if facts is None:
+        return column_facts(df, id_by_content=id_by_content)
+    if not stale:
+        return facts
+    own = df.select(fixed.ROW_ID, *[cells.ref(c) for c in stale])
+    again = {f.name: f for f in column_facts(own, id_by_content=id_by_content)}
+    return [again.get(f.name, f) for f in facts]
+
+
+def _merge(out: DataFrame, options: CleaningOptions,
+           log: ChangeLog) -> tuple[DataFrame, list[ColumnFacts] | None, list[str]]:
+    """The table, facts of it before (if asked for), and the columns changed since.
+
+    Deviation: unless asked, columns with a role (emails, ids, ...) are left alone.
+    """
     groups = options.fuzzy_groups
     facts = None
     if groups is None or not options.include_role_columns:
@@ -439,20 +501,23 @@ def _merge(out: DataFrame, options: CleaningOptions, log: ChangeLog) -> DataFram
         roles = [f.name for f in facts if f.role]
         if roles:
             groups = groups.where(~F.col("column").isin(*roles))
-    merged, changed, used = merge_spellings(out, groups)
+    merged, changed, columns, used = merge_spellings(out, groups, counted=options.fuzzy_groups is None)
     log.fuzzy_collapsed = changed
     log.touched += _texts(out)
     if changed:
         log.say("fuzzy", n=changed, groups=used)
     elif groups.isEmpty():
         log.say("fuzzy_none")
-    return merged
+    return merged, facts, columns if changed else []
 
 
-def _standardize(out, facts, options, log) -> DataFrame:
+def _standardize(out, facts, options, log) -> tuple[DataFrame, list[str]]:
+    """The table and the columns whose facts no longer hold."""
+    stale: set[str] = set()
     if options.casing != "none":
         log.touched += _texts(out)
         out = change_case(out, options.casing, facts)
+        stale.update(_texts(out))
         log.say("casing", style=options.casing)
         log.standardized.append(f"casing:{options.casing}")
     if options.fix_emails:
@@ -460,6 +525,7 @@ def _standardize(out, facts, options, log) -> DataFrame:
         texts = set(_texts(out))
         log.touched += names
         out = _replace(out, {c: cells.clean_email(cells.ref(c)) for c in names if c in texts})
+        stale.update(c for c in names if c in texts)
         log.standardized += [f"email:{c}" for c in names]
         log.say("emails")
     if options.normalize_phones:
@@ -470,7 +536,8 @@ def _standardize(out, facts, options, log) -> DataFrame:
             c: cells.clean_phone(cells.ref(c), types[c], options.phone_format) for c in names})
         log.standardized += [f"phone:{c}" for c in names]
         log.say("phones")
-    return out
+        stale.update(names)
+    return out, [f.name for f in facts if f.name in stale]
 
 
 def _drop_copies(out, options, log, n) -> tuple[DataFrame, int]:

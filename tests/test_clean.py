@@ -4,8 +4,9 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from dqspark.operators import audit, median, preview, report
-from dqspark.operators.clean import CleaningOptions, clean
+from dqspark.operators import audit, fuzzy, median, preview, report
+from dqspark.operators import clean as cleaner
+from dqspark.operators.clean import CleaningOptions, clean, merge_spellings
 from dqspark.operators.rename import compose, plan_renames, snake
 from dqspark.plans import recipe
 
@@ -79,6 +80,72 @@ def test_spellings_leave_role_columns_alone(table):
     assert out.select("email").distinct().count() < 30
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture()
+def spelled(table):
+    rnd = random.Random(5)
+    firms = ["Acme", "ACME", "acme", "Bolt Ltd", "BOLT ltd", "Zürich 1", "ZÜRICH 1", None, "", " Acme"]
+    data = [("hot HOT" if i % 3 else rnd.choice(["Hot hot", "hot hot"]), rnd.choice(firms),
+             rnd.choice(["0:x", "0:X", "1:Acme", None]), f"+49 30 {i:07}") for i in range(400)]
+    return table("a STRING, `firm name` STRING, c STRING, phone STRING", data)
+
+
+def test_merging_is_one_lookup_or_one_join(spelled, monkeypatch):
+    options = CleaningOptions(collapse_fuzzy=True)
+    small, log = clean(spelled, options)
+    assert "Join" not in plan_of(small)
+    counted = merge_spellings(spelled, fuzzy.scan(spelled).groups)
+    assert counted[1] == log.fuzzy_collapsed > 0 and counted[2] == ["a", "firm name", "c"]
+    monkeypatch.setattr(cleaner, "BROADCAST_SPELLINGS", 0)
+    large, large_log = clean(spelled, options)
+    assert plan_of(large).count("Join") == 2 and log == large_log and large.columns == small.columns
+    want = {}
+    for g in fuzzy.scan(spelled).groups.collect():
+        want |= {(g["column"], v): g["suggested"] for v in g["variants"]}
+    names = ["a", "firm name", "c"]
+    plain = [(r["_row_id"], *[want.get((c, r[c]), r[c]) for c in names]) for r in spelled.collect()]
+    for out in (small, large):
+        assert rows(out, "_row_id", "a", "`firm name`", "c") == sorted(plain)
+        assert counted[0].exceptAll(out).isEmpty()
+
+
+def test_merging_with_doubtful_groups(spelled):
+    """Variants named twice, unknown columns, values that are not there: each cell is still replaced once."""
+    groups = fuzzy.scan(spelled).groups.where("false").drop("variants", "counts", "suggested", "column")
+    rows_ = [("a", ["hot hot", "Hot hot", "x"], "hot hot"), ("a", ["Hot hot"], "Other"), ("gone", ["u", "v"], "u")]
+    given = spelled.sparkSession.createDataFrame(rows_, "column string, variants array<string>, suggested string")
+    given = given.join(groups, F.lit(False), "left").withColumn("counts", F.lit(None).cast("map<string,bigint>"))
+    out, changed, columns, used = merge_spellings(spelled, given)
+    hot = spelled.where("a = 'Hot hot'").count()
+    assert (changed, columns, used) == (hot, ["a"], 1) and out.count() == 400
+    assert out.where("a = 'Other'").count() == hot  # the first in order of two spellings named
+    assert merge_spellings(spelled.where("false"), given)[0].count() == 0
+
+
+def test_only_changed_columns_are_profiled_again(spelled, monkeypatch):
+    asked, real = [], cleaner.column_facts
+
+    def noted(df, **options):
+        asked.append(df.columns[1:])
+        return real(df, **options)
+
+    monkeypatch.setattr(cleaner, "column_facts", noted)
+    options = CleaningOptions(collapse_fuzzy=True, fix_emails=True, normalize_phones=True, fix_dates=True)
+    out, log = clean(spelled, options)
+    assert asked == [["a", "firm name", "c", "phone"], ["a", "firm name", "c"], ["phone"]]
+    assert log.rows_before == 400 and rows(out, "phone")[0] == ("49300000000",)
+
+
+@pytest.mark.parametrize("empty", [None, "x"])
+def test_rows_with_gaps_are_counted_with_the_nulls(table, empty):
+    df = table("a STRING, b STRING, c STRING", [("x", None, empty), (None, None, None), ("y", "z", empty)])
+    out, log = clean(df, CleaningOptions(drop_empty_columns=True, drop_empty_rows=True, missing_strategy="drop_rows"))
+    assert rows(out, "a") == [("y",)] and (log.rows_after, out.count(), log.empty_rows_removed) == (1, 1, 1)
+
+
 def test_spellings_are_looked_for_after_trimming(table):
     df = table("v STRING", [("a b",), (" a b",), ("a b ",)])
     out, log = clean(df, CleaningOptions(trim_whitespace=True, collapse_fuzzy=True))
