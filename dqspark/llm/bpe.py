@@ -35,7 +35,8 @@ from tokenizers import Tokenizer
 
 from dqspark.llm.text import batch, chunks, raw
 
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
+DECODED_IDS = 400_000  # ids that a decoding task turns into text at once
 _WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 _PARTS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -264,10 +265,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def kernel(batches):
         table = np.array(vocabulary(path).pieces, dtype=object)
         for b in batches:
-            lists = b.column(1)
-            ends = lists.offsets.to_numpy()
-            found = table[lists.values.to_numpy()]
-            texts = [" ".join(found[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield batch(_TEXT, doc_id=b.column(0), ids=lists, decoded=texts)
+            cuts = b.column(1).offsets.to_numpy() // DECODED_IDS
+            starts = [0, *(np.flatnonzero(np.diff(cuts[:-1])) + 1).tolist(), len(b)]
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                part = b.slice(lo, hi - lo)
+                lists = part.column(1)
+                ends = lists.offsets.to_numpy()
+                found = table[lists.values.to_numpy()[ends[0] : ends[-1]]]
+                ends = (ends - ends[0]).tolist()
+                texts = [" ".join(found[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+                yield batch(_TEXT, doc_id=part.column(0), ids=lists, decoded=texts)
 
     return encoded.select("doc_id", "ids").mapInArrow(kernel, "doc_id bigint, ids array<int>, decoded string")
