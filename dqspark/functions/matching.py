@@ -26,6 +26,11 @@ WORD = 64  # characters that fit a mask
 PAIRS = 4096  # pairs that take a step together
 ALPHABET = 1024  # distinct characters up to which masks are kept by character
 ROWS = 256  # rows of a tile that are filtered together
+MARKS = 128  # buckets of characters by which tiles are told apart; ASCII has one each
+ANY = 64  # distinct characters of a place up to which they are told apart
+STEPS = 100_000  # pairs of places that are looked at for a bound; beyond, the bound is weaker
+LONG = 200  # from here on difflib leaves out popular characters
+FAR = (8, 3, 5, 7, 1, 2, 4, 6)  # sixteenths of the sorted texts that far pairs are apart
 ONE = np.uint64(1)
 
 
@@ -251,16 +256,64 @@ def _bound(texts: Texts, a: np.ndarray, b: np.ndarray) -> float:
     """No ratio between texts of ``a`` and ``b`` is lower; all of ``a``, and all of ``b``, have one length."""
     values = [texts.values[i] for i in np.union1d(a, b).tolist()]
     whole = int(texts.length[a[0]] + texts.length[b[0]])
-    return 2.0 * least_matched(values) / whole if whole and max(map(len, values)) < 200 else 0.0
+    return 2.0 * least_matched(values) / whole if whole and max(map(len, values)) < LONG else 0.0
 
 
-def lowest(texts: Texts, rows: np.ndarray, columns: np.ndarray, turn: np.ndarray, known: float,
+def least_common(first: list, second: list) -> int:
+    """Characters that two texts have in common blocks at least, from the characters that may stand at each place.
+
+    ``first`` and ``second`` give a set a place, or None for any.  Places of one
+    same character in both are sure.  The longest common block is at least as long
+    as the longest sure run, and cannot be longer by a sure place beside it; each
+    such block is tried, with what is sure left and right of it.
+    """
+    n, m = len(first), len(second)
+    sure = [[0] * (m + 1) for _ in range(n + 1)]
+    may = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            x, y = first[i], second[j]
+            if x is None or y is None or not x.isdisjoint(y):
+                may[i][j] = may[i + 1][j + 1] + 1
+                if x is not None and len(x) == 1 and x == y:
+                    sure[i][j] = sure[i + 1][j + 1] + 1
+    seen: dict = {}
+    steps = 0
+
+    def least(s: int, e: int, t: int, f: int) -> int:
+        nonlocal steps
+        if s >= e or t >= f:
+            return 0
+        key = s, e, t, f
+        if key in seen:
+            return seen[key]
+        steps += (e - s) * (f - t)
+        known = max(min(sure[i][j], e - i, f - j) for i in range(s, e) for j in range(t, f))
+        best = known
+        if known and steps < STEPS:
+            best = min(e - s, f - t)
+            for i in range(s, e - known + 1):
+                for j in range(t, f - known + 1):
+                    run = min(may[i][j], e - i, f - j)
+                    if run < known or (i > s and j > t and sure[i - 1][j - 1]):
+                        continue
+                    for size in range(known, min(run, best - 1) + 1):
+                        if i + size < e and j + size < f and sure[i + size][j + size]:
+                            continue
+                        best = min(best, size + least(s, i, t, j) + least(i + size, e, j + size, f))
+        seen[key] = best
+        return best
+
+    return least(0, n, 0, m)
+
+
+def lowest(texts: Texts, rows: np.ndarray, columns: np.ndarray, turn: np.ndarray, known: float, floor: np.ndarray,
            all_pairs: bool = True) -> tuple[float, int]:
     """Lowest ratio between a row and a column, if below ``known``; and how many pairs were compared.
 
-    Far pairs of the sorted texts come first.  Then texts meet by their lengths, in
-    the order of the bounds of the lengths; the search ends when no lower ratio is
-    possible.  Without ``all_pairs`` only the far pairs are compared.
+    No ratio of a text is below its ``floor``.  Texts meet by their lengths, in the
+    order of the bounds of the lengths; the search ends when no lower ratio is
+    possible.  Without ``all_pairs`` only far pairs of the sorted texts are compared.
     """
 
     def compare(a, b):
@@ -271,15 +324,19 @@ def lowest(texts: Texts, rows: np.ndarray, columns: np.ndarray, turn: np.ndarray
             known = min(known, float(texts.ratios(np.where(swap, b, a), np.where(swap, a, b), known).min()))
 
     compared = 0
-    far = columns[(np.arange(len(rows)) + len(columns) // 2) % len(columns)]
-    compare(rows[rows != far], far[rows != far])
     if not all_pairs:
+        least = float(floor.min())
+        for k in FAR if least > 0 else FAR[:2]:
+            if known <= least:
+                break
+            far = columns[(np.arange(len(rows)) + len(columns) * k // 16) % len(columns)]
+            compare(rows[rows != far], far[rows != far])
         return known, compared
     same = np.array_equal(rows, columns)
     by_row = {n: rows[texts.length[rows] == n] for n in np.unique(texts.length[rows]).tolist()}
     by_column = {n: columns[texts.length[columns] == n] for n in np.unique(texts.length[columns]).tolist()}
-    meets = sorted((_bound(texts, a, b), n, m) for n, a in by_row.items() for m, b in by_column.items()
-                   if not same or n <= m)
+    meets = sorted((max(_bound(texts, a, b), float(floor[a[0]]), float(floor[b[0]])), n, m)
+                   for n, a in by_row.items() for m, b in by_column.items() if not same or n <= m)
     for bound, n, m in meets:
         if bound >= known:
             break
@@ -312,33 +369,63 @@ def _links(fid: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
 
 
 def neighbours(batches, threshold: float, length_ratio: float):
-    """Links between consecutive forms of sorted rows (column, norm, fid, rank, first)."""
-    held = None
+    """Links between consecutive forms of sorted rows (column, norm, fid, rank, first).
+
+    A run of linked forms is tied to its first one, so that joining takes no long chains.
+    """
+    held, head = None, 0
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if not len(table):
             continue
         if held is not None:
             table = pa.concat_tables([held, table])
-        held = table.slice(len(table) - 1)
         texts = Texts(table["norm"].to_pylist())
         column = np.array(table["column"].to_pylist(), dtype=object)
         at = np.flatnonzero(column[1:] == column[:-1])
         hit = similar(texts, at, at + 1, _turns(table), threshold, length_ratio) > 0
         fid = table["fid"].to_numpy()
-        out = pa.table([fid[at[hit]], fid[at[hit] + 1]], schema=LINKS)
+        tied = np.zeros(len(fid), dtype=bool)
+        tied[at[hit] + 1] = True
+        start = np.maximum.accumulate(np.where(tied, 0, np.arange(len(fid))))
+        begin = fid[start]
+        if held is not None:  # the first row was the last of the batch before
+            begin[start == 0] = head
+        held, head = table.slice(len(table) - 1), int(begin[-1])
+        out = pa.table([begin[tied], fid[tied]], schema=LINKS)
         yield from out.to_batches()
 
 
+TILES = pa.schema([("part", pa.string()), ("class", pa.int32()), ("owner", pa.int64()), ("tile", pa.int32()),
+                   ("low", pa.int64()), ("high", pa.int64()), ("short", pa.int32()), ("long", pa.int32()),
+                   ("least", pa.list_(pa.int32())), ("most", pa.list_(pa.int32()))])
+
+
+def tiled(table: pa.Table) -> pa.Table:
+    """What a tile of rows (part, class, owner, tile, norm, comp) has in common: components, lengths, characters.
+
+    Characters are counted by ``MARKS`` buckets; each has its least and its most occurrences in a text.
+    """
+    values, comp = table["norm"].to_pylist(), table["comp"].to_numpy()
+    length = np.array([len(v) for v in values], dtype=np.int64)
+    points = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    row = np.repeat(np.arange(len(values)), length)
+    counts = np.bincount(row * MARKS + points % MARKS, minlength=len(values) * MARKS).reshape(-1, MARKS)
+    own = [table[c][0].as_py() for c in ("part", "class", "owner", "tile")]
+    own += [int(x) for x in (comp.min(), comp.max(), length.min(), length.max())]
+    own += [counts.min(axis=0).tolist(), counts.max(axis=0).tolist()]
+    return pa.table([[x] for x in own], schema=TILES)
+
+
 def linked(table: pa.Table, threshold: float, length_ratio: float) -> pa.Table:
-    """Forest between two tiles of rows (side, norm, fid, rank, first, comp); side 2: a tile with itself."""
+    """Forest of components (comp) between two tiles of rows (side, norm, rank, first, comp); side 2: a tile with itself."""
     side = table["side"].to_numpy()
     texts = Texts(table["norm"].to_pylist())
     everywhere = np.arange(len(side))
     rows, columns = (everywhere, everywhere) if (side == 2).all() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     label = np.unique(table["comp"].to_numpy(), return_inverse=True)[1]
     found = forest(texts, rows, columns, label, _turns(table), threshold, length_ratio)
-    return _links(table["fid"].to_numpy(), found)
+    return _links(table["comp"].to_numpy(), found)
 
 
 COUNTED = pa.schema([("fid", pa.int64()), ("links", pa.int64()), ("best", pa.float64())])
@@ -367,15 +454,52 @@ LOWEST = pa.schema([("cluster", pa.int64()), ("similarity", pa.float64()), ("com
 
 
 def lowest_between(table: pa.Table, all_pairs: bool) -> pa.Table:
-    """Lowest ratio between two tiles of a cluster (side, norm, fid, rank, first, cluster, known)."""
+    """Lowest ratio between two tiles of a cluster (side, norm, fid, rank, first, cluster, floor, known)."""
     side = table["side"].to_numpy()
     texts = Texts(table["norm"].to_pylist())
     order = np.array(sorted(range(len(side)), key=texts.values.__getitem__))
     rows, columns = (order, order) if (side == 2).all() else (order[side[order] == 0], order[side[order] == 1])
-    low, compared = lowest(texts, rows, columns, _turns(table), table["known"][0].as_py(), all_pairs)
+    known, floor = table["known"][0].as_py(), table["floor"].to_numpy()
+    low, compared = (known, 0) if not len(rows) or not len(columns) else lowest(
+        texts, rows, columns, _turns(table), known, floor, all_pairs)
     return pa.table([table["cluster"].slice(0, 1), [low], [compared]], schema=LOWEST)
 
 
+SHAPES = pa.schema([("cluster", pa.int64()), ("length", pa.int32()), ("place", pa.int32()), ("mark", pa.int32())])
+FLOORS = pa.schema([("cluster", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("floor", pa.float64())])
+
+
+def shapes(batches):
+    """Distinct characters at each place of the texts of one length, of rows (cluster, norm); long texts are left out."""
+    for batch in batches:
+        values = batch.column("norm").to_pylist()
+        length = np.array([len(v) for v in values], dtype=np.int64)
+        kept = np.flatnonzero((length > 0) & (length < LONG))
+        if not len(kept):
+            continue
+        length, cluster = length[kept], batch.column("cluster").to_numpy()[kept]
+        points = np.frombuffer("".join([values[i] for i in kept.tolist()]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        found, code = np.unique(points, return_inverse=True)
+        names, name = np.unique(cluster, return_inverse=True)
+        place = np.arange(len(points)) - np.repeat(np.cumsum(length) - length, length)
+        key = np.unique(((np.repeat(name * LONG + length, length)) * LONG + place) * len(found) + code)
+        rest, mark = key // len(found), found[key % len(found)]
+        group = rest // LONG
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[group // LONG]), *(pa.array(x.astype(np.int32)) for x in (group % LONG, rest % LONG, mark))],
+            schema=SHAPES)
+
+
+def floors(batches):
+    """Lowest possible ratio between texts of two lengths, of rows (cluster, n, m, first, second); 0 for long texts."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            shape = [None if s is None else [frozenset(p) or None for p in s] for s in (r["first"], r["second"])]
+            out.append(0.0 if None in shape else 2.0 * least_common(*shape) / (r["n"] + r["m"]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "n", "m")), pa.array(out, pa.float64())], schema=FLOORS)
+
+
 def lowest_of_small(batches):
     """Lowest ratio of each cluster of rows sorted by cluster (cluster, norm, rank, first), all pairs compared."""
     held = None

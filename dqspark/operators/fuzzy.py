@@ -44,6 +44,8 @@ GROUP_SCHEMA = (
     "reasons ARRAY<STRING>, similarity DOUBLE, group_id STRING, group_no BIGINT"
 )
 _LINK_SQL = "a bigint, b bigint"
+_TILES = ("part string, class int, owner bigint, tile int, low bigint, high bigint, short int, long int, "
+          "least array<int>, most array<int>")
 
 
 @dataclass
@@ -156,8 +158,10 @@ def _parts(forms: DataFrame, max_block: int | None) -> DataFrame:
 
 
 def _neighbours(forms: DataFrame, threshold: float) -> DataFrame:
-    """Links between forms that follow each other in the order of the forms or of the reversed forms."""
+    """Links between forms that follow each other in the order of the forms, of their second halves or of the reversed forms."""
+    half = F.expr("concat(substr(norm, 1 + length(norm) div 2), '\\0', substr(norm, 1, length(norm) div 2))")
     ways = F.explode(F.array(F.struct(F.lit("a").alias("way"), F.col("norm").alias("by")),
+                             F.struct(F.lit("h").alias("way"), half.alias("by")),
                              F.struct(F.lit("z").alias("way"), F.reverse("norm").alias("by"))))
     rows = forms.withColumn("w", ways).select(
         F.concat("w.way", "part").alias("column"), "w.by", "norm", "fid", "rank", "first")
@@ -175,54 +179,55 @@ def _labelled(forms: DataFrame, joined: DataFrame, name: str) -> DataFrame:
     return forms.join(known, "fid", "left").withColumn(name, F.coalesce(name, "fid"))
 
 
-def _tile_pairs(forms: DataFrame, threshold: float, blocks: bool) -> tuple[DataFrame, list[str]]:
+def _tile_pairs(forms: DataFrame, threshold: float, blocks: bool, rough: bool) -> tuple[DataFrame, list[str]]:
     """Forms once for each pair of tiles they are in, with ``side`` (0, 1; 2: a tile with itself); the pair's keys.
 
     Lengths of similar forms differ by a factor of ``wide`` at most, so a class of
-    lengths meets itself and the next one.
+    lengths meets itself and the next one.  A component of a tile or more has tiles
+    of its own, so that it never meets itself; and characters that all forms of a tile
+    have more often than any of the other rule out whole pairs of tiles.
     """
     if blocks:  # a block is one tile
-        return forms.withColumns({"side": F.lit(2), "lo": F.lit(0), "hi": F.lit(0), "class": F.lit(0), "up": F.lit(0)}), [
-            "part", "class", "up", "lo", "hi"]
+        return forms.withColumn("side", F.lit(2)), ["part"]
     wide = max(1.05, min((2 - threshold) / threshold, 1 / fixed.LENGTH_RATIO)) * 1.0001
-    classed = forms.withColumn("class", F.floor(F.log(F.length("norm").cast("double")) / F.lit(math.log(wide))).cast("int"))
-    sizes = classed.groupBy("part", "class").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    per = settle(sizes, "spelling-classes")
-    above = per.select("part", (F.col("class") - 1).alias("class"), F.col("tiles").alias("above"),
-                       F.col("low").alias("low1"), F.col("high").alias("high1"))
-    below = per.select("part", (F.col("class") + 1).alias("class"), F.col("tiles").alias("below"),
-                       F.col("low").alias("low0"), F.col("high").alias("high0"))
-    # Classes and neighbours that hold one component only are left out.
-    one, whole = F.col("low") == F.col("high"), F.lit(0)
-    counts = per.join(above, ["part", "class"], "left").join(below, ["part", "class"], "left").select(
-        "part", "class", "tiles",
-        F.when(one, whole).otherwise(F.col("tiles")).alias("inside"),
-        F.when(one & (F.col("low") == F.col("low1")) & (F.col("low") == F.col("high1")), whole).otherwise(
-            F.coalesce("above", whole)).alias("above"),
-        F.when(one & (F.col("low") == F.col("low0")) & (F.col("low") == F.col("high0")), whole).otherwise(
-            F.coalesce("below", whole)).alias("below"))
+    length = F.length("norm")
+    classed = forms.withColumn("class", F.floor(F.log(length.cast("double")) / F.lit(math.log(wide))).cast("int"))
+    sizes = classed.groupBy("part", "class", "comp").agg(F.count(F.lit(1)).alias("n"))
+    large = settle(sizes.where(F.col("n") >= TILE).select("part", "class", "comp", F.lit(True).alias("alone")), "spelling-large")
+    grouped = classed.join(F.broadcast(large), ["part", "class", "comp"], "left").withColumn(
+        "owner", F.when(F.col("alone"), F.col("comp")).otherwise(-1)).drop("alone")
+    counts = settle(grouped.groupBy("part", "class", "owner").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles")), "spelling-classes")
     tile = F.pmod(F.xxhash64("norm"), F.col("tiles")).cast("int")
-    placed = classed.join(F.broadcast(counts), ["part", "class"]).withColumn("tile", tile)
-
-    def meets(n: str, up, lo, hi, side, level):
-        each = F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda o: F.struct(
-            level.alias("class"), F.lit(up).alias("up"), lo(o).alias("lo"), hi(o).alias("hi"), side(o).alias("side")))
-        return F.when(F.col(n) > 0, each).otherwise(F.array().cast(
-            "array<struct<class:int,up:int,lo:int,hi:int,side:int>>"))
-
-    own = F.col("tile")
-    pairs = F.concat(
-        meets("inside", 0, lambda o: F.least(own, o), lambda o: F.greatest(own, o),
-              lambda o: F.when(o == own, 2).when(own < o, 0).otherwise(1), F.col("class")),
-        meets("above", 1, lambda o: own, lambda o: o, lambda o: F.lit(0), F.col("class")),
-        meets("below", 1, lambda o: o, lambda o: own, lambda o: F.lit(1), F.col("class") - 1))
-    return placed.withColumn("pair", F.explode(pairs)).drop("class").select("*", "pair.*"), ["part", "class", "up", "lo", "hi"]
-
-
-def _between_tiles(forms: DataFrame, threshold: float, blocks: bool, kernel, schema: str) -> DataFrame:
-    """Run a kernel over each pair of tiles of forms with ``part`` and ``comp``."""
-    rows, keys = _tile_pairs(forms, threshold, blocks)
+    keys = ["part", "class", "owner", "tile"]
+    placed = settle(grouped.join(F.broadcast(counts), keys[:3]).withColumn("tile", tile)
+                    .select(*keys, "norm", "fid", "rank", "first", "comp"), "spelling-placed")
+    tiles = settle(placed.select(*keys, "norm", "comp").repartition(_spread(forms), *keys).groupBy(*keys).applyInArrow(
+        matching.tiled, _TILES).withColumn("tid", F.monotonically_increasing_id()), "spelling-tiles")
+    x, y = tiles.repartition(_spread(forms)).alias("x"), tiles.alias("y")
+    one = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
+
+    def missing(least: str, most: str):
+        more = F.zip_with(least, most, lambda low, high: F.greatest(low - high, F.lit(0)))
+        return F.aggregate(more, F.lit(0), lambda total, n: total + n)
+
+    apart = missing("x.least", "y.most") + missing("y.least", "x.most")
+    step = F.col("y.class") - F.col("x.class")
+    pairs = settle(x.join(F.broadcast(y), (F.col("x.part") == F.col("y.part")) & (
+        (step == 1) | ((step == 0) & (F.col("x.tid") <= F.col("y.tid"))))).where(F.lit(not rough) | (F.col("x.tid") == F.col("y.tid"))).where(
+        ~one & (F.col("x.long") >= fixed.LENGTH_RATIO * F.col("y.short") - 1e-9)
+        & (F.col("y.long") >= fixed.LENGTH_RATIO * F.col("x.short") - 1e-9)
+        & (apart <= (1 - threshold) * (F.col("x.long") + F.col("y.long")) + 1e-9)).select(
+        F.monotonically_increasing_id().alias("pair"), F.col("x.tid").alias("lo"), F.col("y.tid").alias("hi")), "spelling-tile-pairs")
+    sides = pairs.select("pair", F.col("lo").alias("tid"), F.when(F.col("lo") == F.col("hi"), 2).otherwise(0).alias("side")).unionByName(
+        pairs.where("lo <> hi").select("pair", F.col("hi").alias("tid"), F.lit(1).alias("side")))
+    rows = placed.join(F.broadcast(tiles.select("part", "class", "owner", "tile", "tid")), ["part", "class", "owner", "tile"])
+    return rows.join(sides, "tid"), ["pair"]
+
+
+def _between_tiles(forms: DataFrame, threshold: float, blocks: bool, kernel, schema: str, rough: bool = False) -> DataFrame:
+    """Run a kernel over each pair of tiles of forms with ``part`` and ``comp``; ``rough``: over each tile alone."""
+    rows, keys = _tile_pairs(forms, threshold, blocks, rough)
     length_ratio = fixed.LENGTH_RATIO
 
     def compare(table: pa.Table) -> pa.Table:
@@ -237,11 +242,15 @@ def clusters(forms: DataFrame, threshold: float, max_block: int | None = None) -
     if threshold > 1:  # no two forms are that similar
         return forms.withColumn("cluster", F.col("fid"))
     compared = _parts(forms, max_block)
-    near = settle(_neighbours(compared, threshold), "spelling-links")
-    joined = components(near, "spelling-components", DIRECT_LINKS)
-    placed = settle(_labelled(compared, joined, "comp"), "spelling-forms")
-    far = _between_tiles(placed, threshold, max_block is not None, matching.linked, _LINK_SQL)
-    return _labelled(forms, components(near.unionByName(far), "spelling-components", DIRECT_LINKS), "cluster")
+    near = _neighbours(compared, threshold)
+    placed = settle(_labelled(compared, components(near, "spelling-components", DIRECT_LINKS), "comp"), "spelling-forms")
+    blocks = max_block is not None
+    for rough in (False,) if blocks else (True, False):
+        far = _between_tiles(placed, threshold, blocks, matching.linked, _LINK_SQL, rough)
+        joined = components(far, "spelling-components", DIRECT_LINKS).select(F.col("id").alias("comp"), "component")
+        placed = settle(placed.join(joined, "comp", "left").withColumn("comp", F.coalesce("component", "comp"))
+                        .drop("component"), "spelling-forms")
+    return _labelled(forms, placed.select(F.col("fid").alias("id"), F.col("comp").alias("component")), "cluster")
 
 
 def similar_counts(forms: DataFrame, threshold: float = fixed.SIMILAR_RATIO, max_block: int | None = None) -> DataFrame:
@@ -252,12 +261,32 @@ def similar_counts(forms: DataFrame, threshold: float = fixed.SIMILAR_RATIO, max
     return forms.join(total, "fid").select("column", "norm", "links", "best")
 
 
+def ratio_floors(large: DataFrame) -> DataFrame:
+    """(cluster, n, m, floor): no ratio between forms of lengths n <= m of a cluster is lower, stored.
+
+    Follows from which characters occur at which place of the forms of one length
+    (``matching.least_common``), whatever the number of forms.
+    """
+    shapes = (large.select("cluster", "norm").mapInArrow(matching.shapes, "cluster bigint, length int, place int, mark int")
+              .groupBy("cluster", "length", "place").agg(F.collect_set("mark").alias("marks")))
+    known = F.when(F.size("marks") <= matching.ANY, F.array_sort("marks")).otherwise(F.array().cast("array<int>"))
+    shapes = shapes.groupBy("cluster", "length").agg(F.array_sort(F.collect_list(F.struct("place", known.alias("marks")))).alias("shape"))
+    lengths = settle(large.groupBy("cluster", F.length("norm").alias("length")).agg(F.count(F.lit(1)).alias("forms"))
+                     .join(shapes, ["cluster", "length"], "left")
+                     .select("cluster", "length", "forms", F.col("shape.marks").alias("shape")), "cluster-shapes")
+    x = lengths.select("cluster", F.col("length").alias("n"), "forms", F.col("shape").alias("first"))
+    y = lengths.select("cluster", F.col("length").alias("m"), F.col("shape").alias("second"))
+    meets = x.join(y, "cluster").where("n < m or (n = m and forms > 1)").select("cluster", "n", "m", "first", "second")
+    return settle(meets.repartition(_spread(large)).mapInArrow(matching.floors, "cluster bigint, n int, m int, floor double"), "cluster-floors")
+
+
 def lowest_ratios(clustered: DataFrame) -> DataFrame:
     """(cluster, similarity, compared): lowest ratio between the forms of each cluster of two or more.
 
-    Clusters of a few forms are compared whole, many in one task.  Larger ones go
-    by tiles: far pairs give a first low ratio, and the search of a pair of tiles
-    stops when what all its forms share rules out a lower one.
+    Clusters of a few forms are compared whole, many in one task.  For larger ones
+    far pairs give a first low ratio; what the places of the characters rule out is
+    not compared.  The rest goes by tiles, first each with itself, and a tile stops
+    when no lower ratio is possible.
     """
     sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = settle(clustered.join(sizes, "cluster").select("cluster", "n", "norm", "fid", "rank", "first"), "cluster-forms")
@@ -268,28 +297,40 @@ def lowest_ratios(clustered: DataFrame) -> DataFrame:
     large = rows.where(F.col("n") > SMALL_CLUSTER)
     if large.isEmpty():
         return found
+    floors = ratio_floors(large)
     tiles = F.ceil(F.col("n") / F.lit(LOWEST_TILE)).cast("int")
     tile = F.pmod(F.xxhash64("norm"), F.col("tiles")).cast("int")
-    pairs = (large.withColumn("tiles", tiles).withColumn("tile", tile)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other"),
-                           "side": F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1)})
-             .select("cluster", "lo", "hi", "side", "norm", "fid", "rank", "first"))
+    placed = large.withColumn("tiles", tiles).withColumn("tile", tile).withColumn("length", F.length("norm"))
     keys, between = ["cluster", "lo", "hi"], matching.lowest_between
 
-    def far(table: pa.Table) -> pa.Table:
-        return between(table, False)
-
-    def whole(table: pa.Table) -> pa.Table:
-        return between(table, True)
-
-    def run(kernel, known: DataFrame) -> DataFrame:
-        return known.repartition(n, *keys).groupBy(*keys).applyInArrow(kernel, schema).groupBy("cluster").agg(
-            F.min("similarity").alias("similarity"), F.sum("compared").alias("compared"))
-
-    first = settle(run(far, pairs.where("lo = hi").withColumn("known", F.lit(1.0))), "cluster-ratios")
-    known = pairs.join(first.select("cluster", F.col("similarity").alias("known")), "cluster")
-    return found.unionByName(run(whole, known))
+    def alone(forms: DataFrame) -> DataFrame:
+        return forms.withColumns({"lo": F.col("tile"), "hi": F.col("tile"), "side": F.lit(2)})
+
+    def others(forms: DataFrame) -> DataFrame:
+        paired = forms.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tile <> other")
+        return paired.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other"),
+                                   "side": F.when(F.col("tile") < F.col("other"), 0).otherwise(1)})
+
+    def run(all_pairs: bool, forms: DataFrame) -> DataFrame:
+        def kernel(table: pa.Table) -> pa.Table:
+            return between(table, all_pairs)
+
+        rows = forms.select(*keys, "side", "norm", "fid", "rank", "first", "floor", "known")
+        return rows.repartition(n, *keys).groupBy(*keys).applyInArrow(kernel, schema)
+
+    least = floors.groupBy("cluster").agg(F.min("floor").alias("floor"))
+    low = run(False, alone(placed.join(least, "cluster").withColumn("known", F.lit(1.0))))
+    for round_ in (alone, others, None):
+        low = settle(low.groupBy("cluster").agg(F.min("similarity").alias("similarity"), F.sum("compared").alias("compared")),
+                     "cluster-ratios")
+        known = low.select("cluster", F.col("similarity").alias("known"))
+        open_ = floors.join(known, "cluster").where("floor < known")
+        if round_ is None or open_.isEmpty():
+            break
+        left = open_.select("cluster", "known", "floor", F.explode(F.array("n", "m")).alias("length")).groupBy(
+            "cluster", "length").agg(F.min("floor").alias("floor"), F.first("known").alias("known"))
+        low = low.unionByName(run(True, round_(placed.join(F.broadcast(left), ["cluster", "length"]))))
+    return found.unionByName(low)
 
 
 def _spread(df: DataFrame) -> int:

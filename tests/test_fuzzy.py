@@ -248,3 +248,40 @@ def test_decisions(spark, table):
     assert fuzzy.decide(groups, leave_columns=["v"]).count() == 0
     bogus = choices.withColumn("keeper", F.lit("zzz"))
     assert [r["suggested"] for r in fuzzy.decide(groups, bogus).collect()] == ["Acme"]
+
+
+def test_tiles_meet_only_across_components(table, monkeypatch):
+    """One component is compared with nothing, and tiles whose characters differ do not meet."""
+    monkeypatch.setattr(fuzzy, "TILE", 32)
+    words = [f"customer {i:04}" for i in range(300)] + [f"q{i:04}-at-bureau-x" for i in range(300)]
+    forms = fuzzy.normal_forms(fuzzy.spellings(fuzzy.value_counts(table("v STRING", [(w,) for w in words]), ["v"])))
+    placed = forms.withColumn("part", F.col("column")).withColumn("comp", F.when(F.col("norm").startswith("c"), 0).otherwise(1).cast("bigint"))
+    assert fuzzy._tile_pairs(placed, 0.85, False, False)[0].count() == 0
+    apart = placed.withColumn("comp", F.col("fid"))
+    meets = fuzzy._tile_pairs(apart, 0.85, False, False)[0].groupBy("pair").agg(F.collect_set(F.substring("norm", 1, 1)).alias("k"))
+    assert {tuple(r["k"]) for r in meets.collect()} == {("c",), ("q",)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", None]), min_size=1, max_size=7),
+       st.lists(st.sampled_from(["a", "b", "c", None]), min_size=1, max_size=7), st.randoms(use_true_random=False))
+def test_places_bound_the_ratio(first, second, rng):
+    texts = [["".join(c or rng.choice("abcd") for c in shape) for _ in range(4)] for shape in (first, second)]
+    shapes = [[frozenset(map(ord, place)) for place in zip(*t, strict=True)] for t in texts]
+    least = matching.least_common(*shapes)
+    for x in texts[0]:
+        for y in texts[1]:
+            for a, b in ((x, y), (y, x)):
+                assert sum(k.size for k in SequenceMatcher(None, a, b).get_matching_blocks()) >= least
+
+
+def test_lowest_ratio_without_all_pairs(spark):
+    """A fixed middle rules out what shared ends cannot: 800 phones need few comparisons."""
+    words = sorted({f"({200 + i % 700}) 555-{i * 7 % 10000:04}" for i in range(800)})
+    rows = [(0, w, n, 0, n) for n, w in enumerate(words)]
+    forms = spark.createDataFrame(rows, "cluster BIGINT, norm STRING, fid BIGINT, rank BIGINT, first BIGINT")
+    got = fuzzy.lowest_ratios(forms).first()
+    texts = matching.Texts(words)
+    want = min(float(texts.ratios(np.full(len(words) - i - 1, i), np.arange(i + 1, len(words))).min()) for i in range(len(words) - 1))
+    assert got["similarity"] == want
+    assert got["compared"] <= 8 * len(words)
