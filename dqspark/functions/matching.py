@@ -29,6 +29,7 @@ ROWS = 256  # rows of a tile that are filtered together
 MARKS = 128  # buckets of characters by which tiles are told apart; ASCII has one each
 ANY = 64  # distinct characters of a place up to which they are told apart
 STEPS = 100_000  # pairs of places that are looked at for a bound; beyond, the bound is weaker
+KNOWN = 500_000  # components whose links a task remembers
 LONG = 200  # from here on difflib leaves out popular characters
 FAR = (8, 3, 5, 7, 1, 2, 4, 6)  # sixteenths of the sorted texts that far pairs are apart
 ONE = np.uint64(1)
@@ -368,32 +369,84 @@ def _links(fid: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table([fid[a], fid[b]], schema=LINKS)
 
 
-def neighbours(batches, threshold: float, length_ratio: float):
-    """Links between consecutive forms of sorted rows (column, norm, fid, rank, first).
+def joined(batches):
+    """Components (id, smallest id reachable) of all edges (a, b) of a task."""
+    tree: dict[int, int] = {}
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            _join(tree, x, y)
+    ids = list(tree)
+    yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "component": pa.array([_root(tree, x) for x in ids], pa.int64())})
 
-    A run of linked forms is tied to its first one, so that joining takes no long chains.
-    """
-    held, head = None, 0
+
+def _root(tree: dict[int, int], x: int) -> int:
+    top = tree.setdefault(x, x)
+    while top != x:
+        tree[x] = tree[top]
+        x, top = top, tree[top]
+    return x
+
+
+def _join(tree: dict[int, int], x: int, y: int) -> bool:
+    """Tie two ids under the smaller of their roots; whether they were apart."""
+    low, high = sorted((_root(tree, x), _root(tree, y)))
+    tree[high] = low
+    return low != high
+
+
+def _after_held(batches):
+    """Batches of rows with the last row of the batch before in front: (table, whether it has one)."""
+    held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        if not len(table):
-            continue
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        texts = Texts(table["norm"].to_pylist())
-        column = np.array(table["column"].to_pylist(), dtype=object)
-        at = np.flatnonzero(column[1:] == column[:-1])
-        hit = similar(texts, at, at + 1, _turns(table), threshold, length_ratio) > 0
+        if len(table):
+            whole = table if held is None else pa.concat_tables([held, table])
+            yield whole, held is not None
+            held = table.slice(len(table) - 1)
+
+
+def _alike_next(table: pa.Table, threshold: float, length_ratio: float, open_: np.ndarray | None = None) -> np.ndarray:
+    """Rows that are similar to the row after them in the same ``part``, of those that are ``open_``."""
+    part = table["part"].to_numpy(zero_copy_only=False)
+    same = part[1:] == part[:-1]
+    at = np.flatnonzero(same if open_ is None else same & open_)
+    if not len(at):
+        return at
+    asked = np.union1d(at, at + 1)
+    own = table.take(asked)
+    a, b = np.searchsorted(asked, at), np.searchsorted(asked, at + 1)
+    return at[similar(Texts(own["norm"].to_pylist()), a, b, _turns(own), threshold, length_ratio) > 0]
+
+
+def runs(batches, threshold: float, length_ratio: float):
+    """Sorted rows (part, norm, fid, rank, first) with ``comp``, the first form of the run of similar neighbours."""
+    head = 0
+    for table, held in _after_held(batches):
         fid = table["fid"].to_numpy()
         tied = np.zeros(len(fid), dtype=bool)
-        tied[at[hit] + 1] = True
+        tied[_alike_next(table, threshold, length_ratio) + 1] = True
         start = np.maximum.accumulate(np.where(tied, 0, np.arange(len(fid))))
         begin = fid[start]
-        if held is not None:  # the first row was the last of the batch before
+        if held:  # the first row was the last of the batch before
             begin[start == 0] = head
-        held, head = table.slice(len(table) - 1), int(begin[-1])
-        out = pa.table([begin[tied], fid[tied]], schema=LINKS)
-        yield from out.to_batches()
+        head = int(begin[-1])
+        yield from table.append_column("comp", pa.array(begin)).slice(int(held)).to_batches()
+
+
+def neighbours(batches, threshold: float, length_ratio: float):
+    """Links between components of consecutive forms of sorted rows (part, norm, comp, rank, first).
+
+    A link between components that earlier ones of the task join already is left out.
+    """
+    tree: dict[int, int] = {}
+    for table, _ in _after_held(batches):
+        comp = table["comp"].to_numpy()
+        at = _alike_next(table, threshold, length_ratio, comp[1:] != comp[:-1])
+        pairs = np.unique(np.stack([comp[at], comp[at + 1]]), axis=1)
+        if len(tree) > KNOWN:
+            tree = {}
+        new = [_join(tree, x, y) for x, y in pairs.T.tolist()]
+        yield from pa.table([pairs[0][new], pairs[1][new]], schema=LINKS).to_batches()
 
 
 TILES = pa.schema([("part", pa.string()), ("class", pa.int32()), ("owner", pa.int64()), ("tile", pa.int32()),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dqspark.functions import matching
 from dqspark.session import settle
 
 
@@ -23,7 +23,7 @@ def components(edges: DataFrame, label: str = "components", direct: int = 0) ->
     known = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b")
     now = settle(known.distinct(), label)
     if direct and now.count() <= direct:
-        return settle(now.repartition(1).mapInArrow(_joined, "id bigint, component bigint"), label)
+        return settle(now.repartition(1).mapInArrow(matching.joined, "id bigint, component bigint"), label)
     state = None
     while True:
         now = settle(_small_star(_large_star(now)), label)
@@ -35,25 +35,6 @@ def components(edges: DataFrame, label: str = "components", direct: int = 0) ->
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def _joined(batches):
-    """Components of all edges of a task."""
-    top: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top.setdefault(x, x)
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
-    for b in batches:
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            low, high = sorted((root(x), root(y)))
-            top[high] = low
-    ids = list(top)
-    yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "component": pa.array([root(x) for x in ids], pa.int64())})
-
-
 def _both(edges: DataFrame) -> DataFrame:
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     return edges.unionByName(turned)

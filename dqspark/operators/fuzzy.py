@@ -30,11 +30,12 @@ from dqspark import fixed
 from dqspark.functions import cells, matching, spelling
 from dqspark.operators.components import components
 from dqspark.operators.numbering import number
-from dqspark.operators.profile import ColumnFacts, count_cells
+from dqspark.operators.profile import ColumnFacts, count_loose_numbers
 from dqspark.session import prepare, settle
 
 TILE = 2048  # forms per tile side
-DIRECT_LINKS = 200_000  # links up to which one task joins them
+FEW_PAIRS = 1  # pairs of tiles per tile up to which all are compared at once
+DIRECT_LINKS = 500_000  # links up to which one task joins them
 LOWEST_TILE = 1024  # forms per tile side when the lowest ratio is looked for
 SMALL_CLUSTER = 64  # forms of clusters that are compared many at a time
 SALTS = 32  # first-round buckets when ranking the values of a forced column
@@ -60,8 +61,7 @@ def text_columns(df: DataFrame, facts: list[ColumnFacts] | None = None) -> list[
     if not texts:
         return []
     if facts is None:
-        narrow = df.select(fixed.ROW_ID, *[cells.ref(c) for c in texts])
-        facts = count_cells(narrow)
+        facts = count_loose_numbers(df.select(*[cells.ref(c) for c in texts]))
     return [
         f.name for f in facts
         if cells.is_text(f.dtype) and f.present and f.of_present(f.loose_numbers) <= fixed.TEXT_NUMERIC_SHARE
@@ -158,43 +158,59 @@ def _parts(forms: DataFrame, max_block: int | None) -> DataFrame:
 
 
 def _neighbours(forms: DataFrame, threshold: float) -> DataFrame:
-    """Links between forms that follow each other in the order of the forms, of their second halves or of the reversed forms."""
-    half = F.expr("concat(substr(norm, 1 + length(norm) div 2), '\\0', substr(norm, 1, length(norm) div 2))")
-    ways = F.explode(F.array(F.struct(F.lit("a").alias("way"), F.col("norm").alias("by")),
-                             F.struct(F.lit("h").alias("way"), half.alias("by")),
-                             F.struct(F.lit("z").alias("way"), F.reverse("norm").alias("by"))))
-    rows = forms.withColumn("w", ways).select(
-        F.concat("w.way", "part").alias("column"), "w.by", "norm", "fid", "rank", "first")
-    find, length_ratio = matching.neighbours, fixed.LENGTH_RATIO
+    """Forms (part, norm, fid, rank, first) with ``comp``, stored.
 
-    def kernel(batches):
-        return find(batches, threshold, length_ratio)
+    Linked are forms that follow each other in the order of the forms, of their second
+    halves or of the reversed forms.  The first order gives runs without a join; the
+    others only compare forms of different runs, and link runs.
+    """
+    n, length_ratio = _spread(forms), fixed.LENGTH_RATIO
+    find_runs, find_links = matching.runs, matching.neighbours
 
-    return (rows.repartitionByRange(_spread(forms), "column", "by").sortWithinPartitions("column", "by")
-            .select("column", "norm", "fid", "rank", "first").mapInArrow(kernel, _LINK_SQL))
+    def in_runs(batches):
+        return find_runs(batches, threshold, length_ratio)
 
+    def in_links(batches):
+        return find_links(batches, threshold, length_ratio)
 
-def _labelled(forms: DataFrame, joined: DataFrame, name: str) -> DataFrame:
-    known = joined.select(F.col("id").alias("fid"), F.col("component").alias(name))
-    return forms.join(known, "fid", "left").withColumn(name, F.coalesce(name, "fid"))
+    ordered = forms.repartitionByRange(n, "part", "norm").sortWithinPartitions("part", "norm")
+    placed = settle(ordered.select("part", "norm", "fid", "rank", "first").mapInArrow(
+        in_runs, "part string, norm string, fid bigint, rank bigint, first bigint, comp bigint"), "spelling-runs")
+    half = F.expr("concat(substr(norm, 1 + length(norm) div 2), '\\0', substr(norm, 1, length(norm) div 2))")
+    ways = F.explode(F.array(F.struct(F.lit("h").alias("way"), half.alias("by")),
+                             F.struct(F.lit("z").alias("way"), F.reverse("norm").alias("by"))))
+    rows = placed.withColumn("w", ways).select(
+        F.concat("w.way", "part").alias("part"), "w.by", "norm", "comp", "rank", "first")
+    links = (rows.repartitionByRange(n, "part", "by").sortWithinPartitions("part", "by")
+             .select("part", "norm", "comp", "rank", "first").mapInArrow(in_links, _LINK_SQL))
+    return _contracted(placed, links)
 
 
-def _tile_pairs(forms: DataFrame, threshold: float, blocks: bool, rough: bool) -> tuple[DataFrame, list[str]]:
-    """Forms once for each pair of tiles they are in, with ``side`` (0, 1; 2: a tile with itself); the pair's keys.
+def _contracted(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """Forms with ``comp`` after components were linked, stored."""
+    joined = components(links, "spelling-components", DIRECT_LINKS).select(F.col("id").alias("comp"), "component")
+    return settle(placed.join(joined, "comp", "left").withColumn("comp", F.coalesce("component", "comp"))
+                  .drop("component"), "spelling-forms")
+
+
+def _tile_pairs(forms: DataFrame, threshold: float, blocks: bool, rough: bool) -> tuple[DataFrame, list[str], bool]:
+    """Forms once for each pair of tiles they are in, with ``side`` (0, 1; 2: a tile with itself); the pair's keys;
+    whether these are all pairs.  ``rough``: where many pairs are left, only tiles with themselves.
 
     Lengths of similar forms differ by a factor of ``wide`` at most, so a class of
     lengths meets itself and the next one.  A component of a tile or more has tiles
-    of its own, so that it never meets itself; and characters that all forms of a tile
+    of its own, so that it never meets itself; a part of one component is left out; and characters that all forms of a tile
     have more often than any of the other rule out whole pairs of tiles.
     """
     if blocks:  # a block is one tile
-        return forms.withColumn("side", F.lit(2)), ["part"]
+        return forms.withColumn("side", F.lit(2)), ["part"], True
     wide = max(1.05, min((2 - threshold) / threshold, 1 / fixed.LENGTH_RATIO)) * 1.0001
     length = F.length("norm")
     classed = forms.withColumn("class", F.floor(F.log(length.cast("double")) / F.lit(math.log(wide))).cast("int"))
-    sizes = classed.groupBy("part", "class", "comp").agg(F.count(F.lit(1)).alias("n"))
-    large = settle(sizes.where(F.col("n") >= TILE).select("part", "class", "comp", F.lit(True).alias("alone")), "spelling-large")
-    grouped = classed.join(F.broadcast(large), ["part", "class", "comp"], "left").withColumn(
+    sizes = settle(classed.groupBy("part", "class", "comp").agg(F.count(F.lit(1)).alias("n")), "spelling-sizes")
+    large = sizes.where(F.col("n") >= TILE).select("part", "class", "comp", F.lit(True).alias("alone"))
+    apart = sizes.groupBy("part").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("part")
+    grouped = classed.join(F.broadcast(apart), "part").join(F.broadcast(large), ["part", "class", "comp"], "left").withColumn(
         "owner", F.when(F.col("alone"), F.col("comp")).otherwise(-1)).drop("alone")
     counts = settle(grouped.groupBy("part", "class", "owner").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles")), "spelling-classes")
@@ -214,49 +230,52 @@ def _tile_pairs(forms: DataFrame, threshold: float, blocks: bool, rough: bool) -
     apart = missing("x.least", "y.most") + missing("y.least", "x.most")
     step = F.col("y.class") - F.col("x.class")
     pairs = settle(x.join(F.broadcast(y), (F.col("x.part") == F.col("y.part")) & (
-        (step == 1) | ((step == 0) & (F.col("x.tid") <= F.col("y.tid"))))).where(F.lit(not rough) | (F.col("x.tid") == F.col("y.tid"))).where(
+        (step == 1) | ((step == 0) & (F.col("x.tid") <= F.col("y.tid"))))).where(
         ~one & (F.col("x.long") >= fixed.LENGTH_RATIO * F.col("y.short") - 1e-9)
         & (F.col("y.long") >= fixed.LENGTH_RATIO * F.col("x.short") - 1e-9)
         & (apart <= (1 - threshold) * (F.col("x.long") + F.col("y.long")) + 1e-9)).select(
         F.monotonically_increasing_id().alias("pair"), F.col("x.tid").alias("lo"), F.col("y.tid").alias("hi")), "spelling-tile-pairs")
+    whole = not rough or pairs.count() <= FEW_PAIRS * tiles.count()
+    if not whole:
+        pairs = pairs.where("lo = hi")
     sides = pairs.select("pair", F.col("lo").alias("tid"), F.when(F.col("lo") == F.col("hi"), 2).otherwise(0).alias("side")).unionByName(
         pairs.where("lo <> hi").select("pair", F.col("hi").alias("tid"), F.lit(1).alias("side")))
     rows = placed.join(F.broadcast(tiles.select("part", "class", "owner", "tile", "tid")), ["part", "class", "owner", "tile"])
-    return rows.join(sides, "tid"), ["pair"]
+    return rows.join(sides, "tid"), ["pair"], whole
 
 
-def _between_tiles(forms: DataFrame, threshold: float, blocks: bool, kernel, schema: str, rough: bool = False) -> DataFrame:
-    """Run a kernel over each pair of tiles of forms with ``part`` and ``comp``; ``rough``: over each tile alone."""
-    rows, keys = _tile_pairs(forms, threshold, blocks, rough)
+def _between_tiles(forms: DataFrame, threshold: float, blocks: bool, kernel, schema: str,
+                   rough: bool = False) -> tuple[DataFrame, bool]:
+    """Run a kernel over each pair of tiles of forms with ``part`` and ``comp``; whether these were all pairs."""
+    rows, keys, whole = _tile_pairs(forms, threshold, blocks, rough)
     length_ratio = fixed.LENGTH_RATIO
 
     def compare(table: pa.Table) -> pa.Table:
         return kernel(table, threshold, length_ratio)
 
     rows = rows.select(*keys, "side", "norm", "fid", "rank", "first", "comp")
-    return rows.repartition(_spread(forms), *keys).groupBy(*keys).applyInArrow(compare, schema)
+    return rows.repartition(_spread(forms), *keys).groupBy(*keys).applyInArrow(compare, schema), whole
 
 
 def clusters(forms: DataFrame, threshold: float, max_block: int | None = None) -> DataFrame:
     """Forms with ``cluster``, the smallest ``fid`` that links reach."""
     if threshold > 1:  # no two forms are that similar
         return forms.withColumn("cluster", F.col("fid"))
-    compared = _parts(forms, max_block)
-    near = _neighbours(compared, threshold)
-    placed = settle(_labelled(compared, components(near, "spelling-components", DIRECT_LINKS), "comp"), "spelling-forms")
-    blocks = max_block is not None
-    for rough in (False,) if blocks else (True, False):
-        far = _between_tiles(placed, threshold, blocks, matching.linked, _LINK_SQL, rough)
-        joined = components(far, "spelling-components", DIRECT_LINKS).select(F.col("id").alias("comp"), "component")
-        placed = settle(placed.join(joined, "comp", "left").withColumn("comp", F.coalesce("component", "comp"))
-                        .drop("component"), "spelling-forms")
-    return _labelled(forms, placed.select(F.col("fid").alias("id"), F.col("comp").alias("component")), "cluster")
+    placed = _neighbours(_parts(forms, max_block), threshold)
+    blocks, whole, rough = max_block is not None, False, True
+    while not whole:
+        far, whole = _between_tiles(placed, threshold, blocks, matching.linked, _LINK_SQL, rough)
+        placed, rough = _contracted(placed, far), False
+    if not blocks:
+        return placed.select("fid", F.col("part").alias("column"), "norm", "rank", "first", F.col("comp").alias("cluster"))
+    known = placed.select("fid", F.col("comp").alias("cluster"))
+    return forms.join(known, "fid", "left").withColumn("cluster", F.coalesce("cluster", "fid"))
 
 
 def similar_counts(forms: DataFrame, threshold: float = fixed.SIMILAR_RATIO, max_block: int | None = None) -> DataFrame:
     """(column, norm, links, best): how many other forms each is similar to, and the highest ratio."""
     placed = _parts(forms, max_block).withColumn("comp", F.col("fid"))
-    found = _between_tiles(placed, threshold, max_block is not None, matching.counted, "fid bigint, links bigint, best double")
+    found, _ = _between_tiles(placed, threshold, max_block is not None, matching.counted, "fid bigint, links bigint, best double")
     total = found.groupBy("fid").agg(F.sum("links").alias("links"), F.max("best").alias("best"))
     return forms.join(total, "fid").select("column", "norm", "links", "best")
 
@@ -348,17 +367,18 @@ def describe_groups(values: DataFrame, clustered: DataFrame, explain: bool = Tru
     """
     stripped = F.col("stripped")
     titled = stripped.rlike(r"^\p{IsUppercase}") & stripped.rlike(r"[\p{IsLowercase}\p{Lt}]")
-    members = values.join(clustered.select("column", "norm", "cluster", F.col("rank").alias("norm_rank"),
-                                           F.col("first").alias("norm_first")), ["column", "norm"])
-    best = F.struct(-F.col("rows"), ~titled, stripped != F.col("value"), -F.length("stripped"),
-                    "norm_rank", "norm_first", "rank", "first", "value")
-    grouped = members.groupBy("column", "cluster").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.array_sort(F.collect_list(F.struct((-F.col("rows")).alias("order"), "value"))).alias("members"),
-        F.min(best)["value"].alias("suggested"),
+    known = clustered.select("column", "norm", "cluster", F.col("rank").alias("norm_rank"), F.col("first").alias("norm_first"))
+    best = F.struct((-F.col("rows")).alias("less"), (~titled).alias("plain"), (stripped != F.col("value")).alias("padded"),
+                    (-F.length("stripped")).alias("shorter"), "norm_rank", "norm_first", "rank", "first", "value")
+    # Texts that differ, or differ in case, within one form: forms of a group have none in common.
+    members = values.join(known, ["column", "norm"]).groupBy("column", "norm", "cluster").agg(
+        F.collect_list(F.struct((-F.col("rows")).alias("order"), "value")).alias("members"), F.min(best).alias("best"),
         F.bool_or((stripped != F.col("value")) | F.col("value").contains("  ")).alias("spaced"),
-        F.size(F.collect_set("stripped")).alias("texts"), F.size(F.collect_set("fold")).alias("folds"),
-        F.min(F.struct("norm_rank", "norm_first")).alias("turn")).where("size > 1")
+        F.size(F.collect_set("stripped")).alias("texts"), F.size(F.collect_set("fold")).alias("folds"))
+    grouped = members.groupBy("column", "cluster").agg(
+        F.sort_array(F.flatten(F.collect_list("members"))).alias("members"), F.min("best")["value"].alias("suggested"),
+        F.bool_or("spaced").alias("spaced"), F.sum("texts").alias("texts"), F.sum("folds").alias("folds"),
+        F.min(F.struct("best.norm_rank", "best.norm_first")).alias("turn")).where(F.size("members") > 1)
     percent = F.concat(F.bround(F.col("similarity") * 100).cast("int").cast("string"), F.lit("% similar"))
     reasons = F.array_compact(F.array(
         F.when(F.col("spaced"), F.lit("spacing")), F.when(F.col("folds") < F.col("texts"), F.lit("casing")),
@@ -380,7 +400,7 @@ def describe_groups(values: DataFrame, clustered: DataFrame, explain: bool = Tru
 
 def group_id(column: str, variants):
     """Stable name of a group: depends on its column and spellings only."""
-    return F.substring(F.sha1(F.concat_ws("\0", column, F.array_sort(variants)).cast("binary")), 1, 12)
+    return F.substring(F.sha1(F.concat_ws("\0", column, F.sort_array(variants)).cast("binary")), 1, 12)
 
 
 def scan(

@@ -213,6 +213,25 @@ def count_cells(df: DataFrame) -> list[ColumnFacts]:
     return facts
 
 
+def count_loose_numbers(df: DataFrame) -> list[ColumnFacts]:
+    """Of text columns only the cells there are, and those that are numbers when commas and spaces are left out."""
+    facts = [ColumnFacts(f.name, f.dataType) for f in cells.data_fields(df) if cells.is_text(f.dataType)]
+    rows = df.select(F.lit(0).alias("id"), *[cells.ref(f.name).alias(f"c{i}") for i, f in enumerate(facts)])
+    named = [ColumnFacts(f"c{i}", f.dtype) for i, f in enumerate(facts)]
+    raw, text = F.col("value"), F.col("text")
+    tidy = (F.substring(raw, 1, 1) > " ") & (F.substring(raw, 1, 1) < "\x7f")
+    telling = text.rlike("[0-9]") | F.lower(F.substring(text, 1, 4)).contains("inf")
+    may = F.substring(text, 1, 1).isin(*"+-.,0123456789iI") & telling
+    for s in range(0, len(facts), COLUMNS):
+        values = _cells(rows, named, list(range(len(facts)))[s : s + COLUMNS], lambda f: cells.ref(f.name).cast("string"))
+        found = values.withColumn("text", F.when(tidy, raw).otherwise(cells.strip(raw))).groupBy("i").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.when(may, cells.to_number(F.regexp_replace(text, r"[,\s]", "")).isNotNull())).alias("u"))
+        for r in found.collect():
+            facts[r["i"]].n_rows, facts[r["i"]].loose_numbers = r["n"], r["u"]
+    return facts
+
+
 def _store(fact: ColumnFacts, row: dict) -> None:
     got = {k: int(row.get(k) or 0) for k in "nmpwbegvuhkycdt"}
     if "rows" in row:

@@ -44,5 +44,7 @@ COLUMNS = ("name", "email", "phone", "segment", "joined", "balance", "note", "fa
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
+    # A file of few bytes a row is read by one or two tasks, and all that is done with the texts would stay in them.
+    customer = customer.repartition(max(8, spark.sparkContext.defaultParallelism), "c_custkey")
     return spark.sql(SQL.replace("FROM customer", "FROM {customer}"), customer=customer)

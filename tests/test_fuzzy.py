@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from dqspark.functions import matching
 from dqspark.operators import fuzzy
+from dqspark.workload.contacts import contacts as contacts_of
+
+SF = "/root/testdata/sf0.001"
 
 
 def brute_force(values, threshold=0.85, max_block=None):
@@ -285,3 +289,38 @@ def test_lowest_ratio_without_all_pairs(spark):
     want = min(float(texts.ratios(np.full(len(words) - i - 1, i), np.arange(i + 1, len(words))).min()) for i in range(len(words) - 1))
     assert got["similarity"] == want
     assert got["compared"] <= 8 * len(words)
+
+
+def _rows(words):
+    columns = {"part": ["v"] * len(words), "norm": words, "fid": list(range(len(words))), "rank": [0] * len(words),
+               "first": list(range(len(words)))}
+    return pa.table(columns)
+
+
+def test_runs_cross_batches():
+    """A run keeps its first form over batches, each row comes out once, and a break begins a new run."""
+    words = [f"customer number {i:04}" for i in range(50)] + ["zebra"] + [f"zeppelin number {i:04}" for i in range(9)]
+    out = pa.Table.from_batches(matching.runs(_rows(words).to_batches(max_chunksize=7), 0.85, 0.6))
+    assert out["norm"].to_pylist() == words
+    assert out["comp"].to_pylist() == [0] * 50 + [50] + [51] * 9
+
+
+def test_links_of_neighbours_are_a_forest():
+    """Forms of one run are not compared again, and two runs are linked once however often they meet."""
+    words = [f"customer number {i:04}" for i in range(60)]
+    table = _rows(words).append_column("comp", pa.array([i % 2 * 7 for i in range(60)]))
+    links = [b for b in matching.neighbours(table.to_batches(max_chunksize=13), 0.85, 0.6)]
+    assert pa.Table.from_batches(links, schema=matching.LINKS).to_pylist() == [{"a": 0, "b": 7}]
+
+
+def test_contacts_are_spread(spark):
+    """A small file of many rows is one task's work unless its rows are dealt out."""
+    assert len({r["p"] for r in contacts_of(spark, SF).select(F.spark_partition_id().alias("p")).collect()}) >= 8
+
+
+def test_one_component_needs_no_tiles(table):
+    forms = fuzzy.normal_forms(fuzzy.spellings(fuzzy.value_counts(
+        table("v STRING, w STRING", [(f"customer {i}", f"item {i}") for i in range(40)]), ["v", "w"])))
+    comp = F.when(F.col("column") == "v", 0).otherwise(F.col("fid") + 1).cast("bigint")
+    placed = forms.withColumn("part", F.col("column")).withColumn("comp", comp)
+    assert {r["norm"][0] for r in fuzzy._tile_pairs(placed, 0.85, False, True)[0].collect()} == {"i"}
