@@ -28,7 +28,7 @@ from dqspark.session import prepare, settle
 
 BROADCAST_SPELLINGS = 200_000  # mapping rows
 BROADCAST_BYTES = 64 << 20
-SALTS = 16  # parts of a hot value's cells in the join of a larger mapping
+HOT_ROWS = 1000  # cells from which on a variant is looked up even if the mapping is too large to be
 _CHANGES = "_spellings_kept"
 
 
@@ -143,36 +143,42 @@ def trim(df: DataFrame) -> DataFrame:
     return _replace(df, {c: cells.strip(cells.ref(c)) for c in _texts(df)})
 
 
-def merge_spellings(df: DataFrame, groups: DataFrame, *, counted: bool = False) -> tuple[DataFrame, int, list[str], int]:
+def merge_spellings(df: DataFrame, groups: DataFrame, *, counted: bool = False,
+                    stored: bool = False) -> tuple[DataFrame, int, list[str], int]:
     """Replace variants by the spelling kept: (table, cells changed, columns changed, groups used).
 
     ``counted`` says that the groups count the cells of this very table, which
     then need no counting again.  A mapping of checked size is looked up in
-    place, for all columns in one projection; a larger one is joined once.
+    place, for all columns in one projection; a larger one is joined once, all but
+    its common variants, and with ``stored`` the joined table is written for those
+    who read it several times.
     """
+    rows = F.coalesce(F.map_values("counts"), F.array().cast("array<bigint>")).alias("rows")  # in the order of the variants
     mapping = settle(
-        groups.select("column", "suggested", F.explode("variants").alias("variant")).where("variant != suggested")
-        .groupBy("column", "variant").agg(F.min("suggested").alias("suggested")),
+        groups.withColumn("rows", rows).select("column", "suggested", F.inline(F.arrays_zip(F.col("variants").alias("variant"), "rows")))
+        .where("variant != suggested").groupBy("column", "variant").agg(F.min("suggested").alias("suggested"), F.max("rows").alias("rows")),
         "spelling-map",
     )
+    length, hot = F.octet_length("variant") + F.octet_length("suggested"), F.col("rows") >= HOT_ROWS
     sizes = {
         r["column"]: r for r in mapping.groupBy("column").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.octet_length("variant") + F.octet_length("suggested")).alias("bytes"),
+            F.count(F.lit(1)).alias("n"), F.sum(length).alias("bytes"),
+            F.count_if(hot).alias("hot"), F.coalesce(F.sum(F.when(hot, length)), F.lit(0)).alias("hot_bytes"),
         ).collect()
     }
     columns = [c for c in _texts(df) if c in sizes]
     if not columns:
         return df, 0, [], 0
-    rows, size = (sum(sizes[c][k] for c in columns) for k in ("n", "bytes"))
+    rows, size, common, common_size = (sum(sizes[c][k] for c in columns) for k in ("n", "bytes", "hot", "hot_bytes"))
     number = F.lit(None).cast("int")
     for i, c in enumerate(columns):
         number = F.when(F.col("column") == c, F.lit(i)).otherwise(number)
-    mapping = mapping.select(number.alias("no"), "variant", "suggested").where("no IS NOT NULL")
+    mapping = mapping.select(number.alias("no"), "variant", "suggested", "rows").where("no IS NOT NULL")
     if rows <= BROADCAST_SPELLINGS and size <= BROADCAST_BYTES:
         found = _looked_up(df, mapping, columns, rows)
     else:
-        df, found = _joined(df, mapping, columns)
+        small = common <= BROADCAST_SPELLINGS and common_size <= BROADCAST_BYTES
+        df, found = _joined(df, mapping, columns, common if small else 0, stored)
     own = groups.where(F.col("column").isin(*columns) & (F.size("variants") > 1))
     if counted:
         cells_of = F.aggregate(F.map_values("counts"), F.lit(0).cast("bigint"), lambda x, y: x + y)
@@ -210,20 +216,25 @@ def _looked_up(df: DataFrame, mapping: DataFrame, columns: list[str], rows: int)
     return found
 
 
-def _joined(df: DataFrame, mapping: DataFrame, columns: list[str]) -> tuple[DataFrame, dict]:
-    """The same by one join of all columns' cells, hot values spread over salts, gathered by row."""
-    salt = F.pmod(F.xxhash64(fixed.ROW_ID), F.lit(SALTS)).cast("int")
+def _joined(df: DataFrame, mapping: DataFrame, columns: list[str], common: int, stored: bool) -> tuple[DataFrame, dict]:
+    """The same by one join of all columns' cells, gathered by row.
+
+    Cells of the ``common`` variants are looked up, so that no hot value is joined.
+    """
+    hot = F.coalesce(F.col("rows") >= HOT_ROWS, F.lit(False))
+    near = _looked_up(df, mapping.where(hot), columns, common) if common else {}
+    left = mapping.where(~hot) if common else mapping
     held = F.array_compact(F.array(*[
-        F.when(cells.ref(c).isNotNull(), F.struct(F.lit(i).alias("no"), cells.ref(c).alias("variant")))
+        F.when(cells.ref(c).isNotNull() & (near[c].isNull() if common else F.lit(True)),
+               F.struct(F.lit(i).alias("no"), cells.ref(c).alias("variant")))
         for i, c in enumerate(columns)]))
-    long = df.select(fixed.ROW_ID, salt.alias("salt"), F.explode(held).alias("e")).select(
-        fixed.ROW_ID, "salt", "e.no", "e.variant")
-    copies = mapping.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    changes = (long.join(copies, ["no", "variant", "salt"]).groupBy(fixed.ROW_ID)
+    long = df.select(fixed.ROW_ID, F.explode(held).alias("e")).select(fixed.ROW_ID, "e.no", "e.variant")
+    changes = (long.join(left.select("no", "variant", "suggested"), ["no", "variant"]).groupBy(fixed.ROW_ID)
                .agg(F.map_from_entries(F.collect_list(F.struct("no", "suggested"))).alias(_CHANGES)))
-    out = df.join(changes, fixed.ROW_ID, "left")
-    return out.select(*[cells.ref(c) for c in df.columns], _CHANGES), {
-        c: F.col(_CHANGES)[F.lit(i)] for i, c in enumerate(columns)}
+    out = df.join(changes, fixed.ROW_ID, "left").select(*[cells.ref(c) for c in df.columns], _CHANGES)
+    out = settle(out, "spellings-merged") if stored else out
+    found = {c: F.col(_CHANGES)[F.lit(i)] for i, c in enumerate(columns)}
+    return out, {c: F.coalesce(near[c], found[c]) for c in columns} if common else found
 
 
 def change_case(df: DataFrame, style: str, facts: list[ColumnFacts]) -> DataFrame:
@@ -501,7 +512,9 @@ def _merge(out: DataFrame, options: CleaningOptions,
         roles = [f.name for f in facts if f.role]
         if roles:
             groups = groups.where(~F.col("column").isin(*roles))
-    merged, changed, columns, used = merge_spellings(out, groups, counted=options.fuzzy_groups is None)
+    again = (options.casing != "none" or options.fix_emails or options.normalize_phones or options.strip_currency or options.fix_dates
+             or options.drop_empty_columns or options.drop_empty_rows or options.missing_strategy != "leave" or options.drop_exact_duplicates)
+    merged, changed, columns, used = merge_spellings(out, groups, counted=options.fuzzy_groups is None, stored=again)
     log.fuzzy_collapsed = changed
     log.touched += _texts(out)
     if changed:

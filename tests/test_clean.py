@@ -335,3 +335,16 @@ def test_plan_merges_spellings_that_were_found(table):
     made = report.build_report(df)
     found = findings.findings(df, made, fuzzy.scan(df, facts=made.facts).groups)
     assert "collapse_fuzzy" in [r["fix_key"] for r in recipe.propose(found).collect()]
+
+
+def test_common_variants_are_not_joined(spelled, monkeypatch):
+    """Cells of a common variant are looked up, the rest is joined once and not multiplied; both give one lookup's result."""
+    groups = fuzzy.scan(spelled).groups
+    want = merge_spellings(spelled, groups)[0]
+    monkeypatch.setattr(cleaner, "BROADCAST_SPELLINGS", 4)
+    monkeypatch.setattr(cleaner, "HOT_ROWS", 50)
+    for stored in (False, True):
+        out = merge_spellings(spelled, groups, stored=stored)[0]
+        assert "_spellings_kept" in plan_of(out) or stored
+        assert "explode(sequence" not in plan_of(out)
+        assert want.exceptAll(out).isEmpty() and out.count() == want.count()
