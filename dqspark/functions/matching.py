@@ -52,6 +52,7 @@ class Texts:
         self._points = row, points
         self._made: np.ndarray | None = None
         self._masks: dict = {}
+        self._ends: tuple | None = None
 
     @property
     def sketch(self) -> np.ndarray:
@@ -95,6 +96,48 @@ class Texts:
             out |= ((first == second[:, j]) & (first < self.alphabet)).astype(kind) << kind(j)
         return out
 
+    @property
+    def ends(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts that fit a mask: characters from the end, and places from both ends whose character comes once, as bits."""
+        if self._ends is None:
+            n, width = self.code.shape
+            length = np.minimum(self.length, width)[:, None]
+            at = np.arange(width)
+            inside = at < length
+            back = np.where(inside, np.take_along_axis(self.code, np.maximum(length - 1 - at, 0), axis=1), self.alphabet)
+            key = np.arange(n)[:, None] * (self.alphabet + 1)
+            often = np.bincount((key + self.code).ravel(), minlength=n * (self.alphabet + 1))
+            bit = ONE << at.astype(np.uint64)
+            once = [(((often[key + code] == 1) & inside) * bit).sum(axis=1, dtype=np.uint64) for code in (self.code, back)]
+            self._ends = back, *once
+        return self._ends
+
+    def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of the common beginning and of the common end that surely are the first common block, else 0.
+
+        A block as long as a common beginning that is longer than half of both texts
+        covers what lies between its length and what it leaves of the longer text.  If
+        a character there comes once in each text, the block is on the same diagonal,
+        so it is this beginning.  An end is the same from behind.
+        """
+        none = np.zeros(len(a), dtype=np.int64)
+        if self.alphabet > ALPHABET:
+            return none, none
+        longer = np.maximum(self.length[a], self.length[b])
+        shorter = np.minimum(self.length[a], self.length[b])
+        below = np.array([(1 << k) - 1 for k in range(WORD + 1)], dtype=np.uint64)
+        found = []
+        back, *once = self.ends
+        width = int(longer.max(initial=1))
+        for code, single in zip((self.code, back), once, strict=True):
+            differ = code[a, :width] != code[b, :width]
+            size = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), width), shorter)
+            rest = np.minimum(longer - size, size)
+            sure = (single[a] & single[b] & below[size] & ~below[rest]) != 0
+            found.append(np.where(sure, size, 0))
+        start, end = found
+        return start, np.where(start > 0, 0, end)
+
     def matched(self, a: np.ndarray, b: np.ndarray, enough: np.ndarray | None = None) -> np.ndarray:
         """Characters in common blocks, of pairs of texts that fit a mask.
 
@@ -104,12 +147,17 @@ class Texts:
         kind = places.dtype.type
         bits = kind().itemsize * 8
         below = np.array([(1 << min(k, bits)) - 1 for k in range(bits + 1)], dtype=np.uint64).astype(kind)
-        total = np.zeros(len(a), dtype=np.int64)
-        pair = np.arange(len(a))
-        a0, b0 = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
-        a1, b1 = self.length[a].copy(), self.length[b].copy()
+        start, end = self.anchors(a, b)
+        total = start + end
+        a1, b1 = self.length[a] - end, self.length[b] - end
+        left = (start < a1) & (start < b1)
+        if enough is not None:
+            left &= total < enough
+        pair = np.flatnonzero(left)
+        a0, b0, a1, b1 = start[pair], start[pair], a1[pair], b1[pair]
         line = np.arange(places.shape[0])[:, None]
-        own = places
+        own = places[:, pair] & (below[b1] & ~below[b0])
+        own *= (line >= a0) & (line < a1)
         while len(pair):
             size, at, where = _longest(own)
             hit = size > 0

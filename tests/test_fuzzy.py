@@ -324,3 +324,20 @@ def test_one_component_needs_no_tiles(table):
     comp = F.when(F.col("column") == "v", 0).otherwise(F.col("fid") + 1).cast("bigint")
     placed = forms.withColumn("part", F.col("column")).withColumn("comp", comp)
     assert {r["norm"][0] for r in fuzzy._tile_pairs(placed, 0.85, False, True)[0].collect()} == {"i"}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=8), st.text("abcd", max_size=8), st.lists(st.text("abce", max_size=5), min_size=2, max_size=4))
+def test_ratios_of_texts_with_common_ends(start, end, middles):
+    words = [start + m + end for m in middles] + ["customer " + m for m in middles] + [m + "@abc.d" for m in middles]
+    texts = matching.Texts(words)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    want = np.array([SequenceMatcher(None, words[x], words[y]).ratio() for x, y in zip(a, b, strict=True)])
+    assert (texts.ratios(a, b) == want).all()
+
+
+def test_common_ends_are_anchors():
+    """Beginnings and ends that must be the first block are not looked for."""
+    texts = matching.Texts(["customer 123", "customer 145", "user1@example.com", "user22@example.com", "aaab", "aaac"])
+    start, end = texts.anchors(np.array([0, 2, 4]), np.array([1, 3, 5]))
+    assert start.tolist() == [10, 0, 0] and end.tolist() == [0, 12, 0]
