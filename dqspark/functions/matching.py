@@ -227,22 +227,27 @@ def candidates(texts: Texts, rows: np.ndarray, columns: np.ndarray, label: np.nd
     """Pairs (row, column) that may be similar and have different labels, in parts.
 
     A ratio of t allows (1 - t) times the joint length of additions and removals,
-    which is at least the number of bits in which sketches differ.
+    which is at least the number of bits in which sketches differ.  If rows and
+    columns are the same texts, a pair comes once.
     """
-    other, other_length = texts.sketch[columns], texts.length[columns]
+    same = np.array_equal(rows, columns)
     for s in range(0, len(rows), ROWS):
-        own = rows[s : s + ROWS]
-        fits = label[own][:, None] != label[columns]
+        own, other = rows[s : s + ROWS], columns[s if same else 0 :]
+        fits = label[own][:, None] != label[other]
+        if same:
+            fits[:, : len(own)] &= np.tri(len(own), dtype=bool).T
         if not fits.any():
             continue
-        length = texts.length[own][:, None]
-        apart = np.bitwise_count(texts.sketch[own][:, 0, None] ^ other[:, 0]).astype(np.int64)
-        apart += np.bitwise_count(texts.sketch[own][:, 1, None] ^ other[:, 1])
-        fits &= apart <= (1 - threshold) * (length + other_length) + 1e-9
-        fits &= np.minimum(length, other_length) >= length_ratio * np.maximum(length, other_length) - 1e-9
+        lengths, at = np.unique(texts.length[own], return_inverse=True)
+        length, other_length = lengths[:, None], texts.length[other]
+        allowed = np.minimum(np.floor((1 - threshold) * (length + other_length) + 1e-9), 254) + 1
+        allowed[np.minimum(length, other_length) < length_ratio * np.maximum(length, other_length) - 1e-9] = 0
+        apart = np.bitwise_count(texts.sketch[own][:, 0, None] ^ texts.sketch[other][:, 0])
+        apart += np.bitwise_count(texts.sketch[own][:, 1, None] ^ texts.sketch[other][:, 1])  # 128 bits fit a byte
+        fits &= apart < np.maximum(allowed, 0).astype(np.uint8)[at]
         i, j = np.nonzero(fits)
         for k in range(0, len(i), PAIRS):
-            yield own[i[k : k + PAIRS]], columns[j[k : k + PAIRS]]
+            yield own[i[k : k + PAIRS]], other[j[k : k + PAIRS]]
 
 
 def similar(texts: Texts, a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float, length_ratio: float) -> np.ndarray:
@@ -484,12 +489,14 @@ def runs(batches, threshold: float, length_ratio: float):
 def neighbours(batches, threshold: float, length_ratio: float):
     """Links between components of consecutive forms of sorted rows (part, norm, comp, rank, first).
 
-    A link between components that earlier ones of the task join already is left out.
+    Components that earlier links of the task join already are not compared.
     """
     tree: dict[int, int] = {}
     for table, _ in _after_held(batches):
         comp = table["comp"].to_numpy()
-        at = _alike_next(table, threshold, length_ratio, comp[1:] != comp[:-1])
+        names, place = np.unique(comp, return_inverse=True)
+        root = np.array([_root(tree, x) if x in tree else x for x in names.tolist()], dtype=np.int64)[place]
+        at = _alike_next(table, threshold, length_ratio, root[1:] != root[:-1])
         pairs = np.unique(np.stack([comp[at], comp[at + 1]]), axis=1)
         if len(tree) > KNOWN:
             tree = {}
@@ -541,8 +548,6 @@ def counted(table: pa.Table, threshold: float, length_ratio: float) -> pa.Table:
     rows, columns = (everywhere, everywhere) if (side == 2).all() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     links, best = np.zeros(n, dtype=np.int64), np.zeros(n)
     for a, b in candidates(texts, rows, columns, label, threshold, length_ratio):
-        if len(rows) == n:
-            a, b = a[a < b], b[a < b]
         ratio = similar(texts, a, b, turn, threshold, length_ratio)
         for x in (a[ratio > 0], b[ratio > 0]):
             np.add.at(links, x, 1)

@@ -129,11 +129,16 @@ def spellings(counted: DataFrame, forced: list[str] = ()) -> DataFrame:
             .withColumns({"rank": rank.cast("bigint"), "first": F.col("first_id")}))
 
 
+def _key():
+    """First of the keys that have a form: a sort by numbers hardly compares texts."""
+    return F.xxhash64("norm").alias("key")
+
+
 def normal_forms(values: DataFrame) -> DataFrame:
     """(fid, column, norm, block, rank, first) per normal form, stored; ``fid`` is any unique number."""
     turn = F.min(F.struct("rank", "first")).alias("turn")
     return settle(
-        values.groupBy("column", "norm").agg(turn).select(
+        values.groupBy(_key(), "column", "norm").agg(turn).select(
             F.monotonically_increasing_id().alias("fid"), "column", "norm",
             F.substring("norm", 1, 2).alias("block"), "turn.rank", "turn.first"),
         "normal-forms")
@@ -371,7 +376,8 @@ def describe_groups(values: DataFrame, clustered: DataFrame, explain: bool = Tru
     best = F.struct((-F.col("rows")).alias("less"), (~titled).alias("plain"), (stripped != F.col("value")).alias("padded"),
                     (-F.length("stripped")).alias("shorter"), "norm_rank", "norm_first", "rank", "first", "value")
     # Texts that differ, or differ in case, within one form: forms of a group have none in common.
-    members = values.join(known, ["column", "norm"]).groupBy("column", "norm", "cluster").agg(
+    same = ["key", "column", "norm"]
+    members = values.withColumn("key", _key()).join(known.withColumn("key", _key()), same).groupBy(*same, "cluster").agg(
         F.collect_list(F.struct((-F.col("rows")).alias("order"), "value")).alias("members"), F.min(best).alias("best"),
         F.bool_or((stripped != F.col("value")) | F.col("value").contains("  ")).alias("spaced"),
         F.size(F.collect_set("stripped")).alias("texts"), F.size(F.collect_set("fold")).alias("folds"))

@@ -369,3 +369,24 @@ def test_findings_search_only_columns_they_tell_of(spark, table, monkeypatch):
     monkeypatch.setattr(fuzzy, "value_counts", lambda df, columns: searched.extend(columns) or counted(df, columns))
     assert findings.spelling_counts(findings.spelling_groups(df, facts), ["mail"]).collect() == want
     assert searched == ["name"]
+
+
+def test_pairs_of_a_tile_with_itself_come_once():
+    """All pairs of different labels within the bounds, none of them twice, over more texts than are filtered together."""
+    words = [f"customer {i:03}" for i in range(matching.ROWS + 60)] + ["c", "customer 000 and more"]
+    texts, every = matching.Texts(words), np.arange(len(words))
+    label = every % 3
+    found = [p for a, b in matching.candidates(texts, every, every, label, 0.85, 0.6) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(found) == len(set(found)) and all(a < b for a, b in found)
+    alike = {(a, b) for a, b in combinations(range(0, len(words), 7), 2)
+             if label[a] != label[b] and SequenceMatcher(None, words[a], words[b]).ratio() >= 0.85}
+    assert alike and alike <= set(found)
+
+
+def test_joined_components_are_not_compared_again(monkeypatch):
+    """Once two runs are linked, later batches of the task compare none of their forms."""
+    asked, plain = [], matching.similar
+    monkeypatch.setattr(matching, "similar", lambda texts, a, *rest: asked.append(len(a)) or plain(texts, a, *rest))
+    table = _rows([f"customer number {i:04}" for i in range(60)]).append_column("comp", pa.array([i % 2 * 7 for i in range(60)]))
+    links = pa.Table.from_batches(matching.neighbours(table.to_batches(max_chunksize=13), 0.85, 0.6), schema=matching.LINKS)
+    assert links.to_pylist() == [{"a": 0, "b": 7}] and asked == [12]
