@@ -14,6 +14,7 @@ and pyarrow only.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -30,6 +31,8 @@ MARKS = 128  # buckets of characters by which tiles are told apart; ASCII has on
 ANY = 64  # distinct characters of a place up to which they are told apart
 STEPS = 100_000  # pairs of places that are looked at for a bound; beyond, the bound is weaker
 KNOWN = 500_000  # components whose links a task remembers
+DIGITS = 6  # digits up to which forms that differ in digits only are counted by digits
+CELLS = 1 << 20  # patterns of numbers that are looked up together
 LONG = 200  # from here on difflib leaves out popular characters
 FAR = (8, 3, 5, 7, 1, 2, 4, 6)  # sixteenths of the sorted texts that far pairs are apart
 ONE = np.uint64(1)
@@ -556,6 +559,245 @@ def counted(table: pa.Table, threshold: float, length_ratio: float) -> pa.Table:
     return pa.table([table["fid"].to_numpy()[some], links[some], best[some]], schema=COUNTED)
 
 
+SHAPES_MEET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+
+def shapes_meet(batches, threshold: float, length_ratio: float):
+    """Pairs of shapes (a, b, n, first, second; digits are 0) whose forms may be similar by all other characters."""
+    for batch in batches:
+        keep = []
+        for first, second in zip(batch.column("first").to_pylist(), batch.column("second").to_pylist(), strict=True):
+            x, y = Counter(first), Counter(second)
+            apart = abs(x.pop("0", 0) - y.pop("0", 0)) + sum(((x - y) + (y - x)).values())
+            n, m = sorted((len(first), len(second)))
+            keep.append(n >= length_ratio * m - 1e-9 and apart <= (1 - threshold) * (n + m) + 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in SHAPES_MEET.names], schema=SHAPES_MEET).filter(pa.array(keep, pa.bool_()))
+
+
+class _Shape:
+    """Forms that differ in digits only: the text of one, the places of its digits, and the digits of all (place, form)."""
+
+    def __init__(self, norms: pa.ChunkedArray):
+        self.text = norms[0].as_py()
+        self.at = [i for i, c in enumerate(self.text) if c in "0123456789"]
+        octets = np.frombuffer(self.text.encode(), dtype=np.uint8)  # as many in each form
+        norms = norms.cast(pa.large_string()).combine_chunks()
+        start = np.frombuffer(norms.buffers()[1], dtype=np.int64)[norms.offset]
+        grid = np.frombuffer(norms.buffers()[2], dtype=np.uint8, count=len(norms) * len(octets), offset=int(start))
+        digit = np.flatnonzero((octets >= 48) & (octets <= 57))
+        self.digits = np.ascontiguousarray(grid.reshape(len(norms), -1)[:, digit].T) - np.uint8(48)
+
+    def spelled(self, digits: np.ndarray) -> list[str]:
+        """The texts with these digits (place, text)."""
+        n, length = digits.shape[1], len(self.text)
+        grid = np.tile(np.array([ord(c) for c in self.text], dtype="<u4"), (n, 1))
+        grid[:, self.at] = digits.T + 48
+        whole = grid.tobytes().decode("utf-32-le", "surrogatepass")
+        return [whole[i : i + length] for i in range(0, n * length, length)]
+
+
+def _written(places: int, base: int) -> np.ndarray:
+    """All numbers of ``places`` places to a base, lowest place first: (place, number)."""
+    return np.arange(base**places) // base ** np.arange(places)[:, None] % base
+
+
+class _Patterns:
+    """Characters that a form has in common with others, by how digits repeat.
+
+    Digits of the first form are named 0, 1, ... as they come, all others of the second
+    form are one more: pairs that are alike then have as many characters in common.  A
+    pattern of the second form is its number to the base ``kinds + 1``.
+    """
+
+    def __init__(self, first: _Shape, second: _Shape, same: bool, least: int):
+        self.first, self.second, self.same, self.least = first, second, same, least
+        self.low = (len(second.at) + 1) // 2  # places looked up together
+        self._texts: dict = {}
+        self._known: dict = {}
+        x, y = (Counter(c for c in s.text if c not in "0123456789") for s in (first, second))
+        self.fixed = (x & y).total()
+
+    def of(self, named: bytes) -> tuple:
+        """Of the first form with these digits: patterns that are similar in both orders, with the lower number of the
+        two, highest first; those similar in one order only, with whether it is the given one; and those where a
+        higher number depends on the order, with both numbers (given order, other order; 0: not similar)."""
+        if named not in self._known:
+            self._known[named] = self._find(np.frombuffer(named, dtype=np.uint8))
+        return self._known[named]
+
+    def _find(self, named: np.ndarray) -> tuple:
+        kinds, places = int(named.max()) + 1, len(self.second.at)
+        if kinds not in self._texts:
+            written = _written(places, kinds + 1)
+            own = np.array([np.frombuffer(x, dtype=np.uint8) for x in self.all_named(kinds)]).T
+            names = {x.tobytes(): i for i, x in enumerate(np.ascontiguousarray(own.T))}
+            shown = np.where(written == kinds, 9, written)
+            self._texts = {kinds: (written, names, Texts(self.second.spelled(shown) + self.first.spelled(own)))}
+        written, names, texts = self._texts[kinds]
+        common = sum(np.minimum((written == c).sum(axis=0), int((named == c).sum())) for c in range(kinds))
+        keep = common + self.fixed >= self.least
+        if self.same:  # the form itself
+            keep[int((named.astype(np.int64) * (kinds + 1) ** np.arange(places)).sum())] = False
+        pattern = np.flatnonzero(keep)
+        own = np.full(len(pattern), written.shape[1] + names[named.tobytes()])
+        given, other = (_matched(texts, *pair) for pair in ((own, pattern), (pattern, own)))
+        given, other = (np.where(x >= self.least, x, 0).astype(np.uint8) for x in (given, other))
+        low, high = np.minimum(given, other), np.maximum(given, other)
+        both, one, uneven = low > 0, (low == 0) & (high > 0), low < high
+        order = np.argsort(-low[both].astype(np.int64), kind="stable")
+        step = (kinds + 1) ** self.low
+
+        def split(pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return pattern % step, pattern // step
+
+        return (split(pattern[both][order]), low[both][order]), (split(pattern[one]), given[one] > 0), (
+            split(pattern[uneven]), given[uneven], other[uneven])
+
+    def all_named(self, kinds: int) -> list[bytes]:
+        """All ways in which digits of the first form repeat, with so many different ones."""
+        ways = [b""]
+        for left in range(len(self.first.at) - 1, -1, -1):
+            ways = [w + bytes([c]) for w in ways for c in range(min(kinds, max(w, default=-1) + 2))]
+            ways = [w for w in ways if kinds - 1 - max(w) <= left]
+        return ways
+
+
+def _matched(texts: Texts, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    parts = [texts.matched(a[s : s + PAIRS], b[s : s + PAIRS]) for s in range(0, len(a), PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+
+def _named(digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digits (place, form) named 0, 1, ... as they come in a form; and which digit has each name (form, name)."""
+    n = digits.shape[1]
+    every, names, digit_of = np.arange(n), np.full((n, 10), 255, dtype=np.uint8), np.zeros((n, len(digits)), dtype=np.uint8)
+    out, kinds = np.empty_like(digits), np.zeros(n, dtype=np.uint8)
+    for j, digit in enumerate(digits):
+        new = names[every, digit] == 255
+        names[every[new], digit[new]] = kinds[new]
+        digit_of[every[new], kinds[new]] = digit[new]
+        kinds += new
+        out[j] = names[every, digit]
+    return out, digit_of
+
+
+class _Numbers:
+    """Forms of a shape in their turn, counted by pattern for one set of digits; other digits are alike."""
+
+    def __init__(self, halves: list[np.ndarray], places: int, low: int, kept: list[int]):
+        base = self.base = len(kept) + 1
+        code = np.full(10, base - 1)
+        code[kept] = np.arange(base - 1)
+        self.code, key = code, 0
+        for half, first, some in zip(halves, (0, low), (low, places - low), strict=True):
+            table = (code[_written(some, 10)] * base ** np.arange(first, first + some)[:, None]).sum(axis=0)
+            key = key + table.astype(np.int32)[half]
+        self.count = np.bincount(key, minlength=base**places).astype(np.int32)
+        self.begin = np.cumsum(self.count) - self.count
+        self.n = len(key)
+        self.sorted = key.astype(np.int64) * self.n + np.arange(self.n)
+        self.sorted.sort()
+
+    def before(self, pattern: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """How many forms of each pattern (row, pattern) come before the turn of the row."""
+        out = np.zeros(pattern.shape, dtype=np.int64)
+        row, column = np.nonzero(self.count[pattern])
+        asked = pattern[row, column].astype(np.int64)
+        out[row, column] = np.searchsorted(self.sorted, asked * self.n + turn[row]) - self.begin[asked]
+        return out
+
+
+def _by_digits(first: _Shape, second: _Shape, turn: np.ndarray, same: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each first form: how many second forms have ``least`` characters in common with it, and the most that one has.
+
+    ``turn`` is how many second forms come before the first one; the second forms are in their turn.
+    """
+    links, best = (np.zeros(first.digits.shape[1], dtype=np.int64) for _ in range(2))
+    patterns = _Patterns(first, second, same, least)
+    named, digit_of = _named(first.digits)
+    named = np.ascontiguousarray(named.T)
+    name = (named.astype(np.int64) << 3 * np.arange(named.shape[1])).sum(axis=1)
+    digits = np.bitwise_or.reduce(np.int64(1) << first.digits.astype(np.int64), axis=0)
+    order = np.lexsort((name, digits, np.bitwise_count(digits)))
+    places, low = len(second.at), patterns.low
+    halves = [(part * 10 ** np.arange(len(part))[:, None]).sum(axis=0) for part in (second.digits[:low], second.digits[low:])]
+    starts = np.flatnonzero(np.diff(digits[order], prepend=-1) | np.diff(name[order], prepend=-1))
+    numbers, current = None, -1
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        if digits[order[s]] != current:
+            current = int(digits[order[s]])
+            kept = [d for d in range(10) if current >> d & 1]
+            numbers = _Numbers(halves, places, low, kept)
+            parts = [_written(some, numbers.base) for some in (low, places - low)]
+        (both, lower), (one, given), (uneven, ahead, behind) = patterns.of(named[order[s]].tobytes())
+        step = max(1, CELLS // max(len(lower), len(given), len(ahead), numbers.base**low))
+        for rows in (order[i : min(i + step, e)] for i in range(s, e, step)):
+            local = np.empty((len(rows), numbers.base), dtype=np.int64)
+            local[:, -1] = numbers.base - 1
+            local[:, :-1] = numbers.code[digit_of[rows, : numbers.base - 1]]
+            tables = [sum((local[:, c] * numbers.base ** (j + k) for j, c in enumerate(part)), np.zeros((len(rows), 1), dtype=np.int64)).astype(np.int32)
+                      for k, part in zip((0, low), parts, strict=True)]
+
+            def asked(split, own=slice(None)):
+                return tables[0][own].take(split[0], axis=1) + tables[1][own].take(split[1], axis=1)
+
+            if len(lower):
+                found = numbers.count.take(asked(both))
+                links[rows] += found.sum(axis=1)
+                some = found > 0
+                place = some.argmax(axis=1)
+                best[rows] = np.where(some[np.arange(len(rows)), place], lower[place], 0)
+            if len(given):
+                own = asked(one)
+                early = numbers.before(own, turn[rows])
+                links[rows] += np.where(given, numbers.count[own] - early, early).sum(axis=1)
+            for known in np.unique(best[rows]).tolist():
+                more = np.flatnonzero(np.maximum(ahead, behind) > known)
+                if len(more):
+                    at = np.flatnonzero(best[rows] == known)
+                    own = asked((uneven[0][more], uneven[1][more]), at)
+                    early = numbers.before(own, turn[rows[at]])
+                    reached = np.maximum(np.where(numbers.count[own] > early, ahead[more], 0), np.where(early > 0, behind[more], 0))
+                    best[rows[at]] = np.maximum(known, reached.max(axis=1))
+    return links, best
+
+
+def counted_by_digits(table: pa.Table, threshold: float, length_ratio: float) -> pa.Table:
+    """How many forms of one shape (side 1) each form of another or the same shape (side 0) is similar to, and the highest ratio.
+
+    Few forms are compared; of many, only how their digits repeat is.
+    """
+    side, turn = table["side"].to_numpy(), _turns(table)
+    rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    columns = columns[np.argsort(turn[columns])]
+    fid = table["fid"].to_numpy()
+    first, second = (_Shape(table["norm"].take(pa.array(x))) for x in (rows, columns))
+    whole = len(first.text) + len(second.text)
+    n, m = sorted((len(first.text), len(second.text)))
+    least = next((k for k in range(1, n + 1) if 2.0 * k / whole >= threshold), 0)
+    links, ratio = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
+    names = np.unique((_named(first.digits)[0].astype(np.int64) << 3 * np.arange(len(first.at))[:, None]).sum(axis=0))
+    kinds = [max(x >> 3 * j & 7 for j in range(len(first.at))) + 1 for x in names.tolist()]
+    if not least or n / m < length_ratio:
+        pass
+    elif len(rows) * len(columns) <= 4 * sum((k + 1) ** len(second.at) for k in kinds):
+        texts = Texts(table["norm"].to_pylist())
+        label = np.unique(fid, return_inverse=True)[1]
+        place = np.empty(len(side), dtype=np.int64)
+        place[rows] = np.arange(len(rows))
+        for a, b in candidates(texts, rows, columns, label, threshold, length_ratio):
+            found = similar(texts, a, b, turn, threshold, length_ratio)
+            hit = found > 0
+            np.add.at(links, place[a[hit]], 1)
+            np.maximum.at(ratio, place[a[hit]], found[hit])
+    else:
+        same = [c if i not in first.at else "0" for i, c in enumerate(first.text)] == [c if i not in second.at else "0" for i, c in enumerate(second.text)]
+        links, best = _by_digits(first, second, np.searchsorted(turn[columns], turn[rows]), same, least)
+        ratio = 2.0 * best / whole
+    some = links > 0
+    return pa.table([fid[rows][some], links[some], ratio[some]], schema=COUNTED)
+
+
 LOWEST = pa.schema([("cluster", pa.int64()), ("similarity", pa.float64()), ("compared", pa.int64())])
 
 

@@ -36,6 +36,8 @@ from dqspark.session import prepare, settle
 TILE = 2048  # forms per tile side
 FEW_PAIRS = 1  # pairs of tiles per tile up to which all are compared at once
 DIRECT_LINKS = 500_000  # links up to which one task joins them
+SHAPE = 512  # forms that differ in digits only from which on they are counted by digits
+SHAPE_TASK = 1 << 17  # forms of a shape for each task that others meet it in
 LOWEST_TILE = 1024  # forms per tile side when the lowest ratio is looked for
 SMALL_CLUSTER = 64  # forms of clusters that are compared many at a time
 SALTS = 32  # first-round buckets when ranking the values of a forced column
@@ -204,19 +206,20 @@ def _tile_pairs(forms: DataFrame, threshold: float, blocks: bool, rough: bool) -
 
     Lengths of similar forms differ by a factor of ``wide`` at most, so a class of
     lengths meets itself and the next one.  A component of a tile or more has tiles
-    of its own, so that it never meets itself; a part of one component is left out; and characters that all forms of a tile
+    of its own, so that it never meets itself; ``shaped`` forms do not meet each other; a part of one component is left out; and characters that all forms of a tile
     have more often than any of the other rule out whole pairs of tiles.
     """
     if blocks:  # a block is one tile
         return forms.withColumn("side", F.lit(2)), ["part"], True
     wide = max(1.05, min((2 - threshold) / threshold, 1 / fixed.LENGTH_RATIO)) * 1.0001
+    shaped = F.col("shaped") if "shaped" in forms.columns else F.lit(False)
     length = F.length("norm")
     classed = forms.withColumn("class", F.floor(F.log(length.cast("double")) / F.lit(math.log(wide))).cast("int"))
     sizes = settle(classed.groupBy("part", "class", "comp").agg(F.count(F.lit(1)).alias("n")), "spelling-sizes")
     large = sizes.where(F.col("n") >= TILE).select("part", "class", "comp", F.lit(True).alias("alone"))
     apart = sizes.groupBy("part").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("part")
     grouped = classed.join(F.broadcast(apart), "part").join(F.broadcast(large), ["part", "class", "comp"], "left").withColumn(
-        "owner", F.when(F.col("alone"), F.col("comp")).otherwise(-1)).drop("alone")
+        "owner", F.when(F.col("alone"), F.col("comp")).when(shaped, -2).otherwise(-1)).drop("alone")
     counts = settle(grouped.groupBy("part", "class", "owner").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles")), "spelling-classes")
     tile = F.pmod(F.xxhash64("norm"), F.col("tiles")).cast("int")
@@ -236,7 +239,7 @@ def _tile_pairs(forms: DataFrame, threshold: float, blocks: bool, rough: bool) -
     step = F.col("y.class") - F.col("x.class")
     pairs = settle(x.join(F.broadcast(y), (F.col("x.part") == F.col("y.part")) & (
         (step == 1) | ((step == 0) & (F.col("x.tid") <= F.col("y.tid"))))).where(
-        ~one & (F.col("x.long") >= fixed.LENGTH_RATIO * F.col("y.short") - 1e-9)
+        ~one & ~((F.col("x.owner") == -2) & (F.col("y.owner") == -2)) & (F.col("x.long") >= fixed.LENGTH_RATIO * F.col("y.short") - 1e-9)
         & (F.col("y.long") >= fixed.LENGTH_RATIO * F.col("x.short") - 1e-9)
         & (apart <= (1 - threshold) * (F.col("x.long") + F.col("y.long")) + 1e-9)).select(
         F.monotonically_increasing_id().alias("pair"), F.col("x.tid").alias("lo"), F.col("y.tid").alias("hi")), "spelling-tile-pairs")
@@ -278,13 +281,69 @@ def clusters(forms: DataFrame, threshold: float, max_block: int | None = None) -
 
 
 def similar_counts(forms: DataFrame, threshold: float = fixed.SIMILAR_RATIO, max_block: int | None = None) -> DataFrame:
-    """(column, norm, links, best): how many other forms each is similar to, and the highest ratio."""
+    """(column, norm, links, best): how many other forms each is similar to, and the highest ratio.
+
+    Forms of common shapes (``_shaped``) meet each other by their digits, all other pairs of forms by tiles.
+    """
     placed = _parts(forms, max_block).withColumn("comp", F.col("fid"))
-    found, _ = _between_tiles(placed, threshold, max_block is not None, matching.counted, "fid bigint, links bigint, best double")
+    schema, by_digits = "fid bigint, links bigint, best double", None
+    if max_block is None:
+        shapes = _common_shapes(forms)
+        if not shapes.isEmpty():
+            placed = settle(placed.withColumn("shape", _shape()).join(shapes.select("column", "shape", "sid"), ["column", "shape"], "left")
+                            .withColumn("shaped", F.col("sid").isNotNull()), "spelling-shaped")
+            by_digits = _between_shapes(placed.where("shaped"), shapes, threshold, schema)
+    found, _ = _between_tiles(placed, threshold, max_block is not None, matching.counted, schema)
+    if by_digits is not None:
+        found = found.unionByName(by_digits)
     total = found.groupBy("fid").agg(F.sum("links").alias("links"), F.max("best").alias("best"))
     return forms.join(total, "fid").select("column", "norm", "links", "best")
 
 
+def _shape():
+    return F.regexp_replace("norm", "[0-9]", "0")
+
+
+def _common_shapes(forms: DataFrame) -> DataFrame:
+    """(column, shape, forms, sid) of the shapes, digits as 0, that ``SHAPE`` forms or more with few digits have, stored."""
+    digits = F.length(F.regexp_replace("norm", "[^0-9]", ""))
+    few = forms.where(digits.between(1, matching.DIGITS) & (F.length("norm") <= matching.WORD))
+    return settle(few.groupBy("column", _shape().alias("shape")).agg(F.count(F.lit(1)).alias("forms")).where(
+        F.col("forms") >= SHAPE).withColumn("sid", F.monotonically_increasing_id()), "spelling-shapes")
+
+
+def _between_shapes(forms: DataFrame, shapes: DataFrame, threshold: float, schema: str) -> DataFrame:
+    """Similar forms of each form of a common shape in forms of common shapes.
+
+    A task has some forms of one shape, all with the same sets of digits as far as
+    possible, and all of another: at most a million, as they differ in ``DIGITS`` digits.
+    """
+    length_ratio = fixed.LENGTH_RATIO
+    meet, count = matching.shapes_meet, matching.counted_by_digits
+
+    def may_meet(batches):
+        return meet(batches, threshold, length_ratio)
+
+    def compare(table: pa.Table) -> pa.Table:
+        return count(table, threshold, length_ratio)
+
+    x = shapes.select("column", F.col("sid").alias("a"), F.col("shape").alias("first")).repartition(_spread(forms))
+    y = shapes.select("column", F.col("sid").alias("b"), F.col("shape").alias("second"), F.col("forms").alias("n"))
+    near = F.least(F.length("first"), F.length("second")) >= length_ratio * F.greatest(F.length("first"), F.length("second")) - 1e-9
+    pairs = settle(x.join(F.broadcast(y), "column").where(near).select("a", "b", "n", "first", "second").mapInArrow(
+        may_meet, "a bigint, b bigint, n bigint"), "spelling-shape-pairs")
+    digits = sum((F.when(F.instr("norm", str(d)) > 0, 1 << d).otherwise(0) for d in range(10)), F.lit(0))
+    several = F.ceil(F.col("n") / F.lit(SHAPE_TASK)).cast("int")
+    task = F.bit_count("digits") * 1024 + F.pmod(F.xxhash64("digits"), several)
+    cells_ = ["norm", "fid", "rank", "first"]
+    own = forms.withColumn("digits", digits).join(pairs, F.col("sid") == F.col("a")).select(
+        "a", "b", task.cast("int").alias("task"), F.lit(0).alias("side"), *cells_)
+    tasks = settle(own.select("a", "b", "task").distinct(), "spelling-shape-tasks")
+    others = forms.join(tasks, F.col("sid") == F.col("b")).select("a", "b", "task", F.lit(1).alias("side"), *cells_)
+    keys = ["a", "b", "task"]
+    return own.unionByName(others).repartition(8 * _spread(forms), *keys).groupBy(*keys).applyInArrow(compare, schema)
+
+
 def ratio_floors(large: DataFrame) -> DataFrame:
     """(cluster, n, m, floor): no ratio between forms of lengths n <= m of a cluster is lower, stored.
 

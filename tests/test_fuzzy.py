@@ -390,3 +390,90 @@ def test_joined_components_are_not_compared_again(monkeypatch):
     table = _rows([f"customer number {i:04}" for i in range(60)]).append_column("comp", pa.array([i % 2 * 7 for i in range(60)]))
     links = pa.Table.from_batches(matching.neighbours(table.to_batches(max_chunksize=13), 0.85, 0.6), schema=matching.LINKS)
     assert links.to_pylist() == [{"a": 0, "b": 7}] and asked == [12]
+
+
+def plain_counts(words, of, threshold=0.85):
+    """(links, best) of the words at the places ``of`` by plain definition; earlier words come first."""
+    out = {}
+    for i in of:
+        ratios = []
+        for j, w in enumerate(words):
+            short, long = sorted((len(words[i]), len(w)))
+            matcher = SequenceMatcher(None, *((words[i], w) if i < j else (w, words[i])))
+            if i != j and short / long >= 0.6 and matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold:
+                ratios.append(matcher.ratio())
+        if ratios:
+            out[words[i]] = len(ratios), max(ratios)
+    return out
+
+
+def _sides(first, second, turn):
+    rows = [(0, w) for w in first] + [(1, w) for w in second]
+    ids = [turn[w] for _, w in rows]
+    return pa.table({"side": [s for s, _ in rows], "norm": [w for _, w in rows], "fid": ids, "rank": [0] * len(rows), "first": ids})
+
+
+@pytest.mark.parametrize(("one", "other", "threshold"), [
+    ("customer {:04}", "customer {:04}", 0.85), ("user{:04}@example.com", "user{:04}@example.com", 0.85),
+    ("customer {:03}", "customer {:04}", 0.85), ("customer {:05}", "customer {:03}", 0.7), ("é{:04}x", "x{:04}é", 0.4)])
+def test_forms_that_differ_in_digits_are_counted_by_digits(monkeypatch, one, other, threshold):
+    """As by comparing all pairs, whichever form comes first, but only ways in which digits repeat are compared."""
+    rng = random.Random(3)
+    first, second = ([f.format(i) for i in rng.sample(range(10 ** int(f[f.index("0") + 1])), 900)] for f in (one, other))
+    second = first if one == other else second
+    words = list(dict.fromkeys(first + second))
+    rng.shuffle(words)
+    turn = {w: i for i, w in enumerate(words)}
+    asked, plain = [], matching.Texts.matched
+    monkeypatch.setattr(matching.Texts, "matched", lambda texts, a, b, *rest: asked.append(len(a)) or plain(texts, a, b, *rest))
+    rows = matching.counted_by_digits(_sides(first, second, turn), threshold, 0.6).to_pylist()
+    got = {words[r["fid"]]: (r["links"], r["best"]) for r in rows}
+    some = first[:60]
+    members = set(second)
+    for w in some:  # links to the second forms only
+        others = [x for x in words if x in members or x == w]
+        want = plain_counts(others, [others.index(w)], threshold)
+        assert got.get(w) == want.get(w)
+    assert 0 < sum(asked) < 50_000 < len(first) * len(second) / 10
+
+
+def test_links_of_common_shapes_and_others(table, monkeypatch):
+    """Links within and between common shapes, and between them and other forms, are all counted, once each."""
+    monkeypatch.setattr(fuzzy, "SHAPE", 300)
+    rng = random.Random(4)
+    words = [f"customer {i}" for i in range(1500)] + [f"user{i}@example.com" for i in range(100, 700)] + [f"+{i} 555" for i in range(40)]
+    words += ["custmer 12", "customer 1,5", "customers 800", "user12@example.co", "user@example.com", "customer", "x", "7", ""]
+    rng.shuffle(words)
+    forms = fuzzy.normal_forms(fuzzy.spellings(fuzzy.value_counts(table("v STRING, w STRING", [(w, w.upper()) for w in words]), ["v", "w"])))
+    shapes = {(r["column"], r["shape"], r["forms"]) for r in fuzzy._common_shapes(forms).collect()}
+    assert shapes == {(c, *s) for c in "vw" for s in (("customer 000", 900), ("customer 0000", 500), ("user000@example.com", 600))}
+    texts = [w for w in words if w]
+    of = [i for i, w in enumerate(texts) if i % 23 == 0 or not w[-1].isdigit() and not w.startswith("user") or len(w) < 12 or "," in w]
+    got = {(r["column"], r["norm"]): (r["links"], r["best"]) for r in fuzzy.similar_counts(forms).collect()}
+    want = plain_counts(texts, of)
+    assert {c: {texts[i]: got[c, texts[i]] for i in of if (c, texts[i]) in got} for c in "vw"} == {"v": want, "w": want}
+    assert sum(n for (c, _), (n, _) in got.items() if c == "v") % 2 == 0
+
+
+def test_no_pair_of_forms_of_common_shapes_meets_by_tiles(table):
+    """In a column of numbered names hardly any pairs are left to compare."""
+    forms = fuzzy.normal_forms(fuzzy.spellings(fuzzy.value_counts(table("v STRING", [(f"customer {i}",) for i in range(1000, 4000)]), ["v"])))
+    seen, plain = [], fuzzy._tile_pairs
+
+    def tile_pairs(*args):
+        seen.append(plain(*args)[0].count())
+        return plain(*args)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(fuzzy, "_tile_pairs", tile_pairs)
+        assert fuzzy.similar_counts(forms).count() == 3000
+    assert seen == [0]
+
+
+def test_shapes_that_cannot_meet_are_left_out():
+    shapes = ["user000@example.com", "user0000@example.com", "user0000-at-example", "customer 000", "customers 0000", "nothing 00"]
+    rows = pa.table({"a": pa.array([i for i in range(6) for _ in range(6)], pa.int64()), "b": pa.array([i for _ in range(6) for i in range(6)], pa.int64()),
+                     "n": pa.array([1] * 36, pa.int64()), "first": [s for s in shapes for _ in shapes], "second": [s for _ in shapes for s in shapes]})
+    met = pa.Table.from_batches(matching.shapes_meet(rows.to_batches(), 0.85, 0.6))
+    pairs = set(zip(met["a"].to_pylist(), met["b"].to_pylist(), strict=True))
+    assert pairs == {(i, i) for i in range(6)} | {(0, 1), (1, 0), (3, 4), (4, 3)}
