@@ -177,6 +177,23 @@ class Texts:
             own *= (line >= a0) & (line < a1)
         return total
 
+    def reaches(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether the longest common subsequence of each pair allows the ratio: blocks in common are one, if not the longest.
+
+        Pairs that do not fit a mask are not looked at.
+        """
+        out = np.ones(len(a), dtype=bool)
+        at = np.flatnonzero(np.maximum(self.length[a], self.length[b]) <= WORD)
+        for s in range(0, len(at), PAIRS):
+            own = at[s : s + PAIRS]
+            places = self.places(a[own], b[own])
+            free = np.full(len(own), ~places.dtype.type(0))  # places of the second text that are not in it
+            for line in places:
+                taken = free & line
+                free = (free + taken) | (free - taken)
+            out[own] = 2 * np.bitwise_count(~free).astype(np.int64) >= threshold * (self.length[a[own]] + self.length[b[own]]) - 1e-9
+        return out
+
     def ratios(self, a: np.ndarray, b: np.ndarray, known: float | None = None) -> np.ndarray:
         """Ratio of each pair; ``a`` is the first text.  From ``known`` on, any value from it on may stand for it."""
         out = np.empty(len(a))
@@ -253,6 +270,20 @@ def candidates(texts: Texts, rows: np.ndarray, columns: np.ndarray, label: np.nd
             yield own[i[k : k + PAIRS]], other[j[k : k + PAIRS]]
 
 
+def reaching(texts: Texts, pairs, threshold: float):
+    """Pairs of ``candidates`` whose longest common subsequence allows the ratio, in larger parts."""
+    held, n = [], 0
+    for a, b in pairs:
+        keep = texts.reaches(a, b, threshold)
+        held.append((a[keep], b[keep]))
+        n += len(held[-1][0])
+        if n >= PAIRS:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def similar(texts: Texts, a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float, length_ratio: float) -> np.ndarray:
     """Ratio of each pair, the text with the lower ``turn`` first; 0 below the threshold or the ratio of lengths."""
     swap = turn[a] > turn[b]
@@ -550,7 +581,7 @@ def counted(table: pa.Table, threshold: float, length_ratio: float) -> pa.Table:
     everywhere, label = np.arange(n), np.arange(n)
     rows, columns = (everywhere, everywhere) if (side == 2).all() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     links, best = np.zeros(n, dtype=np.int64), np.zeros(n)
-    for a, b in candidates(texts, rows, columns, label, threshold, length_ratio):
+    for a, b in reaching(texts, candidates(texts, rows, columns, label, threshold, length_ratio), threshold):
         ratio = similar(texts, a, b, turn, threshold, length_ratio)
         for x in (a[ratio > 0], b[ratio > 0]):
             np.add.at(links, x, 1)
@@ -785,7 +816,7 @@ def counted_by_digits(table: pa.Table, threshold: float, length_ratio: float) ->
         label = np.unique(fid, return_inverse=True)[1]
         place = np.empty(len(side), dtype=np.int64)
         place[rows] = np.arange(len(rows))
-        for a, b in candidates(texts, rows, columns, label, threshold, length_ratio):
+        for a, b in reaching(texts, candidates(texts, rows, columns, label, threshold, length_ratio), threshold):
             found = similar(texts, a, b, turn, threshold, length_ratio)
             hit = found > 0
             np.add.at(links, place[a[hit]], 1)

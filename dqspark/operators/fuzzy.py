@@ -37,7 +37,7 @@ TILE = 2048  # forms per tile side
 FEW_PAIRS = 1  # pairs of tiles per tile up to which all are compared at once
 DIRECT_LINKS = 500_000  # links up to which one task joins them
 SHAPE = 512  # forms that differ in digits only from which on they are counted by digits
-SHAPE_TASK = 1 << 17  # forms of a shape for each task that others meet it in
+SHAPE_TASK = 1 << 37  # pairs of forms of two shapes for each task that forms with as many different digits meet in
 LOWEST_TILE = 1024  # forms per tile side when the lowest ratio is looked for
 SMALL_CLUSTER = 64  # forms of clusters that are compared many at a time
 SALTS = 32  # first-round buckets when ranking the values of a forced column
@@ -315,8 +315,8 @@ def _common_shapes(forms: DataFrame) -> DataFrame:
 def _between_shapes(forms: DataFrame, shapes: DataFrame, threshold: float, schema: str) -> DataFrame:
     """Similar forms of each form of a common shape in forms of common shapes.
 
-    A task has some forms of one shape, all with the same sets of digits as far as
-    possible, and all of another: at most a million, as they differ in ``DIGITS`` digits.
+    A task has the forms of one shape with some sets of digits and all forms of another:
+    at most a million, as they differ in ``DIGITS`` digits.
     """
     length_ratio = fixed.LENGTH_RATIO
     meet, count = matching.shapes_meet, matching.counted_by_digits
@@ -327,14 +327,15 @@ def _between_shapes(forms: DataFrame, shapes: DataFrame, threshold: float, schem
     def compare(table: pa.Table) -> pa.Table:
         return count(table, threshold, length_ratio)
 
-    x = shapes.select("column", F.col("sid").alias("a"), F.col("shape").alias("first")).repartition(_spread(forms))
-    y = shapes.select("column", F.col("sid").alias("b"), F.col("shape").alias("second"), F.col("forms").alias("n"))
+    x = shapes.select("column", F.col("sid").alias("a"), F.col("shape").alias("first"), F.col("forms").alias("m")).repartition(_spread(forms))
+    y = shapes.select("column", F.col("sid").alias("b"), F.col("shape").alias("second"), "forms")
     near = F.least(F.length("first"), F.length("second")) >= length_ratio * F.greatest(F.length("first"), F.length("second")) - 1e-9
-    pairs = settle(x.join(F.broadcast(y), "column").where(near).select("a", "b", "n", "first", "second").mapInArrow(
+    pairs = settle(x.join(F.broadcast(y), "column").where(near).select("a", "b", (F.col("m") * F.col("forms")).alias("n"), "first", "second").mapInArrow(
         may_meet, "a bigint, b bigint, n bigint"), "spelling-shape-pairs")
     digits = sum((F.when(F.instr("norm", str(d)) > 0, 1 << d).otherwise(0) for d in range(10)), F.lit(0))
     several = F.ceil(F.col("n") / F.lit(SHAPE_TASK)).cast("int")
-    task = F.bit_count("digits") * 1024 + F.pmod(F.xxhash64("digits"), several)
+    kinds = F.bit_count("digits")  # few forms have three or less
+    task = F.when(kinds <= 3, 0).otherwise(kinds * 1024 + F.pmod(F.xxhash64("digits"), several))
     cells_ = ["norm", "fid", "rank", "first"]
     own = forms.withColumn("digits", digits).join(pairs, F.col("sid") == F.col("a")).select(
         "a", "b", task.cast("int").alias("task"), F.lit(0).alias("side"), *cells_)

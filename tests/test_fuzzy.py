@@ -477,3 +477,18 @@ def test_shapes_that_cannot_meet_are_left_out():
     met = pa.Table.from_batches(matching.shapes_meet(rows.to_batches(), 0.85, 0.6))
     pairs = set(zip(met["a"].to_pylist(), met["b"].to_pylist(), strict=True))
     assert pairs == {(i, i) for i in range(6)} | {(0, 1), (1, 0), (3, 4), (4, 3)}
+
+
+@pytest.mark.parametrize("make", ["({0:03}) 555-{1:04}", "{1:04}{0:012}", "{1:032}", "é{1}-{0}", "{1:061}{0:03}", "{1:062}{0:03}"])
+def test_pairs_are_ruled_out_by_their_longest_common_subsequence(make):
+    """No similar pair is lost, and pairs within the sketches' bound that only share their characters are ruled out."""
+    rng = random.Random(5)
+    words = sorted({make.format(rng.randrange(1000), rng.randrange(10000)) for _ in range(300)})
+    texts, every = matching.Texts(words), np.arange(len(words))
+    asked = list(matching.candidates(texts, every, every, every, 0.85, 0.6))
+    left = list(matching.reaching(texts, iter(asked), 0.85))
+    pairs, kept = ({p for a, b in x for p in zip(a.tolist(), b.tolist(), strict=True)} for x in (asked, left))
+    hits = {(a, b) for a, b in pairs if SequenceMatcher(None, words[a], words[b]).ratio() >= 0.85}
+    assert hits <= kept <= pairs
+    if make.startswith("("):
+        assert len(kept) < len(pairs) / 3
