@@ -32,7 +32,9 @@ ANY = 64  # distinct characters of a place up to which they are told apart
 STEPS = 100_000  # pairs of places that are looked at for a bound; beyond, the bound is weaker
 KNOWN = 500_000  # components whose links a task remembers
 DIGITS = 6  # digits up to which forms that differ in digits only are counted by digits
-CELLS = 1 << 20  # patterns of numbers that are looked up together
+CELLS = 1 << 18  # patterns of numbers that are looked up together
+SPELLED = 1 << 14  # patterns of numbers that are compared together
+FEW_TEXTS = 1 << 16  # forms up to which pairs may be compared instead
 LONG = 200  # from here on difflib leaves out popular characters
 FAR = (8, 3, 5, 7, 1, 2, 4, 6)  # sixteenths of the sorted texts that far pairs are apart
 ONE = np.uint64(1)
@@ -629,7 +631,7 @@ class _Shape:
 
 def _written(places: int, base: int) -> np.ndarray:
     """All numbers of ``places`` places to a base, lowest place first: (place, number)."""
-    return np.arange(base**places) // base ** np.arange(places)[:, None] % base
+    return (np.arange(base**places) // base ** np.arange(places)[:, None] % base).astype(np.uint8)
 
 
 class _Patterns:
@@ -643,7 +645,6 @@ class _Patterns:
     def __init__(self, first: _Shape, second: _Shape, same: bool, least: int):
         self.first, self.second, self.same, self.least = first, second, same, least
         self.low = (len(second.at) + 1) // 2  # places looked up together
-        self._texts: dict = {}
         self._known: dict = {}
         x, y = (Counter(c for c in s.text if c not in "0123456789") for s in (first, second))
         self.fixed = (x & y).total()
@@ -658,40 +659,31 @@ class _Patterns:
 
     def _find(self, named: np.ndarray) -> tuple:
         kinds, places = int(named.max()) + 1, len(self.second.at)
-        if kinds not in self._texts:
-            written = _written(places, kinds + 1)
-            own = np.array([np.frombuffer(x, dtype=np.uint8) for x in self.all_named(kinds)]).T
-            names = {x.tobytes(): i for i, x in enumerate(np.ascontiguousarray(own.T))}
-            shown = np.where(written == kinds, 9, written)
-            self._texts = {kinds: (written, names, Texts(self.second.spelled(shown) + self.first.spelled(own)))}
-        written, names, texts = self._texts[kinds]
+        written = _written(places, kinds + 1)
         common = sum(np.minimum((written == c).sum(axis=0), int((named == c).sum())) for c in range(kinds))
         keep = common + self.fixed >= self.least
         if self.same:  # the form itself
             keep[int((named.astype(np.int64) * (kinds + 1) ** np.arange(places)).sum())] = False
         pattern = np.flatnonzero(keep)
-        own = np.full(len(pattern), written.shape[1] + names[named.tobytes()])
-        given, other = (_matched(texts, *pair) for pair in ((own, pattern), (pattern, own)))
-        given, other = (np.where(x >= self.least, x, 0).astype(np.uint8) for x in (given, other))
+        shown = np.where(written == kinds, 9, written).astype(np.uint8)[:, pattern]
+        given, other = (np.zeros(len(pattern), dtype=np.uint8) for _ in range(2))
+        for s in range(0, len(pattern), SPELLED):
+            at = slice(s, s + SPELLED)
+            texts = Texts(self.first.spelled(named[:, None]) + self.second.spelled(shown[:, at]))
+            columns = np.arange(1, len(texts.values))
+            given[at], other[at] = (_matched(texts, *pair) for pair in ((columns * 0, columns), (columns, columns * 0)))
+        given, other = (np.where(x >= self.least, x, 0) for x in (given, other))
         low, high = np.minimum(given, other), np.maximum(given, other)
         both, one, uneven = low > 0, (low == 0) & (high > 0), low < high
         order = np.argsort(-low[both].astype(np.int64), kind="stable")
         step = (kinds + 1) ** self.low
 
         def split(pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            return pattern % step, pattern // step
+            return (pattern % step).astype(np.int32), (pattern // step).astype(np.int32)
 
         return (split(pattern[both][order]), low[both][order]), (split(pattern[one]), given[one] > 0), (
             split(pattern[uneven]), given[uneven], other[uneven])
 
-    def all_named(self, kinds: int) -> list[bytes]:
-        """All ways in which digits of the first form repeat, with so many different ones."""
-        ways = [b""]
-        for left in range(len(self.first.at) - 1, -1, -1):
-            ways = [w + bytes([c]) for w in ways for c in range(min(kinds, max(w, default=-1) + 2))]
-            ways = [w for w in ways if kinds - 1 - max(w) <= left]
-        return ways
-
 
 def _matched(texts: Texts, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     parts = [texts.matched(a[s : s + PAIRS], b[s : s + PAIRS]) for s in range(0, len(a), PAIRS)]
@@ -811,7 +803,7 @@ def counted_by_digits(table: pa.Table, threshold: float, length_ratio: float) ->
     kinds = [max(x >> 3 * j & 7 for j in range(len(first.at))) + 1 for x in names.tolist()]
     if not least or n / m < length_ratio:
         pass
-    elif len(rows) * len(columns) <= 4 * sum((k + 1) ** len(second.at) for k in kinds):
+    elif len(side) <= FEW_TEXTS and len(rows) * len(columns) <= 4 * sum((k + 1) ** len(second.at) for k in kinds):
         texts = Texts(table["norm"].to_pylist())
         label = np.unique(fid, return_inverse=True)[1]
         place = np.empty(len(side), dtype=np.int64)
